@@ -173,30 +173,28 @@ class Star:
         return (
             self.table("lineitem")
             .groupBy(F.col("l_partkey").alias("item_id"))
-            .agg(F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 2).alias("revenue"))
+            .agg(F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 4).alias("revenue"))
         )
 
     @cached_property
     def backtests(self) -> DataFrame:
         """One-step forecasts of monthly demand by three simple models, from the 13th month of a series on."""
         months = Window.partitionBy(*SERIES).orderBy("date")
+        forecasts = self.demand_monthly.select(
+            *SERIES,
+            "date",
+            F.col("demand_qty").alias("actual"),
+            F.row_number().over(months).alias("_n"),
+            F.lag("demand_qty", 1).over(months).alias("_last"),
+            F.lag("demand_qty", 12).over(months).alias("_year_ago"),
+            F.avg("demand_qty").over(months.rowsBetween(-3, -1)).alias("_mean3"),
+        ).where(F.col("_n") > 12)
         models = F.explode(
             F.array(
-                F.struct(F.lit("last").alias("model"), F.lag("demand_qty", 1).over(months).alias("yhat")),
-                F.struct(F.lit("year_ago").alias("model"), F.lag("demand_qty", 12).over(months).alias("yhat")),
-                F.struct(
-                    F.lit("mean3").alias("model"),
-                    F.avg("demand_qty").over(months.rowsBetween(-3, -1)).alias("yhat"),
-                ),
+                *[F.struct(F.lit(m).alias("model"), F.col(f"_{m}").alias("yhat")) for m in ("last", "year_ago", "mean3")]
             )
         )
-        return (
-            self.demand_monthly.select(
-                *SERIES, "date", F.col("demand_qty").alias("actual"), F.row_number().over(months).alias("_n"), models.alias("m")
-            )
-            .where(F.col("_n") > 12)
-            .select(*SERIES, "date", "m.model", "actual", "m.yhat")
-        )
+        return forecasts.select("*", models.alias("m")).select(*SERIES, "date", "m.model", "actual", "m.yhat")
 
     @cached_property
     def metrics_history(self) -> DataFrame:
@@ -321,7 +319,7 @@ VIEWS_SQL = {
                 USING (item_id, location_id, date))
         WINDOW w AS (PARTITION BY item_id, location_id ORDER BY date)""",
     "product_value": """
-        SELECT l_partkey AS item_id, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue
+        SELECT l_partkey AS item_id, round(sum(l_extendedprice * (1 - l_discount)), 4) AS revenue
         FROM lineitem GROUP BY ALL""",
     "backtests": """
         SELECT item_id, location_id, date, model, actual,
