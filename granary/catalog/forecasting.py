@@ -94,14 +94,14 @@ def m4(t):
               FROM demand_monthly WINDOW w AS ({LINE}), f AS ({LINE} ROWS BETWEEN 6 PRECEDING AND 6 FOLLOWING)),
         ph AS (SELECT item_id, location_id, pos % 12 AS phase, avg(demand_qty - trend) AS m FROM p GROUP BY ALL),
         c AS (SELECT item_id, location_id, avg(m) AS centre FROM ph GROUP BY ALL)
-        SELECT item_id, location_id, date, round(trend, 5) AS trend, round(m - centre, 5) + 0.0 AS seasonal,
-               round(demand_qty - trend - (m - centre), 5) + 0.0 AS resid
+        SELECT item_id, location_id, date, round(trend, 8) AS trend, round(m - centre, 8) + 0.0 AS seasonal,
+               round(demand_qty - trend - (m - centre), 8) + 0.0 AS resid
         FROM p JOIN ph USING (item_id, location_id) JOIN c USING (item_id, location_id) WHERE pos % 12 = phase""",
     ("demand_monthly",),
 )
 def m4_even(t):
     parts = A.decompose(t.demand_monthly, SERIES, "demand_qty", 12)
-    return rounded(parts.select(*SERIES, "date", "trend", "seasonal", "resid"), ["trend", "seasonal", "resid"], 5)
+    return rounded(parts.select(*SERIES, "date", "trend", "seasonal", "resid"), ["trend", "seasonal", "resid"], 8)
 
 
 @query(

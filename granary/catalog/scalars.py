@@ -328,13 +328,13 @@ def f20(t):
     "f21_forecast_interval",
     """SELECT item_id, location_id, date, round(greatest(0, yhat * (1 - mape / 100)), 2) AS lower_bound,
               round(yhat * (1 + mape / 100), 2) AS upper_bound
-       FROM (SELECT item_id, location_id, date, yhat / 7 AS yhat FROM backtests WHERE model = 'mean3')
+       FROM (SELECT item_id, location_id, date, sqrt(yhat + 0.3::DOUBLE) AS yhat FROM backtests WHERE model = 'mean3')
        JOIN metrics_history USING (item_id, date)""",
     ("backtests", "metrics_history"),
 )
 def f21(t):
     forecasts = t.backtests.where("model = 'mean3'").join(t.metrics_history, ["item_id", "date"])
-    forecasts = forecasts.withColumn("yhat", F.col("yhat") / 7)
+    forecasts = forecasts.withColumn("yhat", F.sqrt(F.col("yhat") + 0.3))
     low, high = S.forecast_interval(F.col("yhat"), F.col("mape"))
     return forecasts.select("item_id", "location_id", "date", low.alias("lower_bound"), high.alias("upper_bound"))
 

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from granary.functions.scalars import calendar_parts
-from granary.operators.scale import exact_quantiles, one_row
+from granary.operators.scale import exact_quantiles, with_row
 from granary.operators.windows import lag_features
 
 SERIES = ["item_id", "location_id"]
@@ -122,9 +122,9 @@ def mutual_information(df: DataFrame, features: list[str], target: str, bins: in
     """
     columns = [*features, target]
     cuts = {f"b{i}": i / bins for i in range(1, bins)}
-    limits = one_row(exact_quantiles(df, [], columns, cuts))
-    place = lambda c: sum((F.when(F.col(c) > limits[f"{c}_{b}"], 1).otherwise(0) for b in cuts), F.lit(0))
-    binned = df.select(*[place(c).alias(f"_{c}") for c in columns])
+    limited = with_row(df.select(*columns), exact_quantiles(df, [], columns, cuts))
+    place = lambda c: sum((F.when(F.col(c) > F.col(f"_stats.{c}_{b}"), 1).otherwise(0) for b in cuts), F.lit(0))
+    binned = limited.select(*[place(c).alias(f"_{c}") for c in columns])
     cells = F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(f"_{c}").alias("x")) for c in features]))
     joint = (
         binned.select(F.col(f"_{target}").alias("y"), cells.alias("c"))

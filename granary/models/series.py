@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from granary.models import intermittent
+from granary.session import cut_lineage
 
 SERIES = ["item_id", "location_id"]
 Forecaster = Callable[[DataFrame, int, list[str]], DataFrame]
@@ -250,9 +251,11 @@ def choose(candidates: DataFrame, allowed: DataFrame | None = None, keys: list[s
 def forecast_chosen(panel: DataFrame, chosen: DataFrame, steps: int, keys: list[str] = SERIES) -> DataFrame:
     """Forecast every series with its chosen model only: (keys, model, step, yhat, error).
 
-    Each model sees just the series that chose it. An unknown model yields zeros and an error.
+    The tagged panel is materialised once; each model then reads just the series that chose it. An unknown model
+    yields zeros and an error.
     """
-    tagged = panel.join(chosen.select(*keys, "model"), keys)
+    chosen = cut_lineage(chosen.select(*keys, "model"))
+    tagged = cut_lineage(panel.join(chosen, keys))
     parts = [
         _REGISTRY[name](tagged.where(F.col("model") == name).drop("model"), steps, keys) for name in registered_models()
     ]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from granary.operators.scale import exact_quantiles, one_row
+from granary.operators.scale import exact_quantiles, one_row, with_row
 
 DATE_COLUMNS = {
     "inventory_daily": ["date"],
@@ -86,8 +86,9 @@ def fill_calendar(df: DataFrame, keys: list[str], date: str = "date") -> DataFra
 
 
 def impute_median(df: DataFrame, columns: list[str]) -> DataFrame:
-    row = one_row(exact_quantiles(df, [], columns, {"median": 0.5}))
-    return df.withColumns({c: F.coalesce(F.col(c).cast("double"), row[f"{c}_median"]) for c in columns})
+    known = with_row(df, exact_quantiles(df, [], columns, {"median": 0.5}))
+    filled = {c: F.coalesce(F.col(c).cast("double"), F.col(f"_stats.{c}_median")) for c in columns}
+    return known.withColumns(filled).drop("_stats")
 
 
 def impute_mode(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -102,11 +103,11 @@ def impute_mode(df: DataFrame, columns: list[str]) -> DataFrame:
 
 def winsorize_iqr(df: DataFrame, column: str, width: float = 1.5) -> DataFrame:
     """Clip to the quartiles widened by `width` interquartile ranges."""
-    row = one_row(exact_quantiles(df, [], [column], {"q1": 0.25, "q3": 0.75}))
-    q1, q3 = row[f"{column}_q1"], row[f"{column}_q3"]
+    known = with_row(df, exact_quantiles(df, [], [column], {"q1": 0.25, "q3": 0.75}))
+    q1, q3 = F.col(f"_stats.{column}_q1"), F.col(f"_stats.{column}_q3")
     low, high = q1 - width * (q3 - q1), q3 + width * (q3 - q1)
     clipped = F.when(F.col(column).isNotNull(), F.greatest(low, F.least(high, F.col(column))))
-    return df.withColumn(column, clipped)
+    return known.withColumn(column, clipped).drop("_stats")
 
 
 def impute_zero_with_calendar(df: DataFrame, columns: list[str], date: str = "date") -> DataFrame:

@@ -124,3 +124,8 @@ def exact_quantiles(
 def one_row(df: DataFrame, *columns: str) -> Column:
     """The only row of an aggregate as a scalar subquery, a struct of `columns` (all when none are named)."""
     return df.select(F.struct(*(columns or df.columns)).alias("row")).scalar()
+
+
+def with_row(df: DataFrame, stats: DataFrame, name: str = "_stats") -> DataFrame:
+    """`df` with the only row of `stats` as a struct column: one subquery, however many fields are read later."""
+    return df.withColumn(name, one_row(stats))

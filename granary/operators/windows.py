@@ -11,7 +11,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from granary.operators.scale import numbered, one_row, running_totals
+from granary.operators.scale import numbered, running_totals, with_row
 
 SERIES = ["item_id", "location_id"]
 LAGS = (1, 3, 7, 14, 30)
@@ -154,17 +154,15 @@ def ordered_split(
 def scale_on_train(df: DataFrame, columns: list[str]) -> DataFrame:
     """Standardise with the mean and population deviation of the train rows; a zero deviation counts as 1."""
     train = lambda c: F.when(F.col("split") == "train", F.col(c))
-    stats = one_row(
-        df.agg(
-            *[F.avg(train(c)).alias(f"{c}_mean") for c in columns],
-            *[F.stddev_pop(train(c)).alias(f"{c}_std") for c in columns],
-        )
+    stats = df.agg(
+        *[F.avg(train(c)).alias(f"{c}_mean") for c in columns],
+        *[F.stddev_pop(train(c)).alias(f"{c}_std") for c in columns],
     )
     scaled = {}
     for c in columns:
-        std = stats[f"{c}_std"]
-        scaled[f"{c}_scaled"] = (F.col(c) - stats[f"{c}_mean"]) / F.when(std == 0, 1.0).otherwise(std)
-    return df.withColumns(scaled)
+        std = F.col(f"_stats.{c}_std")
+        scaled[f"{c}_scaled"] = (F.col(c) - F.col(f"_stats.{c}_mean")) / F.when(std == 0, 1.0).otherwise(std)
+    return with_row(df, stats).withColumns(scaled).drop("_stats")
 
 
 def latest_rows(df: DataFrame, n: int, order: list[Column]) -> DataFrame:
