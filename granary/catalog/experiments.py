@@ -212,7 +212,7 @@ def x10(t):
     """SELECT event_type AS experiment_id, CAST(min(ts) AS DATE) AS start_date,
               CASE WHEN event_type = 'view' THEN DATE '2024-01-20'
                    WHEN max(user_id) % 2 = 1 THEN CAST(max(ts) AS DATE) END AS end_date
-       FROM events GROUP BY ALL""",
+       FROM events GROUP BY event_type""",
 )
 def x10_end(t):
     return X.end_experiment(_experiments(t), "view", F.lit("2024-01-20").cast("date"))

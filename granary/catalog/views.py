@@ -204,9 +204,9 @@ class Star:
             self.backtests.where("model = 'last'")
             .groupBy("item_id", "date")
             .agg(
-                F.round(F.avg(error / F.col("actual")) * 100, 2).alias("mape"),
-                F.round(F.avg(2 * error / (F.abs("actual") + F.abs("yhat"))) * 100, 2).alias("smape"),
-                F.round(F.sqrt(F.avg(error * error)), 2).alias("rmse"),
+                F.round(F.avg(error / F.col("actual")) * 100, 6).alias("mape"),
+                F.round(F.avg(2 * error / (F.abs("actual") + F.abs("yhat"))) * 100, 6).alias("smape"),
+                F.round(F.sqrt(F.avg(error * error)), 6).alias("rmse"),
             )
         )
 
@@ -333,9 +333,9 @@ VIEWS_SQL = {
              (SELECT unnest(['last', 'year_ago', 'mean3']) AS model)
         WHERE n > 12""",
     "metrics_history": """
-        SELECT item_id, date, round(avg(abs(actual - yhat) / actual) * 100, 2) AS mape,
-               round(avg(2 * abs(actual - yhat) / (abs(actual) + abs(yhat))) * 100, 2) AS smape,
-               round(sqrt(avg((actual - yhat) * (actual - yhat))), 2) AS rmse
+        SELECT item_id, date, round(avg(abs(actual - yhat) / actual) * 100, 6) AS mape,
+               round(avg(2 * abs(actual - yhat) / (abs(actual) + abs(yhat))) * 100, 6) AS smape,
+               round(sqrt(avg((actual - yhat) * (actual - yhat))), 6) AS rmse
         FROM backtests WHERE model = 'last' GROUP BY ALL""",
     "observations": """
         SELECT user_id AS unit_id,

@@ -256,8 +256,10 @@ def forecast_chosen(panel: DataFrame, chosen: DataFrame, steps: int, keys: list[
     """
     chosen = cut_lineage(chosen.select(*keys, "model"))
     tagged = cut_lineage(panel.join(chosen, keys))
+    # At most one name per registered model comes back.
+    used = chosen.where(F.col("model").isin(registered_models())).select("model").distinct().orderBy("model").collect()
     parts = [
-        _REGISTRY[name](tagged.where(F.col("model") == name).drop("model"), steps, keys) for name in registered_models()
+        _REGISTRY[row.model](tagged.where(F.col("model") == row.model).drop("model"), steps, keys) for row in used
     ]
     unknown = chosen.where(~F.col("model").isin(registered_models())).select(
         *keys, "model", F.lit(None).cast("double").alias("rmse"),
