@@ -14,17 +14,19 @@ from granary.plans import policies as P
 def _inputs(t):
     """Policy inputs with the demand spread over the lead time and a lead-time forecast."""
     return t.policy_inputs.select(
-        "item_id", "stock", "on_order", "avg_daily_demand", "lead_time", "unit_price",
+        "item_id", "stock", "on_order", (F.col("avg_daily_demand") * 0.99731).alias("avg_daily_demand"), "lead_time",
+        "unit_price",
         (F.col("demand_std") * F.sqrt("lead_time")).alias("lead_time_std"),
-        (F.col("avg_daily_demand") * (F.col("lead_time") + 1)).alias("demand_forecast"),
+        (F.col("avg_daily_demand") * 0.99731 * (F.col("lead_time") + 1)).alias("demand_forecast"),
     )
 
 
 _POLICY = """pol AS (SELECT *, round(1.65::DOUBLE * lead_time_std, 2) AS ss,
         round(avg_daily_demand * lead_time + round(1.65::DOUBLE * lead_time_std, 2), 2) AS rop,
         sqrt(2 * (avg_daily_demand * 365) * 100 / 10) AS eoq
-    FROM (SELECT item_id, stock, on_order, avg_daily_demand, lead_time, unit_price,
-                 demand_std * sqrt(lead_time) AS lead_time_std, avg_daily_demand * (lead_time + 1) AS demand_forecast
+    FROM (SELECT item_id, stock, on_order, avg_daily_demand * 0.99731::DOUBLE AS avg_daily_demand, lead_time, unit_price,
+                 demand_std * sqrt(lead_time) AS lead_time_std,
+                 avg_daily_demand * 0.99731::DOUBLE * (lead_time + 1) AS demand_forecast
           FROM policy_inputs))"""
 
 
@@ -66,13 +68,13 @@ _SUGGESTED = f"""{_POLICY}, sug AS (SELECT item_id, strategy, unit_price, CASE s
 
 @query(
     "r3_run_strategy",
-    f"""WITH {_SUGGESTED} SELECT item_id, strategy, round(qty, 4) AS suggested_order_qty, qty > 0 AS need_replenishment
+    f"""WITH {_SUGGESTED} SELECT item_id, strategy, round(qty, 6) AS suggested_order_qty, qty > 0 AS need_replenishment
         FROM sug""",
     ("policy_inputs",),
 )
 def r3(t):
     out = P.run_strategy(_inputs(t).withColumn("strategy", _strategy_name()), F.col("strategy"))
-    return rounded(out.select("item_id", "strategy", "suggested_order_qty", "need_replenishment"), ["suggested_order_qty"])
+    return rounded(out.select("item_id", "strategy", "suggested_order_qty", "need_replenishment"), ["suggested_order_qty"], 6)
 
 
 @query(
@@ -164,8 +166,8 @@ _DECIDED = """
     dec AS (SELECT k * 2 + i AS decision_id, CASE WHEN s % 10 = 9 THEN -k ELSE k END AS order_id,
                    CASE WHEN (s + i) % 3 = 0 THEN 'reject' ELSE 'approve' END AS action,
                    ['buyer', 'manager', 'admin'][(s + 2 * i) % 3 + 1] AS approver_role,
-                   CAST(CAST(at AS DATE) + CAST(i AS INTEGER) AS DATE) AS decided_at
-            FROM (SELECT l_orderkey * 8 + l_linenumber AS k, min(l_shipdate) AS at, min(l_suppkey) AS s
+                   CAST(CAST(shipped AS DATE) + CAST(i AS INTEGER) AS DATE) AS decided_at
+            FROM (SELECT l_orderkey * 8 + l_linenumber AS k, min(l_shipdate) AS shipped, min(l_suppkey) AS s
                   FROM lineitem GROUP BY l_orderkey, l_linenumber), (SELECT unnest([0, 1]) AS i)),
     rk AS (SELECT * FROM (VALUES ('buyer', 1), ('manager', 2), ('admin', 3)) r(role, rank)),
     mk AS (SELECT dec.*, p.required_approver AS need, a.rank >= b.rank AS ok
@@ -301,7 +303,7 @@ _TIERS = """di AS (SELECT item_id, avg_daily_demand * 365 AS d, unit_price AS c
                UNION ALL SELECT item_id, tier, d, c * (1 - r), 10 * (1 - r),
                    CASE WHEN sqrt(2 * d * 100 / 10) >= m THEN sqrt(2 * d * 100 / (10 * (1 - r))) ELSE m END FROM ti),
         cc AS (SELECT *, d / q * 100 + q / 2 * h + d * c AS cost FROM cd)
-        SELECT item_id, round(q, 5) AS optimal_qty, round(cost, 4) AS optimal_cost, CAST(tier AS INTEGER) AS tier_chosen
+        SELECT item_id, round(q, 5) AS optimal_qty, round(cost, 6) AS optimal_cost, CAST(tier AS INTEGER) AS tier_chosen
         FROM cc QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY cost, tier) = 1""",
     ("policy_inputs",),
 )
@@ -309,7 +311,7 @@ def r10(t):
     out = P.discount_order_quantity(_discounts(t, 10.0), "re_eoq").select(
         "item_id", "optimal_qty", "optimal_cost", "tier_chosen"
     )
-    return rounded(rounded(out, ["optimal_qty"], 5), ["optimal_cost"], 4)
+    return rounded(rounded(out, ["optimal_qty"], 5), ["optimal_cost"], 6)
 
 
 @query(
@@ -318,7 +320,7 @@ def r10(t):
         cd AS (SELECT item_id, tier, d, c * (1 - r) AS c, c * (1 - r) * 0.2::DOUBLE AS h,
                       greatest(sqrt(2 * d * 100 / 0.2::DOUBLE), m) AS q FROM ti),
         cc AS (SELECT *, d / q * 100 + q / 2 * h + d * c AS cost FROM cd)
-        SELECT item_id, round(q, 5) AS optimal_qty, round(cost, 4) AS optimal_cost, CAST(tier AS INTEGER) AS tier_chosen
+        SELECT item_id, round(q, 5) AS optimal_qty, round(cost, 6) AS optimal_cost, CAST(tier AS INTEGER) AS tier_chosen
         FROM cc QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY cost, tier) = 1""",
     ("policy_inputs",),
 )
@@ -326,7 +328,7 @@ def r10_fraction(t):
     out = P.discount_order_quantity(_discounts(t, 0.2), "holding_fraction").select(
         "item_id", "optimal_qty", "optimal_cost", "tier_chosen"
     )
-    return rounded(rounded(out, ["optimal_qty"], 5), ["optimal_cost"], 4)
+    return rounded(rounded(out, ["optimal_qty"], 5), ["optimal_cost"], 6)
 
 
 PERIODS = 12
