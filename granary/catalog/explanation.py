@@ -37,7 +37,7 @@ def e2(t):
 _FEATURES = ["l_quantity", "l_discount"]
 _ATTRIBUTED = """co AS (SELECT regr_slope(l_extendedprice, l_quantity) AS b1, regr_slope(l_extendedprice, l_discount) AS b2,
         regr_intercept(l_extendedprice, l_quantity) AS b0, avg(l_quantity) AS m1, avg(l_discount) AS m2 FROM lineitem),
-    at AS (SELECT l_orderkey, l_linenumber, l_quantity, l_discount, b1 * (l_quantity - m1) AS c1, b2 * (l_discount - m2) AS c2,
+    ab AS (SELECT l_orderkey, l_linenumber, l_quantity, l_discount, b1 * (l_quantity - m1) AS c1, b2 * (l_discount - m2) AS c2,
                   b0 + b1 * m1 + b2 * m2 AS base FROM lineitem, co)"""
 
 
@@ -54,7 +54,7 @@ def _attributed(t):
     "e3_linear_attributions",
     f"""WITH {_ATTRIBUTED} SELECT l_orderkey, l_linenumber, l_quantity, l_discount, round(c1, 4) + 0.0 AS l_quantity_contribution,
                round(c2, 4) + 0.0 AS l_discount_contribution, round(base, 4) AS base_value, round(base + c1 + c2, 4) AS prediction
-        FROM at""",
+        FROM ab""",
 )
 def e3(t):
     return rounded(
@@ -64,8 +64,8 @@ def e3(t):
 
 @query(
     "e3_attribution_summary",
-    f"""WITH {_ATTRIBUTED}, s AS (SELECT 'l_quantity' AS feature, avg(c1) AS m, avg(abs(c1)) AS a FROM at
-               UNION ALL SELECT 'l_discount', avg(c2), avg(abs(c2)) FROM at)
+    f"""WITH {_ATTRIBUTED}, s AS (SELECT 'l_quantity' AS feature, avg(c1) AS m, avg(abs(c1)) AS a FROM ab
+               UNION ALL SELECT 'l_discount', avg(c2), avg(abs(c2)) FROM ab)
         SELECT feature, round(m, 4) + 0.0 AS mean_contribution, round(a, 4) AS mean_abs_contribution,
                CAST(row_number() OVER (ORDER BY a DESC) AS INTEGER) AS rank FROM s""",
 )

@@ -287,11 +287,11 @@ def _discounts(t, holding: float):
     )
     return t.policy_inputs.select(
         "item_id", (F.col("avg_daily_demand") * 365).alias("demand"), F.lit(100.0).alias("order_cost"),
-        F.lit(holding).alias("holding_cost"), F.col("unit_price").alias("unit_cost"), tiers.alias("tiers"),
+        F.lit(holding).alias("holding_cost"), (F.sqrt("unit_price") * 30).alias("unit_cost"), tiers.alias("tiers"),
     )
 
 
-_TIERS = """di AS (SELECT item_id, avg_daily_demand * 365 AS d, unit_price AS c FROM policy_inputs),
+_TIERS = """di AS (SELECT item_id, avg_daily_demand * 365 AS d, sqrt(unit_price) * 30 AS c FROM policy_inputs),
     ti AS (SELECT item_id, d, c, lo + item_id % 50 AS m, r, rank() OVER (PARTITION BY item_id ORDER BY lo) AS tier
            FROM di, (VALUES (300, 0.05::DOUBLE), (0, 0.01::DOUBLE), (900, 0.1::DOUBLE)) v(lo, r))"""
 
@@ -303,7 +303,7 @@ _TIERS = """di AS (SELECT item_id, avg_daily_demand * 365 AS d, unit_price AS c
                UNION ALL SELECT item_id, tier, d, c * (1 - r), 10 * (1 - r),
                    CASE WHEN sqrt(2 * d * 100 / 10) >= m THEN sqrt(2 * d * 100 / (10 * (1 - r))) ELSE m END FROM ti),
         cc AS (SELECT *, d / q * 100 + q / 2 * h + d * c AS cost FROM cd)
-        SELECT item_id, round(q, 5) AS optimal_qty, round(cost, 6) AS optimal_cost, CAST(tier AS INTEGER) AS tier_chosen
+        SELECT item_id, round(q, 5) AS optimal_qty, round(cost, 3) AS optimal_cost, CAST(tier AS INTEGER) AS tier_chosen
         FROM cc QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY cost, tier) = 1""",
     ("policy_inputs",),
 )
@@ -311,7 +311,7 @@ def r10(t):
     out = P.discount_order_quantity(_discounts(t, 10.0), "re_eoq").select(
         "item_id", "optimal_qty", "optimal_cost", "tier_chosen"
     )
-    return rounded(rounded(out, ["optimal_qty"], 5), ["optimal_cost"], 6)
+    return rounded(rounded(out, ["optimal_qty"], 5), ["optimal_cost"], 3)
 
 
 @query(
@@ -320,7 +320,7 @@ def r10(t):
         cd AS (SELECT item_id, tier, d, c * (1 - r) AS c, c * (1 - r) * 0.2::DOUBLE AS h,
                       greatest(sqrt(2 * d * 100 / 0.2::DOUBLE), m) AS q FROM ti),
         cc AS (SELECT *, d / q * 100 + q / 2 * h + d * c AS cost FROM cd)
-        SELECT item_id, round(q, 5) AS optimal_qty, round(cost, 6) AS optimal_cost, CAST(tier AS INTEGER) AS tier_chosen
+        SELECT item_id, round(q, 5) AS optimal_qty, round(cost, 3) AS optimal_cost, CAST(tier AS INTEGER) AS tier_chosen
         FROM cc QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY cost, tier) = 1""",
     ("policy_inputs",),
 )
@@ -328,7 +328,7 @@ def r10_fraction(t):
     out = P.discount_order_quantity(_discounts(t, 0.2), "holding_fraction").select(
         "item_id", "optimal_qty", "optimal_cost", "tier_chosen"
     )
-    return rounded(rounded(out, ["optimal_qty"], 5), ["optimal_cost"], 6)
+    return rounded(rounded(out, ["optimal_qty"], 5), ["optimal_cost"], 3)
 
 
 PERIODS = 12

@@ -85,14 +85,14 @@ def f5(t):
 
 @query(
     "f6_total_cost",
-    f"""SELECT item_id, round(CASE WHEN h = 0 THEN 0 ELSE d / (h * 20) * s + h * 20 / 2.0::DOUBLE * 10 + d * c END, 6)
+    f"""SELECT item_id, round(CASE WHEN h = 0 THEN 0 ELSE d / (h * 20) * s + h * 20 / 2.0::DOUBLE * 10 + d * sqrt(c) END, 3)
         AS total_cost FROM {_POLICY}""",
     ("policy_inputs",),
 )
 def f6(t):
     qty = (F.col("h") * 20).cast("double")
-    cost = S.total_cost(qty, F.col("d"), F.col("s"), F.lit(10.0), F.col("c"))
-    return _policy(t).select("item_id", F.round(cost, 6).alias("total_cost"))
+    cost = S.total_cost(qty, F.col("d"), F.col("s"), F.lit(10.0), F.sqrt("c"))
+    return _policy(t).select("item_id", F.round(cost, 3).alias("total_cost"))
 
 
 @query(
