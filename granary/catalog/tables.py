@@ -153,10 +153,10 @@ def s10_rollback(t):
 
 @query(
     "s11_lineage",
-    """SELECT r AS "table", CAST(count(*) AS INTEGER) AS operations, min(at) AS first_at, max(at) AS last_at,
+    """SELECT r AS "table", CAST(count(*) AS INTEGER) AS operations, min(ts) AS first_at, max(ts) AS last_at,
               CAST(sum(n) AS BIGINT) AS rows
-       FROM (SELECT l_returnflag AS r, CAST(CAST(l_shipdate AS DATE) AS TIMESTAMP) AS at, count(*) AS n FROM lineitem GROUP BY ALL)
-       WHERE at >= TIMESTAMP '1997-01-01' AND at <= TIMESTAMP '1999-12-31' GROUP BY ALL""",
+       FROM (SELECT l_returnflag AS r, CAST(CAST(l_shipdate AS DATE) AS TIMESTAMP) AS ts, count(*) AS n FROM lineitem GROUP BY ALL)
+       WHERE ts >= TIMESTAMP '1997-01-01' AND ts <= TIMESTAMP '1999-12-31' GROUP BY ALL""",
 )
 def s11(t):
     """Shipping days as load operations of one table per return flag."""

@@ -120,7 +120,7 @@ class Star:
                 F.min("l_partkey").alias("item_id"),
                 F.min("l_suppkey").alias("supplier_id"),
                 F.sum("l_quantity").cast("bigint").alias("order_qty"),
-                F.round(F.sum("l_extendedprice") / F.sum("l_quantity"), 4).alias("unit_price"),
+                F.round(F.sum("l_extendedprice") / F.sum("l_quantity"), 8).alias("unit_price"),
             )
         )
         return (
@@ -299,7 +299,7 @@ VIEWS_SQL = {
                'system' AS created_by
         FROM (SELECT l_orderkey, l_linenumber, min(l_partkey) AS item_id, min(l_suppkey) AS supplier_id,
                      CAST(sum(l_quantity) AS BIGINT) AS order_qty,
-                     round(sum(l_extendedprice) / sum(l_quantity), 4) AS unit_price
+                     round(sum(l_extendedprice) / sum(l_quantity), 8) AS unit_price
               FROM lineitem GROUP BY ALL) l
         JOIN orders ON l_orderkey = o_orderkey
         JOIN suppliers s ON l.supplier_id = s.supplier_id

@@ -1,8 +1,4 @@
-"""Tables kept in a folder: warehouse tables, keyed feature store, histories, model registry, lineage.
-
-A keyed table lives in numbered version folders. A change writes the next version completely and only then lists
-it in the version table, so a failed job leaves the previous version in place.
-"""
+"""Tables kept in a folder: warehouse tables, keyed feature store, histories, model registry, lineage."""
 
 from __future__ import annotations
 
@@ -11,40 +7,50 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def _read(spark: SparkSession, path: str) -> DataFrame | None:
-    try:
-        return spark.read.parquet(path)
-    except AnalysisException:
-        return None
-
-
 class VersionedTable:
-    """A table whose versions are complete folders; the newest listed version is the current one."""
+    """A table made of part folders and a small log of them.
+
+    Every change writes one new part folder completely and only then lists it in the log, so a failed job leaves
+    the table as it was. An append adds a part and touches no older one; a replacement starts a new list.
+    """
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder
 
+    def _log(self) -> list[tuple[int, bool]]:
+        """(part, starts a new list) per change; one entry per change ever made, not per row."""
+        try:
+            rows = self.spark.read.parquet(f"{self.folder}/log").select("part", "fresh").collect()
+        except AnalysisException:
+            return []
+        return sorted((r.part, r.fresh) for r in rows)
+
     def version(self) -> int:
-        listed = _read(self.spark, f"{self.folder}/versions")
-        if listed is None:
-            return 0
-        return listed.agg(F.coalesce(F.max("version"), F.lit(0)).alias("v")).first()["v"]
+        return max((part for part, _ in self._log()), default=0)
 
     def read(self) -> DataFrame | None:
-        version = self.version()
-        return None if version == 0 else self.spark.read.parquet(f"{self.folder}/v{version}")
+        log = self._log()
+        if not log:
+            return None
+        first = max(part for part, fresh in log if fresh)
+        parts = [f"{self.folder}/part-{part}" for part, _ in log if part >= first]
+        return self.spark.read.option("mergeSchema", len(parts) > 1).parquet(*parts)
+
+    def _write(self, df: DataFrame, fresh: bool) -> int:
+        part = self.version() + 1
+        df.write.mode("overwrite").parquet(f"{self.folder}/part-{part}")
+        entry = self.spark.range(1).select(
+            F.lit(part).alias("part"), F.lit(fresh).alias("fresh"), F.current_timestamp().alias("written_at")
+        )
+        entry.write.mode("append").parquet(f"{self.folder}/log")
+        return part
 
     def replace(self, df: DataFrame) -> int:
-        version = self.version() + 1
-        df.write.mode("overwrite").parquet(f"{self.folder}/v{version}")
-        mark = self.spark.range(1).select(F.lit(version).alias("version"), F.current_timestamp().alias("written_at"))
-        mark.write.mode("append").parquet(f"{self.folder}/versions")
-        return version
+        return self._write(df, fresh=True)
 
     def append(self, df: DataFrame) -> int:
-        """Old and new rows by column name; a column one side lacks is null there."""
-        current = self.read()
-        return self.replace(df if current is None else current.unionByName(df, allowMissingColumns=True))
+        """Add rows by column name; a column one side lacks is null there."""
+        return self._write(df, fresh=not self._log())
 
     def upsert(self, df: DataFrame, keys: list[str]) -> int:
         """Rows of `df` replace rows of the same key."""
