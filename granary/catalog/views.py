@@ -35,37 +35,31 @@ class Star:
             "p_partkey", F.expr("cast(substr(p_brand, 7) as bigint)").alias("brand_id")
         )
 
-    @cached_property
-    def shipped(self) -> DataFrame:
-        """Quantity per (part, supplier, day): collapses a hot part before it meets any join."""
-        return (
-            self.table("lineitem")
-            .groupBy("l_partkey", "l_suppkey", F.to_date("l_shipdate").alias("date"))
-            .agg(F.sum("l_quantity").alias("qty"))
-        )
-
     @cached_property
     def part_daily(self) -> DataFrame:
         """Demand per (part, region, day)."""
         return (
-            self.shipped.join(self.supplier_region, F.col("l_suppkey") == F.col("supplier_id"))
-            .groupBy(F.col("l_partkey").alias("item_id"), "location_id", "date")
-            .agg(F.sum("qty").alias("demand_qty"))
+            self.table("lineitem")
+            .join(self.supplier_region, F.col("l_suppkey") == F.col("supplier_id"))
+            .groupBy(F.col("l_partkey").alias("item_id"), "location_id", F.to_date("l_shipdate").alias("date"))
+            .agg(F.sum("l_quantity").alias("demand_qty"))
         )
 
     @cached_property
     def demand_daily(self) -> DataFrame:
-        """Demand per (brand, region, day)."""
+        """Demand per (brand, region, day). Lines are summed map-side before the one grouping shuffle."""
         return (
-            self.part_daily.join(self.brands, F.col("item_id") == F.col("p_partkey"))
-            .groupBy(F.col("brand_id").alias("item_id"), "location_id", "date")
-            .agg(F.sum("demand_qty").alias("demand_qty"))
+            self.table("lineitem")
+            .join(self.supplier_region, F.col("l_suppkey") == F.col("supplier_id"))
+            .join(self.brands, F.col("l_partkey") == F.col("p_partkey"))
+            .groupBy(F.col("brand_id").alias("item_id"), "location_id", F.to_date("l_shipdate").alias("date"))
+            .agg(F.sum("l_quantity").alias("demand_qty"))
         )
 
     @cached_property
     def demand_panel(self) -> DataFrame:
         """`demand_daily` with every calendar day, zero where nothing was sold."""
-        return fill_calendar(self.demand_daily, SERIES).fillna(0.0, ["demand_qty"])
+        return fill_calendar(self.demand_daily, SERIES, unique=True).fillna(0.0, ["demand_qty"])
 
     @cached_property
     def demand_monthly(self) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from granary.operators.aggregates import decompose
+from granary.operators.scale import spread
 
 SERIES = ["item_id", "location_id"]
 METHODS = ("croston", "sba", "sba_m", "sba_variance", "tsb", "tsb_simple")
@@ -26,7 +27,8 @@ def _clip(x: Column, low: float, high: float) -> Column:
 def _demand_lists(df: DataFrame, keys: list[str], value: str, date: str) -> DataFrame:
     """Per series: the ordered non-zero demands with the gap that follows each, all values, and their statistics."""
     line = Window.partitionBy(*keys).orderBy(date)
-    placed = df.select(*keys, F.col(value).cast("double").alias("y"), (F.row_number().over(line) - 1).alias("pos"))
+    placed = spread(df.select(*keys, date, F.col(value).cast("double").alias("y")), *keys)
+    placed = placed.select(*keys, "y", (F.row_number().over(line) - 1).alias("pos"))
     placed = placed.withColumn("demand", F.col("y") > 0)
     # The gap after the i-th demand is the i-th interval; the last demand has none.
     demands = Window.partitionBy(*keys, "demand").orderBy("pos")
@@ -113,7 +115,11 @@ def fit(
     )
     folded = weighted.withColumn("_s", F.aggregate(rest, start, step))
     level, interval, trend = (F.col(f"_s.{c}") for c in ("level", "interval", "trend"))
-    gamma = {"sba": (2 - F.col("alpha")) / (2 * (1 - F.col("alpha"))), "sba_m": (1 - F.col("alpha")) / 2}.get(method)
+    below_one = lambda value, limit: F.when(F.col("alpha") < 1, value).otherwise(limit)
+    gamma = {
+        "sba": below_one((2 - F.col("alpha")) / (2 * (1 - F.col("alpha"))), 1.0),
+        "sba_m": below_one((1 - F.col("alpha")) / 2, 0.5),
+    }.get(method)
     divisor = interval if gamma is None else F.greatest(interval - gamma, F.lit(0.5))
     base = level / (F.when(enough, divisor).otherwise(interval) + _EPS)
     squares = F.aggregate(
@@ -153,7 +159,7 @@ def unit_root(df: DataFrame, keys: list[str] = SERIES, value: str = "demand_qty"
     y, x = F.col("d"), F.col("x")
     slope, sxx = F.regr_slope(y, x), F.regr_sxx(y, x)
     sse = F.regr_syy(y, x) - slope * F.regr_sxy(y, x)
-    t = slope / F.sqrt(sse / (F.count(y) - 2) / sxx)
+    t = F.try_divide(slope, F.sqrt(F.try_divide(F.try_divide(sse, F.count(y) - 2), sxx)))
     tested = steps.groupBy(*keys).agg(t.alias("t_statistic"), F.count(F.lit(1)).alias("n"))
     return tested.withColumn("non_stationary", F.coalesce(F.col("t_statistic") > critical, F.lit(False)))
 

@@ -258,12 +258,13 @@ def reconcile(
     """Scale item forecasts so that they add up to their category's forecast.
 
     Categories can be huge, so their totals are a map-side combined aggregate joined back, not a window.
-    Where the items of a category sum to zero at every step, they stay as they are.
+    Where the items of a category sum to zero, they stay as they are.
     """
     totals = forecasts.groupBy("category", step).agg(F.sum("yhat").alias("_total"))
     alive = totals.groupBy("category").agg(F.max(F.col("_total") != 0).alias("_alive"))
     factors = totals.join(category_forecasts, ["category", step]).join(alive, "category")
-    factor = F.when(~F.col("_alive"), 1.0).otherwise(F.col("category_yhat") / F.col("_total"))
+    still = ~F.col("_alive") | (F.col("_total") == 0)
+    factor = F.when(still, 1.0).otherwise(F.col("category_yhat") / F.col("_total"))
     rows = forecasts.join(factors.select("category", step, factor.alias("factor")), ["category", step])
     return rows.select(item, "category", step, (F.col("yhat") * F.col("factor")).alias("yhat"), "factor")
 

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from granary.models import intermittent
+from granary.operators.scale import spread
 from granary.session import cut_lineage
 
 SERIES = ["item_id", "location_id"]
@@ -53,7 +54,7 @@ def per_series(name: str, fit: Callable[[np.ndarray, int], tuple[float, np.ndarr
             row = {k: pdf[k].iloc[0] for k in keys}
             return pd.DataFrame([{**row, "model": name, "rmse": rmse, "forecast": list(map(float, ahead)), "error": error}])
 
-        return panel.select(*keys, "date", "demand_qty").groupBy(*keys).applyInPandas(one, schema)
+        return spread(panel.select(*keys, "date", "demand_qty"), *keys).groupBy(*keys).applyInPandas(one, schema)
 
     return run
 
@@ -135,7 +136,7 @@ def holt_fit(panel: DataFrame, keys: list[str] = SERIES, value: str = "demand_qt
     One fold per grid point over the series' value array; the smallest (sse, alpha, beta) wins.
     """
     y = F.col(value).cast("double")
-    arrays = panel.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(F.col(date), y.alias("y")))).alias("_p"))
+    arrays = spread(panel.select(*keys, date, value), *keys).groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(F.col(date), y.alias("y")))).alias("_p"))
     arrays = arrays.select(*keys, F.col("_p.y").alias("_y"))
 
     def run(alpha: Column, beta: Column) -> Column:
@@ -285,4 +286,4 @@ def arima_fitted(panel: DataFrame, keys: list[str] = SERIES) -> DataFrame:
             yhat = np.full(len(y), y[0])
         return pd.DataFrame({**{k: pdf[k] for k in keys}, "date": pdf["date"], "actual": y, "yhat": yhat})
 
-    return panel.select(*keys, "date", "demand_qty").groupBy(*keys).applyInPandas(one, schema)
+    return spread(panel.select(*keys, "date", "demand_qty"), *keys).groupBy(*keys).applyInPandas(one, schema)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from granary.operators.scale import exact_quantiles, one_row, with_row
@@ -68,11 +68,22 @@ def clean_feed(df: DataFrame, feed: str) -> DataFrame:
     return out.orderBy("date") if dated and "date" in out.columns else out
 
 
-def fill_calendar(df: DataFrame, keys: list[str], date: str = "date") -> DataFrame:
+def fill_calendar(df: DataFrame, keys: list[str], date: str = "date", unique: bool = False) -> DataFrame:
     """Add the missing days between a key's first and last day, with null measures.
 
-    A key that repeats a day is left as it is.
+    A key that repeats a day is left as it is. With `unique` the caller states that no key does, as after grouping
+    by (keys, date): then every row unfolds into the days up to the next one, in a single shuffle by `keys`.
     """
+    if unique:
+        following = F.lead(date).over(Window.partitionBy(*keys).orderBy(date))
+        until = F.coalesce(F.date_sub(following, 1), F.col(date))
+        days = F.sequence(F.col(date), F.col("_until"), F.expr("interval 1 day"))
+        unfolded = df.withColumn("_until", until).select("*", F.explode(days).alias("_day"))
+        measures = [c for c in df.columns if c not in (*keys, date)]
+        own = F.col("_day") == F.col(date)
+        return unfolded.select(
+            *keys, F.col("_day").alias(date), *[F.when(own, F.col(c)).alias(c) for c in measures]
+        ).select(*df.columns)
     per_day = df.groupBy(*keys, date).agg(F.count(F.lit(1)).alias("_n"))
     spans = per_day.groupBy(*keys).agg(
         F.min(date).alias("_from"), F.max(date).alias("_to"), (F.max("_n") > 1).alias("_repeats")

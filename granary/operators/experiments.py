@@ -8,12 +8,13 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from granary.functions.scalars import normal_cdf
 from granary.operators.aggregates import variant_stats
 from granary.operators.joins import variant_pairs
 from granary.operators.operations import hash_fraction
-from granary.operators.scale import value_counts
+from granary.operators.scale import spread, value_counts
 
 
 def assign_uniform(unit: Column, variants: list[str]) -> Column:
@@ -139,12 +140,12 @@ def student_quantile(p: np.ndarray, df: np.ndarray) -> np.ndarray:
     return (low + high) / 2
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def _tail_udf(t: pd.Series, df: pd.Series) -> pd.Series:
     return pd.Series(student_tail(t.to_numpy(), df.to_numpy()))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def _quantile_udf(p: pd.Series, df: pd.Series) -> pd.Series:
     return pd.Series(student_quantile(p.to_numpy(), df.to_numpy()))
 
@@ -160,14 +161,19 @@ def t_statistics(observations: DataFrame, keys: tuple[str, ...] = ("metric",), p
     na, nb = F.col("n_a"), F.col("n_b")
     va, vb = F.col("std_a") * F.col("std_a"), F.col("std_b") * F.col("std_b")
     gap = F.col("mean_a") - F.col("mean_b")
-    common = F.sqrt(((na - 1) * va + (nb - 1) * vb) / (na + nb - 2))
+    # Groups of one row or without any spread have no statistic: null instead of a division error.
+    free = na + nb - 2
+    common = F.sqrt(F.try_divide((na - 1) * va + (nb - 1) * vb, free))
     if pooled:
-        t, df, d = gap / (common * F.sqrt(1 / na + 1 / nb)), (na + nb - 2).cast("double"), gap / common
+        t = F.try_divide(gap, common * F.sqrt(1 / na + 1 / nb))
+        df, d = free.cast("double"), F.try_divide(gap, common)
     else:
         sa, sb = va / na, vb / nb
-        t = gap / F.sqrt(sa + sb)
-        df = (sa + sb) * (sa + sb) / (sa * sa / (na - 1) + sb * sb / (nb - 1))
-        d = gap / F.sqrt(((na - 1) * F.col("var_pop_a") + (nb - 1) * F.col("var_pop_b")) / (na + nb - 2))
+        t = F.try_divide(gap, F.sqrt(sa + sb))
+        inner = F.try_divide(sa * sa, na - 1) + F.try_divide(sb * sb, nb - 1)
+        df = F.try_divide((sa + sb) * (sa + sb), inner)
+        within = (na - 1) * F.col("var_pop_a") + (nb - 1) * F.col("var_pop_b")
+        d = F.try_divide(gap, F.sqrt(F.try_divide(within, free)))
     return pairs.select(
         "variant_a", "variant_b", *keys, "n_a", "n_b", "mean_a", "mean_b", "std_a", "std_b",
         t.alias("t_statistic"), df.alias("degrees"), d.alias("cohens_d"),
@@ -203,14 +209,14 @@ def chi_square(successes: DataFrame, keys: list[str]) -> DataFrame:
     """Yates-corrected chi-square of two proportions for every pair of variants (variant, successes, total)."""
     pairs = variant_pairs(successes.select("variant", *keys, "successes", "total"), keys)
     sa, sb, ta, tb = (F.col(c).cast("double") for c in ("successes_a", "successes_b", "total_a", "total_b"))
-    rate = (sa + sb) / (ta + tb)
+    rate = F.try_divide(sa + sb, ta + tb)
     expected = {"expected_success_a": ta * rate, "expected_success_b": tb * rate}
     cells = [(sa, ta * rate), (sb, tb * rate), (ta - sa, ta * (1 - rate)), (tb - sb, tb * (1 - rate))]
 
     def term(observed: Column, wanted: Column) -> Column:
         gap = F.abs(observed - wanted)
         reduced = gap - F.least(F.lit(0.5), gap)
-        return reduced * reduced / wanted
+        return F.try_divide(reduced * reduced, wanted)
 
     statistic = sum((term(o, e) for o, e in cells[1:]), term(*cells[0]))
     tested = pairs.withColumns(expected).withColumn("chi2_statistic", statistic)
@@ -247,8 +253,8 @@ def bootstrap_means(
                 out[k] = v
             yield out[[*keys, "replicate", "total", "weight"]]
 
-    partial = counts.mapInPandas(draw, schema)
-    return partial.groupBy(*keys, "replicate").agg((F.sum("total") / F.sum("weight")).alias("mean"))
+    partial = spread(counts, *keys, "value").mapInPandas(draw, schema)
+    return partial.groupBy(*keys, "replicate").agg(F.try_divide(F.sum("total"), F.sum("weight")).alias("mean"))
 
 
 def bootstrap_test(

@@ -46,7 +46,7 @@ def permutation_importance(
 
     scored = model.transform(spread.mapInPandas(shuffled, schema))
     gap = F.col(target) - F.col("yhat")
-    quality = 1 - F.sum(gap * gap) / (F.var_pop(target) * F.count(F.lit(1)))
+    quality = 1 - F.try_divide(F.sum(gap * gap), F.var_pop(target) * F.count(F.lit(1)))
     per_shuffle = scored.groupBy("feature", "repeat").agg(quality.alias("r2"))
     known = with_row(per_shuffle.where("feature != ''"), per_shuffle.where("feature = ''").select("r2"), "_plain")
     drop = F.col("_plain.r2") - F.col("r2")

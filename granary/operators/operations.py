@@ -57,12 +57,14 @@ def detect_drift(
         F.sum(F.when(is_current, 1).otherwise(0)).alias("_nc"),
     )
     ranked = running_totals(counts, keys, [F.col("_v")], {"b": F.col("_nb"), "c": F.col("_nc")})
-    gap = F.abs(F.col("b") / F.col("b_all") - F.col("c") / F.col("c_all"))
+    # A group may lack one of the samples; its share is then null and the size test below decides.
+    gap = F.abs(F.try_divide("b", "b_all") - F.try_divide("c", "c_all"))
     tested = ranked.groupBy(*keys).agg(
         F.max("b_all").alias("n_baseline"), F.max("c_all").alias("n_current"), F.max(gap).alias("_d")
     )
     enough = (F.col("n_baseline") >= min_size) & (F.col("n_current") >= min_size)
-    scaled = F.col("_d") * F.sqrt(F.col("n_baseline") * F.col("n_current") / (F.col("n_baseline") + F.col("n_current")))
+    both = F.col("n_baseline") + F.col("n_current")
+    scaled = F.col("_d") * F.sqrt(F.try_divide(F.col("n_baseline") * F.col("n_current"), both))
     judged = tested.withColumn("_p", F.when(enough, kolmogorov_tail(scaled)).otherwise(1.0)).withColumn(
         "_d", F.when(enough, F.col("_d")).otherwise(0.0)
     )

@@ -129,5 +129,5 @@ def quality_metrics(df: DataFrame, table: str) -> DataFrame:
         "missing_values",
         "duplicate_rows",
         "c.column",
-        (F.col("c.missing") / F.col("total_rows")).alias("missing_ratio"),
+        F.try_divide("c.missing", "total_rows").alias("missing_ratio"),
     )

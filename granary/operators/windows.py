@@ -16,13 +16,7 @@ from granary.operators.scale import numbered, running_totals, with_row
 SERIES = ["item_id", "location_id"]
 LAGS = (1, 3, 7, 14, 30)
 WINDOWS = (7, 14, 30, 60)
-STATISTICS = {
-    "mean": F.avg,
-    "median": lambda c: F.percentile(c, 0.5),
-    "std": F.stddev_samp,
-    "min": F.min,
-    "max": F.max,
-}
+STATISTICS = {"mean": F.avg, "median": None, "std": F.stddev_samp, "min": F.min, "max": F.max}
 
 
 def _line(keys: list[str], date: str):
@@ -48,17 +42,33 @@ def rolling_features(
     date: str = "date",
     complete: bool = True,
 ) -> DataFrame:
-    """`<column>_roll_<w>_<statistic>`, null until the window is full; `complete` drops those rows."""
+    """`<column>_roll_<w>_<statistic>`, null until the window holds w values; `complete` drops those rows.
+
+    Medians of all windows come from one list of the longest window per row: its last w values, sorted.
+    """
     line = _line(keys, date)
+    frame = lambda w: line.rowsBetween(1 - w, 0)
     row = F.row_number().over(line)
+    lists = [F.collect_list(F.col(c)).over(frame(max(windows))).alias(f"_last_{c}") for c in columns]
+    counts = [F.count(c).over(frame(w)).alias(f"_n_{c}_{w}") for c in columns for w in windows]
+    plain = [
+        STATISTICS[s](F.col(c)).over(frame(w)).alias(f"_{s}_{c}_{w}")
+        for c in columns for w in windows for s in statistics if s != "median"
+    ]
+    framed = df.select("*", *(lists if "median" in statistics else []), *counts, *plain, row.alias("_row"))
+
+    def median(c: str, w: int) -> Column:
+        values = F.sort_array(F.slice(f"_last_{c}", -w, w))
+        return (F.get(values, F.lit((w - 1) // 2)) + F.get(values, F.lit(w // 2))) / 2
+
     made = [
-        F.when(row >= w, STATISTICS[s](F.col(c)).over(line.rowsBetween(1 - w, 0))).alias(f"{c}_roll_{w}_{s}")
-        for c in columns
-        for w in windows
-        for s in statistics
+        F.when(F.col(f"_n_{c}_{w}") == w, median(c, w) if s == "median" else F.col(f"_{s}_{c}_{w}")).alias(
+            f"{c}_roll_{w}_{s}"
+        )
+        for c in columns for w in windows for s in statistics
     ]
-    out = df.select("*", *made, row.alias("_row"))
-    return (out.where(F.col("_row") >= max(windows)) if complete else out).drop("_row")
+    kept = framed.where(F.col("_row") >= max(windows)) if complete else framed
+    return kept.select(*df.columns, *made)
 
 
 def rolling_trend(

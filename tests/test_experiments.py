@@ -63,3 +63,10 @@ def test_bootstrap_covers_the_difference(two_groups):
     assert again.ci_low == pytest.approx(row.ci_low)
     spread = np.sqrt(sum(np.var([v for g, _, v in rows if g == x]) / sum(g == x for g, _, _ in rows) for x in "ab"))
     assert (row.ci_high - row.ci_low) / 2 == pytest.approx(1.96 * spread, rel=0.2)
+
+
+def test_groups_without_spread_have_no_statistic(spark):
+    rows = [("a", "m", 1.0), ("a", "m", 1.0), ("b", "m", 2.0)]
+    df = spark.createDataFrame(rows, "variant string, metric string, value double")
+    assert X.t_statistics(df).first().t_statistic is None
+    assert X.t_statistics(df, pooled=True).first().cohens_d is None
