@@ -52,7 +52,8 @@ def main() -> None:
     )
     spark.sparkContext.setLogLevel("ERROR")
     registered = catalog.queries()
-    spark.read.parquet(f"{folder}/region.parquet").count()  # start the executor threads before the clock runs
+    warm = spark.read.parquet(f"{folder}/nation.parquet")  # load classes and start tasks before the clock runs
+    warm.join(warm.groupBy("n_regionkey").count(), "n_regionkey").orderBy("n_name").collect()
     seconds = {}
     for name in only:
         start = time.time()

@@ -25,6 +25,7 @@ _GROUPS = (
     "replenishment",
     "explanation",
     "streams",
+    "extensions",
 )
 
 

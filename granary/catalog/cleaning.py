@@ -152,7 +152,7 @@ def p7(t):
     ("demand_daily",),
 )
 def p8(t):
-    return C.fill_calendar(t.demand_daily, SERIES)
+    return C.fill_calendar(t.demand_daily, SERIES, unique=True)
 
 
 @query(

@@ -95,6 +95,10 @@ def register_metric(name: str, measure: Column) -> None:
 
 
 def _register_standard_metrics() -> None:
+    """Fill in the standard measures; a name registered by the user keeps the user's measure."""
+    if "mae" in METRICS and "smape" in METRICS:
+        return
+    mine = dict(METRICS)
     a, p = F.col("actual"), F.col("yhat")
     error = F.abs(a - p)
     register_metric("mae", F.avg(error))
@@ -103,12 +107,12 @@ def _register_standard_metrics() -> None:
     register_metric("mape", _mean_if(a != 0, error / F.abs(a)) * 100)
     both = F.abs(a) + F.abs(p)
     register_metric("smape", 2 * _mean_if(both != 0, error / both) * 100)
+    METRICS.update(mine)
 
 
 def measure_forecasts(df: DataFrame, keys: list[str], metrics: list[str]) -> DataFrame:
     """The named measures per group."""
-    if not METRICS:
-        _register_standard_metrics()
+    _register_standard_metrics()
     return df.groupBy(*keys).agg(*[METRICS[m].alias(m) for m in metrics])
 
 
@@ -121,8 +125,7 @@ def pad_forecast(actual: DataFrame, forecast: DataFrame, keys: list[str], date:
 
 def evaluate(df: DataFrame, keys: list[str], date: str = "date", tolerance: float = 0.1) -> DataFrame:
     """All evaluation measures per group (series and model) in one shuffle."""
-    if not METRICS:
-        _register_standard_metrics()
+    _register_standard_metrics()
     line = Window.partitionBy(*keys).orderBy(date)
     a, p = F.col("actual"), F.col("yhat")
     steps = df.select(

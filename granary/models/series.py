@@ -239,12 +239,12 @@ def fit_candidates(panel: DataFrame, models: list[str], steps: int, keys: list[s
 def choose(candidates: DataFrame, allowed: DataFrame | None = None, keys: list[str] = SERIES) -> DataFrame:
     """Candidate with the least rmse per series, ties by name. `allowed` (keys, models array) restricts the choice;
     a series none of whose models is left falls back to the linear model."""
-    usable = candidates.where(F.col("error").isNull() & ~F.isnan("rmse") & (F.col("rmse") < float("inf")))
+    usable = F.col("error").isNull() & ~F.isnan("rmse") & (F.col("rmse") < float("inf"))
     if allowed is not None:
-        usable = usable.join(allowed.select(*keys, "models"), keys).where(F.expr("array_contains(models, model)"))
-    best = usable.groupBy(*keys).agg(F.min(F.struct("rmse", "model")).alias("_b"))
-    every = candidates.select(*keys).distinct()
-    return every.join(best, keys, "left").select(
+        candidates = candidates.join(allowed.select(*keys, "models"), keys, "left")
+        usable = usable & F.coalesce(F.expr("array_contains(models, model)"), F.lit(False))
+    best = F.min(F.when(usable, F.struct("rmse", "model")))
+    return candidates.groupBy(*keys).agg(best.alias("_b")).select(
         *keys, F.coalesce("_b.model", F.lit("linear_regression")).alias("model"), F.col("_b.rmse").alias("rmse")
     )
 

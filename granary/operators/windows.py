@@ -44,30 +44,58 @@ def rolling_features(
 ) -> DataFrame:
     """`<column>_roll_<w>_<statistic>`, null until the window holds w values; `complete` drops those rows.
 
-    Medians of all windows come from one list of the longest window per row: its last w values, sorted.
+    Counts and sums of a window are differences of running totals, whatever its length. With medians wanted, one
+    list of the longest window per row serves median, minimum and maximum of every window: its last w values,
+    sorted. Deviations then come from running sums of squares around the series mean, and are exactly 0 where the
+    window's extremes agree.
     """
-    line = _line(keys, date)
+    line, series = _line(keys, date), Window.partitionBy(*keys)
     frame = lambda w: line.rowsBetween(1 - w, 0)
-    row = F.row_number().over(line)
-    lists = [F.collect_list(F.col(c)).over(frame(max(windows))).alias(f"_last_{c}") for c in columns]
-    counts = [F.count(c).over(frame(w)).alias(f"_n_{c}_{w}") for c in columns for w in windows]
-    plain = [
-        STATISTICS[s](F.col(c)).over(frame(w)).alias(f"_{s}_{c}_{w}")
-        for c in columns for w in windows for s in statistics if s != "median"
-    ]
-    framed = df.select("*", *(lists if "median" in statistics else []), *counts, *plain, row.alias("_row"))
+    so_far = line.rowsBetween(Window.unboundedPreceding, 0)
+    from_list = {"median", "min", "max"} & set(statistics) if "median" in statistics else set()
+    from_sums = {"mean", "std"} & set(statistics) if from_list else {"mean"} & set(statistics)
+    from_frames = [s for s in statistics if s not in from_list | from_sums]
+
+    centred = df.select("*", *[F.avg(c).over(series).alias(f"_mid_{c}") for c in columns]).withColumns(
+        {f"_dev_{c}": F.coalesce(F.col(c) - F.col(f"_mid_{c}"), F.lit(0.0)) for c in columns}
+    )
+    running = centred.select(
+        "*",
+        F.row_number().over(line).alias("_row"),
+        *[F.count(c).over(so_far).alias(f"_upto_{c}") for c in columns],
+        *[F.sum(f"_dev_{c}").over(so_far).alias(f"_sum_{c}") for c in columns],
+        *[F.sum(F.col(f"_dev_{c}") * F.col(f"_dev_{c}")).over(so_far).alias(f"_sq_{c}") for c in columns],
+        *[F.collect_list(F.col(c)).over(frame(max(windows))).alias(f"_last_{c}") for c in columns if from_list],
+        *[STATISTICS[s](F.col(c)).over(frame(w)).alias(f"_{s}_{c}_{w}") for c in columns for w in windows for s in from_frames],
+    )
+    within = lambda total, w: F.col(total) - F.coalesce(F.lag(total, w).over(line), F.lit(0))
+    parts = {"n": "_upto", "s": "_sum", "q": "_sq"}
+    windowed = running.select(
+        "*",
+        *[within(f"{total}_{c}", w).alias(f"_{p}_{c}_{w}") for p, total in parts.items() for c in columns for w in windows],
+    )
+    kept = windowed.where(F.col("_row") >= max(windows)) if complete else windowed
+    if from_list:
+        kept = kept.select(
+            "*", *[F.sort_array(F.slice(f"_last_{c}", -w, w)).alias(f"_l_{c}_{w}") for c in columns for w in windows]
+        )
 
-    def median(c: str, w: int) -> Column:
-        values = F.sort_array(F.slice(f"_last_{c}", -w, w))
-        return (F.get(values, F.lit((w - 1) // 2)) + F.get(values, F.lit(w // 2))) / 2
+    def statistic(s: str, c: str, w: int) -> Column:
+        at = lambda i: F.get(F.col(f"_l_{c}_{w}"), F.lit(i))
+        total, squares = F.col(f"_s_{c}_{w}"), F.col(f"_q_{c}_{w}")
+        if s in from_frames:
+            return F.col(f"_{s}_{c}_{w}")
+        if s == "mean":
+            return F.col(f"_mid_{c}") + total / w
+        if s == "std":
+            spread = F.sqrt(F.greatest(F.lit(0.0), squares - total * total / w) / max(w - 1, 1))
+            return F.when(at(0) == at(w - 1), F.lit(0.0) if w > 1 else F.lit(None)).otherwise(spread)
+        return {"min": at(0), "max": at(w - 1), "median": (at((w - 1) // 2) + at(w // 2)) / 2}[s]
 
     made = [
-        F.when(F.col(f"_n_{c}_{w}") == w, median(c, w) if s == "median" else F.col(f"_{s}_{c}_{w}")).alias(
-            f"{c}_roll_{w}_{s}"
-        )
+        F.when(F.col(f"_n_{c}_{w}") == w, statistic(s, c, w)).alias(f"{c}_roll_{w}_{s}")
         for c in columns for w in windows for s in statistics
     ]
-    kept = framed.where(F.col("_row") >= max(windows)) if complete else framed
     return kept.select(*df.columns, *made)
 
 

@@ -55,3 +55,29 @@ def test_filter_reaches_the_scan(spark, tmp_path):
     spark.range(10).select(F.col("id").alias("item_id"), F.lit("x").alias("status"), F.current_date().alias("date")).write.parquet(path)
     out = C.for_product(spark.read.parquet(path), None, "date", status="X").select("item_id", "date")
     assert "PushedFilters: [" in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_rolling_windows_need_every_value(spark):
+    import numpy as np
+    import pandas as pd
+
+    from granary.operators.windows import rolling_features
+
+    values = [3.0, 1.0, None, 4.0, 8.0, 2.0, 6.0, None, 5.0, 9.0, 7.0, 1.0]
+    df = spark.createDataFrame([("a", day(i), v) for i, v in enumerate(values)], "k string, date date, q double")
+    series = pd.Series(values, dtype=float)
+    for statistics in (("mean", "median", "std", "min", "max"), ("mean", "std", "min", "max")):
+        got = rolling_features(df, ["q"], (2, 3), statistics, ["k"], complete=False).orderBy("date").toPandas()
+        for w in (2, 3):
+            for s in statistics:
+                want = series.rolling(w).agg(s)
+                assert np.allclose(got[f"q_roll_{w}_{s}"].astype(float), want, equal_nan=True), (w, s)
+
+
+def test_both_ways_of_filling_a_calendar_agree(spark):
+    rows = [("a", day(0), 1.0), ("a", day(3), None), ("a", day(9), 2.0), ("b", day(4), 1.0)]
+    df = spark.createDataFrame(rows, "k string, date date, q double")
+    key = lambda r: (r.k, r.date)
+    one = sorted(C.fill_calendar(df, ["k"]).collect(), key=key)
+    two = sorted(C.fill_calendar(df, ["k"], unique=True).collect(), key=key)
+    assert one == two and len(one) == 11
