@@ -197,7 +197,7 @@ _MODELS = ["last", "mean3", "year_ago"]
 _PERFORMANCE = """
     pf AS (SELECT item_id, location_id, model, 1 / (sqrt(avg(pow(actual - yhat, 2))) + 1e-6::DOUBLE) AS inv
            FROM backtests GROUP BY ALL),
-    dv AS (SELECT item_id, location_id, avg(1 - c) AS div
+    dv AS (SELECT item_id, location_id, coalesce(avg(1 - c) FILTER (NOT isnan(c)), 0) AS div
            FROM (SELECT a.item_id, a.location_id, a.model AS m1, b.model AS m2, corr(a.yhat, b.yhat) AS c
                  FROM backtests a JOIN backtests b ON a.item_id = b.item_id AND a.location_id = b.location_id
                       AND a.date = b.date AND a.model < b.model GROUP BY ALL) GROUP BY ALL),
@@ -228,8 +228,9 @@ def m11_forecast(t):
 
 @query(
     "m11_weights_after_updates",
-    """WITH h AS (SELECT item_id, model, year(date) - 1996 AS u, 1 / (sqrt(avg(pow(actual - yhat, 2))) + 1e-6::DOUBLE) AS p
-                  FROM backtests GROUP BY ALL),
+    """WITH h AS (SELECT item_id, model, dense_rank() OVER (PARTITION BY item_id ORDER BY y) - 1 AS u, p
+                  FROM (SELECT item_id, model, year(date) AS y, 1 / (sqrt(avg(pow(actual - yhat, 2))) + 1e-6::DOUBLE) AS p
+                        FROM backtests GROUP BY ALL)),
        d AS (SELECT a.item_id, a.model, a.u, sum(b.p * pow(0.9::DOUBLE, a.u - b.u)) AS p
              FROM h a JOIN h b ON a.item_id = b.item_id AND a.model = b.model AND b.u <= a.u GROUP BY ALL),
        n AS (SELECT *, p / sum(p) OVER (PARTITION BY item_id, u) AS w, max(u) OVER (PARTITION BY item_id) AS last FROM d)
@@ -382,13 +383,15 @@ _EVALUATED = """
            FROM backtests WINDOW w AS (PARTITION BY item_id, location_id, model ORDER BY date)),
     ev AS (SELECT item_id, location_id, model, avg(abs(actual - yhat)) AS mae, avg(pow(actual - yhat, 2)) AS mse,
                   sqrt(avg(pow(actual - yhat, 2))) AS rmse,
-                  1 - sum(pow(actual - yhat, 2)) / (var_pop(actual) * count(*)) AS r2,
+                  CASE WHEN var_pop(actual) = 0 THEN CASE WHEN sum(pow(actual - yhat, 2)) = 0 THEN 1 ELSE 0 END
+                       ELSE 1 - sum(pow(actual - yhat, 2)) / (var_pop(actual) * count(*)) END AS r2,
                   avg(abs(actual - yhat) / abs(actual)) FILTER (actual <> 0) * 100 AS mape,
                   2 * avg(abs(actual - yhat) / (abs(actual) + abs(yhat))) FILTER (abs(actual) + abs(yhat) <> 0) * 100 AS smape,
-                  avg(abs(actual - yhat)) / avg(abs(actual - pa)) AS mase,
+                  CASE WHEN coalesce(avg(abs(actual - pa)), 0) = 0 THEN 0
+                       ELSE avg(abs(actual - yhat)) / avg(abs(actual - pa)) END AS mase,
                   avg(CASE WHEN abs((actual - yhat) / (actual + 1e-8::DOUBLE)) <= 0.1 THEN 1.0::DOUBLE ELSE 0 END) * 100
                       AS accuracy_10,
-                  avg(CASE WHEN (actual > pa) = (yhat > pp) THEN 1.0::DOUBLE ELSE 0 END) FILTER (pa IS NOT NULL) * 100
+                  coalesce(avg(CASE WHEN (actual > pa) = (yhat > pp) THEN 1.0::DOUBLE ELSE 0 END) FILTER (pa IS NOT NULL), 0) * 100
                       AS direction_accuracy
            FROM st GROUP BY ALL)"""
 _MEASURES = ["mae", "mse", "rmse", "r2", "mape", "smape", "mase", "accuracy_10", "direction_accuracy"]

@@ -71,7 +71,7 @@ def w3(t):
     "SELECT item_id, location_id, date, demand_qty, "
     + ", ".join(
         f"CASE WHEN n >= {w} THEN round(regr_slope(y, n) OVER ({LINE} ROWS BETWEEN {w - 1} PRECEDING AND CURRENT ROW), 5)"
-        f" END AS trend_{w}d"
+        f" + 0.0 END AS trend_{w}d"
         for w in (7, 14, 30)
     )
     + f""" FROM (SELECT *, CAST(dayofyear(date) AS DOUBLE) AS y, CAST(row_number() OVER ({LINE}) AS DOUBLE) AS n

@@ -190,14 +190,17 @@ def combine(forecasts: DataFrame, weights: DataFrame, keys: list[str], on: list[
 def adjusted_performance(
     backtests: DataFrame, models: list[str], keys: list[str] = SERIES, date: str = "date", diversity_weight: float = 0.1
 ) -> DataFrame:
-    """Inverse rmse blended with the models' diversity (mean of one minus their pairwise correlation).
+    """Inverse rmse blended with the models' diversity: the mean of one minus their defined pairwise correlations.
 
     The models become columns first, so pairs are column pairs and rows are never multiplied.
     """
     at = lambda m: F.max(F.when(F.col("model") == m, F.col("yhat")))
     wide = backtests.groupBy(*keys, date).agg(F.max("actual").alias("actual"), *[at(m).alias(m) for m in models])
     pairs = [(a, b) for i, a in enumerate(models) for b in models[i + 1 :]]
-    diversity = sum((1 - F.corr(a, b) for a, b in pairs), F.lit(0.0)) / max(len(pairs), 1)
+    apart = [F.nanvl(1 - F.corr(a, b), F.lit(None).cast("double")) for a, b in pairs]
+    defined = sum((F.when(x.isNotNull(), 1).otherwise(0) for x in apart), F.lit(0))
+    known = sum((F.coalesce(x, F.lit(0.0)) for x in apart), F.lit(0.0))
+    diversity = F.coalesce(F.try_divide(known, defined), F.lit(0.0))
     inverse = lambda m: 1 / (F.sqrt(F.avg((F.col("actual") - F.col(m)) * (F.col("actual") - F.col(m)))) + 1e-6)
     blended = lambda m: inverse(m) * (1 - diversity_weight) + diversity * diversity_weight
     scores = F.array(*[F.struct(F.lit(m).alias("model"), blended(m).alias("performance")) for m in models])
