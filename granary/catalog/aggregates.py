@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from granary.catalog import query
-from granary.catalog.views import SERIES
 from granary.functions import scalars as S
 from granary.operators import aggregates as A
 from granary.operators import joins as J
@@ -84,6 +83,13 @@ def a3(t):
     return rounded(A.seasonal_strength(t.demand_panel), ["seasonality_strength"])
 
 
+@query("a3_seasonal_strength_loess")
+def a3_loess(t):
+    from granary.models import stl
+
+    return stl.seasonal_strength(t.demand_panel)
+
+
 SERVICE_FEATURES = """
     p AS (SELECT *, row_number() OVER (PARTITION BY item_id, location_id ORDER BY date) - 1 AS pos
           FROM demand_monthly),

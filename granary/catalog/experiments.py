@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from granary.catalog import query
@@ -138,8 +139,9 @@ def x7_tests(t):
     return X.t_tests(t.observations, min_sample=100)
 
 
-_SUCCESS = """(SELECT variant, count(*) FILTER (metric = 'purchase') AS successes, count(*) AS total, 'purchase_rate' AS metric
-    FROM observations GROUP BY ALL)"""
+_SUCCESS = """(SELECT variant, metric, count(*) AS successes,
+           CAST(sum(count(*)) OVER (PARTITION BY variant) AS BIGINT) AS total
+    FROM observations GROUP BY variant, metric)"""
 
 
 @query(
@@ -147,7 +149,7 @@ _SUCCESS = """(SELECT variant, count(*) FILTER (metric = 'purchase') AS successe
     f"""WITH k AS (SELECT a.metric, a.variant AS variant_a, b.variant AS variant_b, a.successes AS successes_a,
                           b.successes AS successes_b, a.total AS total_a, b.total AS total_b,
                           (a.successes + b.successes) / CAST(a.total + b.total AS DOUBLE) AS r
-                   FROM {_SUCCESS} a JOIN {_SUCCESS} b ON a.variant < b.variant),
+                   FROM {_SUCCESS} a JOIN {_SUCCESS} b ON a.metric = b.metric AND a.variant < b.variant),
         e AS (SELECT *, total_a * r AS ea, total_b * r AS eb, total_a * (1 - r) AS fa, total_b * (1 - r) AS fb FROM k),
         g AS (SELECT *, abs(successes_a - ea) AS g1, abs(successes_b - eb) AS g2, abs(total_a - successes_a - fa) AS g3,
                      abs(total_b - successes_b - fb) AS g4 FROM e),
@@ -162,9 +164,9 @@ _SUCCESS = """(SELECT variant, count(*) FILTER (metric = 'purchase') AS successe
     ("observations",),
 )
 def x8(t):
-    counted = t.observations.groupBy("variant").agg(
-        F.count(F.when(F.col("metric") == "purchase", 1)).alias("successes"), F.count(F.lit(1)).alias("total")
-    ).withColumn("metric", F.lit("purchase_rate"))
+    counted = t.observations.groupBy("variant", "metric").agg(F.count(F.lit(1)).alias("successes"))
+    total = F.sum("successes").over(Window.partitionBy("variant"))  # over one row per kind of event
+    counted = counted.withColumn("total", total)
     tested = X.chi_square(counted, ["metric"])
     return rounded(
         rounded(tested, ["chi2_statistic", "p_value"], 6), ["expected_success_a", "expected_success_b"], 5

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from granary.catalog import query
-from granary.catalog.aggregates import ABC, FEATURES, SERVICE_FEATURES, TAGGED, XYZ, rounded
+from granary.catalog.aggregates import ABC, SERVICE_FEATURES, TAGGED, XYZ, rounded
 from granary.functions import scalars as S
 from granary.operators import aggregates as A
 from granary.operators import windows as W

@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from granary.catalog import query
 from granary.catalog.aggregates import rounded
-from granary.catalog.views import SERIES
 from granary.models import series as M
 from granary.session import cut_lineage, scratch_path
 from granary.streaming import jobs as D

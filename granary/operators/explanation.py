@@ -10,7 +10,7 @@ from pyspark.ml import PipelineModel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from granary.operators.scale import with_row
+from granary.operators.scale import spread, with_row
 
 
 def model_importance(model: PipelineModel, features: list[str], spark) -> DataFrame:
@@ -30,8 +30,8 @@ def permutation_importance(
     random block, so no global order is needed. All shuffles go through the model in one distributed pass.
     """
     columns = [*features, target]
-    spread = rows.select(*[F.col(c).cast("double").alias(c) for c in columns])
-    spread = spread.withColumn("_h", F.xxhash64(*columns, F.lit(seed))).repartition(F.col("_h")).sortWithinPartitions("_h")
+    numbers = rows.select(*[F.col(c).cast("double").alias(c) for c in columns])
+    placed = spread(numbers.withColumn("_h", F.xxhash64(*columns, F.lit(seed))), "_h").sortWithinPartitions("_h")
     schema = ", ".join(f"{c} double" for c in columns) + ", feature string, repeat int"
 
     def shuffled(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -44,7 +44,7 @@ def permutation_importance(
                 for repeat in range(repeats):
                     yield plain.assign(**{feature: rng.permutation(values), "feature": feature, "repeat": np.int32(repeat)})
 
-    scored = model.transform(spread.mapInPandas(shuffled, schema))
+    scored = model.transform(placed.mapInPandas(shuffled, schema))
     gap = F.col(target) - F.col("yhat")
     quality = 1 - F.try_divide(F.sum(gap * gap), F.var_pop(target) * F.count(F.lit(1)))
     per_shuffle = scored.groupBy("feature", "repeat").agg(quality.alias("r2"))
@@ -65,8 +65,8 @@ def partial_dependence(
     step = (F.col("_b.high") - F.col("_b.low")) / max(points - 1, 1)
     grid = F.transform(F.sequence(F.lit(0), F.lit(points - 1)), lambda i: F.col("_b.low") + i * step)
     others = [c for c in features if c != feature]
-    spread = with_row(rows.select(*others), bounds, "_b").select(*others, F.posexplode(grid).alias("point", feature))
-    scored = model.transform(spread)
+    gridded = with_row(rows.select(*others), bounds, "_b").select(*others, F.posexplode(grid).alias("point", feature))
+    scored = model.transform(gridded)
     return scored.groupBy(F.lit(feature).alias("feature"), "point", F.col(feature).alias("value")).agg(
         F.avg("yhat").alias("mean_prediction")
     )
