@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import cached_property
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from granary.operators.cleaning import fill_calendar
@@ -45,17 +45,20 @@ class Star:
             .agg(F.sum("l_quantity").alias("demand_qty"))
         )
 
-    @cached_property
-    def demand_daily(self) -> DataFrame:
-        """Demand per (brand, region, day). Lines are summed map-side before the one grouping shuffle."""
+    def _brand_demand(self, step: Column) -> DataFrame:
+        """Demand per (brand, region, step). Lines are summed map-side before the one grouping shuffle."""
         return (
             self.table("lineitem")
             .join(self.supplier_region, F.col("l_suppkey") == F.col("supplier_id"))
             .join(self.brands, F.col("l_partkey") == F.col("p_partkey"))
-            .groupBy(F.col("brand_id").alias("item_id"), "location_id", F.to_date("l_shipdate").alias("date"))
+            .groupBy(F.col("brand_id").alias("item_id"), "location_id", step.alias("date"))
             .agg(F.sum("l_quantity").alias("demand_qty"))
         )
 
+    @cached_property
+    def demand_daily(self) -> DataFrame:
+        return self._brand_demand(F.to_date("l_shipdate"))
+
     @cached_property
     def demand_panel(self) -> DataFrame:
         """`demand_daily` with every calendar day, zero where nothing was sold."""
@@ -63,8 +66,7 @@ class Star:
 
     @cached_property
     def demand_monthly(self) -> DataFrame:
-        month = F.trunc("date", "month").alias("date")
-        return self.demand_daily.groupBy(*SERIES, month).agg(F.sum("demand_qty").alias("demand_qty"))
+        return self._brand_demand(F.trunc("l_shipdate", "month"))
 
     @cached_property
     def items(self) -> DataFrame:
