@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import lru_cache
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -18,8 +16,20 @@ def _odd_from(x: float) -> int:
     return n if n % 2 else n + 1
 
 
-@lru_cache(maxsize=256)
+_smoothers: dict[tuple[int, int, bool], tuple[np.ndarray, np.ndarray]] = {}
+
+
 def _smoother(n: int, width: int, extend: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Neighbour indices and weights of a local line, kept per length while a task runs."""
+    key = (n, width, extend)
+    if key not in _smoothers:
+        if len(_smoothers) > 256:
+            _smoothers.clear()
+        _smoothers[key] = _local_lines(n, width, extend)
+    return _smoothers[key]
+
+
+def _local_lines(n: int, width: int, extend: bool) -> tuple[np.ndarray, np.ndarray]:
     """Neighbour indices and weights of a local line at every position; with `extend` also one step past each end."""
     span = min(width, n)
     positions = np.arange(-1, n + 1) if extend else np.arange(n)

@@ -253,7 +253,9 @@ def bootstrap_means(
                 out[k] = v
             yield out[[*keys, "replicate", "total", "weight"]]
 
-    partial = spread(counts, *keys, "value").mapInPandas(draw, schema)
+    # Every task emits one row per (group, replicate), so one task per core keeps the partial sums few.
+    cores = observations.sparkSession.sparkContext.defaultParallelism
+    partial = spread(counts, *keys, "value", parts=cores).mapInPandas(draw, schema)
     return partial.groupBy(*keys, "replicate").agg(F.try_divide(F.sum("total"), F.sum("weight")).alias("mean"))
 
 

@@ -66,15 +66,17 @@ def numbered(df: DataFrame, order: list[Column], name: str, keys: list[str] | No
     return running_totals(df, keys or [], order, {name: F.lit(1)}).drop(f"{name}_all")
 
 
-def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Hash-partition by `keys` over all cores.
+def spread(df: DataFrame, *keys: str, parts: int | None = None) -> DataFrame:
+    """Hash-partition by `keys` over all cores, or into `parts`.
 
     For steps whose work per row is large against the row's size (series models, bootstrap draws): adaptive execution
     would otherwise merge their few bytes into a handful of tasks. A grouping or window by the same keys that
     follows reuses this partitioning.
     """
     spark = df.sparkSession
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    parts = parts or max(
+        int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism
+    )
     return df.repartition(parts, *[F.col(k) for k in keys])
 
 
