@@ -32,7 +32,7 @@ from granary.session import scratch_path
 
 U = np.uint64
 _STEP, _LOW = 1 << 19, (1 << 24) - 1
-_KEEP, _FLUSH = 8 << 20, 1 << 21
+_KEEP, _FLUSH = 8 << 20, 1 << 19
 RULES = ("anywhere", "smaller_doc", "earlier")
 
 
@@ -368,7 +368,7 @@ def phrase_marks(rows: DataFrame, symbols: Callable, length: int, gram: int, rul
     if rule not in RULES:
         raise ValueError(f"rule must be one of {RULES}")
     spark = rows.sparkSession
-    buckets = parts_for(spark, text_bytes(rows), 8 << 20)
+    buckets = parts_for(spark, text_bytes(rows), 4 << 20)
     found = rows.select("doc_key", "tag", "text").mapInArrow(_phrase_rows(symbols, length, gram, buckets), "bucket int, n long, data binary")
     marks = found.groupBy("bucket").applyInPandas(_settle(rule), "doc_key long, tag int, first int, windows int, state int, trigger long")
     path = scratch_path(spark, "phrases")
@@ -383,7 +383,7 @@ def open_phrases(texts: DataFrame, marks: DataFrame, cut: Callable, length: int,
     """
     spark = texts.sparkSession
     left = marks.where(F.col("state") != REPEATED)
-    buckets = parts_for(spark, left.count() * (2 * length), 16 << 20)
+    buckets = parts_for(spark, left.count() * (2 * length), 4 << 20)
     wanted = left.groupBy("doc_key", "tag").agg(F.collect_list(F.struct("first", "windows", "state", "trigger")).alias("open"))
     names = ["doc_key", "tag", "first", "windows", "state", "trigger", "content"]
 
