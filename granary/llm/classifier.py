@@ -171,7 +171,7 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
     least = F.xxhash64("doc_key")
     last = votes.select(least.alias("h")).orderBy("h").limit(fit_rows).agg(F.max("h")).first()[0]
     chosen = votes.withColumn("fit", least <= last)
-    texts = R.packed(docs.select(F.col("doc_id").cast("long").alias("doc_key"), "text").where("doc_key is not null"))
+    texts = R.packed(R.small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_key"), "text").where("doc_key is not null"))
     path = scratch_path(spark, "training")
     _training(texts.join(chosen, "doc_key").select("doc_key", "text", "good", "fit"), fit_rows).write.parquet(path)
     parts = spark.read.parquet(path)
@@ -197,7 +197,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             raw, bounds = R.texts_of(batch.column("text"))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sent.value.score(raw, bounds))], names=["doc_id", "score"])
 
-    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(rows, "doc_id long, score double")
+    found = R.small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(rows, "doc_id long, score double")
     return found.select("doc_id", (fold(F.col("doc_id")) == 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
@@ -211,4 +211,4 @@ def keep_good(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
             raw, bounds = R.texts_of(batch.column(batch.schema.get_field_index("text")))
             yield batch.filter(pa.array(sent.value.score(raw, bounds) >= least))
 
-    return docs.mapInArrow(rows, schema)
+    return R.small_batches(docs).mapInArrow(rows, schema)

@@ -18,6 +18,8 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 
+from granary.llm.repeats import small_batches
+
 SPACES = (b" ", b"\t", b"\n", b"\x0b", b"\x0c", b"\r")
 SYMBOLS = (b"#", b"*", b"$", b"%", b"&", b"|", b"<", b">")
 
@@ -107,4 +109,4 @@ def score(docs: DataFrame, bands: Bands = BANDS) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], names=["doc_id", *NAMES])
 
     kinds = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, ratio double, least_chunk_ratio double, most_chunk_ratio double"
-    return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(rows, kinds)
+    return small_batches(docs).selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(rows, kinds)

@@ -16,8 +16,10 @@ for each document that holds it and never a row per pair.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
-from functools import lru_cache
+from functools import lru_cache, wraps
+from inspect import isgeneratorfunction
 
 import numpy as np
 import pandas as pd
@@ -31,11 +33,34 @@ from pyspark.sql.types import BinaryType, StructField, StructType
 from granary.session import scratch_path
 
 U = np.uint64
-_STEP, _LOW = 1 << 19, (1 << 24) - 1
-_KEEP, _FLUSH = 8 << 20, 1 << 19
+_STEP, _LOW = 1 << 18, (1 << 24) - 1
+_KEEP, _FLUSH = 8 << 20, 1 << 18
 RULES = ("anywhere", "smaller_doc", "earlier")
 
 
+def frugal(task: Callable) -> Callable:
+    """`task`, giving freed memory back at its end: executors keep Python workers for later tasks."""
+
+    def release() -> None:
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # only glibc has it
+        if trim:
+            trim(0)
+
+    @wraps(task)
+    def rows(batches: Iterator) -> Iterator:
+        yield from task(batches)
+        release()
+
+    @wraps(task)
+    def group(pdf: pd.DataFrame) -> pd.DataFrame:
+        out = task(pdf)
+        release()
+        return out
+
+    return rows if isgeneratorfunction(task) else group
+
+
 # --- rolling hashes -------------------------------------------------------------------------------------------------
 
 
@@ -59,7 +84,7 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the hash base and of its inverse, `n` at least."""
-    return _powers(1 << max(20, n.bit_length()))
+    return _powers(1 << max(18, n.bit_length()))
 
 
 @lru_cache(maxsize=1)
@@ -197,7 +222,7 @@ def phrases(x: np.ndarray, bounds: np.ndarray, length: int, gram: int) -> tuple[
     first, count = first[kept], count[kept]
     trigger = trigger[first]
     content = mix(spans_hash(prefix, first, first + count + length - 1) * U(3) + (trigger - first).astype(U))
-    return text[first], first, count, grams[trigger], content
+    return text[first], first, count, mix(grams[trigger] + U(1)), content  # least hashes are small: spread them again
 
 
 def squeeze(*arrays: np.ndarray) -> bytes:
@@ -236,6 +261,7 @@ def _emit(kept: list[tuple[np.ndarray, ...]], buckets: int) -> pa.RecordBatch:
 
 
 def _phrase_rows(symbols: Callable, length: int, gram: int, buckets: int) -> Callable:
+    @frugal
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept, held = [], 0
         for batch in batches:
@@ -274,6 +300,7 @@ REPEATED, OPEN, SEEN = 0, 1, 2
 
 
 def _settle(rule: str) -> Callable:
+    @frugal
     def settle(pdf: pd.DataFrame) -> pd.DataFrame:
         parts = []
         for n, data in zip(pdf["n"], pdf["data"], strict=True):
@@ -328,6 +355,7 @@ def keyed(docs: DataFrame, whole: bool = False) -> DataFrame:
 
     Null ids come before all others. Rows that share an id are told apart by their text.
     """
+    docs = small_batches(docs)
     shared = not docs.groupBy("doc_id").count().where("count > 1").isEmpty()
     tag = F.xxhash64("text").cast("int") if shared else F.lit(0)
     key = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))
@@ -336,6 +364,17 @@ def keyed(docs: DataFrame, whole: bool = False) -> DataFrame:
     return docs.select("doc_id", key.alias("doc_key"), tag.alias("tag"), "text", *kept)
 
 
+def small_batches(docs: DataFrame, most: int = 8 << 20) -> DataFrame:
+    """`docs`, with the session's Arrow batches held to `most` bytes, so that long texts don't fill a task's memory.
+
+    The plan reads this setting when it runs, so it stays set; a smaller value of the user's is kept.
+    """
+    conf, name = docs.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(conf.get(name).rstrip("b")) > most:
+        conf.set(name, str(most))
+    return docs
+
+
 def text_bytes(docs: DataFrame) -> int:
     return docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
 
@@ -349,6 +388,7 @@ def packed(rows: DataFrame) -> DataFrame:
     """`keyed` rows with the text compressed, which is what is shuffled."""
     schema = StructType([StructField("text", BinaryType()) if f.name == "text" else f for f in rows.schema])
 
+    @frugal
     def squeezed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool = zstandard.ZstdCompressor(level=3)
         for b in batches:
@@ -370,7 +410,7 @@ def phrase_marks(rows: DataFrame, symbols: Callable, length: int, gram: int, rul
     spark = rows.sparkSession
     buckets = parts_for(spark, text_bytes(rows), 4 << 20)
     found = rows.select("doc_key", "tag", "text").mapInArrow(_phrase_rows(symbols, length, gram, buckets), "bucket int, n long, data binary")
-    marks = found.groupBy("bucket").applyInPandas(_settle(rule), "doc_key long, tag int, first int, windows int, state int, trigger long")
+    marks = found.repartition(buckets, "bucket").groupBy("bucket").applyInPandas(_settle(rule), "doc_key long, tag int, first int, windows int, state int, trigger long")
     path = scratch_path(spark, "phrases")
     marks.write.parquet(path)
     return spark.read.parquet(path)
@@ -387,6 +427,7 @@ def open_phrases(texts: DataFrame, marks: DataFrame, cut: Callable, length: int,
     wanted = left.groupBy("doc_key", "tag").agg(F.collect_list(F.struct("first", "windows", "state", "trigger")).alias("open"))
     names = ["doc_key", "tag", "first", "windows", "state", "trigger", "content"]
 
+    @frugal
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             offsets, fields = nested(batch.column("open"))
@@ -402,7 +443,7 @@ def open_phrases(texts: DataFrame, marks: DataFrame, cut: Callable, length: int,
         rows, "doc_key long, tag int, first int, windows int, state int, trigger long, content binary"
     )
     bucket = F.pmod(F.xxhash64("trigger"), F.lit(buckets)).cast("int")
-    return cuts.withColumn("bucket", bucket).groupBy("bucket").applyInPandas(judge, "doc_key long, tag int, first int, windows int")
+    return cuts.withColumn("bucket", bucket).repartition(buckets, "bucket").groupBy("bucket").applyInPandas(frugal(judge), "doc_key long, tag int, first int, windows int")
 
 
 def with_spans(texts: DataFrame, spans: DataFrame) -> DataFrame:
@@ -437,6 +478,7 @@ def rewritten(found: DataFrame, remove: Callable, kinds: dict[str, pa.DataType],
     kept = [f for f in found.schema if f.name in ("doc_id", "rest")]
     schema = StructType([*kept, *(StructField(c, t) for c, t in ddl.items())])
 
+    @frugal
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             offsets, fields = nested(batch.column("spans"))

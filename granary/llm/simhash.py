@@ -57,7 +57,7 @@ def fingerprints(docs: DataFrame, words: int = WORDS) -> DataFrame:
             fps = np.array([fingerprint_of(t or b"", words) for t in texts], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fps)], names=["doc_id", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(rows, "doc_id long, fp long")
+    return R.small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(rows, "doc_id long, fp long")
 
 
 def _signed(x: int) -> int:

@@ -276,5 +276,5 @@ def count(docs: DataFrame, tokenizer: str, limit: int = 512) -> DataFrame:
             n = pa.array(np.concatenate(parts) if parts else np.zeros(0, np.int64))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.diff(bounds)), n], names=["doc_id", "n_bytes", "n_tokens"])
 
-    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(rows, "doc_id long, n_bytes long, n_tokens long")
+    found = R.small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(rows, "doc_id long, n_bytes long, n_tokens long")
     return found.withColumn("over_limit", F.col("n_tokens") > limit)
