@@ -2,10 +2,10 @@
 
 Features are indicators of word n-grams (one and two words) and of n-grams over word shapes (one to three; a shape is the
 word's character classes with runs collapsed, and says if the word repeats the one before), hashed to `2 ** BITS`
-columns. Each indicator is scaled by the log ratio of its smoothed class counts, which are taken from all labelled
-training rows, and a linear model is fitted on the scaled, length-normalised vectors by dual coordinate descent on the
-hinge loss. The fit takes `FIT_ROWS` training rows at most, those with the least hash of their id; counts, and the
-scores of all documents, take every row and every text whole.
+columns. Each indicator is scaled by the log ratio of its smoothed class counts, and a linear model is fitted on the
+scaled, length-normalised vectors by dual coordinate descent on the hinge loss. The model is learnt from a bounded
+sample: class counts from `COUNT_ROWS` labelled training rows at most, the descent from `FIT_ROWS` of them, those with the
+least hash of their id. So the sample's ids can be broadcast, and no text is shuffled. Scores take every text whole.
 
 Behaviour at the edges: a null or empty text has only the bias and still gets a score; a document with several labels
 counts as good if at least half of them say so; null labels are ignored; without labels of both classes every score is
@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from granary.llm import repeats as R
 from granary.session import scratch_path
 
-BITS, FIT_ROWS, SMOOTH = 18, 6000, 1.0
+BITS, COUNT_ROWS, FIT_ROWS, SMOOTH = 18, 20_000, 6000, 1.0
 ROUNDS, COST, STEEP = 12, 1.0, 4.0
 
 _CLASS = np.zeros(256, np.uint8)  # what a shape tells apart
@@ -94,7 +94,7 @@ class Model:
         return 1 / (1 + np.exp(-STEEP * out))
 
 
-def _training(labelled: DataFrame, fit_rows: int) -> DataFrame:
+def _training(labelled: DataFrame) -> DataFrame:
     """(good, doc, columns) per task: class counts of every column, and the columns of the rows that are fitted on."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -102,8 +102,7 @@ def _training(labelled: DataFrame, fit_rows: int) -> DataFrame:
         names = ["good", "doc", "columns", "counts"]
         kinds = [pa.int32(), pa.int64(), pa.binary(), pa.binary()]
         for batch in batches:
-            texts = pa.array([R.unpack(t) for t in batch.column("text").to_pylist()], pa.large_binary())
-            raw, bounds = R.texts_of(texts)
+            raw, bounds = R.texts_of(batch.column("text"))
             good = batch.column("good").to_numpy(zero_copy_only=False)
             doc = batch.column("doc_key").to_numpy(zero_copy_only=False)
             fit = batch.column("fit").to_numpy(zero_copy_only=False)
@@ -160,7 +159,7 @@ def dual_coordinate_descent(rows: list[np.ndarray], values: np.ndarray, sign: np
     return w, bias
 
 
-def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, count_rows: int = COUNT_ROWS, fit_rows: int = FIT_ROWS) -> Model:
     """The model of the training folds of `labels` (doc_id, quality)."""
     spark = docs.sparkSession
     votes = labels.where("doc_id is not null and quality is not null").groupBy(F.col("doc_id").cast("long").alias("doc_key")).agg((F.avg("quality") >= 0.5).cast("int").alias("good"))
@@ -168,12 +167,12 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
     share, classes = votes.agg(F.avg("good"), F.count_distinct("good")).first()
     if classes != 2:
         return Model(np.zeros(1), np.zeros(1), 0.0, 1.0 if share is None else float(share))
-    least = F.xxhash64("doc_key")
-    last = votes.select(least.alias("h")).orderBy("h").limit(fit_rows).agg(F.max("h")).first()[0]
-    chosen = votes.withColumn("fit", least <= last)
-    texts = R.packed(R.small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_key"), "text").where("doc_key is not null"))
+    chosen = votes.withColumn("h", F.xxhash64("doc_key")).orderBy("h", "doc_key").limit(count_rows)
+    last = chosen.orderBy("h", "doc_key").limit(fit_rows).agg(F.max("h")).first()[0]
+    chosen = F.broadcast(chosen.select("doc_key", "good", (F.col("h") <= last).alias("fit")))  # count_rows rows at most
+    texts = R.small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_key"), "text")
     path = scratch_path(spark, "training")
-    _training(texts.join(chosen, "doc_key").select("doc_key", "text", "good", "fit"), fit_rows).write.parquet(path)
+    _training(texts.join(chosen, "doc_key").select("doc_key", "text", "good", "fit")).write.parquet(path)
     parts = spark.read.parquet(path)
     counts = _summed(parts).toPandas()  # at most 2 ** BITS rows
     sample = parts.where("counts is null").select("good", "doc", "columns").toPandas().sort_values(["doc", "good"])  # at most fit_rows
