@@ -184,6 +184,8 @@ def fit(docs: DataFrame, labels: DataFrame, count_rows: int = COUNT_ROWS, fit_ro
     ratios = np.log(both[1] / both[1].sum()) - np.log(both[0] / both[0].sum())
     rows = [np.frombuffer(c, np.int32) for c in sample["columns"]]
     w, bias = dual_coordinate_descent(rows, ratios, np.where(sample["good"] == 1, 1.0, -1.0))
+    del rows, sample, counts, both
+    R.release()
     return Model(w * ratios, ratios, bias)
 
 

@@ -38,15 +38,17 @@ _KEEP, _FLUSH = 8 << 20, 1 << 18
 RULES = ("anywhere", "smaller_doc", "earlier")
 
 
+def release() -> None:
+    """Give freed memory back to the system."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # only glibc has it
+    if trim:
+        trim(0)
+
+
 def frugal(task: Callable) -> Callable:
     """`task`, giving freed memory back at its end: executors keep Python workers for later tasks."""
 
-    def release() -> None:
-        pa.default_memory_pool().release_unused()
-        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # only glibc has it
-        if trim:
-            trim(0)
-
     @wraps(task)
     def rows(batches: Iterator) -> Iterator:
         yield from task(batches)

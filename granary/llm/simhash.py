@@ -250,7 +250,8 @@ def near_copies(docs: DataFrame, words: int = NEAR_WORDS, similarity: float = SI
 
     Groups are connected by pairs whose sets of `words`-word shingles (A-Z in lower case) have a Jaccard similarity of
     `similarity` or more; equal sets are one node. Keys that more than `CROWD` nodes share are settled by rounds: all
-    are compared with one of them, and those that match leave, until few enough are left to be paired.
+    are compared with one of them and those that match leave; the others meet again under the key joined to each of
+    their other keys, until few enough share one to be paired.
     """
     spark = docs.sparkSession
 
@@ -286,20 +287,24 @@ def near_copies(docs: DataFrame, words: int = NEAR_WORDS, similarity: float = SI
     few = shared.where(F.col("n") <= CROWD)
     paired = few.withColumnRenamed("node", "a").join(few.withColumnRenamed("node", "b"), ["band", "key"]).where("a < b")
     found = verified(paired.select("a", "b").unionByName(ringed))
-    rest = shared.where(F.col("n") > CROWD)
-    while not rest.isEmpty():
-        leaders = rest.groupBy("band", "key").agg(F.min("node").alias("b"))
-        against = rest.join(leaders, ["band", "key"]).where("node <> b")
+    own = nodes.select("node", F.posexplode("keys").alias("also", "own"))
+    used = F.expr("shiftleft(1, band)")
+    rest = shared.where(F.col("n") > CROWD).select(F.xxhash64("band", "key").alias("key"), used.alias("used"), "node")
+    while not rest.isEmpty():  # BANDS rounds at most
+        leaders = rest.groupBy("key").agg(F.min("node").alias("b"))
+        against = stored(rest.join(leaders, "key").where("node <> b"), "against")
         linked = verified(against.select(F.col("node").alias("a"), "b"))
-        found = found.unionByName(linked)
         both = linked.unionByName(linked.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        left = against.join(both, (against["node"] == both["a"]) & (against["b"] == both["b"]), "left_anti").select("band", "key", "node")
-        sizes = left.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n"))
-        left = stored(left.join(sizes, ["band", "key"]).where("n > 1"), "left")
-        small = left.where(F.col("n") <= CROWD)
-        pairs = small.withColumnRenamed("node", "a").join(small.withColumnRenamed("node", "b"), ["band", "key"]).where("a < b").select("a", "b")
-        found = found.unionByName(verified(pairs))
-        rest = left.where(F.col("n") > CROWD)
+        left = against.join(both, (against["node"] == both["a"]) & (against["b"] == both["b"]), "left_anti").select("key", "used", "node")
+        bit = F.expr("shiftleft(1, also)")
+        finer = left.join(own, "node").where(F.col("used").bitwiseAND(bit) == 0)
+        finer = finer.select(F.xxhash64("key", "also", "own").alias("key"), F.col("used").bitwiseOR(bit).alias("used"), "node")
+        sizes = finer.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+        finer = stored(finer.join(sizes, "key"), "finer")
+        small = finer.where(F.col("n") <= CROWD).select("key", "node")
+        pairs = small.withColumnRenamed("node", "a").join(small.withColumnRenamed("node", "b"), "key").where("a < b").select("a", "b")
+        found = found.unionByName(linked).unionByName(verified(pairs))
+        rest = finer.where(F.col("n") > CROWD).drop("n")
     rooted = sketches.join(components(found), "node", "left").select("doc_key", "tag", "node", F.coalesce("root", "node").alias("root"))
     firsts = rooted.groupBy("root").agg(F.min(F.struct("doc_key", "tag")).alias("first"))
     return rooted.join(firsts, "root").select("doc_key", "tag", "node", F.col("first.doc_key").alias("group_key"), F.col("first.tag").alias("group_tag"))
