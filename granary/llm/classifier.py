@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from granary.llm import repeats as R
 from granary.session import scratch_path
 
-BITS, COUNT_ROWS, FIT_ROWS, SMOOTH = 18, 20_000, 6000, 1.0
+BITS, COUNT_ROWS, FIT_ROWS, SMOOTH = 18, 20_000, 4000, 1.0
 ROUNDS, COST, STEEP = 12, 1.0, 4.0
 
 _CLASS = np.zeros(256, np.uint8)  # what a shape tells apart

@@ -15,6 +15,8 @@ repeated rows are drawn alike; an empty table gives an empty result; other colum
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -73,8 +75,12 @@ def targets(cells: DataFrame, dimension: str, given: dict[str, float] | None, fl
     return wanted.select(dimension, (F.col("want") / F.when(total.scalar() > 0, total.scalar())).alias("target"))
 
 
-def rake(cells: DataFrame, wanted: dict[str, DataFrame], rounds: int = ROUNDS, tolerance: float = TOLERANCE) -> DataFrame:
-    """`cells` (dimensions, tokens) with `weight`, so that weight * tokens has the target share in every dimension."""
+def rake(cells: DataFrame, wanted: dict[str, DataFrame], rounds: int = ROUNDS, tolerance: float = TOLERANCE) -> dict[str, DataFrame]:
+    """A factor for each value of each dimension; a cell's weight is their product (`weighted`).
+
+    Weight * tokens then has the target share in every dimension. Each step fits one dimension to the other factors in
+    one grouped sum, so plans stay the same size in every round.
+    """
     spark = cells.sparkSession
 
     def stored(df: DataFrame) -> DataFrame:
@@ -82,22 +88,30 @@ def rake(cells: DataFrame, wanted: dict[str, DataFrame], rounds: int = ROUNDS, t
         df.write.parquet(path)
         return spark.read.parquet(path)
 
-    kept = {d: stored(wanted[d]) for d in wanted}
-    state = stored(cells.withColumn("weight", F.lit(1.0)))
-    total = state.agg(F.sum("tokens")).first()[0] or 0
+    goals = {d: stored(goal.select(d, "target", F.lit(1.0).alias("factor"), F.lit(0.0).alias("gap"))) for d, goal in wanted.items()}
+    factors = dict(goals)
+    total = float(cells.agg(F.sum("tokens")).first()[0] or 0)
     for _ in range(rounds):
-        gaps = []
-        for d, goal in kept.items():
-            now = state.groupBy(d).agg(F.sum(F.col("weight") * F.col("tokens")).alias("now"))
-            factor = now.join(goal, d).select(d, F.when(F.col("now") > 0, F.col("target") * total / F.col("now")).otherwise(1.0).alias("factor"))
-            state = state.join(factor, d).select(*[c for c in state.columns if c != "weight"], (F.col("weight") * F.col("factor")).alias("weight"), F.abs(F.col("factor") - 1).alias(f"gap_{d}"))
-            gaps.append(f"gap_{d}")
-        state = stored(state)
-        worst = state.where("tokens > 0").agg(F.max(F.greatest(*gaps))).first()[0]
-        state = state.drop(*gaps)
+        for d, goal in goals.items():
+            others = weighted(cells, {k: f for k, f in factors.items() if k != d})
+            now = others.groupBy(d).agg(F.sum(F.col("weight") * F.col("tokens")).alias("now"))
+            fitted = now.join(goal.select(d, "target"), d).join(factors[d].select(d, F.col("factor").alias("old")), d)
+            new = F.when(F.col("now") > 0, F.col("target") * total / F.col("now")).otherwise(1.0)
+            factors[d] = stored(fitted.select(d, new.alias("factor"), F.abs(new / F.col("old") - 1).alias("gap")))
+        gaps = [f.select("gap") for f in factors.values()]
+        worst = reduce(DataFrame.union, gaps).agg(F.max("gap")).first()[0]
         if worst is None or worst <= tolerance:
             break
-    return state
+    return factors
+
+
+def weighted(rows: DataFrame, factors: dict[str, DataFrame]) -> DataFrame:
+    """`rows` with `weight`, the product of their factors."""
+    weight = F.lit(1.0)
+    for i, (d, f) in enumerate(factors.items()):
+        rows = rows.join(f.select(d, F.col("factor").alias(f"_factor{i}")), d)
+        weight = weight * F.col(f"_factor{i}")
+    return rows.withColumn("weight", weight).drop(*[f"_factor{i}" for i in range(len(factors))])
 
 
 def mix(docs: DataFrame, wanted: dict[str, dict[str, float]] | None = None, keep: float = KEEP, rounds: int = ROUNDS, tolerance: float = TOLERANCE) -> DataFrame:
@@ -110,7 +124,8 @@ def mix(docs: DataFrame, wanted: dict[str, dict[str, float]] | None = None, keep
     rows.groupBy(*DIMENSIONS).agg(F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("documents")).write.parquet(path)
     cells = docs.sparkSession.read.parquet(path)
     goals = {d: targets(cells, d, None if wanted is None else wanted.get(d, {})) for d in DIMENSIONS}
-    raked = rake(cells, goals, rounds, tolerance).select(*DIMENSIONS, "weight")
+    factors = rake(cells, goals, rounds, tolerance)
+    raked = weighted(cells, factors).select(*DIMENSIONS, "weight")
     draw = F.pmod(F.xxhash64("_id_hash", F.when(F.col("row.doc_id").isNull(), F.col("row.text"))), F.lit(1 << 52)) / F.lit(float(1 << 52))
     share = F.least(F.col("weight") * F.lit(keep), F.lit(1.0))
     return (
