@@ -57,13 +57,13 @@ def unescape(text: Column) -> Column:
 
 
 def _walk(roles: Column, template: Template) -> Column:
-    """(state, at, broken_at) after all roles; the state is null once a role may not follow."""
+    """(state, at, broken_at) after all roles; the state is empty once a role may not follow."""
     table = F.create_map(*[x for now, after in template.moves.items() for role in after for x in (F.lit(f"{now}>{role}"), F.lit(role))])
     first = F.struct(F.lit(template.start).alias("state"), F.lit(0).alias("at"), F.lit(None).cast("int").alias("broken_at"))
 
     def step(s: Column, role: Column) -> Column:
-        state = F.element_at(table, F.concat(s["state"], F.lit(">"), role))
-        broken = F.coalesce(s["broken_at"], F.when(state.isNull(), s["at"]))
+        state = F.coalesce(F.element_at(table, F.concat(s["state"], F.lit(">"), role)), F.lit(""))
+        broken = F.coalesce(s["broken_at"], F.when(state == "", s["at"]))
         return F.struct(state.alias("state"), (s["at"] + 1).alias("at"), broken.alias("broken_at"))
 
     return F.aggregate(roles, first, step)

@@ -125,7 +125,9 @@ def mix(docs: DataFrame, wanted: dict[str, dict[str, float]] | None = None, keep
     cells = docs.sparkSession.read.parquet(path)
     goals = {d: targets(cells, d, None if wanted is None else wanted.get(d, {})) for d in DIMENSIONS}
     factors = rake(cells, goals, rounds, tolerance)
-    raked = weighted(cells, factors).select(*DIMENSIONS, "weight")
+    stored = scratch_path(docs.sparkSession, "weights")  # read again, its size is known and small tables are broadcast
+    weighted(cells, factors).select(*DIMENSIONS, "weight").write.parquet(stored)
+    raked = docs.sparkSession.read.parquet(stored)
     draw = F.pmod(F.xxhash64("_id_hash", F.when(F.col("row.doc_id").isNull(), F.col("row.text"))), F.lit(1 << 52)) / F.lit(float(1 << 52))
     share = F.least(F.col("weight") * F.lit(keep), F.lit(1.0))
     return (

@@ -359,7 +359,7 @@ def keyed(docs: DataFrame, whole: bool = False) -> DataFrame:
     """
     docs = small_batches(docs)
     shared = not docs.groupBy("doc_id").count().where("count > 1").isEmpty()
-    tag = F.xxhash64("text").cast("int") if shared else F.lit(0)
+    tag = F.hash("text") if shared else F.lit(0)
     key = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))
     rest = [c for c in docs.columns if c not in ("doc_id", "text")] if whole else []
     kept = [F.struct(*[F.col(f"`{c}`") for c in rest]).alias("rest")] if rest else []

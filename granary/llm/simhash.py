@@ -162,7 +162,7 @@ def groups(docs: DataFrame, words: int = WORDS, bits: int = BITS) -> DataFrame:
 # keys. All of them pass the ring's budgets at `WIDE` bits, then the Hamming check, then the exact similarity.
 
 NEAR_WORDS, SIMILARITY, WIDE = 5, 0.8, 24
-BANDS, ROWS = 12, 4
+BANDS, ROWS, NEAR_CROWD = 12, 4, 8
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
 
@@ -249,7 +249,7 @@ def near_copies(docs: DataFrame, words: int = NEAR_WORDS, similarity: float = SI
     """(doc_key, tag, node, group_key, group_tag) of `repeats.keyed` rows: the first document of each one's group.
 
     Groups are connected by pairs whose sets of `words`-word shingles (A-Z in lower case) have a Jaccard similarity of
-    `similarity` or more; equal sets are one node. Keys that more than `CROWD` nodes share are settled by rounds: all
+    `similarity` or more; equal sets are one node. Keys that more than `NEAR_CROWD` nodes share are settled by rounds: all
     are compared with one of them and those that match leave; the others meet again under the key joined to each of
     their other keys, until few enough share one to be paired.
     """
@@ -284,12 +284,12 @@ def near_copies(docs: DataFrame, words: int = NEAR_WORDS, similarity: float = SI
         full = near.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
         return stored(full.select("a", "b", "x", "y").mapInArrow(_similar(similarity), "a long, b long"), "verified")
 
-    few = shared.where(F.col("n") <= CROWD)
+    few = shared.where(F.col("n") <= NEAR_CROWD)
     paired = few.withColumnRenamed("node", "a").join(few.withColumnRenamed("node", "b"), ["band", "key"]).where("a < b")
     found = verified(paired.select("a", "b").unionByName(ringed))
     own = nodes.select("node", F.posexplode("keys").alias("also", "own"))
     used = F.expr("shiftleft(1, band)")
-    rest = shared.where(F.col("n") > CROWD).select(F.xxhash64("band", "key").alias("key"), used.alias("used"), "node")
+    rest = shared.where(F.col("n") > NEAR_CROWD).select(F.xxhash64("band", "key").alias("key"), used.alias("used"), "node")
     while not rest.isEmpty():  # BANDS rounds at most
         leaders = rest.groupBy("key").agg(F.min("node").alias("b"))
         against = stored(rest.join(leaders, "key").where("node <> b"), "against")
@@ -301,10 +301,10 @@ def near_copies(docs: DataFrame, words: int = NEAR_WORDS, similarity: float = SI
         finer = finer.select(F.xxhash64("key", "also", "own").alias("key"), F.col("used").bitwiseOR(bit).alias("used"), "node")
         sizes = finer.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
         finer = stored(finer.join(sizes, "key"), "finer")
-        small = finer.where(F.col("n") <= CROWD).select("key", "node")
+        small = finer.where(F.col("n") <= NEAR_CROWD).select("key", "node")
         pairs = small.withColumnRenamed("node", "a").join(small.withColumnRenamed("node", "b"), "key").where("a < b").select("a", "b")
         found = found.unionByName(linked).unionByName(verified(pairs))
-        rest = finer.where(F.col("n") > CROWD).drop("n")
+        rest = finer.where(F.col("n") > NEAR_CROWD).drop("n")
     rooted = sketches.join(components(found), "node", "left").select("doc_key", "tag", "node", F.coalesce("root", "node").alias("root"))
     firsts = rooted.groupBy("root").agg(F.min(F.struct("doc_key", "tag")).alias("first"))
     return rooted.join(firsts, "root").select("doc_key", "tag", "node", F.col("first.doc_key").alias("group_key"), F.col("first.tag").alias("group_tag"))
