@@ -231,11 +231,11 @@ def _needs(t):
 
 
 def _warehouses(t):
-    """Per item and region: half of what the region shipped of the item, capped at 200, at the region's cost."""
+    """Per item and region: half of what the region shipped of the item, at the region's cost."""
     shipped = t.part_daily.groupBy("item_id", "location_id").agg(F.sum("demand_qty").alias("q"))
     return shipped.join(t.locations, "location_id").select(
         "item_id", F.col("location_id").alias("warehouse_id"), F.col("capacity_limit").alias("priority"),
-        F.least(F.col("q") / 2, F.lit(200.0)).alias("stock"),
+        (F.col("q") / 2).alias("stock"),
         F.when(F.col("region") != "ASIA", F.col("transfer_cost_per_unit")).alias("transfer_cost"),
     )
 
@@ -243,7 +243,7 @@ def _warehouses(t):
 _TRANSFERS = """
     nd AS (SELECT item_id, avg_daily_demand * 30 AS demand, stock, greatest(0, avg_daily_demand * 30 - stock) AS gap
            FROM policy_inputs),
-    wh AS (SELECT item_id, location_id AS warehouse_id, capacity_limit AS priority, least(sum(demand_qty) / 2, 200) AS stock,
+    wh AS (SELECT item_id, location_id AS warehouse_id, capacity_limit AS priority, sum(demand_qty) / 2 AS stock,
                   CASE WHEN region <> 'ASIA' THEN transfer_cost_per_unit END AS cost
            FROM part_daily JOIN locations USING (location_id)
            GROUP BY item_id, location_id, capacity_limit, region, transfer_cost_per_unit),

@@ -23,7 +23,7 @@ def csv_reader(spark: SparkSession, folder: str, files: dict[str, str] | None =
     def read(table: str) -> DataFrame:
         if table not in known:
             raise KeyError(f"no CSV file for table {table!r}")
-        options = {"header": True, "quote": '"', "escape": '"', "mode": "PERMISSIVE"}
+        options = {"header": True, "quote": '"', "escape": '"', "mode": "FAILFAST"}  # a malformed row is an error, not nulls
         return spark.read.schema(schemas.schema(table)).options(**options).csv(f"{folder}/{known[table]}")
 
     return read
@@ -64,7 +64,7 @@ def json_reader(spark: SparkSession, folder: str, endpoints: dict[str, str] | No
     """Tables from landed JSON responses, one folder per endpoint, with the fixed schema."""
 
     def read(table: str) -> DataFrame:
-        return spark.read.schema(schemas.schema(table)).json(f"{folder}/{(endpoints or {}).get(table, table)}")
+        return spark.read.schema(schemas.schema(table)).option("mode", "FAILFAST").json(f"{folder}/{(endpoints or {}).get(table, table)}")
 
     return read
 
@@ -87,7 +87,7 @@ class PagedEndpointReader(DataSourceReader):
         request = urllib.request.Request(self.url.format(page=partition.number))
         if self.token:
             request.add_header("Authorization", f"Bearer {self.token}")
-        with urllib.request.urlopen(request) as response:
+        with urllib.request.urlopen(request, timeout=60) as response:
             for record in json.load(response):
                 yield tuple(record.get(n) for n in self.names)
 
