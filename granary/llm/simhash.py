@@ -162,7 +162,7 @@ def groups(docs: DataFrame, words: int = WORDS, bits: int = BITS) -> DataFrame:
 # keys. All of them pass the ring's budgets at `WIDE` bits, then the Hamming check, then the exact similarity.
 
 NEAR_WORDS, SIMILARITY, WIDE = 5, 0.8, 24
-BANDS, ROWS, NEAR_CROWD = 12, 4, 8
+BANDS, ROWS, NEAR_CROWD = 12, 4, 64
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
 
@@ -297,7 +297,7 @@ def near_copies(docs: DataFrame, words: int = NEAR_WORDS, similarity: float = SI
         both = linked.unionByName(linked.select(F.col("b").alias("a"), F.col("a").alias("b")))
         left = against.join(both, (against["node"] == both["a"]) & (against["b"] == both["b"]), "left_anti").select("key", "used", "node")
         bit = F.expr("shiftleft(1, also)")
-        finer = left.join(own, "node").where(F.col("used").bitwiseAND(bit) == 0)
+        finer = left.join(own, "node").where(F.expr("shiftright(used, also) = 0"))  # earlier keys have had their own round
         finer = finer.select(F.xxhash64("key", "also", "own").alias("key"), F.col("used").bitwiseOR(bit).alias("used"), "node")
         sizes = finer.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
         finer = stored(finer.join(sizes, "key"), "finer")
