@@ -162,7 +162,7 @@ def groups(docs: DataFrame, words: int = WORDS, bits: int = BITS) -> DataFrame:
 # keys. All of them pass the ring's budgets at `WIDE` bits, then the Hamming check, then the exact similarity.
 
 NEAR_WORDS, SIMILARITY, WIDE = 5, 0.8, 24
-BANDS, ROWS, NEAR_CROWD = 12, 4, 64
+BANDS, ROWS, NEAR_CROWD, LEADERS, OUTSIDE, MAPS = 12, 4, 64, 8, 512, 8
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
 
@@ -232,6 +232,23 @@ def _similar(least: float):
     return rows
 
 
+def _single_shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for node, blob in zip(batch.column("node").to_pylist(), batch.column("shingles").to_pylist(), strict=True):
+            found = np.frombuffer(blob, np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), node, np.int64)), pa.array(found)], names=["node", "shingle"])
+
+
+def _bitmaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sizes of sets and, in `MAPS` words, which of their hash classes hold an odd number of shingles."""
+    for batch in batches:
+        sets = [np.frombuffer(blob, np.uint64) for blob in batch.column("shingles").to_pylist()]
+        odd = np.array([np.bincount(R.mix(x) % R.U(64 * MAPS), minlength=64 * MAPS) & 1 for x in sets], np.uint8).reshape(len(sets), 64 * MAPS)
+        words = np.packbits(odd, axis=1, bitorder="little").view("<i8")
+        sizes = pa.array([len(x) for x in sets], pa.int64())
+        yield pa.RecordBatch.from_arrays([batch.column("node"), sizes, *(pa.array(words[:, i].copy()) for i in range(MAPS))], names=["node", "size", *(f"{i}m" for i in range(MAPS))])
+
+
 def _within_ring(bits: int) -> Column:
     """Some segment begins a chain whose every length keeps its budget, and the whole distance is `bits` at most."""
     masks = _segments(16)
@@ -249,9 +266,11 @@ def near_copies(docs: DataFrame, words: int = NEAR_WORDS, similarity: float = SI
     """(doc_key, tag, node, group_key, group_tag) of `repeats.keyed` rows: the first document of each one's group.
 
     Groups are connected by pairs whose sets of `words`-word shingles (A-Z in lower case) have a Jaccard similarity of
-    `similarity` or more; equal sets are one node. Keys that more than `NEAR_CROWD` nodes share are settled by rounds: all
-    are compared with one of them and those that match leave; the others meet again under the key joined to each of
-    their other keys, until few enough share one to be paired.
+    `similarity` or more; equal sets are one node. Of a key that more than `NEAR_CROWD` nodes share, those with too many
+    shingles of their own to match any other leave; each of the rest is compared with `LEADERS` of them, after bounds from
+    sizes and from bitmaps of their sets (two sets differ in as many shingles as their bitmaps in bits). Nodes that links
+    have connected need not be compared again: if all but `OUTSIDE` of a crowd are in one component, those outside are
+    compared with the rest; otherwise all meet again under the key joined to each of their later keys.
     """
     spark = docs.sparkSession
 
@@ -279,33 +298,61 @@ def near_copies(docs: DataFrame, words: int = NEAR_WORDS, similarity: float = SI
 
     def verified(pairs: DataFrame) -> DataFrame:
         pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct()
-        of = lambda n, f: sets.select(F.col("node").alias(n), F.col("fp").alias(f))
-        near = pairs.join(of("a", "fa"), "a").join(of("b", "fb"), "b").where(_within_ring(wide)).select("a", "b")
-        full = near.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
+        of = lambda n, f, x: sets.select(F.col("node").alias(n), F.col("fp").alias(f), F.col("shingles").alias(x))
+        full = pairs.join(of("a", "fa", "x"), "a").join(of("b", "fb", "y"), "b").where(_within_ring(wide))
         return stored(full.select("a", "b", "x", "y").mapInArrow(_similar(similarity), "a long, b long"), "verified")
 
-    few = shared.where(F.col("n") <= NEAR_CROWD)
-    paired = few.withColumnRenamed("node", "a").join(few.withColumnRenamed("node", "b"), ["band", "key"]).where("a < b")
-    found = verified(paired.select("a", "b").unionByName(ringed))
+    maps = [f"{i}m" for i in range(MAPS)]
+
+    def sides(left: DataFrame, right: DataFrame, but: str) -> DataFrame:
+        """Pairs under a key that no link connects yet, that sizes and bitmaps allow."""
+        short = {"node": "n", "root": "r", "main": "m", "every": "e", "size": "s", "common": "c"} | {m: m for m in maps}
+        named = lambda df, x: df.select("key", *[F.col(c).alias(to + x) for c, to in short.items() if c in df.columns])
+        both = F.col("sa") + F.col("sb")
+        shared_ = F.least("ca", "cb") * (1 + similarity) >= similarity * both - 1e-6
+        apart = sum((F.bit_count(F.col(m + "a").bitwiseXOR(F.col(m + "b"))) for m in maps), F.lit(0)) * (1 + similarity) <= (1 - similarity) * both + 1e-6
+        allowed = F.expr(f"ra <> rb and ({but})") & F.coalesce(shared_ & apart, F.lit(True))
+        return named(left, "a").join(named(right, "b"), "key").where(allowed)
+
+    def proposed(keyed: DataFrame) -> DataFrame:
+        """Pairs inside keys of (key, node, ..., n): all of a small crowd, each with its leaders in a larger one."""
+        few, many = keyed.where(F.col("n") <= NEAR_CROWD), keyed.where(F.col("n") > NEAR_CROWD)
+        least = many.groupBy("key").agg(*[F.min(F.xxhash64("node", F.lit(i))).alias(f"l{i}") for i in range(LEADERS)])
+        led = many.join(least, "key").where(" or ".join(f"xxhash64(node, {i}) = l{i}" for i in range(LEADERS)))
+        return sides(few, few, "na < nb").select("na", "nb").unionByName(sides(many, led, "na <> nb").select("na", "nb")).toDF("a", "b")
+
+    def outside(keyed: DataFrame) -> DataFrame:
+        """Pairs of the few nodes outside a key's main component with all of other components, once in their least key."""
+        full = keyed.join(keyed.groupBy("node").agg(F.collect_set("key").alias("every")), "node")
+        pairs = sides(full.where("root <> main"), full, "rb = mb or na < nb")
+        return pairs.where(F.array_min(F.array_intersect("ea", "eb")) == F.col("key")).select("na", "nb").toDF("a", "b")
+
     own = nodes.select("node", F.posexplode("keys").alias("also", "own"))
-    used = F.expr("shiftleft(1, band)")
-    rest = shared.where(F.col("n") > NEAR_CROWD).select(F.xxhash64("band", "key").alias("key"), used.alias("used"), "node")
-    while not rest.isEmpty():  # BANDS rounds at most
-        leaders = rest.groupBy("key").agg(F.min("node").alias("b"))
-        against = stored(rest.join(leaders, "key").where("node <> b"), "against")
-        linked = verified(against.select(F.col("node").alias("a"), "b"))
-        both = linked.unionByName(linked.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        left = against.join(both, (against["node"] == both["a"]) & (against["b"] == both["b"]), "left_anti").select("key", "used", "node")
-        bit = F.expr("shiftleft(1, also)")
-        finer = left.join(own, "node").where(F.expr("shiftright(used, also) = 0"))  # earlier keys have had their own round
-        finer = finer.select(F.xxhash64("key", "also", "own").alias("key"), F.col("used").bitwiseOR(bit).alias("used"), "node")
-        sizes = finer.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-        finer = stored(finer.join(sizes, "key"), "finer")
-        small = finer.where(F.col("n") <= NEAR_CROWD).select("key", "node")
-        pairs = small.withColumnRenamed("node", "a").join(small.withColumnRenamed("node", "b"), "key").where("a < b").select("a", "b")
-        found = found.unionByName(linked).unionByName(verified(pairs))
-        rest = finer.where(F.col("n") > NEAR_CROWD).drop("n")
-    rooted = sketches.join(components(found), "node", "left").select("doc_key", "tag", "node", F.coalesce("root", "node").alias("root"))
+    met = shared.select(F.xxhash64("band", "key").alias("key"), F.expr("shiftleft(1, band)").alias("used"), "node", F.col("node").alias("root"), "n")
+    crowd = sets.join(met.where(F.col("n") > NEAR_CROWD).select("node").distinct(), "node")
+    alone = crowd.select("node", "shingles").mapInArrow(_single_shingles, "node long, shingle long").groupBy("shingle").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("node"))
+    alone = alone.where("n = 1").groupBy("node").agg(F.count(F.lit(1)).alias("alone"))
+    drawn = crowd.select("node", "shingles").mapInArrow(_bitmaps, ", ".join(["node long", "size long", *(f"`{m}` long" for m in maps)]))
+    facts = drawn.join(alone, "node", "left").withColumn("common", F.col("size") - F.coalesce("alone", F.lit(0))).drop("alone")
+    facts = stored(facts.where(F.col("common") >= similarity * F.col("size") - 1e-6), "facts")
+    many = met.where(F.col("n") > NEAR_CROWD).drop("n").join(facts, "node")
+    many = many.join(many.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "key")
+    few = met.where(F.col("n") <= NEAR_CROWD).withColumns({c: F.lit(None).cast("long") for c in facts.columns if c != "node"})
+    met = stored(few.unionByName(many), "met")
+    rooted = components(verified(proposed(met).unionByName(ringed)))
+    for _ in range(BANDS):
+        rest = met.where(F.col("n") > NEAR_CROWD).drop("n", "root").join(rooted, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        tally = rest.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n")).groupBy("key").agg(F.max_by("root", "n").alias("main"), (F.sum("n") - F.max("n")).alias("out"))
+        rest = stored(rest.join(tally.where("out > 0"), "key"), "open")
+        if rest.isEmpty():
+            break
+        finer = rest.where(F.col("out") > OUTSIDE).drop("main", "out").join(own, "node").where(F.expr("shiftright(used, also) = 0"))  # earlier keys have had their own round
+        finer = finer.withColumns({"key": F.xxhash64("key", "also", "own"), "used": F.col("used").bitwiseOR(F.expr("shiftleft(1, also)"))}).drop("also", "own")
+        sizes = finer.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("least"), F.max("root").alias("most")).where("least < most").select("key", "n")
+        met = stored(finer.join(sizes, "key"), "finer")
+        linked = verified(outside(rest.where(F.col("out") <= OUTSIDE)).unionByName(proposed(met)))
+        rooted = components(linked.unionByName(rooted.select(F.col("node").alias("a"), F.col("root").alias("b"))))
+    rooted = sketches.join(rooted, "node", "left").select("doc_key", "tag", "node", F.coalesce("root", "node").alias("root"))
     firsts = rooted.groupBy("root").agg(F.min(F.struct("doc_key", "tag")).alias("first"))
     return rooted.join(firsts, "root").select("doc_key", "tag", "node", F.col("first.doc_key").alias("group_key"), F.col("first.tag").alias("group_tag"))
 
