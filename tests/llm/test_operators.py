@@ -219,6 +219,24 @@ def test_near_copies_keep_the_first_of_each_group(docs, none):
     assert simhash.keep_one(none).count() == 0
 
 
+@pytest.mark.parametrize("outside", [512, 2])
+def test_crowds_of_near_copies_are_grouped_as_by_brute_force(spark, monkeypatch, outside):
+    for name, value in {"NEAR_CROWD": 4, "LEADERS": 1, "OUTSIDE": outside}.items():
+        monkeypatch.setattr(simhash, name, value)
+    rng = random.Random(5)
+    base = [f"w{i}" for i in range(120)]
+    texts = {}
+    for i in range(60):
+        words = list(base)
+        for at in rng.sample(range(120), rng.choice([1, 1, 2, 6])):
+            words[at] = f"x{i}-{at}"
+        texts[i] = " ".join(words)
+    sets = {i: {tuple(w[j : j + 5]) for j in range(116)} for i, w in ((i, t.split()) for i, t in texts.items())}
+    near = [(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    kept = simhash.keep_one(spark.createDataFrame(list(texts.items()), "doc_id long, text string"))
+    assert {r.doc_id for r in kept.collect()} == set(_groups(sets, near).values())
+
+
 def test_chat_round_trip(spark):
     rows = [(1, 0, "system", "a\\e[b]<s>"), (1, 1, "user", None), (1, 2, "assistant", "</s>\n[user] x \\"), (2, 0, "assistant", "first"), (3, None, None, "x"), (3, 1, "user", "y"), (None, 0, "user", "q"), (1, 2, "assistant", "</s>\n[user] x \\")]
     given = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("segments", F.lit("clash"))
