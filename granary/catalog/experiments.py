@@ -175,7 +175,7 @@ def x8(t):
 
 @query("x9_bootstrap")
 def x9(t):
-    return X.bootstrap_test(t.observations, replicates=1000)
+    return X.bootstrap_test(t.observations)
 
 
 def _experiments(t):

@@ -75,7 +75,7 @@ def d4(t):
     target = _target(t, "forecasts")
     history = cut_lineage(t.demand_monthly)
     D.run_available(touched, target, D.refresh_forecasts(history, M.per_series("arima", M._arima)))
-    return D.read_target(t.spark, target)
+    return D.read_newest(t.spark, target, D.SERIES)
 
 
 @query(
@@ -92,4 +92,4 @@ def d5(t):
     )
     target = _target(t, "group-metrics")
     D.running_group_metrics(observed, target)
-    return rounded(rounded(t.spark.read.parquet(target), ["rmse", "mae"], 6), ["mape"], 4)
+    return rounded(rounded(D.read_newest(t.spark, target), ["rmse", "mae"], 6), ["mape"], 4)

@@ -224,38 +224,52 @@ def chi_square(successes: DataFrame, keys: list[str]) -> DataFrame:
     return tested.withColumn("p_value", p).withColumn("significant", F.col("p_value") < 0.05)
 
 
+_STREAMS = 1024
+
+
 def bootstrap_means(
     observations: DataFrame, replicates: int = 10_000, seed: int = 42, keys: tuple[str, ...] = ("variant", "metric")
 ) -> DataFrame:
     """Means of Poisson bootstrap replicates per group: (keys, replicate, mean).
 
-    Equal values collapse to counts. Every task draws weights for its own values, with a generator seeded by the
-    value itself, and emits one partial sum per (group, replicate), so nothing depends on how rows are spread.
+    Equal values collapse to counts. The values of a group are dealt by hash to `_STREAMS` generators, each seeded by
+    its own number and drawing in the order of its values, so nothing depends on how rows are spread. A task holds the
+    sums of one group at a time and emits one partial sum per (group, replicate).
     """
     counts = value_counts(observations, list(keys), ["value"]).select(
-        *keys, "value", "n", F.xxhash64(*keys, "value", F.lit(seed)).alias("seed")
+        *keys, F.pmod(F.xxhash64("value"), F.lit(_STREAMS)).alias("stream"), "value", "n"
     )
+    counts = counts.withColumn("seed", F.xxhash64(*keys, "stream", F.lit(seed)))
     types = dict(observations.dtypes)
     schema = ", ".join(f"{k} {types[k]}" for k in keys) + ", replicate int, total double, weight double"
 
+    def sums_of(group: tuple, acc: np.ndarray) -> pd.DataFrame:
+        out = pd.DataFrame({"replicate": np.arange(replicates, dtype="int32"), "total": acc[0], "weight": acc[1]})
+        for k, v in zip(keys, group):
+            out[k] = v
+        return out[[*keys, "replicate", "total", "weight"]]
+
     def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sums: dict[tuple, np.ndarray] = {}
+        group, acc, at, rng = None, np.zeros((2, replicates)), None, None
         for pdf in batches:
-            for group, part in pdf.groupby(list(keys), sort=False):
-                acc = sums.setdefault(group, np.zeros((2, replicates)))
-                for value, n, s in zip(part["value"], part["n"], part["seed"]):
-                    weights = np.random.default_rng(int(s) & 0xFFFFFFFFFFFFFFFF).poisson(n, replicates)
-                    acc[0] += weights * value
-                    acc[1] += weights
-        for group, acc in sums.items():
-            out = pd.DataFrame({"replicate": np.arange(replicates, dtype="int32"), "total": acc[0], "weight": acc[1]})
-            for k, v in zip(keys, group):
-                out[k] = v
-            yield out[[*keys, "replicate", "total", "weight"]]
+            for (*here, s), part in pdf.groupby([*keys, "seed"], sort=False, dropna=False):
+                if tuple(here) != group:
+                    if group is not None:
+                        yield sums_of(group, acc)
+                    group, acc = tuple(here), np.zeros((2, replicates))
+                if (group, s) != at:
+                    at, rng = (group, s), np.random.default_rng(int(s) & 0xFFFFFFFFFFFFFFFF)
+                for i in range(0, len(part), 64):
+                    values, n = (part[c].to_numpy(float)[i : i + 64] for c in ("value", "n"))
+                    weights = rng.poisson(n[:, None], (len(n), replicates)).astype(float)
+                    acc += np.stack([values, np.ones(len(n))]) @ weights
+        if group is not None:
+            yield sums_of(group, acc)
 
     # Every task emits one row per (group, replicate), so one task per core keeps the partial sums few.
     cores = observations.sparkSession.sparkContext.defaultParallelism
-    partial = spread(counts, *keys, "value", parts=cores).mapInPandas(draw, schema)
+    dealt = spread(counts, *keys, "stream", parts=cores).sortWithinPartitions(*keys, "stream", "value")
+    partial = dealt.mapInPandas(draw, schema)
     return partial.groupBy(*keys, "replicate").agg(F.try_divide(F.sum("total"), F.sum("weight")).alias("mean"))
 
 

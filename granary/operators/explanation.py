@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+import random
 
-import numpy as np
-import pandas as pd
 from pyspark.ml import PipelineModel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from granary.operators.scale import spread, with_row
+from granary.operators.scale import numbered, with_row
+from granary.session import cut_lineage
 
 
 def model_importance(model: PipelineModel, features: list[str], spark) -> DataFrame:
@@ -26,25 +26,32 @@ def permutation_importance(
 ) -> DataFrame:
     """Mean drop of the fit quality (r2) when one feature is shuffled.
 
-    Rows are spread by a hash of their content, then each feature is shuffled inside every Arrow batch of such a
-    random block, so no global order is needed. All shuffles go through the model in one distributed pass.
+    Rows are numbered once in the order of a seeded hash of their content. For every (feature, repeat), row i takes the
+    feature of row (a * i + b) mod n, with a step a that has no divisor in common with n: a rearrangement of all rows by
+    an equi-join on the number, the same for any partitioning. All of them go through the model in one distributed pass.
     """
     columns = [*features, target]
     numbers = rows.select(*[F.col(c).cast("double").alias(c) for c in columns])
-    placed = spread(numbers.withColumn("_h", F.xxhash64(*columns, F.lit(seed))), "_h").sortWithinPartitions("_h")
-    schema = ", ".join(f"{c} double" for c in columns) + ", feature string, repeat int"
-
-    def shuffled(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rng = np.random.default_rng(abs(int(pdf["_h"].iloc[0])) % 2**63 if len(pdf) else seed)
-            plain = pdf[columns]
-            yield plain.assign(feature="", repeat=np.int32(0))
-            for feature in features:
-                values = plain[feature].to_numpy()
-                for repeat in range(repeats):
-                    yield plain.assign(**{feature: rng.permutation(values), "feature": feature, "repeat": np.int32(repeat)})
-
-    scored = model.transform(placed.mapInPandas(shuffled, schema))
+    placed = cut_lineage(numbered(numbers, [F.xxhash64(*columns, F.lit(seed)), *map(F.col, columns)], "_i"))
+    count = placed.count()
+    draws, most = random.Random(seed), max(1, min(count, 2**62 // max(count, 1)))
+
+    def step() -> int:
+        while math.gcd(a := draws.randint(1, most), max(count, 1)) > 1:
+            pass
+        return a
+
+    plans = [(f, r, step(), draws.randrange(max(count, 1))) for f in range(len(features)) for r in range(repeats)]
+    plan = F.explode(F.array(*[F.struct(*[F.lit(v).cast("bigint").alias(c) for c, v in zip("frab", p)]) for p in plans]))
+    wide = placed.select("*", plan.alias("_p")).withColumn("_j", F.pmod(F.col("_p.a") * F.col("_i") + F.col("_p.b"), F.lit(count)) + 1)
+    given = placed.select(F.col("_i").alias("_j"), F.array(*features).alias("_given"))
+    taken = lambda k, c: F.when(F.col("_p.f") == k, F.get("_given", F.lit(k))).otherwise(F.col(c)).alias(c)
+    shuffled = wide.join(given, "_j").select(
+        *[taken(k, c) for k, c in enumerate(features)], target,
+        F.get(F.array(*map(F.lit, features)), F.col("_p.f").cast("int")).alias("feature"), F.col("_p.r").cast("int").alias("repeat"),
+    )
+    plain = placed.select(*columns, F.lit("").alias("feature"), F.lit(0).alias("repeat"))
+    scored = model.transform(plain.unionByName(shuffled))
     gap = F.col(target) - F.col("yhat")
     quality = 1 - F.try_divide(F.sum(gap * gap), F.var_pop(target) * F.count(F.lit(1)))
     per_shuffle = scored.groupBy("feature", "repeat").agg(quality.alias("r2"))

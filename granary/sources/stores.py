@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,39 +13,49 @@ class VersionedTable:
     """A table made of part folders and a small log of them.
 
     Every change writes one new part folder completely and only then lists it in the log, so a failed job leaves
-    the table as it was. An append adds a part and touches no older one; a replacement starts a new list.
+    the table as it was. An append adds a part and touches no older one; a replacement starts a new list. Folder names
+    are unique, so writers that run at the same time keep each other's appends; of two replacements the one with the
+    higher version, then name, holds.
     """
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder
 
-    def _log(self) -> list[tuple[int, bool]]:
-        """(part, starts a new list) per change; one entry per change ever made, not per row."""
+    def _log(self) -> list[tuple[int, str, bool]]:
+        """(version, part folder, starts a new list) per change; one entry per change ever made, not per row."""
         try:
-            rows = self.spark.read.parquet(f"{self.folder}/log").select("part", "fresh").collect()
-        except AnalysisException:
-            return []
-        return sorted((r.part, r.fresh) for r in rows)
+            rows = self.spark.read.parquet(f"{self.folder}/log")
+        except AnalysisException as e:
+            if e.getCondition() == "PATH_NOT_FOUND":
+                return []
+            raise
+        return sorted((r.version, r.part, r.fresh) for r in rows.select("version", "part", "fresh").collect())
 
     def version(self) -> int:
-        return max((part for part, _ in self._log()), default=0)
+        return max((version for version, _, _ in self._log()), default=0)
 
     def read(self) -> DataFrame | None:
         log = self._log()
         if not log:
             return None
-        first = max(part for part, fresh in log if fresh)
-        parts = [f"{self.folder}/part-{part}" for part, _ in log if part >= first]
-        return self.spark.read.option("mergeSchema", len(parts) > 1).parquet(*parts)
+        first, start = max((version, part) for version, part, fresh in log if fresh)
+        parts = [start] + [part for version, part, fresh in log if version >= first and not fresh]
+        return self.spark.read.option("mergeSchema", len(parts) > 1).parquet(*[f"{self.folder}/{p}" for p in parts])
+
+    def newest(self) -> DataFrame:
+        """The rows of the last change only."""
+        return self.spark.read.parquet(f"{self.folder}/{self._log()[-1][1]}")
 
     def _write(self, df: DataFrame, fresh: bool) -> int:
-        part = self.version() + 1
-        df.write.mode("overwrite").parquet(f"{self.folder}/part-{part}")
+        version = self.version() + 1
+        part = f"part-{version}-{uuid.uuid4().hex}"
+        df.write.parquet(f"{self.folder}/{part}")
         entry = self.spark.range(1).select(
-            F.lit(part).alias("part"), F.lit(fresh).alias("fresh"), F.current_timestamp().alias("written_at")
+            F.lit(version).alias("version"), F.lit(part).alias("part"), F.lit(fresh).alias("fresh"),
+            F.current_timestamp().alias("written_at"),
         )
         entry.write.mode("append").parquet(f"{self.folder}/log")
-        return part
+        return version
 
     def replace(self, df: DataFrame) -> int:
         return self._write(df, fresh=True)
@@ -90,7 +102,7 @@ class Warehouse:
             raise ValueError(f"unknown update {how!r}; use append or replace")
         store = self._table(table)
         version = store.append(df) if how == "append" else store.replace(df)
-        self.record(table, f"update_{how}", source, store.read().count(), f"version {version}")
+        self.record(table, f"update_{how}", source, store.newest().count(), f"version {version}")
 
     def refresh(self, table: str, reader, source: str) -> DataFrame:
         self.update(table, reader(table), "replace", source)

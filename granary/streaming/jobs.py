@@ -1,7 +1,7 @@
 """Incremental jobs over file streams.
 
 Every sink writes one folder per micro-batch (`batch_id=<n>`) in overwrite mode, so a batch replayed after a failure
-replaces its own output and nothing else. State that a batch builds on is read from lower batch ids only.
+replaces its own output and nothing else. State that a batch builds on is read from the batch before only.
 """
 
 from __future__ import annotations
@@ -42,12 +42,20 @@ def read_target(spark: SparkSession, target: str) -> DataFrame:
     return spark.read.option("basePath", target).parquet(target).drop("batch_id")
 
 
-def _earlier(spark: SparkSession, target: str, batch_id: int) -> list[DataFrame]:
-    """The target's rows of lower batch ids; empty before the first write."""
-    if batch_id == 0:
-        return []
+def read_newest(spark: SparkSession, target: str, keys: list[str] | None = None) -> DataFrame:
+    """The rows of the last batch, or with `keys` each key's row of the last batch that has one."""
     rows = spark.read.option("basePath", target).parquet(target)
-    return [rows.where(F.col("batch_id") < batch_id).drop("batch_id")]
+    if keys is None:
+        last = rows.agg(F.max("batch_id")).first()[0]
+        return rows.where(F.col("batch_id").eqNullSafe(F.lit(last))).drop("batch_id")
+    rest = [c for c in rows.columns if c not in (*keys, "batch_id")]
+    newest = rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch_id").alias("_row"))
+    return newest.select(*keys, "_row.*")
+
+
+def _state(target: str, batch_id: int) -> str:
+    """The folder beside the target that holds what the next batch needs to know of all batches up to this one."""
+    return f"{target}_state/batch_id={batch_id}"
 
 
 class StreamRegistry:
@@ -74,30 +82,46 @@ class StreamRegistry:
 
 
 def roll_forward(base: DataFrame, target: str, qty: str = "on_hand_qty", keys: list[str] = SERIES) -> BatchJob:
-    """Next-day stock of the keys a batch of deltas (keys, delta) touches: latest row plus delta, not below zero."""
+    """Next-day stock of the keys a batch of deltas (keys, delta) touches: latest row plus delta, not below zero.
+
+    A micro-batch stands for a day: each one that touches a key moves it by one date and keeps it at zero or more. The
+    base is read for the first batch only; later ones start from the state of the batch before.
+    """
 
     def job(batch: DataFrame, batch_id: int) -> DataFrame:
-        changes = batch.groupBy(*keys).agg(F.sum("delta").alias("_delta"))
-        history = base.select(*keys, "date", qty)
-        for rows in _earlier(batch.sparkSession, target, batch_id):
-            history = history.unionByName(rows)
-        latest = latest_per_key(history, keys, ["date"])
-        moved = latest.join(changes, keys)
-        return moved.select(
-            *keys, F.date_add("date", 1).alias("date"), F.greatest(F.lit(0), F.col(qty) + F.col("_delta")).alias(qty)
+        spark = batch.sparkSession
+        changes = batch.groupBy(*keys).agg(F.coalesce(F.sum("delta"), F.lit(0)).alias("_delta"))
+        if batch_id == 0:
+            before = latest_per_key(base.select(*keys, "date", qty), keys, ["date"])
+        else:
+            before = spark.read.parquet(_state(target, batch_id - 1)).drop("moved")
+        moved = F.col("_delta").isNotNull()
+        after = before.join(changes, keys, "left").select(
+            *keys, F.when(moved, F.date_add("date", 1)).otherwise(F.col("date")).alias("date"),
+            F.when(moved, F.greatest(F.lit(0), F.col(qty) + F.col("_delta"))).otherwise(F.col(qty)).alias(qty),
+            moved.alias("moved"),
         )
+        after.write.mode("overwrite").parquet(_state(target, batch_id))
+        return spark.read.parquet(_state(target, batch_id)).where("moved").drop("moved")
 
     return job
 
 
 def ingest_orders(existing: DataFrame, target: str, order_by: str, id_column: str = "po_id") -> BatchJob:
-    """New orders numbered on from the highest id so far, in the order of a unique column."""
+    """New orders numbered on from the highest id so far, in the order of a unique column.
+
+    The highest id is looked up in `existing` for the first batch only; later ones read the state of the batch before.
+    """
 
     def job(batch: DataFrame, batch_id: int) -> DataFrame:
-        ids = existing.select(id_column)
-        for rows in _earlier(batch.sparkSession, target, batch_id):
-            ids = ids.unionByName(rows.select(id_column))
-        top = ids.agg(F.coalesce(F.max(id_column), F.lit(0)).alias("top")).first()["top"]
+        spark = batch.sparkSession
+        if batch_id == 0:
+            known = existing.agg(F.coalesce(F.max(id_column), F.lit(0)).cast("bigint").alias("top"))
+        else:
+            known = spark.read.parquet(_state(target, batch_id - 1))
+        top = known.first()["top"]
+        after = batch.agg((F.count(F.lit(1)) + F.lit(top)).cast("bigint").alias("top"))
+        after.write.mode("overwrite").parquet(_state(target, batch_id))
         return numbered(batch, [F.col(order_by)], "_n").withColumn(id_column, F.col("_n") + F.lit(top)).drop("_n")
 
     return job
@@ -124,7 +148,7 @@ def refresh_forecasts(
 
 
 def running_group_metrics(stream: DataFrame, target: str, checkpoint: str | None = None) -> None:
-    """Running error measures per experiment group; the state is one row per group, rewritten after every batch."""
+    """Running error measures per experiment group: each batch writes one row per group; `read_newest` has the last."""
     measured = observation_errors(stream).groupBy("group").agg(
         F.count(F.lit(1)).alias("n"),
         F.sqrt(F.avg("squared_error")).alias("rmse"),
@@ -133,7 +157,7 @@ def running_group_metrics(stream: DataFrame, target: str, checkpoint: str | None
     )
     running = (
         measured.writeStream.outputMode("complete")
-        .foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(target))
+        .foreachBatch(lambda batch, n: batch.write.mode("overwrite").parquet(f"{target}/batch_id={n}"))
         .option("checkpointLocation", checkpoint or scratch_path(stream.sparkSession, "stream"))
         .trigger(availableNow=True)
         .start()
