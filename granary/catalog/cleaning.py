@@ -304,26 +304,26 @@ def v1(t):
 
 @query(
     "v2_whole_numbers",
-    """SELECT 'items' AS "table", 'whole_number' AS rule, 'min_order_qty' AS "column", CAST(0 AS BIGINT) AS violations,
-              true AS is_valid
-       UNION ALL SELECT 'items', 'whole_number', 'pack_size', CAST(1 AS BIGINT), false""",
+    _rule_sql("items", "items", "whole_number", "min_order_qty", "min_order_qty % 1 <> 0")
+    + " UNION ALL " + _rule_sql("items", "items", "whole_number", "pack_size", "pack_size % 4 <> 0"),
+    ("items",),
 )
 def v2(t):
-    return V.check_whole_numbers(t.items.withColumn("pack_size", F.col("pack_size").cast("double")), "items")
+    return V.check_whole_numbers(t.items.withColumn("pack_size", F.col("pack_size") / 4), "items")
 
 
 @query(
     "v3_check_all",
     f"""SELECT 'suppliers' AS "table", 'present' AS rule, 'price_breaks' AS "column", CAST(1 AS BIGINT) AS violations,
                false AS is_valid
-        UNION ALL SELECT 'items', 'whole_number', 'pack_size', CAST(1 AS BIGINT), false
+        UNION ALL SELECT * FROM ({_rule_sql("items", "items", "whole_number", "pack_size", "pack_size % 4 <> 0")}) WHERE NOT is_valid
         UNION ALL SELECT * FROM ({_null_sql("purchase_orders", _GAPPY, _PO_REQUIRED)}) WHERE NOT is_valid""",
-    ("purchase_orders",),
+    ("items", "purchase_orders"),
 )
 def v3(t):
     return V.check_all(
         {
-            "items": t.items.withColumn("pack_size", F.col("pack_size").cast("double")),
+            "items": t.items.withColumn("pack_size", F.col("pack_size") / 4),
             "locations": t.locations,
             "suppliers": t.suppliers.drop("price_breaks"),
             "inventory_daily": t.inventory_daily,

@@ -46,9 +46,14 @@ def x3(t):
     return t.table("part").select("p_partkey", X.assign_stratified(F.col("p_partkey"), _WEIGHTS).alias("variant"))
 
 
-@query("x4_assign_random")
+@query(
+    "x4_assign_random",
+    f"""SELECT event_type, CASE WHEN f <= 0.3 THEN 'control' ELSE 'variant' END AS variant, count(*) AS n
+        FROM (SELECT event_type, {_BITS.format(key="concat(CAST(event_id AS VARCHAR), '_7')")}
+                     / CAST(1152921504606846976 AS DOUBLE) AS f FROM events) GROUP BY ALL""",
+)
 def x4(t):
-    drawn = t.table("events").withColumn("variant", X.assign_random({"control": 0.3, "variant": 0.7}, 7))
+    drawn = t.table("events").withColumn("variant", X.assign_random({"control": 0.3, "variant": 0.7}, 7, F.col("event_id")))
     return drawn.groupBy("event_type", "variant").agg(F.count(F.lit(1)).alias("n"))
 
 

@@ -286,8 +286,8 @@ def _ml(name: str, model: str, **params) -> None:
 
 
 _ml("m12_linear", "linear_regression")
-_ml("m12_random_forest", "random_forest", numTrees=20)
-_ml("m12_gradient_boosting", "gradient_boosting", maxIter=10)
+_ml("m12_random_forest", "random_forest")
+_ml("m12_gradient_boosting", "gradient_boosting")
 
 
 @query("m13_tune")

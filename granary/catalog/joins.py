@@ -118,15 +118,15 @@ def j4(t):
 @query(
     "j5_last_supplier_lead_time",
     """SELECT i.item_id, o.supplier_id, coalesce(s.lead_time_days, 1) AS lead_time_days
-       FROM items i
+       FROM (SELECT item_id FROM items UNION SELECT item_id + 10 FROM items) i
        LEFT JOIN (SELECT item_id, arg_max(supplier_id, (order_date, po_id)) AS supplier_id
-                  FROM purchase_orders WHERE status = 'P' AND priority = '1-URGENT' GROUP BY ALL) o USING (item_id)
+                  FROM purchase_orders GROUP BY ALL) o USING (item_id)
        LEFT JOIN suppliers s ON o.supplier_id = s.supplier_id""",
     ("items", "purchase_orders", "suppliers"),
 )
 def j5(t):
-    orders = t.purchase_orders.where("status = 'P' and priority = '1-URGENT'")
-    return J.last_supplier_lead_time(t.items.select("item_id"), orders, t.suppliers)
+    listed = t.items.select("item_id").union(t.items.select(F.col("item_id") + 10)).distinct()  # the last ten have no orders
+    return J.last_supplier_lead_time(listed, t.purchase_orders, t.suppliers)
 
 
 @query(

@@ -14,26 +14,29 @@ from granary.plans import policies as P
 def _inputs(t):
     """Policy inputs with the demand spread over the lead time and a lead-time forecast."""
     return t.policy_inputs.select(
-        "item_id", "stock", "on_order", (F.col("avg_daily_demand") * 0.99731).alias("avg_daily_demand"), "lead_time",
-        "unit_price",
+        "item_id", "stock", "on_order", "avg_daily_demand", "lead_time", "unit_price",
         (F.col("demand_std") * F.sqrt("lead_time")).alias("lead_time_std"),
-        (F.col("avg_daily_demand") * 0.99731 * (F.col("lead_time") + 1)).alias("demand_forecast"),
+        (F.col("avg_daily_demand") * (F.col("lead_time") + 1)).alias("demand_forecast"),
     )
 
 
-_POLICY = """pol AS (SELECT *, round(1.65::DOUBLE * lead_time_std, 2) AS ss,
-        round(avg_daily_demand * lead_time + round(1.65::DOUBLE * lead_time_std, 2), 2) AS rop,
+def _cents(value: str) -> str:
+    return f"CAST(round(CAST({value} AS DECIMAL(38, 6)), 2) AS DOUBLE)"
+
+
+_POLICY = f"""pol AS (SELECT *, round(1.65::DOUBLE * lead_time_std, 2) AS ss,
+        {_cents("avg_daily_demand * lead_time + round(1.65::DOUBLE * lead_time_std, 2)")} AS rop,
         sqrt(2 * (avg_daily_demand * 365) * 100 / 10) AS eoq
-    FROM (SELECT item_id, stock, on_order, avg_daily_demand * 0.99731::DOUBLE AS avg_daily_demand, lead_time, unit_price,
+    FROM (SELECT item_id, stock, on_order, avg_daily_demand, lead_time, unit_price,
                  demand_std * sqrt(lead_time) AS lead_time_std,
-                 avg_daily_demand * 0.99731::DOUBLE * (lead_time + 1) AS demand_forecast
+                 avg_daily_demand * (lead_time + 1) AS demand_forecast
           FROM policy_inputs))"""
 
 
 @query(
     "r1_reorder_point_policy",
     f"""WITH {_POLICY} SELECT item_id, stock, ss AS safety_stock, rop AS reorder_point, stock <= rop AS need_replenishment,
-               CASE WHEN stock <= rop THEN round(eoq, 2) ELSE 0 END AS suggested_order_qty FROM pol""",
+               CASE WHEN stock <= rop THEN {_cents("eoq")} ELSE 0 END AS suggested_order_qty FROM pol""",
     ("policy_inputs",),
 )
 def r1(t):
@@ -43,9 +46,9 @@ def r1(t):
 
 @query(
     "r2_order_up_to_policy",
-    f"""WITH {_POLICY} SELECT item_id, round(demand_forecast + ss, 2) AS order_up_to_level,
-               round(stock + on_order, 2) AS available_inventory,
-               round(greatest(0, demand_forecast + ss - (stock + on_order)), 2) AS suggested_order_qty,
+    f"""WITH {_POLICY} SELECT item_id, {_cents("demand_forecast + ss")} AS order_up_to_level,
+               {_cents("stock + on_order")} AS available_inventory,
+               {_cents("greatest(0, demand_forecast + ss - (stock + on_order))")} AS suggested_order_qty,
                greatest(0, demand_forecast + ss - (stock + on_order)) > 0 AS need_replenishment FROM pol""",
     ("policy_inputs",),
 )
@@ -287,11 +290,11 @@ def _discounts(t, holding: float):
     )
     return t.policy_inputs.select(
         "item_id", (F.col("avg_daily_demand") * 365).alias("demand"), F.lit(100.0).alias("order_cost"),
-        F.lit(holding).alias("holding_cost"), (F.sqrt("unit_price") * 30).alias("unit_cost"), tiers.alias("tiers"),
+        F.lit(holding).alias("holding_cost"), F.col("unit_price").cast("double").alias("unit_cost"), tiers.alias("tiers"),
     )
 
 
-_TIERS = """di AS (SELECT item_id, avg_daily_demand * 365 AS d, sqrt(unit_price) * 30 AS c FROM policy_inputs),
+_TIERS = """di AS (SELECT item_id, avg_daily_demand * 365 AS d, CAST(unit_price AS DOUBLE) AS c FROM policy_inputs),
     ti AS (SELECT item_id, d, c, lo + item_id % 50 AS m, r, rank() OVER (PARTITION BY item_id ORDER BY lo) AS tier
            FROM di, (VALUES (300, 0.05::DOUBLE), (0, 0.01::DOUBLE), (900, 0.1::DOUBLE)) v(lo, r))"""
 
@@ -391,8 +394,8 @@ def _projection_sql(name: str, arrivals: str) -> str:
 
 
 _PLAN = f"""{_PLAN_BASE}, {_projection_sql("pr", "(SELECT 0 AS item_id, 0 AS period, 0.0::DOUBLE AS arrivals)")},
-    od AS (SELECT item_id, period, requirement, least(ceil(greatest(requirement, min_order) / pack_size) * pack_size, 120)
-                  AS order_qty, late, lead_time
+    od AS (SELECT item_id, period, requirement, least(ceil(greatest(requirement, min_order) / pack_size) * pack_size,
+                                                      floor(120 / pack_size) * pack_size) AS order_qty, late, lead_time
            FROM (SELECT item_id, CAST(greatest(period - lead_time, 1) AS INTEGER) AS period, sum(shortage) AS requirement,
                         max(period - lead_time < 1) AS late, any_value(min_order) AS min_order,
                         any_value(pack_size) AS pack_size, any_value(lead_time) AS lead_time
@@ -414,8 +417,8 @@ def r11(t):
 
 @query(
     "r12_build_orders",
-    f"""WITH {_PLAN} SELECT item_id, period, requirement, order_qty, late,
-               CAST(period + lead_time AS INTEGER) AS arrival_period FROM od""",
+    f"""WITH {_PLAN} SELECT item_id, period, requirement, order_qty,
+               CAST(greatest(requirement - order_qty, 0) AS DOUBLE) AS uncovered, late, CAST(period + lead_time AS INTEGER) AS arrival_period FROM od""",
     _PLAN_VIEWS,
 )
 def r12(t):

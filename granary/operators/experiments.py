@@ -42,8 +42,10 @@ def assign_sticky(unit: Column, product: Column | None, weights: dict[str, float
     return _by_weight(hash_fraction(key), weights)
 
 
-def assign_random(weights: dict[str, float], seed: int) -> Column:
-    return _by_weight(F.rand(seed), weights)
+def assign_random(weights: dict[str, float], seed: int, key: Column | None = None) -> Column:
+    """Weighted variant drawn anew for every row; with a row `key` the draw is a hash of it, the same on every run."""
+    draw = F.rand(seed) if key is None else hash_fraction(F.concat_ws("_", key.cast("string"), F.lit(str(seed))))
+    return _by_weight(draw, weights)
 
 
 def assign_stratified(product: Column, weights: dict[str, float], seed: int = 0) -> Column:

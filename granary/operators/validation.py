@@ -6,7 +6,6 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from granary import schemas
 
@@ -45,6 +44,11 @@ def _nulls(df: DataFrame, columns: list[str]) -> list[Check]:
     return [("not_null", c, _count_if(F.col(c).isNull())) for c in columns if c in df.columns]
 
 
+def _whole(df: DataFrame, table: str) -> list[Check]:
+    columns = [c for c in schemas.WHOLE_NUMBERS.get(table, []) if c in df.columns]
+    return [("whole_number", c, _count_if(F.col(c).cast("double") % 1 != 0)) for c in columns]
+
+
 def check_required(df: DataFrame, table: str) -> DataFrame:
     """Required columns are present and hold no null."""
     required = schemas.REQUIRED[table]
@@ -52,21 +56,17 @@ def check_required(df: DataFrame, table: str) -> DataFrame:
 
 
 def check_whole_numbers(df: DataFrame, table: str) -> DataFrame:
-    """Quantity columns have a whole-number type; read from the schema, no scan of the data."""
-    whole = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
-    rows = []
-    for c in schemas.WHOLE_NUMBERS.get(table, []):
-        if c in df.columns:
-            bad = 0 if isinstance(df.schema[c].dataType, whole) else 1
-            rows.append((table, "whole_number", c, bad, bad == 0))
-    return df.sparkSession.createDataFrame(
-        rows, "table string, rule string, column string, violations bigint, is_valid boolean"
-    )
+    """Quantity columns hold whole numbers, whatever their type; a table without such columns has one valid row."""
+    return _report(df, table, _whole(df, table) or [("whole_number", "*", F.lit(0).cast("bigint"))])
 
 
 def check_all(tables: dict[str, DataFrame]) -> DataFrame:
-    """Failing checks over all tables."""
-    reports = [r for name, df in tables.items() for r in (check_required(df, name), check_whole_numbers(df, name))]
+    """Failing checks over all tables, each table read once."""
+    required = schemas.REQUIRED
+    reports = [
+        _report(df, name, _presence(df, required[name]) + _nulls(df, required[name]) + _whole(df, name))
+        for name, df in tables.items()
+    ]
     return reduce(DataFrame.unionByName, reports).where(~F.col("is_valid"))
 
 

@@ -68,7 +68,8 @@ def project_inventory(demand: DataFrame, items: DataFrame, orders: DataFrame | N
 
 def build_orders(projection: DataFrame, items: DataFrame, key: str = "item_id") -> DataFrame:
     """Orders that cover the projected shortages: placed a lead time ahead (at the earliest in period 1, then late),
-    in whole packs between the minimum and maximum. `items` has lead_time, pack_size, min_order, max_order."""
+    in whole packs between the minimum and maximum. `items` has lead_time, pack_size, min_order, max_order. What the
+    largest order within the maximum leaves open is `uncovered`."""
     short = projection.where(F.col("shortage") > 0).join(
         items.select(key, "lead_time", "pack_size", "min_order", "max_order"), key
     )
@@ -79,8 +80,12 @@ def build_orders(projection: DataFrame, items: DataFrame, key: str = "item_id")
         *[F.first(c).alias(c) for c in ("lead_time", "pack_size", "min_order", "max_order")],
     )
     packed = pack_round_up(F.col("requirement"), F.col("pack_size"), F.col("min_order")).cast("double")
+    size, most = F.col("pack_size"), F.col("max_order")
+    whole = F.when(size > 0, F.floor(most / size) * size).otherwise(most).cast("double")
+    ordered = F.least(packed, whole)
     return grouped.select(
-        key, "period", "requirement", F.least(packed, F.col("max_order").cast("double")).alias("order_qty"), "late",
+        key, "period", "requirement", ordered.alias("order_qty"),
+        F.greatest(F.col("requirement") - ordered, F.lit(0)).cast("double").alias("uncovered"), "late",
         (F.col("period") + F.col("lead_time")).cast("int").alias("arrival_period"),
     )
 

@@ -15,6 +15,11 @@ HOLDING_COST = 10.0
 Strategy = Callable[[], Column]
 
 
+def _cents(value: Column) -> Column:
+    """Two places, halves up; a half is judged at six places, so noise of sums in binary does not decide it."""
+    return F.round(value.cast("decimal(38,6)"), 2).cast("double")
+
+
 def reorder_point_policy(
     df: DataFrame, level: float = 0.95, ordering_cost: float = ORDERING_COST, holding_cost: float = HOLDING_COST
 ) -> DataFrame:
@@ -23,13 +28,13 @@ def reorder_point_policy(
     Needs stock, avg_daily_demand, lead_time and lead_time_std (deviation of demand over the lead time).
     """
     buffer = safety_stock(service_z(F.lit(level)), F.col("lead_time_std"))
-    point = F.round(reorder_point(F.col("avg_daily_demand"), F.col("lead_time"), F.col("safety_stock")), 2)
+    point = _cents(reorder_point(F.col("avg_daily_demand"), F.col("lead_time"), F.col("safety_stock")))
     quantity = eoq(F.col("avg_daily_demand") * 365, F.lit(ordering_cost), F.lit(holding_cost), "infinite")
     return (
         df.withColumn("safety_stock", buffer)
         .withColumn("reorder_point", point)
         .withColumn("need_replenishment", F.col("stock") <= F.col("reorder_point"))
-        .withColumn("suggested_order_qty", F.when(F.col("need_replenishment"), F.round(quantity, 2)).otherwise(0.0))
+        .withColumn("suggested_order_qty", F.when(F.col("need_replenishment"), _cents(quantity)).otherwise(0.0))
     )
 
 
@@ -40,9 +45,9 @@ def order_up_to_policy(df: DataFrame) -> DataFrame:
     quantity = F.greatest(F.lit(0.0), target - available)
     return df.withColumns(
         {
-            "order_up_to_level": F.round(target, 2),
-            "available_inventory": F.round(available, 2),
-            "suggested_order_qty": F.round(quantity, 2),
+            "order_up_to_level": _cents(target),
+            "available_inventory": _cents(available),
+            "suggested_order_qty": _cents(quantity),
             "need_replenishment": quantity > 0,
         }
     )
@@ -50,7 +55,7 @@ def order_up_to_policy(df: DataFrame) -> DataFrame:
 
 def _rop_quantity() -> Column:
     buffer = safety_stock(service_z(F.lit(0.95)), F.col("lead_time_std"))
-    point = F.round(reorder_point(F.col("avg_daily_demand"), F.col("lead_time"), buffer), 2)
+    point = _cents(reorder_point(F.col("avg_daily_demand"), F.col("lead_time"), buffer))
     quantity = eoq(F.col("avg_daily_demand") * 365, F.lit(ORDERING_COST), F.lit(HOLDING_COST), "infinite")
     return F.when(F.col("stock") <= point, quantity).otherwise(0.0)
 
