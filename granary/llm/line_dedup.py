@@ -7,8 +7,9 @@ place (least doc_id, then position) is deleted.
 
 Behaviour at the edges: lines are what a split at "\n" gives, compared byte by byte, and empty lines count as lines; a
 null text has no lines and stays null; texts with fewer than `run` lines stay as they are; a null doc_id comes before all
-others; of repeated rows with one doc_id and text, none is the earlier one, so both keep what no other place has; an
-empty table gives an empty result; all other columns are kept, whatever their names.
+others; of repeated rows with one doc_id and text, none is the earlier one, so both keep what no other place has; rows
+with one doc_id and different texts have an order by position, then by the hash of their text; an empty table gives an
+empty result; all other columns are kept, whatever their names.
 """
 
 from __future__ import annotations
@@ -36,12 +37,12 @@ def _cut(run: int):
 def _compare(run: int):
     def judge(pdf: pd.DataFrame) -> pd.DataFrame:
         lines = [c.split(b"\n") for c in pdf["content"]]
-        doc, first = pdf["doc_key"].to_numpy(), pdf["first"].to_numpy()
+        doc, first, tag = pdf["doc_key"].to_numpy(), pdf["first"].to_numpy(), pdf["tag"].to_numpy()
         earliest: dict[tuple, tuple] = {}
         places = []
         for i, (phrase, windows) in enumerate(zip(lines, pdf["windows"], strict=True)):
             for o in range(windows):
-                key, place = tuple(phrase[o : o + run]), (doc[i], first[i] + o)
+                key, place = tuple(phrase[o : o + run]), (doc[i], first[i] + o, tag[i])
                 places.append((i, o, key, place))
                 if place < earliest.setdefault(key, place):
                     earliest[key] = place

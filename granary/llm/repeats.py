@@ -319,7 +319,7 @@ def _settle(rule: str) -> Callable:
             many &= np.minimum.reduceat(d, starts) != np.maximum.reduceat(d, starts)
         order = order[np.repeat(many, sizes)]
         trigger, content, doc, tag, first, count = (a[order] for a in (trigger, content, doc, tag, first, count))
-        order = np.lexsort((first, tag, doc, content, trigger))
+        order = np.lexsort((tag, first, doc, content, trigger))
         trigger, content, doc, tag, first, count = (a[order] for a in (trigger, content, doc, tag, first, count))
         n = len(order)
         if not n:
@@ -338,7 +338,10 @@ def _settle(rule: str) -> Callable:
             wanted = _spread(np.maximum.reduceat(alone.astype(np.int8), group), group, n) > 0
             extra = leading & (alike > 1) & wanted
         else:
-            later = ~leading if rule == "earlier" else doc != _spread(doc[same], same, n)
+            place = (doc, first, tag) if rule == "earlier" else (doc,)
+            later = np.zeros(n, bool)  # equal rows share a place, and none of them is later
+            for p in place:
+                later |= p != _spread(p[same], same, n)
             state[later] = REPEATED
             state[~later & (kinds > 1)] = OPEN
             extra = np.zeros(n, bool)

@@ -127,6 +127,14 @@ def test_line_dedup_keeps_other_columns(docs, none):
     assert line_dedup.dedup_documents(none).columns == none.columns
 
 
+def test_line_dedup_keeps_repeated_rows_without_another_twin(spark):
+    text = "\n".join(f"line {i}" for i in range(6))
+    rows = [(5, text), (5, text), (6, "a\nb\nc\n" + text), (None, "x\ny\nz\none"), (None, "x\ny\nz\ntwo")]
+    given = spark.createDataFrame(rows, "doc_id long, text string")
+    got = Counter((r.doc_id, r.text) for r in line_dedup.dedup_documents(given).collect())
+    assert got in [Counter([(5, text), (5, text), (6, "a\nb\nc"), (None, rows[i][1]), (None, rows[7 - i][1][6:])]) for i in (3, 4)]
+
+
 def test_phrases_of_a_long_text_are_those_of_its_parts(monkeypatch):
     x = np.random.default_rng(2).integers(0, 4, 3000).astype(np.uint64) + np.uint64(1)
     whole = repeats.phrases(x, np.array([0, 3000]), 35, 12)
