@@ -242,7 +242,7 @@ def unsqueeze(blob: bytes, count: int, *kinds: type) -> list[np.ndarray]:
     return out
 
 
-_KINDS = (U, U, np.int64, np.int32, np.int32, np.uint16)
+_KINDS = (U, U, np.int64, np.int64, np.int32, np.uint16)
 _BITS = U(16)  # dropped from a trigger: 48 bits are left
 
 
@@ -358,11 +358,11 @@ def _settle(rule: str) -> Callable:
 def keyed(docs: DataFrame, whole: bool = False) -> DataFrame:
     """(doc_id, doc_key, tag, text), with `whole` all other columns as `rest`.
 
-    Null ids come before all others. Rows that share an id are told apart by their text.
+    Null ids come before all others. Rows that share an id are told apart by 64 bits of hash of their text.
     """
     docs = small_batches(docs)
     shared = not docs.groupBy("doc_id").count().where("count > 1").isEmpty()
-    tag = F.hash("text") if shared else F.lit(0)
+    tag = F.xxhash64("text") if shared else F.lit(0).cast("long")
     key = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))
     rest = [c for c in docs.columns if c not in ("doc_id", "text")] if whole else []
     kept = [F.struct(*[F.col(f"`{c}`") for c in rest]).alias("rest")] if rest else []
@@ -415,7 +415,7 @@ def phrase_marks(rows: DataFrame, symbols: Callable, length: int, gram: int, rul
     spark = rows.sparkSession
     buckets = parts_for(spark, text_bytes(rows), 4 << 20)
     found = rows.select("doc_key", "tag", "text").mapInArrow(_phrase_rows(symbols, length, gram, buckets), "bucket int, n long, data binary")
-    marks = found.repartition(buckets, "bucket").groupBy("bucket").applyInPandas(_settle(rule), "doc_key long, tag int, first int, windows int, state int, trigger long")
+    marks = found.repartition(buckets, "bucket").groupBy("bucket").applyInPandas(_settle(rule), "doc_key long, tag long, first int, windows int, state int, trigger long")
     path = scratch_path(spark, "phrases")
     marks.write.parquet(path)
     return spark.read.parquet(path)
@@ -445,10 +445,10 @@ def open_phrases(texts: DataFrame, marks: DataFrame, cut: Callable, length: int,
             yield pa.RecordBatch.from_arrays([*ids, *(pa.array(fields[c]) for c in names[2:6]), pa.array(content, pa.binary())], names=names)
 
     cuts = texts.join(wanted, ["doc_key", "tag"]).select("doc_key", "tag", "text", "open").mapInArrow(
-        rows, "doc_key long, tag int, first int, windows int, state int, trigger long, content binary"
+        rows, "doc_key long, tag long, first int, windows int, state int, trigger long, content binary"
     )
     bucket = F.pmod(F.xxhash64("trigger"), F.lit(buckets)).cast("int")
-    return cuts.withColumn("bucket", bucket).repartition(buckets, "bucket").groupBy("bucket").applyInPandas(frugal(judge), "doc_key long, tag int, first int, windows int")
+    return cuts.withColumn("bucket", bucket).repartition(buckets, "bucket").groupBy("bucket").applyInPandas(frugal(judge), "doc_key long, tag long, first int, windows int")
 
 
 def with_spans(texts: DataFrame, spans: DataFrame) -> DataFrame:

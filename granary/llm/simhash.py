@@ -280,7 +280,7 @@ def near_copies(docs: DataFrame, words: int = NEAR_WORDS, similarity: float = SI
         return spark.read.parquet(path)
 
     rows = R.keyed(docs)
-    kind = "doc_key long, tag int, node long, fp long, keys array<long>"
+    kind = "doc_key long, tag long, node long, fp long, keys array<long>"
     sketches = stored(rows.select("doc_key", "tag", "text").mapInArrow(_sketches(words), kind), "sketches")
     nodes = stored(sketches.groupBy("node").agg(F.min(F.struct("doc_key", "tag", "fp", "keys")).alias("first")).select("node", "first.*"), "nodes")
     cells = nodes.select("node", F.posexplode("keys").alias("band", "key"))

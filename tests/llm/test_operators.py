@@ -227,6 +227,16 @@ def test_near_copies_keep_the_first_of_each_group(docs, none):
     assert simhash.keep_one(none).count() == 0
 
 
+def test_texts_with_null_ids_and_one_32_bit_hash_stay_apart(spark):
+    made = spark.range(300_000).select(F.concat(F.lit("a\nb\nc\ntext"), "id").alias("text"))
+    twins = made.groupBy(F.hash("text").alias("h")).agg(F.collect_list("text").alias("t")).where("size(t) > 1").first().t
+    given = spark.createDataFrame([(None, t) for t in twins] + [(None, "other")], "doc_id long, text string")
+    assert {r.text for r in simhash.keep_one(given).collect()} == {*twins, "other"}
+    out = line_dedup.dedup(given).collect()
+    assert sorted(r.n_removed_lines for r in out) == [0] * 2 + [3] * (len(twins) - 1)
+    assert repeats.keyed(given).select("tag").distinct().count() == len(twins) + 1
+
+
 @pytest.mark.parametrize("outside", [512, 2])
 def test_crowds_of_near_copies_are_grouped_as_by_brute_force(spark, monkeypatch, outside):
     for name, value in {"NEAR_CROWD": 4, "LEADERS": 1, "OUTSIDE": outside}.items():
