@@ -157,11 +157,12 @@ def groups(docs: DataFrame, words: int = WORDS, bits: int = BITS) -> DataFrame:
 
 # --- near copies by similarity --------------------------------------------------------------------------------------
 #
-# At a similarity of 0.8 the fingerprints of two texts differ in 5 to 20 of 64 bits, and no chain of segments is equal
-# often enough to be a key. Pairs at `BITS` or fewer come from the ring as above; wider ones are proposed by min-wise
-# keys. All of them pass the ring's budgets at `WIDE` bits, then the Hamming check, then the exact similarity.
+# At a similarity of 0.8 the fingerprints of two texts differ in 5 to 20 of 64 bits and sometimes in more, and no chain of
+# segments is equal often enough to be a key. Pairs at `BITS` or fewer come from the ring as above; wider ones are proposed
+# by min-wise keys. The exact similarity decides on all of them, whatever their distance. Nodes, fingerprints and keys are
+# made of distinct shingles, as the similarity is.
 
-NEAR_WORDS, SIMILARITY, WIDE = 5, 0.8, 24
+NEAR_WORDS, SIMILARITY = 5, 0.8
 BANDS, ROWS, NEAR_CROWD, LEADERS, OUTSIDE, MAPS = 12, 4, 64, 8, 512, 8
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
@@ -186,15 +187,41 @@ def _per_text(values: np.ndarray, edges: np.ndarray, how: np.ufunc, empty: int)
     return out
 
 
+def _distinct(h: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes of each text without repeats, sorted, and their bounds."""
+    if len(edges) == 2:
+        h = np.unique(h)
+        return h, np.array([0, len(h)])
+    text = np.repeat(np.arange(len(edges) - 1), np.diff(edges))
+    order = np.lexsort((h, text))
+    h = h[order]
+    new = np.ones(len(h), bool)
+    new[1:] = (h[1:] != h[:-1]) | (text[1:] != text[:-1])  # sorting leaves `text` as it is
+    return h[new], np.concatenate([[0], np.cumsum(np.bincount(text[new], minlength=len(edges) - 1))])
+
+
+def _majorities(h: np.ndarray, edges: np.ndarray) -> np.ndarray:
+    """Bits set in over half of the hashes of each text, as for `fingerprint_of`."""
+    size = np.diff(edges)
+    text, counts = np.repeat(np.arange(len(size)), size), np.zeros((len(size), 64), np.int64)
+    for i in range(0, len(h), 1 << 16):
+        bits = np.unpackbits(h[i : i + (1 << 16)].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        some = text[i : i + (1 << 16)]
+        starts = R._group_starts(some)
+        counts[some[starts]] += np.add.reduceat(bits, starts, axis=0, dtype=np.int64)
+    return np.packbits(2 * counts > size[:, None], axis=1, bitorder="little").view("<u8").reshape(len(size))
+
+
 def _sketches(words: int):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         turns = np.random.default_rng(11).integers(1, 1 << 63, BANDS * ROWS, dtype=np.uint64) * R.U(2) + R.U(1)
         for batch in batches:
             raw, bounds = R.texts_of(batch.column("text"))
-            fps = np.array([fingerprint_of(raw[a:b].tobytes(), words) for a, b in zip(bounds[:-1], bounds[1:], strict=True)], np.uint64)
+            fps = np.zeros(len(bounds) - 1, np.uint64)
             node, keys = np.zeros(len(fps), np.int64), np.zeros((len(fps), BANDS), np.uint64)
             for i, j in R.steps(bounds):
-                h, edges = shingle_hashes(raw[bounds[i] : bounds[j]], bounds[i : j + 1] - bounds[i], words)
+                h, edges = _distinct(*shingle_hashes(raw[bounds[i] : bounds[j]], bounds[i : j + 1] - bounds[i], words))
+                fps[i:j] = _majorities(h, edges)
                 node[i:j] = R.mix(_per_text(R.mix(h), edges, np.add, 0)).view(np.int64)
                 for band in range(BANDS):
                     key = np.full(j - i, band, np.uint64)
@@ -214,7 +241,7 @@ def _sets(words: int):
             for blob in batch.column("text").to_pylist():
                 raw = np.frombuffer(R.unpack(blob), np.uint8)
                 sets.append(np.unique(shingle_hashes(raw, np.array([0, len(raw)]), words)[0]).tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("fp"), pa.array(sets, pa.binary())], names=["node", "fp", "shingles"])
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(sets, pa.binary())], names=["node", "shingles"])
 
     return rows
 
@@ -249,20 +276,7 @@ def _bitmaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("node"), sizes, *(pa.array(words[:, i].copy()) for i in range(MAPS))], names=["node", "size", *(f"{i}m" for i in range(MAPS))])
 
 
-def _within_ring(bits: int) -> Column:
-    """Some segment begins a chain whose every length keeps its budget, and the whole distance is `bits` at most."""
-    masks = _segments(16)
-    passed = F.lit(False)
-    for i in range(16):
-        cells, here = 0, F.lit(True)
-        for size in range(1, 5):
-            cells |= masks[(i + size - 1) % 16]
-            here = here & (_differ("fa", "fb", cells) <= size * bits // 16)
-        passed = passed | here
-    return passed & (_differ("fa", "fb", (1 << 64) - 1) <= bits)
-
-
-def near_copies(docs: DataFrame, words: int = NEAR_WORDS, similarity: float = SIMILARITY, bits: int = BITS, wide: int = WIDE) -> DataFrame:
+def near_copies(docs: DataFrame, words: int = NEAR_WORDS, similarity: float = SIMILARITY, bits: int = BITS) -> DataFrame:
     """(doc_key, tag, node, group_key, group_tag) of `repeats.keyed` rows: the first document of each one's group.
 
     Groups are connected by pairs whose sets of `words`-word shingles (A-Z in lower case) have a Jaccard similarity of
@@ -292,14 +306,15 @@ def near_copies(docs: DataFrame, words: int = NEAR_WORDS, similarity: float = SI
     ends = heads.select(F.col("fp").alias("b"), F.col("head").alias("hb"))
     ringed = ring.join(heads.select(F.col("fp").alias("a"), F.col("head").alias("ha")), "a").join(ends, "b").select(F.col("ha").alias("a"), F.col("hb").alias("b"))
     ringed = stored(alike.unionByName(ringed), "ringed")
-    wanted = shared.select("node").union(ringed.select("a")).union(ringed.select("b")).distinct().join(nodes.select("node", "fp", "doc_key", "tag"), "node")
-    texts = R.packed(rows).join(wanted, ["doc_key", "tag"]).dropDuplicates(["doc_key", "tag"]).select("node", "fp", "text")
-    sets = stored(texts.mapInArrow(_sets(words), "node long, fp long, shingles binary"), "sets")
+    wanted = shared.select("node").union(ringed.select("a")).union(ringed.select("b")).distinct().join(nodes.select("node", "doc_key", "tag"), "node")
+    texts = R.packed(rows).join(wanted, ["doc_key", "tag"]).dropDuplicates(["doc_key", "tag"]).select("node", "text")
+    sets = stored(texts.mapInArrow(_sets(words), "node long, shingles binary"), "sets")
 
     def verified(pairs: DataFrame) -> DataFrame:
         pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct()
-        of = lambda n, f, x: sets.select(F.col("node").alias(n), F.col("fp").alias(f), F.col("shingles").alias(x))
-        full = pairs.join(of("a", "fa", "x"), "a").join(of("b", "fb", "y"), "b").where(_within_ring(wide))
+        of = lambda n, x: sets.select(F.col("node").alias(n), F.col("shingles").alias(x))
+        long = F.octet_length("x"), F.octet_length("y")
+        full = pairs.join(of("a", "x"), "a").join(of("b", "y"), "b").where(F.least(*long) >= similarity * F.greatest(*long) - 1e-6)
         return stored(full.select("a", "b", "x", "y").mapInArrow(_similar(similarity), "a long, b long"), "verified")
 
     maps = [f"{i}m" for i in range(MAPS)]

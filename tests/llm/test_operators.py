@@ -237,6 +237,18 @@ def test_texts_with_null_ids_and_one_32_bit_hash_stay_apart(spark):
     assert repeats.keyed(given).select("tag").distinct().count() == len(twins) + 1
 
 
+def test_near_copies_do_not_depend_on_repeats_inside_a_text(spark):
+    rng = random.Random(3)
+    prose = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(n))
+    texts = {}
+    for i in range(60):
+        phrase, rest = prose(8), prose(200)
+        texts[2 * i], texts[2 * i + 1] = " ".join([phrase] * 50 + [rest]), f"{phrase} {phrase} {rest}"
+    given = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    assert {r.doc_id for r in simhash.keep_one(given).collect()} == {2 * i for i in range(60)}
+    assert simhash.near_copies(given).select("node").distinct().count() == 60  # equal sets are one node
+
+
 @pytest.mark.parametrize("outside", [512, 2])
 def test_crowds_of_near_copies_are_grouped_as_by_brute_force(spark, monkeypatch, outside):
     for name, value in {"NEAR_CROWD": 4, "LEADERS": 1, "OUTSIDE": outside}.items():
