@@ -21,7 +21,7 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from granary.llm import repeats as R
@@ -284,7 +284,8 @@ def near_copies(docs: DataFrame, words: int = NEAR_WORDS, similarity: float = SI
     shingles of their own to match any other leave; each of the rest is compared with `LEADERS` of them, after bounds from
     sizes and from bitmaps of their sets (two sets differ in as many shingles as their bitmaps in bits). Nodes that links
     have connected need not be compared again: if all but `OUTSIDE` of a crowd are in one component, those outside are
-    compared with the rest; otherwise all meet again under the key joined to each of their later keys.
+    compared with the rest; otherwise all meet again under exact keys, the rarest shingles of each (`prefixes`), and under
+    a crowded one of these every pair of components is compared in the end. So no pair that shares a min-wise key is lost.
     """
     spark = docs.sparkSession
 
@@ -321,12 +322,14 @@ def near_copies(docs: DataFrame, words: int = NEAR_WORDS, similarity: float = SI
 
     def sides(left: DataFrame, right: DataFrame, but: str) -> DataFrame:
         """Pairs under a key that no link connects yet, that sizes and bitmaps allow."""
-        short = {"node": "n", "root": "r", "main": "m", "every": "e", "size": "s", "common": "c"} | {m: m for m in maps}
+        short = {"node": "n", "root": "r", "main": "m", "every": "e", "size": "s", "common": "c", "short": "i"} | {m: m for m in maps}
         named = lambda df, x: df.select("key", *[F.col(c).alias(to + x) for c, to in short.items() if c in df.columns])
         both = F.col("sa") + F.col("sb")
         shared_ = F.least("ca", "cb") * (1 + similarity) >= similarity * both - 1e-6
         apart = sum((F.bit_count(F.col(m + "a").bitwiseXOR(F.col(m + "b"))) for m in maps), F.lit(0)) * (1 + similarity) <= (1 - similarity) * both + 1e-6
         allowed = F.expr(f"ra <> rb and ({but})") & F.coalesce(shared_ & apart, F.lit(True))
+        if "short" in left.columns:
+            allowed = allowed & F.expr("sa <= sb and ia or sb <= sa and ib")
         return named(left, "a").join(named(right, "b"), "key").where(allowed)
 
     def proposed(keyed: DataFrame) -> DataFrame:
@@ -342,8 +345,32 @@ def near_copies(docs: DataFrame, words: int = NEAR_WORDS, similarity: float = SI
         pairs = sides(full.where("root <> main"), full, "rb = mb or na < nb")
         return pairs.where(F.array_min(F.array_intersect("ea", "eb")) == F.col("key")).select("na", "nb").toDF("a", "b")
 
-    own = nodes.select("node", F.posexplode("keys").alias("also", "own"))
-    met = shared.select(F.xxhash64("band", "key").alias("key"), F.expr("shiftleft(1, band)").alias("used"), "node", F.col("node").alias("root"), "n")
+    def prefixes(crowd: DataFrame) -> DataFrame:
+        """(key, node, root, n, facts, short): the rarest shingles of each node of `crowd` as keys.
+
+        Similar sets x and y, y not the larger, share at least t |x| and 2 t / (1 + t) |y| shingles. The rarest they share
+        is therefore among the first |x| - t |x| + 1 of x and the first |y| - 2 t / (1 + t) |y| + 1 of y (`short`).
+        """
+        held = sets.join(crowd, "node").select("node", "shingles").mapInArrow(_single_shingles, "node long, shingle long")
+        often = held.groupBy("shingle").agg(F.count(F.lit(1)).alias("often"))
+        rank = F.row_number().over(Window.partitionBy("node").orderBy("often", "shingle"))
+        first = lambda share: F.col("size") - F.ceil(F.col("size") * share - 1e-6) + 1
+        ranked = held.join(often, "shingle").withColumn("rank", rank).join(facts, "node").where((F.col("often") > 1) & (F.col("rank") <= first(similarity)))
+        ranked = ranked.withColumn("short", F.col("rank") <= first(2 * similarity / (1 + similarity))).withColumnRenamed("shingle", "key").drop("often", "rank")
+        ranked = stored(ranked.join(rooted, "node", "left").withColumn("root", F.coalesce("root", "node")), "prefixes")
+        sizes = ranked.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("least"), F.max("root").alias("most")).where("least < most").select("key", "n")
+        return stored(ranked.join(sizes, "key"), "exact")
+
+    def unsettled(keyed: DataFrame) -> DataFrame:
+        """Rows of crowded keys whose nodes are in several components, with the largest of these and how many are not in it."""
+        rest = keyed.where(F.col("n") > NEAR_CROWD).drop("n", "root").join(rooted, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        tally = rest.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n")).groupBy("key").agg(F.max_by("root", "n").alias("main"), (F.sum("n") - F.max("n")).alias("out"))
+        return stored(rest.join(tally.where("out > 0"), "key"), "open")
+
+    def joined(linked: DataFrame) -> DataFrame:
+        return components(linked.unionByName(rooted.select(F.col("node").alias("a"), F.col("root").alias("b"))))
+
+    met = shared.select(F.xxhash64("band", "key").alias("key"), "node", F.col("node").alias("root"), "n")
     crowd = sets.join(met.where(F.col("n") > NEAR_CROWD).select("node").distinct(), "node")
     alone = crowd.select("node", "shingles").mapInArrow(_single_shingles, "node long, shingle long").groupBy("shingle").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("node"))
     alone = alone.where("n = 1").groupBy("node").agg(F.count(F.lit(1)).alias("alone"))
@@ -355,18 +382,18 @@ def near_copies(docs: DataFrame, words: int = NEAR_WORDS, similarity: float = SI
     few = met.where(F.col("n") <= NEAR_CROWD).withColumns({c: F.lit(None).cast("long") for c in facts.columns if c != "node"})
     met = stored(few.unionByName(many), "met")
     rooted = components(verified(proposed(met).unionByName(ringed)))
-    for _ in range(BANDS):
-        rest = met.where(F.col("n") > NEAR_CROWD).drop("n", "root").join(rooted, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        tally = rest.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n")).groupBy("key").agg(F.max_by("root", "n").alias("main"), (F.sum("n") - F.max("n")).alias("out"))
-        rest = stored(rest.join(tally.where("out > 0"), "key"), "open")
-        if rest.isEmpty():
-            break
-        finer = rest.where(F.col("out") > OUTSIDE).drop("main", "out").join(own, "node").where(F.expr("shiftright(used, also) = 0"))  # earlier keys have had their own round
-        finer = finer.withColumns({"key": F.xxhash64("key", "also", "own"), "used": F.col("used").bitwiseOR(F.expr("shiftleft(1, also)"))}).drop("also", "own")
-        sizes = finer.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("least"), F.max("root").alias("most")).where("least < most").select("key", "n")
-        met = stored(finer.join(sizes, "key"), "finer")
-        linked = verified(outside(rest.where(F.col("out") <= OUTSIDE)).unionByName(proposed(met)))
-        rooted = components(linked.unionByName(rooted.select(F.col("node").alias("a"), F.col("root").alias("b"))))
+    rest = unsettled(met)
+    if not rest.isEmpty():
+        linked, hot = outside(rest.where(F.col("out") <= OUTSIDE)), rest.where(F.col("out") > OUTSIDE).select("node").distinct()
+        if hot.isEmpty():
+            rooted = joined(verified(linked))
+        else:
+            exact = prefixes(hot)
+            rooted = joined(verified(linked.unionByName(proposed(exact))))
+            rest = unsettled(exact)
+            if not rest.isEmpty():
+                left = sides(rest.where("root <> main"), rest, "rb = mb or na < nb")
+                rooted = joined(verified(left.select("na", "nb").toDF("a", "b")))
     rooted = sketches.join(rooted, "node", "left").select("doc_key", "tag", "node", F.coalesce("root", "node").alias("root"))
     firsts = rooted.groupBy("root").agg(F.min(F.struct("doc_key", "tag")).alias("first"))
     return rooted.join(firsts, "root").select("doc_key", "tag", "node", F.col("first.doc_key").alias("group_key"), F.col("first.tag").alias("group_tag"))

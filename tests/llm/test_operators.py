@@ -267,6 +267,28 @@ def test_crowds_of_near_copies_are_grouped_as_by_brute_force(spark, monkeypatch,
     assert {r.doc_id for r in kept.collect()} == set(_groups(sets, near).values())
 
 
+@pytest.mark.parametrize("crowd", [64, 2])
+def test_small_clusters_of_one_template_are_all_found(spark, monkeypatch, crowd):
+    monkeypatch.setattr(simhash, "NEAR_CROWD", crowd)
+    rng = random.Random(8)
+    template, texts = [f"t{i}" for i in range(160)], []
+    for c in range(1500):
+        one = template + [f"c{c}-{i}" for i in range(rng.randint(36, 44))]
+        two = list(one)
+        for at in rng.sample(range(160, len(one)), 4):
+            two[at] = f"x{at}"
+        texts += [one, two]
+    lines = [" ".join(t) for t in texts]
+    given = pa.RecordBatch.from_arrays([pa.array(range(3000)), pa.array([0] * 3000), pa.array(lines)], names=["doc_key", "tag", "text"])
+    keys = next(simhash._sketches(5)(iter([given]))).column("keys").to_pylist()
+    sets = [{tuple(t[i : i + 5]) for i in range(len(t) - 4)} for t in texts]  # two clusters share 0.7 at most
+    similar = {i + 1 for i in range(0, 3000, 2) if len(sets[i] & sets[i + 1]) >= 0.8 * len(sets[i] | sets[i + 1])}
+    proposed = {i for i in similar if any(map(int.__eq__, keys[i - 1], keys[i]))}
+    assert len(proposed) > 1000
+    kept = simhash.keep_one(spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string"))
+    assert proposed <= set(range(3000)) - {r.doc_id for r in kept.collect()} <= similar
+
+
 def test_chat_round_trip(spark):
     rows = [(1, 0, "system", "a\\e[b]<s>"), (1, 1, "user", None), (1, 2, "assistant", "</s>\n[user] x \\"), (2, 0, "assistant", "first"), (3, None, None, "x"), (3, 1, "user", "y"), (None, 0, "user", "q"), (1, 2, "assistant", "</s>\n[user] x \\")]
     given = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("segments", F.lit("clash"))
