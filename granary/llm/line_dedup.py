@@ -3,10 +3,11 @@
 Each line is hashed. In every window of `run` lines the least hash of a pair of neighbouring lines is the window's
 fingerprint (`repeats.phrases`), so two texts that share a run of that length share a fingerprint for certain. Positions
 with one fingerprint meet, matches are extended both ways to whole phrases, and of each repeated run all but the first
-place (least doc_id, then position) is deleted.
+place (least doc_id, then position) is deleted. A passage on fewer lines than `run` has no such window. `dedup_documents`
+therefore also takes fewer neighbouring lines that hold `PASSAGE` words together for a run; `dedup` does so if asked.
 
 Behaviour at the edges: lines are what a split at "\n" gives, compared byte by byte, and empty lines count as lines; a
-null text has no lines and stays null; texts with fewer than `run` lines stay as they are; a null doc_id comes before all
+null text has no lines and stays null; texts with fewer than `run` lines stay as they are (but for passages); a null doc_id comes before all
 others; of repeated rows with one doc_id and text, none is the earlier one, so both keep what no other place has; rows
 with one doc_id and different texts have an order by position, then by the hash of their text; an empty table gives an
 empty result; all other columns are kept, whatever their names.
@@ -23,7 +24,7 @@ from pyspark.sql import types as T
 
 from granary.llm import repeats as R
 
-RUN, GRAM = 3, 2
+RUN, GRAM, PASSAGE = 3, 2, 50
 
 
 def _cut(run: int):
@@ -66,9 +67,32 @@ def _remove(run: int):
     return remove
 
 
-def dedup(docs: DataFrame, run: int = RUN, gram: int = GRAM) -> DataFrame:
+def _wordy(lines: int, words: int):
+    def among(raw: np.ndarray, bounds: np.ndarray, first: np.ndarray) -> np.ndarray:
+        begins, ends, _ = R.tokens(raw, bounds, R.NEWLINE, empty=True)
+        starts = R.tokens(raw, bounds, R.SPACES)[0]
+        return np.searchsorted(starts, ends[first + lines - 1]) - np.searchsorted(starts, begins[first]) >= words
+
+    return among
+
+
+def _passages(rows: DataFrame, run: int, words: int) -> list[DataFrame]:
+    """Runs of fewer than `run` lines with `words` words or more that start at an earlier place, as windows of `run` lines.
+
+    Each is a phrase by itself, so none is left open. The number of windows makes up for the lines it lacks.
+    """
+    short = []
+    for lines in range(1, run):
+        marks = R.phrase_marks(rows, R.as_lines, lines, lines, "earlier", _wordy(lines, words))
+        short.append(marks.where(F.col("state") == R.REPEATED).select("doc_key", "tag", "first", (F.col("windows") + lines - run).cast("int").alias("windows")))
+    return short
+
+
+def dedup(docs: DataFrame, run: int = RUN, gram: int = GRAM, words: int | None = None) -> DataFrame:
     """Delete each line covered by `run` neighbouring lines that also start at an earlier place of the corpus.
 
+    With `words`, fewer neighbouring lines are a run too if they hold so many words.
+
     Returns the columns of `docs` with `text` rewritten, then n_lines and n_removed_lines under names made free by a
     prefix "_" if `docs` has them already.
     """
@@ -76,6 +100,8 @@ def dedup(docs: DataFrame, run: int = RUN, gram: int = GRAM) -> DataFrame:
     marks = R.phrase_marks(rows, R.as_lines, run, gram, "earlier")
     texts = R.packed(rows)
     spans = R.repeated_windows(texts, marks, _cut(run), run, _compare(run))
+    for short in _passages(rows, run, words) if words else []:
+        spans = spans.unionByName(short)
     kinds = {"n_lines": pa.int64(), "n_removed_lines": pa.int64(), "text": pa.string()}
     ddl = {"n_lines": T.LongType(), "n_removed_lines": T.LongType(), "text": T.StringType()}
     found = R.with_spans(texts, spans).withColumn("_null", F.col("text").isNull())
@@ -99,8 +125,8 @@ def _with_null(found: DataFrame) -> F.Column:
     return F.struct(F.col("_null").alias("_null"))
 
 
-def dedup_documents(docs: DataFrame, run: int = RUN, gram: int = GRAM) -> DataFrame:
+def dedup_documents(docs: DataFrame, run: int = RUN, gram: int = GRAM, words: int | None = PASSAGE) -> DataFrame:
     """`dedup` with only the columns of `docs`, without documents of which no line is left."""
-    out = dedup(docs, run, gram)
+    out = dedup(docs, run, gram, words)
     n, removed = out.columns[-2:]
     return out.where((F.col(removed) == 0) | (F.col(removed) < F.col(n))).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -262,7 +262,7 @@ def _emit(kept: list[tuple[np.ndarray, ...]], buckets: int) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
 
-def _phrase_rows(symbols: Callable, length: int, gram: int, buckets: int) -> Callable:
+def _phrase_rows(symbols: Callable, length: int, gram: int, buckets: int, among: Callable | None = None) -> Callable:
     @frugal
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept, held = [], 0
@@ -271,8 +271,13 @@ def _phrase_rows(symbols: Callable, length: int, gram: int, buckets: int) -> Cal
             doc = batch.column("doc_key").to_numpy(zero_copy_only=False)
             tag = batch.column("tag").to_numpy(zero_copy_only=False)
             for i, j in steps(bounds):
-                x, inside = symbols(raw[bounds[i] : bounds[j]], bounds[i : j + 1] - bounds[i])
-                text, first, count, trigger, content = phrases(x, inside, length, gram)
+                part, edges = raw[bounds[i] : bounds[j]], bounds[i : j + 1] - bounds[i]
+                x, inside = symbols(part, edges)
+                found = phrases(x, inside, length, gram)
+                if among:
+                    kept_here = among(part, edges, found[1])
+                    found = [a[kept_here] for a in found]
+                text, first, count, trigger, content = found
                 text = text.astype(np.int64)
                 kept.append((trigger, content, doc[text + i], tag[text + i], first - inside[text], count))
                 held += len(first)
@@ -408,13 +413,16 @@ def unpack(blob: bytes | None) -> bytes:
     return b"" if blob is None else zstandard.ZstdDecompressor().decompress(blob)
 
 
-def phrase_marks(rows: DataFrame, symbols: Callable, length: int, gram: int, rule: str) -> DataFrame:
-    """Phrases of `keyed` rows with a repeated window or the chance of one: (doc_key, tag, first, windows, state, trigger)."""
+def phrase_marks(rows: DataFrame, symbols: Callable, length: int, gram: int, rule: str, among: Callable | None = None) -> DataFrame:
+    """Phrases of `keyed` rows with a repeated window or the chance of one: (doc_key, tag, first, windows, state, trigger).
+
+    `among(raw, bounds, firsts)` gives flags of the phrases to look at, without it all are.
+    """
     if rule not in RULES:
         raise ValueError(f"rule must be one of {RULES}")
     spark = rows.sparkSession
     buckets = parts_for(spark, text_bytes(rows), 4 << 20)
-    found = rows.select("doc_key", "tag", "text").mapInArrow(_phrase_rows(symbols, length, gram, buckets), "bucket int, n long, data binary")
+    found = rows.select("doc_key", "tag", "text").mapInArrow(_phrase_rows(symbols, length, gram, buckets, among), "bucket int, n long, data binary")
     marks = found.repartition(buckets, "bucket").groupBy("bucket").applyInPandas(_settle(rule), "doc_key long, tag long, first int, windows int, state int, trigger long")
     path = scratch_path(spark, "phrases")
     marks.write.parquet(path)

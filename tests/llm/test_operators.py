@@ -135,6 +135,26 @@ def test_line_dedup_keeps_repeated_rows_without_another_twin(spark):
     assert got in [Counter([(5, text), (5, text), (6, "a\nb\nc"), (None, rows[i][1]), (None, rows[7 - i][1][6:])]) for i in (3, 4)]
 
 
+def test_long_passages_on_few_lines_are_removed(spark):
+    rng = random.Random(6)
+    prose = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(n))
+    pool = [prose(rng.choice([5, 24, 26, 49, 50, 70])) for _ in range(40)] + ["", " "]
+    rows = [(None if i % 9 == 0 else i, "\n".join(rng.choice(pool) for _ in range(rng.randint(1, 7)))) for i in range(150)]
+    rows = sorted({(_key(d), t) for d, t in rows if d is not None}) + [(_key(None), rows[0][1])]
+    runs = lambda x: [(i, k, tuple(x[i : i + k])) for i in range(len(x)) for k in (1, 2, 3) if i + k <= len(x) and (k == 3 or len(" ".join(x[i : i + k]).split()) >= 50)]
+    first, want = {}, Counter()
+    for d, t in rows:
+        for i, _, r in runs(t.split("\n")):
+            first[r] = min(first.get(r, (1 << 62, 0)), (d, i))
+    for d, t in rows:
+        x = t.split("\n")
+        gone = {i + j for i, k, r in runs(x) if first[r] < (d, i) for j in range(k)}
+        if len(gone) < len(x):
+            want[d, "\n".join(y for i, y in enumerate(x) if i not in gone)] += 1
+    given = spark.createDataFrame([(None if d == _key(None) else d, t) for d, t in rows], "doc_id long, text string")
+    assert Counter((_key(r.doc_id), r.text) for r in line_dedup.dedup_documents(given).collect()) == want
+
+
 def test_phrases_of_a_long_text_are_those_of_its_parts(monkeypatch):
     x = np.random.default_rng(2).integers(0, 4, 3000).astype(np.uint64) + np.uint64(1)
     whole = repeats.phrases(x, np.array([0, 3000]), 35, 12)
