@@ -43,16 +43,19 @@ def _key(docs: DataFrame) -> DataFrame:
     return docs.withColumn("_text_key", F.xxhash64("text"))
 
 
-def hits(docs: DataFrame, benchmark: DataFrame, ngram: int = NGRAM) -> DataFrame:
-    """Verified occurrences: doc_id, _text_key, start (first word, from 0), size, items."""
-    windows = benchmark_windows(benchmark, ngram)
+def table_slices(windows: DataFrame) -> list[DataFrame]:
+    """Parts of `benchmark_windows` of about `SLICE_BYTES` at most, dealt by the whole window: anchors may be shared by many."""
     weight = F.sum(F.octet_length(F.concat_ws(" ", "window")) + F.octet_length(F.concat_ws(",", "items")) + 100)
     slices = -(-(windows.agg(weight).first()[0] or 1) // SLICE_BYTES)
+    return [windows.where(F.pmod(F.xxhash64("window"), F.lit(slices)) == k) for k in range(slices)]
+
+
+def hits(docs: DataFrame, benchmark: DataFrame, ngram: int = NGRAM) -> DataFrame:
+    """Verified occurrences: doc_id, _text_key, start (first word, from 0), size, items."""
     spread = docs.select("doc_id", F.xxhash64("text").alias("_text_key"), words("text").alias("w"))
     spread = spread.select("doc_id", "_text_key", "w", F.posexplode("w").alias("at", "word"))
     found = None
-    for k in range(slices):
-        part = F.broadcast(windows.where(F.pmod(F.xxhash64("anchor"), F.lit(slices)) == k))
+    for part in map(F.broadcast, table_slices(benchmark_windows(benchmark, ngram))):
         around = F.slice("w", F.greatest(F.col("at") - F.col("offset"), F.lit(0)) + 1, F.size("window"))
         match = (F.col("word") == F.col("anchor")) & (F.col("at") >= F.col("offset")) & (around == F.col("window"))
         rows = spread.join(part, match).select("doc_id", "_text_key", (F.col("at") - F.col("offset")).alias("start"), F.size("window").alias("size"), "items")

@@ -355,6 +355,17 @@ def test_benchmark_in_slices_gives_the_same(spark, sf_dir, monkeypatch):
     assert Counter((r.doc_id, r.n_hit) for r in decontaminate.report(docs, items).collect()) == whole
 
 
+def test_windows_with_one_anchor_are_dealt_to_all_slices(spark, monkeypatch):
+    items = spark.createDataFrame([(i, f"a{i} b{i} " + "same" * 9 + f" c{i}") for i in range(400)], "item_id long, text string")
+    windows = decontaminate.benchmark_windows(items)
+    assert windows.select("anchor").distinct().count() == 1
+    given = spark.createDataFrame([(i, f"x a{i} b{i} " + "same" * 9 + f" c{i}") for i in range(0, 900, 7)], "doc_id long, text string")
+    monkeypatch.setattr(decontaminate, "SLICE_BYTES", 16_000)
+    parts = [p.count() for p in decontaminate.table_slices(windows)]
+    assert sum(parts) == 400 and len(parts) > 2 and max(parts) < 2 * 400 / len(parts)
+    assert {r.doc_id for r in decontaminate.report(given, items).where("n_hit > 0").collect()} == set(range(0, 400, 7))
+
+
 def test_raking_reaches_its_targets(docs, none):
     docs = docs.where("length(text) < 5000 and lang is not null")  # one giant in one source could not be raked
     out = mixing.mix(docs, {"source": {"s0": 0.5, "s1": 0.2, "s2": 0.2, "(none)": 0.1}}, keep=0.4).toPandas()
