@@ -1,9 +1,10 @@
-"""Exact substring deduplication by prefix-free parsing.
+"""Exact substring deduplication by phrases as in prefix-free parsing, without its suffix arrays.
 
 A rolling hash places triggers in every text (`repeats.phrases`) and cuts it into phrases. Equal phrases collapse to one
 entry of a dictionary, which settles the inside of every repeated passage; the parse of a text is its list of phrases.
-What remains, the phrases at the ends of passages, is put into suffix order: each bucket sorts the suffixes of its
-dictionary entries, cut at the match length, so equal neighbours in corpus order are the repeated strings. Sorting only
+What remains, the phrases at the ends of passages, is searched for repeated windows by rolling hash, and each bucket sorts
+these windows of the match length, so equal neighbours are the repeated strings. There is no suffix array of the dictionary
+and none of the parse, and the two are not combined into corpus order. Sorting only
 suffixes whose trigger occurs in two documents keeps the work in proportion to repetition and not to the corpus.
 
 Behaviour at the edges: a null text has no bytes; texts shorter than `length` keep all bytes; a null doc_id comes before
