@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from granary.llm import chat, classifier, decontaminate, line_dedup, mixing, quality, simhash, substring_dedup, suffix_dedup, tokens
+from granary.llm import chat, classifier, decontaminate, line_dedup, mixing, negatives, quality, sharding, simhash, substring_dedup, suffix_dedup, tokens, whitening
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -85,6 +85,32 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = whitening.whiten(_table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+    return out.select(F.col("row.vec_id").alias("vec_id"), "component", "n", "deviation", "whitened", "explained", "identity_error")
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.mine(rows.withColumn("label", moved), F.col("vec_id") % 100 == 0)
+
+
+def op13_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = sharding.place(_table(spark, sf_dir, "documents"), SHARDS, carry=("doc_id",))
+    return out.select(
+        F.col("row.doc_id").alias("doc_id"),
+        "size",
+        "text_crc32",
+        F.lit("rows").alias("law"),
+        "shard",
+        "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
+    )
+
+
+SHARDS = 40
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
@@ -98,12 +124,53 @@ QUERIES: dict[str, Query] = {
         op8_simhash,
         op9_suffix_dedup,
         op10_decontaminate,
+        op11_whitening,
+        op12_hard_negatives,
+        op13_sharding,
     )
 }
 
 _ESCAPED = "replace(replace(replace(replace({}, '\\', '\\e'), '<', '\\l'), '[', '\\b'), ']', '\\r')"
 
+
+def _shard_twin(shards: int = SHARDS) -> str:
+    """The permutation with the same keys, one subquery per half round; the walk is a recursive table."""
+    p = sharding.PRIME
+    start = "(CASE WHEN p < 0 THEN num ELSE p END)"
+    once = f"SELECT num, n, a, b, {start} % a AS x, {start} // a AS y FROM walk WHERE p < 0 OR p >= n"
+    mixed = lambda v, k: f"(((({v} + {k}) % {p}) * (({v} + {k}) % {p}) + {k}) % {p})"
+    square = lambda t: f"({t} * {t} % {p})"
+    for k, m in sharding.Feistel(1).keys:
+        once = f"SELECT num, n, a, b, (x + {square(mixed('y', k))}) % a AS x, y FROM ({once})"
+        once = f"SELECT num, n, a, b, x, (y + {square(mixed('x', m))}) % b AS y FROM ({once})"
+    return f"""
+WITH RECURSIVE poly AS (SELECT i, list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS v
+  FROM (SELECT unnest(range(256)) AS i)),
+crc AS (SELECT list(v ORDER BY i) AS vs FROM poly),
+d AS (SELECT doc_id, text, (coalesce(strlen(text), 0) + {sharding.OVERHEAD})::BIGINT AS size,
+  list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'),
+    lambda h: ((instr('0123456789ABCDEF', h[1]) - 1) * 16 + instr('0123456789ABCDEF', h[2]) - 1)::BIGINT) AS bs FROM documents),
+e AS (SELECT doc_id, size, text, xor(list_reduce(list_prepend(4294967295::BIGINT, bs), lambda c, x: xor(c >> 8, vs[xor(c, x) % 256 + 1])), 4294967295) AS text_crc32 FROM d, crc),
+f AS (SELECT doc_id, size, text_crc32, row_number() OVER (ORDER BY doc_id NULLS FIRST, md5(text) NULLS FIRST) - 1 AS num, count(*) OVER () AS n FROM e),
+walk AS (SELECT num, n, ceil(sqrt(n))::BIGINT AS a, ceil(n / ceil(sqrt(n)))::BIGINT AS b, -1::BIGINT AS p FROM f
+  UNION ALL SELECT num, n, a, b, y * a + x AS p FROM ({once}))
+SELECT doc_id, size, text_crc32, 'rows' AS law, (p % {shards})::INTEGER AS shard, (p // {shards})::BIGINT AS slot, NULL::INTEGER AS grown_shard
+FROM f JOIN (SELECT num, p FROM walk WHERE p >= 0 AND p < n) w USING (num)"""
+
+
 ORACLES: dict[str, str] = {
+    "op12_hard_negatives": """
+WITH r AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+  list_transform(embedding, lambda c: floor(256 * c::DOUBLE)) AS x FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0),
+s AS (SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same, list_inner_product(a.x, b.x)::BIGINT AS score
+  FROM r a JOIN r b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0),
+p AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) AS k FROM s WHERE same) WHERE k <= 5),
+n AS (SELECT p.anchor_id, p.vec_id AS positive_id, s.vec_id AS negative_id, p.score AS positive_score, s.score AS negative_score,
+  row_number() OVER (PARTITION BY p.anchor_id, p.vec_id ORDER BY s.score DESC, s.vec_id)::INTEGER AS rank
+  FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT s.same AND 30 * p.score <= 100 * s.score AND 100 * s.score <= 90 * p.score)
+SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 10""",
+    "op13_sharding": _shard_twin(),
     "op3_line_dedup": """
 WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents),
 f AS (SELECT doc_id, ls, generate_subscripts(ls, 1) AS i FROM l),
