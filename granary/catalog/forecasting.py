@@ -9,8 +9,11 @@ from granary.catalog.aggregates import DECOMPOSED, rounded
 from granary.catalog.views import SERIES
 from granary.models import intermittent as I
 from granary.models import regression as R
+from granary.models import paths as P
 from granary.models import selection as S
 from granary.models import series as M
+from granary.models import shared as H
+from granary.models import tournament as T
 from granary.operators import aggregates as A
 
 LINE = "PARTITION BY item_id, location_id ORDER BY date"
@@ -164,7 +167,14 @@ def m8(t):
 
 @query("m9_hybrid")
 def m9(t):
-    fitted = M.fit_candidates(t.demand_monthly, ["hybrid_arima_xgb"], 6)
+    """Orders per month and their mean price are the external features; ahead they are carried forward."""
+    from granary.operators.joins import join_macro
+
+    month = F.trunc("o_orderdate", "month").alias("date")
+    macro = t.table("orders").groupBy(month).agg(F.count(F.lit(1)).cast("double").alias("ORDERS"), F.avg("o_totalprice").alias("PRICE"))
+    long = macro.unpivot("date", ["ORDERS", "PRICE"], "indicator", "value")
+    panel = join_macro(t.demand_monthly, long, ["ORDERS", "PRICE"])
+    fitted = H.forecast_hybrid(panel, 6, SERIES, external=["orders", "price"])
     return fitted.select(*SERIES, "model", "rmse", F.posexplode("forecast").alias("step", "yhat"))
 
 
@@ -341,41 +351,107 @@ def m15(t):
     return rounded(S.select_by_rmse(t.backtests), ["rmse"], 5)
 
 
-def _chosen(t):
-    """Class, pattern and tag give the allowed models; the best of them in-sample is chosen."""
-    from granary.functions.scalars import abc_by_share, service_tag
-    from granary.operators.scale import one_row
-    from granary.session import cut_lineage
+_EACH = ["croston", "sba", "holt_winters", "linear_regression", "ensemble"]
+_KEY = "item_id, location_id, fold"
 
-    panel = cut_lineage(t.demand_monthly)
-    value = panel.groupBy(*SERIES).agg(F.sum("demand_qty").alias("value"))
-    total = one_row(panel.agg(F.sum("demand_qty").alias("s")))["s"]
-    tag = F.when(service_tag() == "intermittent", "intermittent").otherwise("seasonal")
-    allowed = (
-        S.demand_patterns(panel)
-        .join(value, SERIES)
-        .join(A.service_features(panel).withColumn("tag", tag).select(*SERIES, "tag"), SERIES)
-        .withColumn("abc_class", abc_by_share(F.col("value"), total))
-        .withColumn("models", S.prioritised(S.recommended_models(F.col("abc_class"), F.col("pattern")), F.col("tag")))
-    )
-    candidates = M.fit_candidates(panel, ["arima", "croston", "sba", "linear_regression", "holt_winters"], 7)
-    return panel, M.choose(candidates, allowed)
+
+def paths_sql(folds: str) -> str:
+    """One-step paths of the fold models as `fitted`; `folds` has v and ds, the rows to learn from (cut) and to predict (upto)."""
+    early = "greatest(0, s.tot / s.n / (1 + 1e-8::DOUBLE))"
+    rate = lambda divisor: f"CASE WHEN s.n = 0 THEN z WHEN s.nd < 2 THEN {early} ELSE greatest(0, s.l / ({divisor} + 1e-8::DOUBLE)) END"
+    level, sold = "(p.a * z + (1 - p.a) * (s.l + s.t))", "z > 0 AND s.nd"
+    return f"""
+    f AS ({folds}),
+    r AS (SELECT {_KEY}, cut, upto, unnest(v) AS y, unnest(ds) AS date, CAST(generate_subscripts(v, 1) - 1 AS DOUBLE) AS x FROM f),
+    ln AS (SELECT {_KEY}, coalesce(regr_slope(y, x), 0) AS s, coalesce(regr_intercept(y, x), avg(y)) AS i FROM r WHERE x < cut GROUP BY ALL),
+    d AS (SELECT *, row_number() OVER (PARTITION BY {_KEY} ORDER BY x) AS rk FROM r WHERE y > 0 AND x < cut),
+    w AS (SELECT {_KEY}, count(*) AS nd, avg(y) AS dmean, stddev_pop(y) AS dstd, regr_slope(y, x) AS slope_all,
+                 regr_slope(y, x) FILTER (rk <= 3) AS slope_first FROM d GROUP BY ALL),
+    p AS (SELECT f.*, greatest(0.05::DOUBLE, least(0.3::DOUBLE, 0.1::DOUBLE + 0.2::DOUBLE * dstd / (dmean + 1e-8::DOUBLE))) AS a,
+                 greatest(0.01::DOUBLE, least(0.2::DOUBLE, 0.1::DOUBLE * abs(CASE WHEN nd >= 3 THEN slope_all ELSE 0 END))) AS b,
+                 CASE WHEN nd >= 3 THEN slope_first ELSE 0 END AS t0 FROM f JOIN w USING ({_KEY})),
+    cr AS (SELECT {_KEY}, upto, cut, ds, list_reduce(p.v[1:upto], lambda s, z: {{
+             'n': s.n + 1, 'tot': s.tot + z, 'nd': s.nd + CASE WHEN z > 0 THEN 1 ELSE 0 END,
+             'l': CASE WHEN {sold} = 0 THEN z WHEN z > 0 THEN {level} ELSE s.l END,
+             't': CASE WHEN {sold} > 0 THEN p.b * ({level} - s.l) + (1 - p.b) * s.t ELSE s.t END,
+             'i': CASE WHEN {sold} = 1 THEN s.n - s.last WHEN {sold} > 1 THEN p.a * (s.n - s.last) + (1 - p.a) * s.i ELSE s.i END,
+             'last': CASE WHEN z > 0 THEN s.n ELSE s.last END,
+             'pc': list_append(s.pc, {rate("s.i")}),
+             'ps': list_append(s.ps, {rate("greatest(s.i - (2 - p.a) / (2 * (1 - p.a)), 0.5::DOUBLE)")})}},
+             {{'n': 0::DOUBLE, 'tot': 0::DOUBLE, 'nd': 0, 'l': 0::DOUBLE, 't': t0::DOUBLE, 'i': 1::DOUBLE, 'last': 0::DOUBLE,
+               'pc': []::DOUBLE[], 'ps': []::DOUBLE[]}}) AS s FROM p),
+    g AS (SELECT a, b FROM (SELECT unnest([{_GRID}]::DOUBLE[]) AS a), (SELECT unnest([{_GRID}]::DOUBLE[]) AS b)),
+    hs AS (SELECT {_KEY}, g.a, g.b, f.v, f.ds, f.cut, f.upto, list_reduce(f.v[2:cut], lambda acc, z: {{
+             'q': acc.q + (z - acc.l - acc.t) * (z - acc.l - acc.t), 'l': g.a * z + (1 - g.a) * (acc.l + acc.t),
+             't': g.b * (g.a * z + (1 - g.a) * (acc.l + acc.t) - acc.l) + (1 - g.b) * acc.t}},
+             {{'q': 0.0::DOUBLE, 'l': f.v[1], 't': coalesce(f.v[2] - f.v[1], 0)}}).q AS q FROM f, g),
+    hb AS (SELECT * FROM hs QUALIFY row_number() OVER (PARTITION BY {_KEY} ORDER BY q, a, b) = 1),
+    hp AS (SELECT {_KEY}, ds, cut, upto, list_reduce(hb.v[2:upto], lambda s, z: {{
+             'l': hb.a * z + (1 - hb.a) * (s.l + s.t), 't': hb.b * (hb.a * z + (1 - hb.a) * (s.l + s.t) - s.l) + (1 - hb.b) * s.t,
+             'p': list_append(s.p, s.l + s.t)}},
+             {{'l': hb.v[1], 't': coalesce(hb.v[2] - hb.v[1], 0), 'p': [hb.v[1]]}}).p AS p FROM hb),
+    lp AS (SELECT {_KEY}, 'croston' AS model, unnest(ds[1:upto]) AS date, unnest(s.pc) AS yhat FROM cr
+           UNION ALL SELECT {_KEY}, 'sba', unnest(ds[1:upto]), unnest(s.ps) FROM cr
+           UNION ALL SELECT {_KEY}, 'holt_winters', unnest(ds[1:upto]), unnest(p) FROM hp
+           UNION ALL SELECT {_KEY}, 'linear_regression', date, i + s * x FROM r JOIN ln USING ({_KEY}) WHERE x < upto),
+    fitted AS (SELECT {_KEY}, date, model, y AS actual, yhat, x >= cut AS held FROM lp JOIN r USING ({_KEY}, date))"""
+
+
+_WHOLE = """SELECT item_id, location_id, 0 AS fold, list(demand_qty ORDER BY date) AS v, list(date ORDER BY date) AS ds,
+                   count(*) AS cut, count(*) AS upto FROM demand_monthly GROUP BY ALL"""
+_CUTS = """SELECT item_id, location_id, fold, v, ds, CAST(floor(n * (0.4::DOUBLE + 0.4::DOUBLE * (fold - 1) / 2) + 1e-9::DOUBLE) AS BIGINT) AS cut,
+                  CAST(floor(n * (0.4::DOUBLE + 0.4::DOUBLE * (fold - 1) / 2) + 1e-9::DOUBLE) + floor(n * 0.2::DOUBLE + 1e-9::DOUBLE) AS BIGINT) AS upto
+           FROM (SELECT item_id, location_id, list(demand_qty ORDER BY date) AS v, list(date ORDER BY date) AS ds, count(*) AS n
+                 FROM demand_monthly GROUP BY ALL), (SELECT unnest([1, 2, 3]) AS fold)"""
 
 
-@query("m15_select_fitted")
+@query(
+    "m15_select_fitted",
+    f"""WITH {paths_sql(_CUTS)},
+        en AS (SELECT {_KEY}, date, 'ensemble' AS model, max(actual) AS actual, avg(yhat) AS yhat FROM fitted
+               WHERE held AND model <> 'sba' GROUP BY ALL),
+        sc AS (SELECT item_id, location_id, model, sqrt(avg(pow(actual - yhat, 2))) AS rmse
+               FROM (SELECT {_KEY}, date, model, actual, yhat FROM fitted WHERE held UNION ALL
+                     SELECT {_KEY}, date, model, actual, yhat FROM en) GROUP BY ALL)
+        SELECT item_id, location_id, model, round(rmse, 5) AS rmse FROM sc
+        QUALIFY row_number() OVER (PARTITION BY item_id, location_id ORDER BY rmse, list_position({_EACH}, model)) = 1""",
+    ("demand_monthly",),
+)
 def m15_fitted(t):
-    return _chosen(t)[1]
+    """The tournament among the candidates that SQL can fit, all of them allowed for every series."""
+    panel = t.demand_monthly
+    allowed = panel.select(*SERIES).distinct().withColumn("models", F.array(*[F.lit(m) for m in _EACH]))
+    return rounded(T.choose(T.backtests(panel, allowed, SERIES, _EACH), allowed), ["rmse"], 5)
+
+
+@query("m15_tournament")
+def m15_tournament(t):
+    return T.select_models(t.demand_monthly)
 
 
 @query("m16_forecast_chosen")
 def m16(t):
-    panel, chosen = _chosen(t)
-    return M.forecast_chosen(panel, chosen, 7)
+    from granary.session import cut_lineage
+
+    panel = cut_lineage(t.demand_monthly)
+    return M.forecast_chosen(panel, T.select_models(panel), 7)
+
+
+_PATHS = ["croston", "sba", "holt_winters", "linear_regression"]
 
 
-@query("m17_fitted_values")
+@query(
+    "m17_fitted_values",
+    f"WITH {paths_sql(_WHOLE)} SELECT item_id, location_id, date, model, actual, round(yhat, 7) + 0.0 AS yhat FROM fitted",
+    ("demand_monthly",),
+)
 def m17(t):
-    return M.arima_fitted(t.demand_monthly)
+    return rounded(P.fitted_values(t.demand_monthly, _PATHS), ["yhat"], 7)
+
+
+@query("m17_arima_fitted")
+def m17_arima(t):
+    return P.fitted_values(t.demand_monthly, ["arima"])
 
 
 _EVALUATED = """
@@ -408,6 +484,28 @@ def m18(t):
     return rounded(S.evaluate(t.backtests, [*SERIES, "model"]), _MEASURES, 5)
 
 
+@query(
+    "m18_evaluate_fitted",
+    f"WITH {paths_sql(_WHOLE)}, {_EVALUATED.replace('backtests', 'fitted')} SELECT item_id, location_id, model, "
+    + ", ".join(f"round({m}, 4) + 0.0 AS {m}" for m in _MEASURES)
+    + " FROM ev",
+    ("demand_monthly",),
+)
+def m18_fitted(t):
+    return rounded(S.evaluate(P.fitted_values(t.demand_monthly, _PATHS), [*SERIES, "model"]), _MEASURES, 4)
+
+
+@query(
+    "m11_fitted_weights",
+    f"WITH {paths_sql(_WHOLE)}, {_PERFORMANCE.replace('backtests', 'fitted')} SELECT item_id, location_id, model, round(weight, 6) AS weight FROM wt",
+    ("demand_monthly",),
+)
+def m11_fitted(t):
+    from granary.session import cut_lineage
+
+    return rounded(S.dynamic_weights(cut_lineage(P.fitted_values(t.demand_monthly, _PATHS)), _PATHS), ["weight"], 6)
+
+
 @query(
     "m19_weighted_score",
     f"""WITH {_EVALUATED} SELECT item_id, location_id, model, round(0.3::DOUBLE * rmse + 0.2::DOUBLE * mae +
@@ -465,6 +563,18 @@ def m22(t):
     )
 
 
+@query(
+    "m22_feedback_fitted",
+    f"""WITH {paths_sql(_WHOLE)} SELECT item_id, location_id, model, round(avg(abs(actual - yhat)), 5) AS prediction_error,
+              round(var_pop(actual - yhat), 3) AS error_variance, round(avg(actual - yhat), 5) + 0.0 AS bias, count(*) AS n
+       FROM fitted GROUP BY ALL""",
+    ("demand_monthly",),
+)
+def m22_fitted(t):
+    found = S.feedback(P.fitted_values(t.demand_monthly, _PATHS), [*SERIES, "model"])
+    return rounded(rounded(found, ["prediction_error", "bias"], 5), ["error_variance"], 3)
+
+
 @query(
     "m23_f_scores",
     """SELECT feature, round(r * r / (1 - r * r) * (n - 2), 3) AS score
@@ -476,13 +586,13 @@ def m23_f(t):
     return rounded(R.f_scores(t.table("lineitem"), ["l_quantity", "l_discount", "l_tax"], "l_extendedprice"), ["score"], 3)
 
 
-_CUTS = "[0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]"
+_DECILES = "[0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]"
 
 
 @query(
     "m23_mutual_information",
-    f"""WITH q AS (SELECT quantile_cont(l_quantity, {_CUTS}) AS q1, quantile_cont(l_tax, {_CUTS}) AS q2,
-                          quantile_cont(l_extendedprice, {_CUTS}) AS qy FROM lineitem),
+    f"""WITH q AS (SELECT quantile_cont(l_quantity, {_DECILES}) AS q1, quantile_cont(l_tax, {_DECILES}) AS q2,
+                          quantile_cont(l_extendedprice, {_DECILES}) AS qy FROM lineitem),
         b AS (SELECT len(list_filter(q1, lambda c: l_quantity > c)) AS l_quantity, len(list_filter(q2, lambda c: l_tax > c)) AS l_tax,
                      len(list_filter(qy, lambda c: l_extendedprice > c)) AS y FROM lineitem, q),
         lg AS (SELECT 'l_quantity' AS feature, l_quantity AS x, y FROM b UNION ALL SELECT 'l_tax', l_tax, y FROM b),

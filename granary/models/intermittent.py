@@ -129,7 +129,7 @@ def fit(
         + F.pow(x["y"] - F.greatest(F.lit(0.0), F.col("base") + F.col("_s.trend") * x["pos"]), F.lit(2)),
     )
     return folded.withColumn("base", base).select(
-        *keys, "n", "last_pos", "alpha", "beta", level.alias("level"), interval.alias("interval"), trend.alias("trend"),
+        *keys, "n", "last_pos", "alpha", "beta", "gap_alpha", "trend0", level.alias("level"), interval.alias("interval"), trend.alias("trend"),
         "base", F.sqrt(squares / F.col("n")).alias("rmse"),
     )
 

@@ -22,11 +22,14 @@ SERIES = ["item_id", "location_id"]
 Forecaster = Callable[[DataFrame, int, list[str]], DataFrame]
 
 _REGISTRY: dict[str, Forecaster] = {}
+#: Models that see one series only: (values in order, steps) -> forecasts. All of them are served by one shuffle.
+AHEAD: dict[str, Callable[[np.ndarray, int], np.ndarray]] = {}
 
 
 def register_model(name: str, forecaster: Forecaster) -> None:
     """Make `forecaster(panel, steps, keys)` available by name; it returns (keys, model, rmse, forecast, error)."""
     _REGISTRY[name] = forecaster
+    AHEAD.pop(name, None)  # a name registered anew no longer means the built-in model
 
 
 def registered_models() -> list[str]:
@@ -79,6 +82,8 @@ def fit_arima(y: np.ndarray) -> tuple[float, float, np.ndarray]:
     w = np.diff(y)
     if len(w) < 3:
         raise ValueError("needs at least four observations")
+    if not np.isfinite(w).all():
+        raise ValueError("a value is missing or not finite")
     centre, width = (0.0, 0.0), 0.95
     for _ in range(4):
         axis = np.linspace(-width, width, 9)
@@ -107,24 +112,6 @@ def _arima(y: np.ndarray, steps: int) -> tuple[float, np.ndarray]:
     return float(np.sqrt(np.mean(e**2))), arima_ahead(y, phi, theta, e, steps)
 
 
-def _hybrid(y: np.ndarray, steps: int) -> tuple[float, np.ndarray]:
-    """ARIMA plus a least-squares model of its innovations on their own lags and relative time."""
-    if len(y) < 10:
-        return float("inf"), np.zeros(steps)
-    phi, theta, e = fit_arima(y)
-    lags = max(1, min(3, len(y) // 5))
-    n = len(e)
-    rows = np.array([[1.0, *e[i - lags : i], i / n] for i in range(lags, n)])
-    weights, *_ = np.linalg.lstsq(rows, e[lags:], rcond=None)
-    rmse = float(np.sqrt(np.mean((e[lags:] - rows @ weights) ** 2)))
-    recent, corrections = list(e[-lags:]), []
-    for i in range(steps):
-        correction = float(np.dot([1.0, *recent[-lags:], (n + i) / (n + steps)], weights))
-        corrections.append(correction)
-        recent.append(correction)
-    return rmse, arima_ahead(y, phi, theta, e, steps) + np.array(corrections)
-
-
 # --- JVM-side models -------------------------------------------------------------------------------------------
 
 HOLT_GRID = (0.1, 0.3, 0.5, 0.7, 0.9)
@@ -225,7 +212,6 @@ def _ensemble(panel: DataFrame, steps: int, keys: list[str] = SERIES) -> DataFra
 for _name, _method in (("croston", "croston"), ("sba", "sba"), ("tsb", "tsb")):
     register_model(_name, _croston_type(_method, _name))
 register_model("arima", per_series("arima", _arima))
-register_model("hybrid_arima_xgb", per_series("hybrid_arima_xgb", _hybrid))
 register_model("holt_winters", _holt)
 register_model("linear_regression", _linear)
 register_model("ensemble", _ensemble)
@@ -249,22 +235,119 @@ def choose(candidates: DataFrame, allowed: DataFrame | None = None, keys: list[s
     )
 
 
+# --- Dispatch by chosen model ---------------------------------------------------------------------------------
+
+
+def croston_ahead(y: np.ndarray, steps: int, method: str) -> np.ndarray:
+    """The Croston family's forecast of one series, with the weights `intermittent.fit` takes."""
+    at = np.flatnonzero(y > 0)
+    if len(at) < 2:
+        return np.full(steps, max(float(y.mean()) / (1 + 1e-8), 0.0))
+    demands, gaps = y[at], np.diff(at).astype(float)
+    slope = lambda n: float(np.polyfit(at[:n], demands[:n], 1)[0]) if len(at) >= 3 else 0.0
+    a = min(max(0.1 + 0.2 * demands.std() / (demands.mean() + 1e-8), 0.05), 0.3)
+    b = min(max(0.1 * abs(slope(len(at))), 0.01), 0.2)
+    g = min(max(0.1 + 0.2 * gaps.std() / (gaps.mean() + 1e-8), 0.05), 0.3) if method == "tsb" else a
+    level, interval, trend = demands[0], gaps[0], slope(3)
+    for i in range(1, len(at)):
+        before, level = level, a * demands[i] + (1 - a) * (level + trend)
+        trend = b * (level - before) + (1 - b) * trend
+        interval = g * gaps[i] + (1 - g) * interval if i < len(gaps) else interval
+    if method == "sba":
+        interval = max(interval - (2 - a) / (2 * (1 - a)), 0.5)
+    return np.maximum(level / (interval + 1e-8) + trend * np.arange(steps), 0.0)
+
+
+def holt_ahead(y: np.ndarray, steps: int) -> np.ndarray:
+    """Additive-trend smoothing over the same grid as `holt_fit`, all grid points at once."""
+    alpha, beta = (g.ravel() for g in np.meshgrid(HOLT_GRID, HOLT_GRID, indexing="ij"))
+    level, trend = np.full(len(alpha), y[0]), np.full(len(alpha), y[1] - y[0] if len(y) > 1 else 0.0)
+    sse = np.zeros(len(alpha))
+    for x in y[1:]:
+        expected = level + trend
+        sse += (x - expected) ** 2
+        before, level = level, alpha * x + (1 - alpha) * expected
+        trend = beta * (level - before) + (1 - beta) * trend
+    best = int(np.argmin(sse))
+    return level[best] + trend[best] * np.arange(1, steps + 1)
+
+
+def line_ahead(y: np.ndarray, steps: int) -> np.ndarray:
+    if len(y) < 2:
+        return np.full(steps, y[0])
+    slope, start = np.polyfit(np.arange(len(y)), y, 1)
+    return start + slope * np.arange(len(y), len(y) + steps)
+
+
+def _ensemble_ahead(y: np.ndarray, steps: int) -> np.ndarray:
+    return (line_ahead(y, steps) + holt_ahead(y, steps) + croston_ahead(y, steps, "croston")) / 3
+
+
+def _arima_ahead_of(y: np.ndarray, steps: int) -> np.ndarray:
+    return _arima(y, steps)[1]
+
+
+AHEAD |= {
+    "arima": _arima_ahead_of,
+    "holt_winters": holt_ahead,
+    "linear_regression": line_ahead,
+    "ensemble": _ensemble_ahead,
+    "croston": lambda y, steps: croston_ahead(y, steps, "croston"),
+    "sba": lambda y, steps: croston_ahead(y, steps, "sba"),
+    "tsb": lambda y, steps: croston_ahead(y, steps, "tsb"),
+}
+
+
+def forecast_each(panel: DataFrame, chosen: DataFrame, steps: int, keys: list[str] = SERIES) -> DataFrame:
+    """The per-series models of `AHEAD`: panel and choice meet in one cogrouped pass, whatever the number of models.
+
+    A series whose model fails, or that has no rows, yields zeros and its error; the others are not touched by it.
+    """
+    models = dict(AHEAD)
+    schema = f"{_key_schema(chosen, keys)}, model string, forecast array<double>, error string"
+
+    def one(rows: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        y = rows.sort_values("date")["demand_qty"].to_numpy(dtype=float)
+        for _, a in asked.iterrows():
+            try:
+                if not len(y):
+                    raise ValueError("no observations")
+                if not np.isfinite(y).all():
+                    raise ValueError("a value is missing or not finite")
+                ahead, error = models[a["model"]](y, steps), None
+            except Exception as e:  # one bad series must not fail the job
+                ahead, error = np.zeros(steps), f"{type(e).__name__}: {e}"
+            out.append([*[a[k] for k in keys], a["model"], list(map(float, ahead)), error])
+        return pd.DataFrame(out, columns=[*keys, "model", "forecast", "error"])
+
+    asked = chosen.where(F.col("model").isin(*AHEAD)).select(*keys, "model")
+    rows = panel.select(*keys, "date", "demand_qty")
+    return rows.groupBy(*keys).cogroup(asked.groupBy(*keys)).applyInPandas(one, schema)
+
+
 def forecast_chosen(panel: DataFrame, chosen: DataFrame, steps: int, keys: list[str] = SERIES) -> DataFrame:
     """Forecast every series with its chosen model only: (keys, model, step, yhat, error).
 
-    The tagged panel is materialised once; each model then reads just the series that chose it. An unknown model
-    yields zeros and an error.
+    Models of one series share one cogrouped pass; models fitted over all series are fitted once each and forecast only
+    the series that chose them; registered ones read just their series. An unknown model yields zeros and an error.
     """
     chosen = cut_lineage(chosen.select(*keys, "model"))
-    tagged = cut_lineage(panel.join(chosen, keys))
+    panel = cut_lineage(panel)
+    own = [m for m in registered_models() if m not in AHEAD]
     # At most one name per registered model comes back.
-    used = chosen.where(F.col("model").isin(registered_models())).select("model").distinct().orderBy("model").collect()
-    parts = [
-        _REGISTRY[row.model](tagged.where(F.col("model") == row.model).drop("model"), steps, keys) for row in used
-    ]
-    unknown = chosen.where(~F.col("model").isin(registered_models())).select(
-        *keys, "model", F.lit(None).cast("double").alias("rmse"),
-        F.array_repeat(F.lit(0.0), steps).alias("forecast"), F.lit("unknown model").alias("error"),
+    used = [r.model for r in chosen.where(F.col("model").isin(own)).select("model").distinct().orderBy("model").collect()]
+    columns = [*keys, "model", "forecast", "error"]
+    parts = [forecast_each(panel, chosen, steps, keys)]
+    for name in used:
+        asked = chosen.where(F.col("model") == name).select(*keys)
+        if getattr(_REGISTRY[name], "shared", False):
+            part = _REGISTRY[name](panel, steps, keys, only=asked)
+        else:
+            part = _REGISTRY[name](panel.join(asked, keys), steps, keys)
+        parts.append(part.select(columns))
+    unknown = chosen.where(~F.col("model").isin([*own, *AHEAD])).select(
+        *keys, "model", F.array_repeat(F.lit(0.0), steps).alias("forecast"), F.lit("unknown model").alias("error")
     )
     rows = reduce(DataFrame.unionByName, [*parts, unknown])
     return rows.select(*keys, "model", "error", F.posexplode("forecast").alias("_i", "yhat")).select(
@@ -272,18 +355,4 @@ def forecast_chosen(panel: DataFrame, chosen: DataFrame, steps: int, keys: list[
     )
 
 
-def arima_fitted(panel: DataFrame, keys: list[str] = SERIES) -> DataFrame:
-    """One-step in-sample predictions; a series too short for the model predicts its first value throughout."""
-    schema = f"{_key_schema(panel, keys)}, date date, actual double, yhat double"
-
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("date")
-        y = pdf["demand_qty"].to_numpy(dtype=float)
-        try:
-            _, _, e = fit_arima(y)
-            yhat = np.concatenate([[y[0]], y[1:] - e])
-        except ValueError:
-            yhat = np.full(len(y), y[0])
-        return pd.DataFrame({**{k: pdf[k] for k in keys}, "date": pdf["date"], "actual": y, "yhat": yhat})
-
-    return spread(panel.select(*keys, "date", "demand_qty"), *keys).groupBy(*keys).applyInPandas(one, schema)
+from granary.models import shared as _shared  # noqa: E402, F401  registers the models fitted over all series
