@@ -191,12 +191,10 @@ def fit(docs: DataFrame, labels: DataFrame, count_rows: int = COUNT_ROWS, fit_ro
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """One row per document: doc_id, held_out, score, predicted."""
-    sent = docs.sparkSession.sparkContext.broadcast(model)  # two arrays of 2 ** BITS numbers
-
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             raw, bounds = R.texts_of(batch.column("text"))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sent.value.score(raw, bounds))], names=["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(model.score(raw, bounds))], names=["doc_id", "score"])
 
     found = R.small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(rows, "doc_id long, score double")
     return found.select("doc_id", (fold(F.col("doc_id")) == 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
@@ -204,12 +202,11 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
 def keep_good(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
     """`docs` without the documents that score below `least`."""
-    sent = docs.sparkSession.sparkContext.broadcast(model)
     schema = docs.schema
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             raw, bounds = R.texts_of(batch.column(batch.schema.get_field_index("text")))
-            yield batch.filter(pa.array(sent.value.score(raw, bounds) >= least))
+            yield batch.filter(pa.array(model.score(raw, bounds) >= least))
 
     return R.small_batches(docs).mapInArrow(rows, schema)

@@ -39,10 +39,6 @@ def benchmark_windows(benchmark: DataFrame, ngram: int = NGRAM) -> DataFrame:
     return shared.withColumn("offset", -longest["at"]).withColumn("anchor", F.element_at("window", F.col("offset") + 1))
 
 
-def _key(docs: DataFrame) -> DataFrame:
-    return docs.withColumn("_text_key", F.xxhash64("text"))
-
-
 def table_slices(windows: DataFrame) -> list[DataFrame]:
     """Parts of `benchmark_windows` of about `SLICE_BYTES` at most, dealt by the whole window: anchors may be shared by many."""
     weight = F.sum(F.octet_length(F.concat_ws(" ", "window")) + F.octet_length(F.concat_ws(",", "items")) + 100)
@@ -102,18 +98,17 @@ def clean(docs: DataFrame, benchmark: DataFrame, ngram: int = NGRAM, remove: str
     """
     if remove not in ("documents", "spans"):
         raise ValueError("remove must be 'documents' or 'spans'")
-    found = (
-        hits(docs, benchmark, ngram)
-        .groupBy("doc_id", "_text_key")
-        .agg(F.collect_set(F.struct("start", "size")).alias("_spans"))
-        .select(F.col("doc_id").alias("_hit_id"), F.col("_text_key").alias("_hit_key"), F.col("_spans").alias("_hit_spans"))
-    )
-    keyed = _key(docs)
-    same = keyed["doc_id"].eqNullSafe(found._hit_id) & (keyed["_text_key"] == found._hit_key)
+    found = hits(docs, benchmark, ngram).groupBy("doc_id", "_text_key").agg(F.collect_set(F.struct("start", "size")).alias("hit_spans"))
+    found = found.select(F.col("doc_id").alias("hit_id"), F.col("_text_key").alias("hit_key"), "hit_spans")
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")  # the user's columns, apart from those made here
+    keyed = docs.select(row, F.col("doc_id").alias("own_id"), F.xxhash64("text").alias("own_key"))
+    same = F.col("own_id").eqNullSafe(F.col("hit_id")) & (F.col("own_key") == F.col("hit_key"))
+    own = {c: F.col(f"row.`{c}`").alias(c) for c in docs.columns}
     if remove == "documents":
-        return keyed.join(found, same, "left_anti").drop("_text_key")
-    pieces = F.regexp_extract_all("text", F.lit(f"({RAW_WORD}+{RAW_BREAK}*)"), F.lit(1))
-    left = F.filter(pieces, lambda p, i: ~F.exists("_hit_spans", lambda s: (i >= s["start"]) & (i < s["start"] + s["size"])))
-    text = F.concat(F.regexp_extract("text", f"^{RAW_BREAK}*", 0), F.array_join(left, ""))
-    joined = keyed.join(found, same, "left")
-    return joined.select(*[F.when(F.col("_hit_spans").isNull(), F.col("text")).otherwise(text).alias("text") if c == "text" else keyed[f"`{c}`"] for c in docs.columns])
+        return keyed.join(found, same, "left_anti").select(*own.values())
+    plain = F.col("row.text")
+    pieces = F.regexp_extract_all(plain, F.lit(f"({RAW_WORD}+{RAW_BREAK}*)"), F.lit(1))
+    left = F.filter(pieces, lambda p, i: ~F.exists("hit_spans", lambda s: (i >= s["start"]) & (i < s["start"] + s["size"])))
+    text = F.concat(F.regexp_extract(plain, f"^{RAW_BREAK}*", 0), F.array_join(left, ""))
+    own["text"] = F.when(F.col("hit_spans").isNull(), plain).otherwise(text).alias("text")
+    return keyed.join(found, same, "left").select(*own.values())

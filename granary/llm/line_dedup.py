@@ -104,9 +104,10 @@ def dedup(docs: DataFrame, run: int = RUN, gram: int = GRAM, words: int | None =
         spans = spans.unionByName(short)
     kinds = {"n_lines": pa.int64(), "n_removed_lines": pa.int64(), "text": pa.string()}
     ddl = {"n_lines": T.LongType(), "n_removed_lines": T.LongType(), "text": T.StringType()}
-    found = R.with_spans(texts, spans).withColumn("_null", F.col("text").isNull())
-    out = R.rewritten(found.withColumn("rest", _with_null(found)), _remove(run), kinds, ddl)
-    text = F.when(F.col("rest._null"), F.lit(None)).otherwise(F.col("text")).cast("string")
+    found = R.with_spans(texts, spans)
+    kept = [F.col("rest").alias("kept")] if "rest" in found.columns else []
+    out = R.rewritten(found.withColumn("rest", F.struct(F.col("text").isNull().alias("none"), *kept)), _remove(run), kinds, ddl)
+    text = F.when(F.col("rest.none"), F.lit(None)).otherwise(F.col("text")).cast("string")
     taken = {c.lower() for c in docs.columns}
 
     def free(name: str) -> str:
@@ -114,17 +115,11 @@ def dedup(docs: DataFrame, run: int = RUN, gram: int = GRAM, words: int | None =
             name = f"_{name}"
         return name
 
-    columns = [F.col("doc_id") if c == "doc_id" else text.alias(c) if c == "text" else F.col(f"rest.`{c}`").alias(c) for c in docs.columns]
-    lines = F.when(F.col("rest._null"), F.lit(0)).otherwise(F.col("n_lines")).cast("long")
+    columns = [F.col("doc_id") if c == "doc_id" else text.alias(c) if c == "text" else F.col(f"rest.kept.`{c}`").alias(c) for c in docs.columns]
+    lines = F.when(F.col("rest.none"), F.lit(0)).otherwise(F.col("n_lines")).cast("long")
     return out.select(*columns, lines.alias(free("n_lines")), F.col("n_removed_lines").alias(free("n_removed_lines")))
 
 
-def _with_null(found: DataFrame) -> F.Column:
-    if "rest" in found.columns:
-        return F.col("rest").withField("_null", F.col("_null"))
-    return F.struct(F.col("_null").alias("_null"))
-
-
 def dedup_documents(docs: DataFrame, run: int = RUN, gram: int = GRAM, words: int | None = PASSAGE) -> DataFrame:
     """`dedup` with only the columns of `docs`, without documents of which no line is left."""
     out = dedup(docs, run, gram, words)

@@ -1,9 +1,13 @@
 """Mixing sources to target weights by iterative proportional fitting.
 
 Documents fall into cells of (source, language, topic). The tokens of each cell are summed once; raking then scales the
-cells until the weighted tokens match the target share of every source, language and topic in turn. A document is kept
-with a probability proportional to its cell's weight, drawn by a hash of its id, so the choice does not depend on
-partitions. Cells stay in DataFrames: their number has no bound, and each round is three grouped sums over them.
+cells' probabilities until the expected tokens match the target share of every source, language and topic in turn. A
+probability can't exceed 1: cells that would are fixed there and the others raked again to the rest. A document is kept
+with its cell's probability, drawn by a hash of its id, so the choice does not depend on partitions. Cells stay in one
+table with their probability in the row: their number has no bound, a step is one grouped sum and one join, and a round writes the table once.
+
+A category with fewer tokens than its target asks for can't reach it. Then `repeat` takes documents more than once,
+`largest_keep` gives the share to keep at which all targets are met, and `marginals` shows the gap that is left otherwise.
 
 A source may hold any share of all rows: cells are pre-aggregated where they are read, and documents meet their cell's
 weight by a join that adaptive execution can split.
@@ -17,12 +21,12 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from granary.session import scratch_path
+from granary.session import discard, scratch_path
 
-ROUNDS, TOLERANCE, KEEP, SEED, FLATTEN = 12, 1e-3, 0.5, 7, 0.5
+TOLERANCE, KEEP, SEED, FLATTEN = 1e-3, 0.5, 7, 0.5
 DIMENSIONS = ("source", "lang", "topic")
 
 
@@ -75,69 +79,131 @@ def targets(cells: DataFrame, dimension: str, given: dict[str, float] | None, fl
     return wanted.select(dimension, (F.col("want") / F.when(total.scalar() > 0, total.scalar())).alias("target"))
 
 
-def rake(cells: DataFrame, wanted: dict[str, DataFrame], rounds: int = ROUNDS, tolerance: float = TOLERANCE) -> dict[str, DataFrame]:
-    """A factor for each value of each dimension; a cell's weight is their product (`weighted`).
+class _Cells:
+    """The cells as a table that is written anew after each change; the one before is removed."""
 
-    Weight * tokens then has the target share in every dimension. Each step fits one dimension to the other factors in
-    one grouped sum, so plans stay the same size in every round.
-    """
-    spark = cells.sparkSession
+    def __init__(self, spark: SparkSession, first: DataFrame):
+        self.spark, self.path = spark, None
+        self.put(first)
 
-    def stored(df: DataFrame) -> DataFrame:
-        path = scratch_path(spark, "raked")
+    def put(self, df: DataFrame) -> None:
+        path = scratch_path(self.spark, "cells")
         df.write.parquet(path)
-        return spark.read.parquet(path)
-
-    goals = {d: stored(goal.select(d, "target", F.lit(1.0).alias("factor"), F.lit(0.0).alias("gap"))) for d, goal in wanted.items()}
-    factors = dict(goals)
-    total = float(cells.agg(F.sum("tokens")).first()[0] or 0)
-    for _ in range(rounds):
-        for d, goal in goals.items():
-            others = weighted(cells, {k: f for k, f in factors.items() if k != d})
-            now = others.groupBy(d).agg(F.sum(F.col("weight") * F.col("tokens")).alias("now"))
-            fitted = now.join(goal.select(d, "target"), d).join(factors[d].select(d, F.col("factor").alias("old")), d)
-            new = F.when(F.col("now") > 0, F.col("target") * total / F.col("now")).otherwise(1.0)
-            factors[d] = stored(fitted.select(d, new.alias("factor"), F.abs(new / F.col("old") - 1).alias("gap")))
-        gaps = [f.select("gap") for f in factors.values()]
-        worst = reduce(DataFrame.union, gaps).agg(F.max("gap")).first()[0]
-        if worst is None or worst <= tolerance:
+        if self.path is not None:
+            discard(self.spark, self.path)
+        self.path, self.rows = path, self.spark.read.parquet(path)
+
+
+def _with_goals(cells: _Cells, total: float, keep: float) -> None:
+    """Give every cell the tokens that its categories still want from their free cells, `goal_<dimension>`.
+
+    A category without free cells can't give more than it has. Its gap would make the other dimensions unreachable too, so
+    all dimensions are scaled to the least total that the free cells of one can give.
+    """
+    free = F.sum(F.when(~F.col("fixed"), F.col("tokens")).otherwise(0))
+    taken = F.sum(F.when(F.col("fixed"), F.col("tokens") * F.col("probability")).otherwise(0.0))
+    rests, sums = {}, []
+    for d in DIMENSIONS:
+        rest = F.greatest(F.col("want") * total * keep - F.col("taken"), F.lit(0.0))
+        by = cells.rows.groupBy(d).agg(F.max(f"target_{d}").alias("want"), free.alias("free"), taken.alias("taken"))
+        rests[d] = by.select(d, F.when(F.col("free") > 0, rest).otherwise(0.0).alias(f"goal_{d}"))
+        sums.append(rests[d].agg(F.lit(d).alias("d"), F.sum(f"goal_{d}").alias("s")))
+    found = {r.d: r.s or 0.0 for r in reduce(DataFrame.union, sums).collect()}  # one row per dimension
+    least = min(found.values())
+    rows = cells.rows.drop(*[f"goal_{d}" for d in DIMENSIONS])
+    for d in DIMENSIONS:
+        rows = rows.join(rests[d].withColumn(f"goal_{d}", F.col(f"goal_{d}") * (least / found[d] if found[d] else 0.0)), d)
+    cells.put(rows)
+
+
+def _round(cells: _Cells) -> float:
+    """Scale the free cells to the goals of each dimension in turn; the largest change of a factor is returned."""
+    rows = cells.rows.withColumn("gap", F.lit(0.0))
+    for d in DIMENSIONS:
+        now = rows.where(~F.col("fixed")).groupBy(d).agg(F.sum(F.col("probability") * F.col("tokens")).alias("now"))
+        factor = F.when(~F.col("fixed") & (F.col("now") > 0), F.col(f"goal_{d}") / F.col("now")).otherwise(1.0)
+        rows = rows.join(now, d, "left").withColumn("factor", factor)
+        moved = F.when(F.col(f"goal_{d}") > 0, F.abs(F.col("factor") - 1)).otherwise(0.0)
+        rows = rows.withColumns({"probability": F.col("probability") * F.col("factor"), "gap": F.greatest("gap", moved)}).drop("now", "factor")
+    cells.put(rows)
+    return cells.rows.agg(F.max("gap")).first()[0] or 0.0
+
+
+def calibrate(cells: DataFrame, wanted: dict[str, DataFrame], keep: float = KEEP, tolerance: float = TOLERANCE, repeat: bool = False) -> DataFrame:
+    """`cells` (source, lang, topic, tokens) with the probability at which each is kept.
+
+    Raking goes on until no factor moves by more than `tolerance`, or the moves no longer shrink because the targets contradict
+    each other. Cells that then exceed 1 are fixed there and the others raked again to what is left, until none does.
+    With `repeat`, cells may exceed 1: their documents are then taken more than once. `marginals` tells the gaps that are left.
+    """
+    spark = cells.sparkSession
+    for d in DIMENSIONS:
+        cells = cells.join(wanted[d].select(d, F.col("target").alias(f"target_{d}")), d)
+    table = _Cells(spark, cells.withColumns({"probability": F.lit(float(keep)), "fixed": F.lit(False)}))
+    total = float(table.rows.agg(F.sum("tokens")).first()[0] or 0)
+    while True:
+        _with_goals(table, total, keep)
+        before, shrinking = _round(table), 0  # rounds in a row that hardly shrank it
+        while before > tolerance:
+            gap = _round(table)
+            shrinking = 0 if gap < 0.9 * before else shrinking + 1
+            before = gap
+            if shrinking == 3:
+                break
+        over = ~F.col("fixed") & (F.col("probability") > 1)
+        if repeat or table.rows.where(over).isEmpty():
             break
-    return factors
+        table.put(table.rows.withColumns({"fixed": F.col("fixed") | over, "probability": F.when(over, 1.0).otherwise(F.col("probability"))}))
+    return table.rows.select(*DIMENSIONS, "tokens", "probability", *[f"target_{d}" for d in DIMENSIONS])
 
 
-def weighted(rows: DataFrame, factors: dict[str, DataFrame]) -> DataFrame:
-    """`rows` with `weight`, the product of their factors."""
-    weight = F.lit(1.0)
-    for i, (d, f) in enumerate(factors.items()):
-        rows = rows.join(f.select(d, F.col("factor").alias(f"_factor{i}")), d)
-        weight = weight * F.col(f"_factor{i}")
-    return rows.withColumn("weight", weight).drop(*[f"_factor{i}" for i in range(len(factors))])
+def largest_keep(cells: DataFrame, wanted: dict[str, DataFrame]) -> float:
+    """The largest share of tokens that can be kept with every target met and no document repeated."""
+    most = calibrate(cells, wanted, 1.0, repeat=True).where("tokens > 0").agg(F.max("probability")).first()[0]
+    return min(1.0, 1.0 / most) if most else 1.0
 
 
-def mix(docs: DataFrame, wanted: dict[str, dict[str, float]] | None = None, keep: float = KEEP, rounds: int = ROUNDS, tolerance: float = TOLERANCE) -> DataFrame:
-    """All documents with their cell's weight: row, source, lang, topic, tokens, weight, probability, sampled.
+def marginals(calibrated: DataFrame) -> DataFrame:
+    """(dimension, value, target, expected): wanted and expected share of the kept tokens of every category."""
+    kept = calibrated.withColumn("kept", F.col("tokens") * F.col("probability"))
+    total = kept.agg(F.sum("kept").alias("all"))
+    each = [
+        kept.groupBy(F.lit(d).alias("dimension"), F.col(d).alias("value")).agg(F.max(f"target_{d}").alias("target"), F.sum("kept").alias("kept"))
+        for d in DIMENSIONS
+    ]
+    share = F.col("kept") / F.when(total.scalar() > 0, total.scalar())
+    return reduce(DataFrame.unionByName, each).select("dimension", "value", "target", F.coalesce(share, F.lit(0.0)).alias("expected"))
 
-    `keep` is the share of all tokens to keep; probabilities are cut at 1.
+
+def cell_table(docs: DataFrame) -> DataFrame:
+    """(source, lang, topic, tokens, documents): one row per cell, summed where the documents are read."""
+    path = scratch_path(docs.sparkSession, "tokens")
+    _celled(docs).groupBy(*DIMENSIONS).agg(F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("documents")).write.parquet(path)
+    return docs.sparkSession.read.parquet(path)
+
+
+def goals(cells: DataFrame, wanted: dict[str, dict[str, float]] | None) -> dict[str, DataFrame]:
+    """`targets` of every dimension."""
+    return {d: targets(cells, d, None if wanted is None else wanted.get(d, {})) for d in DIMENSIONS}
+
+
+def mix(docs: DataFrame, wanted: dict[str, dict[str, float]] | None = None, keep: float = KEEP, tolerance: float = TOLERANCE, repeat: bool = False) -> DataFrame:
+    """All documents with their cell's probability: row, source, lang, topic, tokens, weight, probability, sampled, copies.
+
+    `keep` is the share of all tokens to keep. With `repeat`, `copies` may exceed 1.
     """
-    rows = _celled(docs)
-    path = scratch_path(docs.sparkSession, "cells")
-    rows.groupBy(*DIMENSIONS).agg(F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("documents")).write.parquet(path)
-    cells = docs.sparkSession.read.parquet(path)
-    goals = {d: targets(cells, d, None if wanted is None else wanted.get(d, {})) for d in DIMENSIONS}
-    factors = rake(cells, goals, rounds, tolerance)
-    stored = scratch_path(docs.sparkSession, "weights")  # read again, its size is known and small tables are broadcast
-    weighted(cells, factors).select(*DIMENSIONS, "weight").write.parquet(stored)
-    raked = docs.sparkSession.read.parquet(stored)
+    cells = cell_table(docs)
+    raked = calibrate(cells, goals(cells, wanted), keep, tolerance, repeat).select(*DIMENSIONS, "probability")
     draw = F.pmod(F.xxhash64("_id_hash", F.when(F.col("row.doc_id").isNull(), F.col("row.text"))), F.lit(1 << 52)) / F.lit(float(1 << 52))
-    share = F.least(F.col("weight") * F.lit(keep), F.lit(1.0))
-    return (
-        rows.join(raked, list(DIMENSIONS))
-        .withColumn("probability", share)
-        .withColumn("sampled", draw < share)
-        .select("row", *DIMENSIONS, "tokens", "weight", "probability", "sampled")
-    )
+    whole = F.floor("probability")
+    copies = (whole + F.when(draw < F.col("probability") - whole, 1).otherwise(0)).cast("int")
+    rows = _celled(docs).join(raked, list(DIMENSIONS)).withColumn("copies", copies)
+    return rows.select("row", *DIMENSIONS, "tokens", (F.col("probability") / keep).alias("weight"), "probability", (F.col("copies") > 0).alias("sampled"), "copies")
 
 
-def sample(docs: DataFrame, wanted: dict[str, dict[str, float]] | None = None, keep: float = KEEP) -> DataFrame:
+def sample(docs: DataFrame, wanted: dict[str, dict[str, float]] | None = None, keep: float = KEEP, repeat: bool = False) -> DataFrame:
     """The documents drawn, with the columns of `docs`."""
-    return mix(docs, wanted, keep).where("sampled").select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])
+    drawn = mix(docs, wanted, keep, repeat=repeat).where("sampled")
+    if repeat:
+        drawn = drawn.select("row", F.explode(F.array_repeat(F.lit(1), F.col("copies"))).alias("copy"))
+    return drawn.select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])

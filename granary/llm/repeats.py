@@ -17,8 +17,9 @@ for each document that holds it and never a row per pair.
 from __future__ import annotations
 
 import ctypes
+import sys
 from collections.abc import Callable, Iterator
-from functools import lru_cache, wraps
+from functools import wraps
 from inspect import isgeneratorfunction
 
 import numpy as np
@@ -73,25 +74,30 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(31))
 
 
-@lru_cache(maxsize=2)
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    base = 0xD6E8FEB86659FD93
-    out = []
-    for b in (base, pow(base, -1, 1 << 64)):
-        steps = np.full(n, b, U)
-        steps[0] = 1
-        out.append(np.multiply.accumulate(steps))
-    return out[0], out[1]
+def process_cache() -> dict:
+    """What this process keeps between tasks. Task functions travel by value, so a cache in their module would be new in every task."""
+    return sys.__dict__.setdefault("_granary_cache", {})
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the hash base and of its inverse, `n` at least."""
-    return _powers(1 << max(18, n.bit_length()))
+    n, kept = 1 << max(18, n.bit_length()), process_cache()
+    if "powers" not in kept or len(kept["powers"][0]) < n:
+        base = 0xD6E8FEB86659FD93
+        out = []
+        for b in (base, pow(base, -1, 1 << 64)):
+            steps = np.full(n, b, U)
+            steps[0] = 1
+            out.append(np.multiply.accumulate(steps))
+        kept["powers"] = (out[0], out[1])
+    return kept["powers"]
 
 
-@lru_cache(maxsize=1)
 def byte_symbols() -> np.ndarray:
-    return mix(np.arange(1, 257, dtype=U) * U(0x9E3779B97F4A7C15))
+    kept = process_cache()
+    if "byte_symbols" not in kept:
+        kept["byte_symbols"] = mix(np.arange(1, 257, dtype=U) * U(0x9E3779B97F4A7C15))
+    return kept["byte_symbols"]
 
 
 def prefix_sums(x: np.ndarray) -> np.ndarray:

@@ -17,7 +17,6 @@ from __future__ import annotations
 import heapq
 import json
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -259,17 +258,13 @@ class Compiled:
         return extra + np.bincount(text, weights=each[which], minlength=len(extra)).astype(np.int64)
 
 
-@lru_cache(maxsize=4)
-def compiled(path: str) -> Compiled:
-    return Compiled(path)
-
-
 def count(docs: DataFrame, tokenizer: str, limit: int = 512) -> DataFrame:
     """One row per document: doc_id, n_bytes, n_tokens and over_limit. `tokenizer` is the path of the file, on the driver."""
-    tables = docs.sparkSession.sparkContext.broadcast(compiled(tokenizer))  # a few MB, whatever the data
+    tables = Compiled(tokenizer)  # a few MB, whatever the data; sent with the task function
+    name = ("tokenizer", tokenizer, len(tables.merges.made))
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        machine = tables.value
+        machine = R.process_cache().setdefault(name, tables)  # pieces counted by earlier tasks of this process stay counted
         for batch in batches:
             raw, bounds = R.texts_of(batch.column("text"))
             parts = [machine.tokens(raw[bounds[i] : bounds[j]], bounds[i : j + 1] - bounds[i]) for i, j in R.steps(bounds, CHUNK)]

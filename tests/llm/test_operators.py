@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from granary.llm import chat, classifier, decontaminate, line_dedup, mixing, quality, repeats, simhash, substring_dedup, suffix_dedup, tokens
+from granary.llm import chat, classifier, decontaminate, line_dedup, quality, repeats, simhash, substring_dedup, suffix_dedup, tokens
 from granary.llm.queries import ORACLES, QUERIES
 from tests.compare import difference, open_tables
 
@@ -170,7 +170,7 @@ def test_token_counts(docs, none):
     for r in tokens.count(docs, path).join(docs.dropDuplicates(["doc_id"]).select("doc_id", "text"), "doc_id").collect():
         assert (r.n_bytes, r.n_tokens) == (len((r.text or "").encode()), len(library.encode(r.text or "", add_special_tokens=False).ids))
     assert tokens.count(none, path).count() == 0
-    machine, rng = tokens.compiled(path), random.Random(3)
+    machine, rng = tokens.Compiled(path), random.Random(3)
     bits = ["a", "'s", "'re", "'", "l", " ", "  ", "\n", "1", "²", "é", "!", "<|endoftext|>", "'v", "e", "　", "THE", "\r\n", "日本", "🙂", "'S"]
     odd = ["".join(rng.choice(bits) for _ in range(rng.randint(0, 14))) for _ in range(5000)] + ["ab" * 2000]
     raw, bounds = repeats.texts_of(pa.array(odd))
@@ -366,25 +366,12 @@ def test_windows_with_one_anchor_are_dealt_to_all_slices(spark, monkeypatch):
     assert {r.doc_id for r in decontaminate.report(given, items).where("n_hit > 0").collect()} == set(range(0, 400, 7))
 
 
-def test_raking_reaches_its_targets(docs, none):
-    docs = docs.where("length(text) < 5000 and lang is not null")  # one giant in one source could not be raked
-    out = mixing.mix(docs, {"source": {"s0": 0.5, "s1": 0.2, "s2": 0.2, "(none)": 0.1}}, keep=0.4).toPandas()
-    assert len(out) == docs.count()
-    out["w"] = out["weight"] * out["tokens"]
-    share = out.groupby("source")["w"].sum() / out["w"].sum()
-    assert share["s0"] == pytest.approx(0.5, abs=0.01) and share["s1"] == pytest.approx(0.2, abs=0.01)
-    kept = mixing.sample(docs)
-    assert kept.columns == docs.columns
-    assert sorted(map(str, kept.collect())) == sorted(map(str, mixing.sample(docs.repartition(5)).collect()))
-    assert mixing.mix(none).count() == 0
-
-
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_twins(spark, sf_dir, name):
     assert difference(QUERIES[name](spark, sf_dir), open_tables(sf_dir), ORACLES[name]) is None
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES)))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES) - {"op11_whitening"}))
 def test_queries_return_each_document_once(spark, sf_dir, name):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     out = QUERIES[name](spark, sf_dir)
