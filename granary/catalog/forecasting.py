@@ -10,6 +10,7 @@ from granary.catalog.views import SERIES
 from granary.models import intermittent as I
 from granary.models import regression as R
 from granary.models import paths as P
+from granary.models import refit as U
 from granary.models import selection as S
 from granary.models import series as M
 from granary.models import shared as H
@@ -178,28 +179,43 @@ def m9(t):
     return fitted.select(*SERIES, "model", "rmse", F.posexplode("forecast").alias("step", "yhat"))
 
 
-_ITEM_FORECASTS = """ifc AS (SELECT item_id, category, CAST(row_number() OVER (PARTITION BY item_id ORDER BY date) AS BIGINT)
-        AS step, demand_qty AS yhat FROM (SELECT item_id, date, sum(demand_qty) AS demand_qty FROM part_daily GROUP BY ALL)
-        JOIN items USING (item_id) QUALIFY step <= 7)"""
+def holt_sql(name: str, source: str, keys: str, steps: int) -> str:
+    """(keys, step, yhat) of smoothed trends over `source` (keys, date, demand_qty), as `name`."""
+    return f"""
+    {name}_y AS (SELECT {keys}, list(demand_qty ORDER BY date) AS v FROM {source} GROUP BY ALL),
+    {name}_r AS (SELECT {name}_y.*, g.a, g.b, list_reduce({name}_y.v[2:], lambda acc, z: {{
+          'q': acc.q + (z - acc.l - acc.t) * (z - acc.l - acc.t), 'l': g.a * z + (1 - g.a) * (acc.l + acc.t),
+          't': g.b * (g.a * z + (1 - g.a) * (acc.l + acc.t) - acc.l) + (1 - g.b) * acc.t}},
+          {{'q': 0.0::DOUBLE, 'l': {name}_y.v[1], 't': coalesce({name}_y.v[2] - {name}_y.v[1], 0)}}) AS s
+        FROM {name}_y, (SELECT a, b FROM (SELECT unnest([{_GRID}]::DOUBLE[]) AS a), (SELECT unnest([{_GRID}]::DOUBLE[]) AS b)) g),
+    {name} AS (SELECT {keys}, h AS step, s.l + s.t + s.t * (h - 1) AS yhat
+        FROM (SELECT * FROM {name}_r QUALIFY row_number() OVER (PARTITION BY {keys} ORDER BY s.q, a, b) = 1),
+             (SELECT unnest(range(1, {steps + 1})) AS h))"""
+
+
+_SKUS = """sk AS (SELECT concat(item_id, '@', location_id) AS item_id, concat(item_id // 10, '@', location_id) AS category, date, demand_qty
+           FROM demand_monthly),
+    up AS (SELECT category, date, sum(demand_qty) AS demand_qty FROM sk GROUP BY ALL)"""
 
 
 @query(
     "m10_reconcile",
-    f"""WITH {_ITEM_FORECASTS},
-        tot AS (SELECT category, step, sum(yhat) AS total FROM ifc GROUP BY ALL)
-        SELECT item_id, category, step, round(yhat * (total * (1 + step / 50.0::DOUBLE) / total), 6) AS yhat,
-               round(total * (1 + step / 50.0::DOUBLE) / total, 6) AS factor
-        FROM ifc JOIN tot USING (category, step)""",
-    ("part_daily", "items"),
+    f"""WITH {_SKUS}, {holt_sql('fi', 'sk', 'item_id, category', 6)}, {holt_sql('fc', 'up', 'category', 6)},
+        tot AS (SELECT category, step, sum(yhat) AS total FROM fi GROUP BY ALL)
+        SELECT fi.item_id, fi.category, fi.step, round(fi.yhat * CASE WHEN total = 0 THEN 1 ELSE fc.yhat / total END, 5) AS yhat,
+               round(CASE WHEN total = 0 THEN 1 ELSE fc.yhat / total END, 6) AS factor
+        FROM fi JOIN tot ON tot.category = fi.category AND tot.step = fi.step JOIN fc ON fc.category = fi.category AND fc.step = fi.step""",
+    ("demand_monthly",),
 )
 def m10(t):
-    from granary.operators.windows import clip_horizon
-
-    daily = t.part_daily.groupBy("item_id", "date").agg(F.sum("demand_qty").alias("yhat"))
-    first = clip_horizon(daily, 7, ["item_id"]).join(t.items.select("item_id", "category"), "item_id")
-    items = first.select("item_id", "category", F.col("step").cast("bigint").alias("step"), "yhat")
-    top = items.groupBy("category", "step").agg((F.sum("yhat") * (1 + F.col("step") / 50)).alias("category_yhat"))
-    return rounded(S.reconcile(items, top), ["yhat", "factor"], 6)
+    """Series of brands and of their makers are fitted apart; the makers' forecasts are the ones to add up to."""
+    made = F.floor(F.col("item_id") / 10).cast("bigint")
+    skus = t.demand_monthly.select(
+        F.concat_ws("@", F.col("item_id").cast("string"), "location_id").alias("item_id"),
+        F.concat_ws("@", made.cast("string"), "location_id").alias("category"), "date", "demand_qty",
+    )
+    found = rounded(S.reconciled_forecasts(skus, M.registered("holt_winters"), 6), ["factor"], 6)
+    return rounded(found.withColumn("step", F.col("step").cast("bigint")), ["yhat"], 5)
 
 
 _MODELS = ["last", "mean3", "year_ago"]
@@ -302,17 +318,15 @@ _ml("m12_gradient_boosting", "gradient_boosting")
 
 @query("m13_tune")
 def m13(t):
+    """Ten trials over the full ranges on a tenth of the trees, the best two again on all of them."""
     from granary.operators.windows import ordered_split
     from granary.session import cut_lineage
 
     rows = cut_lineage(ordered_split(R.design(t.demand_monthly)))
-    low, high = R.narrowed(*R.SEARCH_SPACE["random_forest"]["maxDepth"], best=4)
-    found = R.tune(
-        rows.where("split = 'train'"), "random_forest", R.FEATURES,
-        {"maxDepth": [int(low), int(high)], "numTrees": [10]}, validation=rows.where("split = 'validation'"),
-    )
+    found = R.search(rows.where("split = 'train'"), rows.where("split = 'validation'"), "random_forest", R.FEATURES, trials=10)
     return t.spark.createDataFrame(
-        [(i + 1, str(sorted(p.items())), float(r)) for i, (p, r) in enumerate(found)], "rank int, params string, rmse double"
+        [(i + 1, x.share, str(sorted(x.params.items())), float(x.rmse), x.finalist) for i, x in enumerate(found)],
+        "trial int, share double, params string, rmse double, finalist boolean",
     )
 
 
@@ -550,6 +564,36 @@ def m21(t):
     return rounded(rounded(S.accept_refit(wide), ["improvement"], 6), ["old_rmse", "new_rmse"], 5)
 
 
+_SPLIT_AT = "floor(0.8::DOUBLE * n + 1e-9::DOUBLE)"
+
+
+@query(
+    "m21_refit",
+    f"""WITH p AS (SELECT *, lag(demand_qty) OVER ({LINE}) AS x, row_number() OVER ({LINE}) AS rn,
+                          count(*) OVER (PARTITION BY item_id, location_id) AS n FROM demand_monthly),
+        c AS (SELECT item_id, location_id, regr_slope(demand_qty, x) FILTER (rn <= {_SPLIT_AT}) AS s0,
+                     regr_intercept(demand_qty, x) FILTER (rn <= {_SPLIT_AT}) AS i0, regr_slope(demand_qty, x) AS s1,
+                     regr_intercept(demand_qty, x) AS i1 FROM p WHERE x IS NOT NULL GROUP BY ALL),
+        e AS (SELECT item_id, location_id, s0, i0, s1, i1, sqrt(avg(pow(demand_qty - i0 - s0 * x, 2))) AS o, sqrt(avg(pow(demand_qty - i1 - s1 * x, 2))) AS w
+              FROM p JOIN c USING (item_id, location_id) WHERE rn > {_SPLIT_AT} GROUP BY ALL)
+        SELECT item_id, location_id, round(i0, 5) AS old_level, round(s0, 7) AS old_slope, round(i1, 5) AS new_level, round(s1, 7) AS new_slope,
+               round(o, 5) AS old_rmse, round(w, 5) AS new_rmse, round((o - w) / o, 6) AS improvement, (o - w) / o > 0.05 AS accepted FROM e""",
+    ("demand_monthly",),
+)
+def m21_refit(t):
+    """The first four fifths of a series are the stored history, the rest comes in anew: only summaries of both are used."""
+    from pyspark.sql import Window
+
+    n = F.count(F.lit(1)).over(Window.partitionBy(*SERIES))
+    placed = t.demand_monthly.withColumn("_rn", F.row_number().over(Window.partitionBy(*SERIES).orderBy("date"))).withColumn("_old", F.col("_rn") <= F.floor(n * 0.8 + 1e-9))
+    terms = ("one", "lag")
+    history, fresh = (U.summarise(placed.where(old), SERIES, terms) for old in (F.col("_old"), ~F.col("_old")))
+    found = U.refit(history, fresh, SERIES, terms)
+    weights = {f"{age}_{name}": F.col(f"{age}_weights")[i] for age in ("old", "new") for i, name in enumerate(("level", "slope"))}
+    out = found.withColumns(weights).drop("old_weights", "new_weights")
+    return rounded(rounded(rounded(out, ["old_slope", "new_slope"], 7), ["improvement"], 6), ["old_level", "new_level", "old_rmse", "new_rmse"], 5)
+
+
 @query(
     "m22_feedback",
     """SELECT item_id, location_id, model, round(avg(abs(actual - yhat)), 5) AS prediction_error,

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from granary.catalog import query
 from granary.catalog.aggregates import rounded
+from granary.plans import lots as LO
 from granary.plans import orders as PO
 from granary.plans import plan as PL
 from granary.plans import policies as P
@@ -425,6 +426,36 @@ def r12(t):
     return PL.build_orders(PL.project_inventory(plan_demand(t), plan_items(t)), plan_items(t))
 
 
+@query(
+    "r12_lot_sizing",
+    f"""WITH {_PLAN_BASE}, {_projection_sql("pr", "(SELECT 0 AS item_id, 0 AS period, 0.0::DOUBLE AS arrivals)")},
+        nd AS (SELECT item_id, CAST(greatest(period - lead_time, 1) AS INTEGER) AS period, sum(shortage) AS need, max(period - lead_time < 1) AS late
+               FROM pr JOIN it USING (item_id) WHERE shortage > 0 GROUP BY ALL),
+        fl AS (SELECT g.item_id, g.p, coalesce(max(nd.need), 0) AS need, max(g.cap) AS cap, max(g.pack_size) AS pack_size, max(g.min_order) AS min_order,
+                      max(g.lead_time) AS lead_time, max(g.late) AS late
+               FROM (SELECT DISTINCT i.item_id, p, floor(120 / pack_size) * pack_size AS cap, pack_size, min_order, lead_time,
+                            (SELECT bool_or(late) FROM nd WHERE nd.item_id = i.item_id) AS late
+                     FROM it i, (SELECT unnest(range(1, {PERIODS + 1})) AS p) WHERE i.item_id IN (SELECT item_id FROM nd)) g
+               LEFT JOIN nd ON nd.item_id = g.item_id AND nd.period = g.p GROUP BY g.item_id, g.p),
+        cu AS (SELECT *, sum(need) OVER (PARTITION BY item_id ORDER BY p) AS r FROM fl),
+        lo AS (SELECT a.item_id, a.p, max(b.r - a.cap * (b.p - a.p)) AS least FROM cu a JOIN cu b ON a.item_id = b.item_id AND b.p >= a.p GROUP BY ALL),
+        st AS (WITH RECURSIVE go(item_id, p, qty, total) AS (
+                 SELECT item_id, 0::BIGINT, 0::DOUBLE, 0::DOUBLE FROM (SELECT DISTINCT item_id FROM cu)
+                 UNION ALL
+                 SELECT c.item_id, c.p, q.qty, g.total + q.qty
+                 FROM go g JOIN cu c ON c.item_id = g.item_id AND c.p = g.p + 1 JOIN lo ON lo.item_id = c.item_id AND lo.p = c.p,
+                      LATERAL (SELECT CASE WHEN lo.least - g.total > 1e-9 THEN least(ceil(greatest(lo.least - g.total, c.min_order) / c.pack_size) * c.pack_size, c.cap)
+                                      ELSE 0 END::DOUBLE AS qty) q)
+               SELECT * FROM go)
+        SELECT item_id, CAST(p AS INTEGER) AS period, need AS requirement, qty AS order_qty, greatest(total - r, 0)::DOUBLE AS carried,
+               greatest(r - total, 0)::DOUBLE AS uncovered, late AND p = 1 AS late, CAST(p + lead_time AS INTEGER) AS arrival_period
+        FROM cu JOIN st USING (item_id, p) WHERE need > 0 OR qty > 0""",
+    _PLAN_VIEWS,
+)
+def r12_lots(t):
+    return LO.build_lots(PL.project_inventory(plan_demand(t), plan_items(t)), plan_items(t), PERIODS)
+
+
 @query(
     "r13_audit",
     f"""WITH {_PLAN}

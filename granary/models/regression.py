@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from itertools import product
 
+import numpy as np
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.feature import VectorAssembler
@@ -87,6 +89,69 @@ def tune(
     return sorted(zip(named, found), key=lambda s: s[1])
 
 
+@dataclass(frozen=True)
+class Trial:
+    params: dict[str, float]
+    share: float
+    rmse: float
+    finalist: bool = False
+
+
+def _density(x: np.ndarray, centres: np.ndarray, width: float) -> float:
+    return float(np.exp(-0.5 * ((x - centres) / width) ** 2).prod(axis=1).mean()) + 1e-12
+
+
+def propose(past: list[tuple[np.ndarray, float]], dims: int, rng: np.random.Generator, first: int = 4, tries: int = 64) -> np.ndarray:
+    """The next point of the unit cube: spread out at first, then where good trials are dense and the others are not."""
+    if len(past) < first:
+        shift = np.modf(np.sqrt(np.array([2, 3, 5, 7, 11, 13][:dims])) * (len(past) + 1))[0]
+        return (0.5 + shift) % 1
+    ranked = [x for x, _ in sorted(past, key=lambda p: p[1])]
+    cut = max(2, len(ranked) // 4)
+    good, rest = np.array(ranked[:cut]), np.array(ranked[cut:])
+    width = max(0.08, 0.3 / np.sqrt(len(ranked)))
+    drawn = np.clip(good[rng.integers(len(good), size=tries)] + rng.normal(0, width, (tries, dims)), 0, 1)
+    return max(drawn, key=lambda x: _density(x, good, width) / _density(x, rest, 2 * width))
+
+
+def search(
+    rows: DataFrame, validation: DataFrame, model: str, features: list[str], target: str = "demand_qty", trials: int = 10,
+    best: dict[str, float] | None = None, space: dict[str, tuple[float, float]] | None = None, share: float = 0.1, finalists: int = 2, seed: int = 42,
+) -> list[Trial]:
+    """Sequential search: every trial is proposed from the ones before it, over the full ranges or those around `best`.
+
+    Trials run with a `share` of the trees (numTrees, maxIter), where the model has such a parameter; the best `finalists` run
+    again in full. One entry per run, in order, for the history; `best_trial` picks the winner. Fits are distributed jobs, only the trials' parameters
+    live on the driver.
+    """
+    ranges = {n: narrowed(*r, None if best is None else best.get(n)) for n, r in (space or SEARCH_SPACE[model]).items()}
+    whole = {n for n, r in (space or SEARCH_SPACE[model]).items() if all(isinstance(v, int) for v in r)}
+    scorer = RegressionEvaluator(labelCol=target, predictionCol="yhat", metricName="rmse")
+    rng, past, out = np.random.default_rng(seed), [], []
+
+    def run(params: dict[str, float], part: float) -> float:
+        used = {n: max(int(v * part), 5) if n in ("numTrees", "maxIter") and part < 1 else v for n, v in params.items()}
+        return scorer.evaluate(train(rows, model, features, target, **used).transform(validation))
+
+    sized = any(n in ranges for n in ("numTrees", "maxIter"))
+    for _ in range(trials):
+        x = propose(past, len(ranges), rng)
+        point = {n: low + float(v) * (high - low) for v, (n, (low, high)) in zip(x, ranges.items(), strict=True)}
+        params = {n: int(round(v)) if n in whole else v for n, v in point.items()}
+        out.append(Trial(params, share if sized else 1.0, run(params, share if sized else 1.0)))
+        past.append((x, out[-1].rmse))
+    if not sized:
+        return out
+    for t in sorted(out, key=lambda t: t.rmse)[:finalists]:
+        out.append(Trial(t.params, 1.0, run(t.params, 1.0), True))
+    return out
+
+
+def best_trial(history: list[Trial]) -> Trial:
+    """The best full run."""
+    return min((t for t in history if t.share == 1.0), key=lambda t: t.rmse)
+
+
 def lag_regression(df: DataFrame, keys: list[str] = SERIES, value: str = "demand_qty", date: str = "date") -> DataFrame:
     """Least squares of a value on its predecessor per series, with fit quality and the next value."""
     line = Window.partitionBy(*keys).orderBy(date)

@@ -275,6 +275,22 @@ def reconcile(
     return rows.select(item, "category", step, (F.col("yhat") * F.col("factor")).alias("yhat"), "factor")
 
 
+def reconciled_forecasts(skus: DataFrame, forecaster, steps: int) -> DataFrame:
+    """Items (item_id, category, date, demand_qty) and their categories' roll-up forecast apart, then made to add up.
+
+    The categories' series are the sums of their items' per date; the factor of a category differs from step to step.
+    """
+    from granary.operators.aggregates import category_rollup
+
+    def long(found: DataFrame, keys: list[str], name: str) -> DataFrame:
+        return found.select(*keys, F.posexplode("forecast").alias("_i", name)).select(*keys, (F.col("_i") + 1).alias("step"), name)
+
+    items = long(forecaster(skus, steps, ["item_id", "category"]), ["item_id", "category"], "yhat")
+    rolled = category_rollup(skus).select("category", "date", "demand_qty")
+    top = long(forecaster(rolled, steps, ["category"]), ["category"], "category_yhat")
+    return reconcile(items, top)
+
+
 # --- Refit and feedback ----------------------------------------------------------------------------------------
 
 

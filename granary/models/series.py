@@ -32,6 +32,10 @@ def register_model(name: str, forecaster: Forecaster) -> None:
     AHEAD.pop(name, None)  # a name registered anew no longer means the built-in model
 
 
+def registered(name: str) -> Forecaster:
+    return _REGISTRY[name]
+
+
 def registered_models() -> list[str]:
     return sorted(_REGISTRY)
 

@@ -77,7 +77,7 @@ LINEAGE_SCHEMA = "table string, operation string, source string, at timestamp, r
 
 
 class Warehouse:
-    """Named tables with append and replace, and a lineage row for every operation."""
+    """Named tables with append and replace, and a lineage row for every operation: its `rows` are those the operation wrote."""
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder
