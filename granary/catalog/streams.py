@@ -47,7 +47,7 @@ def d2(t):
         delta.cast("bigint").alias("delta"),
     )
     target = _target(t, "stock")
-    D.run_available(changes, target, D.roll_forward(t.inventory_daily, target))
+    D.roll_forward(changes, t.inventory_daily, target)
     return D.read_target(t.spark, target)
 
 
@@ -92,4 +92,4 @@ def d5(t):
     )
     target = _target(t, "group-metrics")
     D.running_group_metrics(observed, target)
-    return rounded(rounded(D.read_newest(t.spark, target), ["rmse", "mae"], 6), ["mape"], 4)
+    return rounded(rounded(D.read_newest(t.spark, target, ["group"]), ["rmse", "mae"], 6), ["mape"], 4)

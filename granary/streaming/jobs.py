@@ -1,16 +1,20 @@
 """Incremental jobs over file streams.
 
 Every sink writes one folder per micro-batch (`batch_id=<n>`) in overwrite mode, so a batch replayed after a failure
-replaces its own output and nothing else. State that a batch builds on is read from the batch before only.
+replaces its own output and nothing else. Keyed state lives in Spark's state store; what else a batch builds on is read
+from the batch before only.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from datetime import timedelta
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.streaming import StatefulProcessor
 
 from granary.operators.cleaning import latest_per_key
 from granary.operators.experiments import observation_errors
@@ -81,30 +85,65 @@ class StreamRegistry:
         return outcome
 
 
-def roll_forward(base: DataFrame, target: str, qty: str = "on_hand_qty", keys: list[str] = SERIES) -> BatchJob:
-    """Next-day stock of the keys a batch of deltas (keys, delta) touches: latest row plus delta, not below zero.
+def _stored(running, target: str, checkpoint: str | None, mode: str, spark: SparkSession) -> None:
+    """Run a stateful stream to its end; each batch writes the rows it changed, the state stays in Spark's store."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")  # what keyed state needs
+    try:
+        query = (
+            running.writeStream.outputMode(mode)
+            .foreachBatch(lambda batch, n: batch.write.mode("overwrite").parquet(f"{target}/batch_id={n}"))
+            .option("checkpointLocation", checkpoint or scratch_path(spark, "stream"))
+            .trigger(availableNow=True)
+            .start()
+        )
+        query.awaitTermination()
+    finally:
+        spark.conf.set(name, before)
 
-    A micro-batch stands for a day: each one that touches a key moves it by one date and keeps it at zero or more. The
-    base is read for the first batch only; later ones start from the state of the batch before.
-    """
 
-    def job(batch: DataFrame, batch_id: int) -> DataFrame:
-        spark = batch.sparkSession
-        changes = batch.groupBy(*keys).agg(F.coalesce(F.sum("delta"), F.lit(0)).alias("_delta"))
-        if batch_id == 0:
-            before = latest_per_key(base.select(*keys, "date", qty), keys, ["date"])
-        else:
-            before = spark.read.parquet(_state(target, batch_id - 1)).drop("moved")
-        moved = F.col("_delta").isNotNull()
-        after = before.join(changes, keys, "left").select(
-            *keys, F.when(moved, F.date_add("date", 1)).otherwise(F.col("date")).alias("date"),
-            F.when(moved, F.greatest(F.lit(0), F.col(qty) + F.col("_delta"))).otherwise(F.col(qty)).alias(qty),
-            moved.alias("moved"),
-        )
-        after.write.mode("overwrite").parquet(_state(target, batch_id))
-        return spark.read.parquet(_state(target, batch_id)).where("moved").drop("moved")
+class _Stock(StatefulProcessor):
+    """One key's date and stock in the state store; a micro-batch that touches the key moves both."""
 
-    return job
+    def __init__(self, names: list[str], qty: str):
+        self.names, self.qty = names, qty
+
+    def init(self, handle) -> None:
+        self.stock = handle.getValueState("stock", "date date, qty bigint")
+
+    def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
+        row = initialState.iloc[0]
+        self.stock.update((row["date"], int(row[self.qty])))
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        moved = sum(int(part["delta"].sum()) for part in rows)
+        if not self.stock.exists():
+            return  # a key without stock is not rolled forward
+        date, qty = self.stock.get()
+        date, qty = date + timedelta(days=1), max(0, qty + moved)
+        self.stock.update((date, qty))
+        yield pd.DataFrame([[*key, date, qty]], columns=[*self.names, "date", self.qty])
+
+    def close(self) -> None:
+        pass
+
+
+def roll_forward(changes: DataFrame, base: DataFrame, target: str, checkpoint: str | None = None, qty: str = "on_hand_qty", keys: list[str] = SERIES) -> None:
+    """Next-day stock of the keys that each micro-batch of deltas (keys, delta) touches: latest stock plus delta, not below zero.
+
+    A micro-batch stands for a day: each one that touches a key moves it by one date. The latest rows of `base` are the
+    initial state of Spark's keyed state store; from then on a batch reads and writes the state of its own keys only. A
+    key's rows of a batch are added up in chunks. `target` gets one row per touched key and batch; keys `base` lacks are left out.
+    """
+    first = latest_per_key(base.select(*keys, "date", F.col(qty).cast("bigint").alias(qty)), keys, ["date"])
+    sound = changes.select(*keys, F.coalesce(F.col("delta"), F.lit(0)).cast("bigint").alias("delta"))
+    types = dict(first.dtypes)
+    schema = ", ".join(f"{c} {types[c]}" for c in (*keys, "date", qty))
+    running = sound.groupBy(*keys).transformWithStateInPandas(
+        _Stock(list(keys), qty), schema, "Update", "None", initialState=first.groupBy(*keys)
+    )
+    _stored(running, target, checkpoint, "update", changes.sparkSession)
 
 
 def ingest_orders(existing: DataFrame, target: str, order_by: str, id_column: str = "po_id") -> BatchJob:
@@ -148,18 +187,11 @@ def refresh_forecasts(
 
 
 def running_group_metrics(stream: DataFrame, target: str, checkpoint: str | None = None) -> None:
-    """Running error measures per experiment group: each batch writes one row per group; `read_newest` has the last."""
+    """Running error measures per experiment group: a batch writes the groups it touches; `read_newest` by group has the last."""
     measured = observation_errors(stream).groupBy("group").agg(
         F.count(F.lit(1)).alias("n"),
         F.sqrt(F.avg("squared_error")).alias("rmse"),
         F.avg("error").alias("mae"),
         (F.avg("absolute_percentage_error") * 100).alias("mape"),
     )
-    running = (
-        measured.writeStream.outputMode("complete")
-        .foreachBatch(lambda batch, n: batch.write.mode("overwrite").parquet(f"{target}/batch_id={n}"))
-        .option("checkpointLocation", checkpoint or scratch_path(stream.sparkSession, "stream"))
-        .trigger(availableNow=True)
-        .start()
-    )
-    running.awaitTermination()
+    _stored(measured, target, checkpoint, "update", stream.sparkSession)

@@ -135,14 +135,16 @@ def test_order_ids_continue_over_batches_and_replays(spark, folder):
     assert {r.k: r.po_id for r in D.read_target(spark, target).collect()} == {3: 8, 5: 9, 9: 10}
 
 
-def test_stock_rolls_forward_over_batches(spark, folder):
+def test_stock_rolls_forward_over_restarts(spark, folder):
+    """The state is found again by the next run from the same checkpoint."""
     base = spark.createDataFrame([(1, "a", 10), (2, "a", 4)], "item_id int, location_id string, on_hand_qty bigint").withColumn(
         "date", F.lit("2024-01-01").cast("date")
     )
     target = f"{folder}/stock"
-    job = D.roll_forward(base, target)
-    for batch_id, delta in ((0, -3), (1, -20)):
-        rows = spark.createDataFrame([(1, "a", delta)], "item_id int, location_id string, delta bigint")
-        job(rows, batch_id).write.mode("overwrite").parquet(f"{target}/batch_id={batch_id}")
+    kind = "item_id int, location_id string, delta bigint"
+    for n, delta in enumerate((-3, -20, 5)):
+        spark.createDataFrame([(1, "a", delta)], kind).coalesce(1).write.parquet(f"{folder}/in/{n}")
+        stream = spark.readStream.schema(kind).option("recursiveFileLookup", True).parquet(f"{folder}/in")
+        D.roll_forward(stream, base, target, f"{folder}/check")
     got = sorted((str(r.date), r.on_hand_qty) for r in D.read_target(spark, target).collect())
-    assert got == [("2024-01-02", 7), ("2024-01-03", 0)]
+    assert got == [("2024-01-02", 7), ("2024-01-03", 0), ("2024-01-04", 5)]

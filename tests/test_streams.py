@@ -16,14 +16,16 @@ def three_files(spark, folder, rows, schema):
     return spark.readStream.schema(kind).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(folder)
 
 
-def test_roll_forward_reads_the_batch_before(spark, tmp_path):
+def test_roll_forward_keeps_keyed_state(spark, tmp_path):
     base = spark.createDataFrame([(1, "a", "2024-01-01", 5), (1, "a", "2024-01-02", 10), (2, "a", "2024-01-02", 1)],
                                  "item_id long, location_id string, date string, on_hand_qty long")
     base = base.withColumn("date", F.to_date("date"))
     parts = [[(1, "a", -3)], [(1, "a", -9), (2, "a", 4)], [(1, "a", 6), (9, "a", 5)]]
     stream = three_files(spark, f"{tmp_path}/in", parts, "item_id long, location_id string, delta long")
     target = f"{tmp_path}/out"
-    D.run_available(stream, target, D.roll_forward(base, target), f"{tmp_path}/check")
+    D.roll_forward(stream, base, target, f"{tmp_path}/check")
+    batches = spark.read.option("basePath", target).parquet(target)
+    assert sorted((r.batch_id, r.item_id) for r in batches.collect()) == [(0, 1), (1, 1), (1, 2), (2, 1)]  # touched keys only
     last = {(r.item_id, str(r.date), r.on_hand_qty) for r in D.read_newest(spark, target, D.SERIES).collect()}
     assert last == {(1, "2024-01-05", 6), (2, "2024-01-03", 5)}
 
@@ -58,7 +60,7 @@ def test_running_metrics_equal_one_batch(spark, tmp_path):
     stream = three_files(spark, f"{tmp_path}/in", parts, kind)
     D.running_group_metrics(stream, f"{tmp_path}/out", f"{tmp_path}/check")
     D.running_group_metrics(three_files(spark, f"{tmp_path}/one", [sum(parts, [])], kind), f"{tmp_path}/whole", f"{tmp_path}/check1")
-    rows = lambda p: sorted(map(tuple, D.read_newest(spark, p).select("group", "n", "rmse", "mae", "mape").collect()))
+    rows = lambda p: sorted(map(tuple, D.read_newest(spark, p, ["group"]).select("group", "n", "rmse", "mae", "mape").collect()))
     assert rows(f"{tmp_path}/out") == rows(f"{tmp_path}/whole") and len(rows(f"{tmp_path}/out")) == 2
 
 
