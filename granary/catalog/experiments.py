@@ -43,7 +43,7 @@ def x2(t):
     "SELECT p_partkey, CASE WHEN p_partkey % 2 = 1 THEN 'variant' ELSE 'control' END AS variant FROM part",
 )
 def x3(t):
-    return t.table("part").select("p_partkey", X.assign_stratified(F.col("p_partkey"), _WEIGHTS).alias("variant"))
+    return t.table("part").select("p_partkey", X.assign_stratified(F.col("p_partkey"), _WEIGHTS, key=F.col("p_partkey")).alias("variant"))
 
 
 @query(

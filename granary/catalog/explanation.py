@@ -38,6 +38,25 @@ def e2(t):
     return first
 
 
+@query(
+    "e2_partial_dependence_line",
+    """WITH d AS (SELECT demand_qty AS y, lag(demand_qty) OVER w AS a, lag(demand_qty, 2) OVER w AS b, lag(demand_qty, 3) OVER w AS c
+                 FROM demand_monthly WINDOW w AS (PARTITION BY item_id, location_id ORDER BY date)),
+       s AS (SELECT covar_pop(y, a) AS ya, covar_pop(y, b) AS yb, covar_pop(a, b) AS ab, var_pop(a) AS aa, var_pop(b) AS bb,
+                    avg(y) AS my, avg(a) AS ma, avg(b) AS mb, min(a) AS low, max(a) AS high FROM d WHERE c IS NOT NULL),
+       w AS (SELECT *, (ya * bb - yb * ab) / (aa * bb - ab * ab) AS wa FROM s)
+       SELECT 'demand_qty_lag_1' AS feature, CAST(p AS INTEGER) AS point, round(low + p * (high - low) / 19, 6) AS value,
+              round(my + wa * (low + p * (high - low) / 19 - ma), 4) AS mean_prediction FROM w, (SELECT unnest(range(20)) AS p)""",
+    ("demand_monthly",),
+)
+def e2_line(t):
+    """The curve of a linear model on two lags is a line that sums of products give."""
+    rows = cut_lineage(R.design(t.demand_monthly))
+    lags = ["demand_qty_lag_1", "demand_qty_lag_2"]
+    found = E.partial_dependence(R.train(rows, "linear_regression", lags), rows, lags, lags[0], points=20)
+    return rounded(rounded(found, ["value"], 6), ["mean_prediction"])
+
+
 _FEATURES = ["l_quantity", "l_discount"]
 _ATTRIBUTED = """co AS (SELECT regr_slope(l_extendedprice, l_quantity) AS b1, regr_slope(l_extendedprice, l_discount) AS b2,
         regr_intercept(l_extendedprice, l_quantity) AS b0, avg(l_quantity) AS m1, avg(l_discount) AS m2 FROM lineitem),
@@ -88,32 +107,60 @@ def e4(t):
     return rounded(E.prediction_summary(t.backtests, "yhat", ["model"]), ["min", "max", "mean", "std"], 5)
 
 
-_IMPORTANCES = """im AS (SELECT concat(['demand_', 'inventory_', 'price_', 'other_'][item_id % 4 + 1], item_id) AS feature,
-        avg(mape) / 2000 AS importance FROM metrics_history GROUP BY item_id),
-    ru AS (SELECT feature, CASE item_id4 WHEN 'd' THEN 'demand_forecast' WHEN 'i' THEN 'inventory_management'
+_DRIVERS = ["demand_lag_1", "demand_lag_7", "inventory_on_hand", "seasonal_factor", "unit_price"]
+_IMPORTANCES = """pr AS (SELECT CAST(substr(p_brand, 7) AS BIGINT) AS item_id, avg(p_retailprice) AS unit_price FROM part GROUP BY ALL),
+    dr AS (SELECT demand_qty AS y, lag(demand_qty) OVER w AS demand_lag_1, lag(demand_qty, 7) OVER w AS demand_lag_7,
+                  lag(on_hand_qty) OVER w AS inventory_on_hand, seasonal_factor, unit_price
+           FROM inventory_daily JOIN pr USING (item_id) WINDOW w AS (PARTITION BY item_id, location_id ORDER BY date)),
+    sq AS (SELECT pow(corr(demand_lag_1, y), 2) AS demand_lag_1, pow(corr(demand_lag_7, y), 2) AS demand_lag_7,
+                  pow(corr(inventory_on_hand, y), 2) AS inventory_on_hand, pow(corr(seasonal_factor, y), 2) AS seasonal_factor,
+                  pow(corr(unit_price, y), 2) AS unit_price FROM dr WHERE demand_lag_7 IS NOT NULL),
+    im AS (SELECT feature, s / sum(s) OVER () AS importance
+           FROM (UNPIVOT sq ON demand_lag_1, demand_lag_7, inventory_on_hand, seasonal_factor, unit_price INTO NAME feature VALUE s)),
+    ru AS (SELECT feature, CASE kind WHEN 'd' THEN 'demand_forecast' WHEN 'i' THEN 'inventory_management'
                   WHEN 'p' THEN 'pricing_impact' ELSE 'general' END AS rule_type,
                   concat('when ', feature, ' grows by one unit') AS condition,
-                  CASE item_id4 WHEN 'd' THEN CASE WHEN importance > 0.1 THEN 'high' ELSE 'medium' END
+                  CASE kind WHEN 'd' THEN CASE WHEN importance > 0.1 THEN 'high' ELSE 'medium' END
                        WHEN 'i' THEN CASE WHEN importance > 0.05 THEN 'medium' ELSE 'low' END
                        WHEN 'p' THEN 'medium' ELSE 'low' END AS priority,
                   least(0.99::DOUBLE, 0.7::DOUBLE + importance * 10) AS confidence, importance
-           FROM (SELECT *, substr(feature, 1, 1) AS item_id4 FROM im ORDER BY importance DESC, feature LIMIT 10))"""
+           FROM (SELECT *, CASE WHEN contains(feature, 'demand') THEN 'd' WHEN contains(feature, 'inventory') THEN 'i'
+                           WHEN contains(feature, 'price') OR contains(feature, 'cost') THEN 'p' END AS kind FROM im))"""
+
+
+def _drivers(t):
+    """Demand of the day before and the week before, stock, season and price, to explain the day's demand."""
+    from pyspark.sql import Window
+
+    line = Window.partitionBy("item_id", "location_id").orderBy("date")
+    prices = t.table("part").join(t.brands, "p_partkey").groupBy(F.col("brand_id").alias("item_id")).agg(F.avg("p_retailprice").alias("unit_price"))
+    return t.inventory_daily.join(prices, "item_id").select(
+        "demand_qty", F.lag("demand_qty").over(line).alias("demand_lag_1"), F.lag("demand_qty", 7).over(line).alias("demand_lag_7"),
+        F.lag("on_hand_qty").over(line).alias("inventory_on_hand"), "seasonal_factor", "unit_price",
+    ).where("demand_lag_7 is not null")
 
 
 def _rules(t):
-    kinds = F.array(*[F.lit(k) for k in ("demand_", "inventory_", "price_", "other_")])
-    scores = t.metrics_history.groupBy("item_id").agg((F.avg("mape") / 2000).alias("importance"))
-    named = scores.select(
-        F.concat(F.get(kinds, (F.col("item_id") % 4).cast("int")), F.col("item_id").cast("string")).alias("feature"), "importance"
-    )
-    return E.business_rules(named)
+    return E.business_rules(E.explained_shares(_drivers(t), _DRIVERS, "demand_qty"))
+
+
+@query("e1_tree_gains")
+def e1_gains(t):
+    """Split gains of a forest over the drivers of demand."""
+    rows = cut_lineage(_drivers(t))
+    return E.model_importance(R.train(rows, "random_forest", _DRIVERS), _DRIVERS, t.spark)
+
+
+@query("e5_rules_of_gains")
+def e5_gains(t):
+    return E.business_rules(e1_gains(t))
 
 
 @query(
     "e5_business_rules",
     f"""WITH {_IMPORTANCES} SELECT feature, rule_type, condition, priority, round(confidence, 6) AS confidence,
                round(importance, 6) AS importance FROM ru""",
-    ("metrics_history",),
+    ("inventory_daily",),
 )
 def e5(t):
     return rounded(_rules(t), ["confidence", "importance"], 6)
@@ -123,7 +170,7 @@ def e5(t):
     "e5_rule_counts",
     f"""WITH {_IMPORTANCES} SELECT count(*) AS total_rules, count(*) FILTER (priority = 'high') AS high_rules,
                count(*) FILTER (priority = 'medium') AS medium_rules, count(*) FILTER (priority = 'low') AS low_rules FROM ru""",
-    ("metrics_history",),
+    ("inventory_daily",),
 )
 def e5_counts(t):
     return E.rule_counts(_rules(t))

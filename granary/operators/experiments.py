@@ -48,12 +48,15 @@ def assign_random(weights: dict[str, float], seed: int, key: Column | None = Non
     return _by_weight(draw, weights)
 
 
-def assign_stratified(product: Column, weights: dict[str, float], seed: int = 0) -> Column:
-    """Even last digit (or no digit) is control, odd is variant; without a product the choice is random."""
+def assign_stratified(product: Column, weights: dict[str, float], seed: int = 0, key: Column | None = None) -> Column:
+    """Even last digit (or no digit) is control, odd is variant; without a product the choice is random.
+
+    With a row `key` that draw is a hash of it, the same on every run and for any partitioning.
+    """
     last = F.substring(product.cast("string"), -1, 1)
     odd = last.rlike("^[0-9]$") & (last.cast("string").try_cast("int") % 2 == 1)
     by_digit = F.when(odd, "variant").otherwise("control")
-    return F.when(product.isNull() | (product.cast("string") == ""), assign_random(weights, seed)).otherwise(by_digit)
+    return F.when(product.isNull() | (product.cast("string") == ""), assign_random(weights, seed, key)).otherwise(by_digit)
 
 
 def observation_errors(df: DataFrame) -> DataFrame:

@@ -26,9 +26,10 @@ def permutation_importance(
 ) -> DataFrame:
     """Mean drop of the fit quality (r2) when one feature is shuffled.
 
-    Rows are numbered once in the order of a seeded hash of their content. For every (feature, repeat), row i takes the
+    Rows are numbered once in the order of a seeded hash of their content. In every repeat, row i takes the
     feature of row (a * i + b) mod n, with a step a that has no divisor in common with n: a rearrangement of all rows by
-    an equi-join on the number, the same for any partitioning. All of them go through the model in one distributed pass.
+    an equi-join on the number, the same for any partitioning. The features of a repeat share its rearrangement, one feature being
+    replaced at a time. All of them go through the model in one distributed pass.
     """
     columns = [*features, target]
     numbers = rows.select(*[F.col(c).cast("double").alias(c) for c in columns])
@@ -41,15 +42,15 @@ def permutation_importance(
             pass
         return a
 
-    plans = [(f, r, step(), draws.randrange(max(count, 1))) for f in range(len(features)) for r in range(repeats)]
-    plan = F.explode(F.array(*[F.struct(*[F.lit(v).cast("bigint").alias(c) for c, v in zip("frab", p)]) for p in plans]))
+    plans = [(r, step(), draws.randrange(max(count, 1))) for r in range(repeats)]
+    plan = F.explode(F.array(*[F.struct(*[F.lit(v).cast("bigint").alias(c) for c, v in zip("rab", p)]) for p in plans]))
     wide = placed.select("*", plan.alias("_p")).withColumn("_j", F.pmod(F.col("_p.a") * F.col("_i") + F.col("_p.b"), F.lit(count)) + 1)
     given = placed.select(F.col("_i").alias("_j"), F.array(*features).alias("_given"))
-    taken = lambda k, c: F.when(F.col("_p.f") == k, F.get("_given", F.lit(k))).otherwise(F.col(c)).alias(c)
-    shuffled = wide.join(given, "_j").select(
-        *[taken(k, c) for k, c in enumerate(features)], target,
-        F.get(F.array(*map(F.lit, features)), F.col("_p.f").cast("int")).alias("feature"), F.col("_p.r").cast("int").alias("repeat"),
-    )
+    versions = F.array(*[
+        F.struct(*[(F.get("_given", F.lit(k)) if k == f else F.col(c)).alias(c) for k, c in enumerate(features)], F.lit(name).alias("feature"))
+        for f, name in enumerate(features)
+    ])  # made after the join: a row is shuffled once per repeat, whatever the number of features
+    shuffled = wide.join(given, "_j").select(target, F.col("_p.r").cast("int").alias("repeat"), F.inline(versions)).select(*columns, "feature", "repeat")
     plain = placed.select(*columns, F.lit("").alias("feature"), F.lit(0).alias("repeat"))
     scored = model.transform(plain.unionByName(shuffled))
     gap = F.col(target) - F.col("yhat")
@@ -64,6 +65,15 @@ def permutation_importance(
     )
 
 
+def explained_shares(rows: DataFrame, features: list[str], target: str) -> DataFrame:
+    """(feature, importance): each feature's squared correlation with the target, as a share of all of them; one pass."""
+    found = rows.agg(*[F.coalesce(F.corr(F.col(c).cast("double"), F.col(target).cast("double")), F.lit(0.0)).alias(c) for c in features])
+    square = lambda c: F.col(c) * F.col(c)
+    total = sum((square(c) for c in features), F.lit(0.0))
+    cells = F.array(*[F.struct(F.lit(c).alias("feature"), F.when(total > 0, square(c) / total).otherwise(0.0).alias("importance")) for c in features])
+    return found.select(F.inline(cells))
+
+
 def partial_dependence(
     model: PipelineModel, rows: DataFrame, features: list[str], feature: str, points: int = 100
 ) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from granary.functions.scalars import pack_round_up
+from granary.session import cut_lineage
 
 # Parameters an item gets when none are set.
 DEFAULTS = {
@@ -97,46 +98,37 @@ def audit(
     """Violations (rule, item, period, actual, allowed) of a plan (key, period, demand, order_qty, inventory).
 
     `limits` has min_order, max_order, max_inventory, safety_stock_target, min_turnover, ordering_cost,
-    shipping_cost and fixed_order_cost per item. The budget is spent on ordering, shipping and fixed costs.
+    shipping_cost and fixed_order_cost per item. The budget is spent on ordering, shipping and fixed costs. Rules on rows
+    come from one pass over the plan, those on items and periods from one grouped pass.
     """
-    rows = plan.join(limits, key)
+    rows = cut_lineage(plan.join(limits, key))  # the plan is worked out once, whatever the number of rules
     ordered = F.col("order_qty") > 0
+    floor = F.col("safety_stock_target") * F.col("demand")
 
-    def cells(rule: str, broken: Column, actual: str | Column, allowed: str | Column) -> DataFrame:
-        as_column = lambda c: (F.col(c) if isinstance(c, str) else c).cast("double")
-        return rows.where(broken).select(
-            F.lit(rule).alias("rule"), key, "period", as_column(actual).alias("actual"), as_column(allowed).alias("allowed")
-        )
+    def broken(rule: str, when: Column, actual: Column, allowed: Column) -> Column:
+        return F.when(when, F.struct(F.lit(rule).alias("rule"), actual.cast("double").alias("actual"), allowed.cast("double").alias("allowed")))
 
-    floor = F.col("safety_stock_target") * F.col("demand")
-    per_item = rows.groupBy(key).agg(
-        F.sum("demand").alias("sold"), F.avg("inventory").alias("held"), F.first("min_turnover").alias("min_turnover")
-    )
-    slow = per_item.where(F.col("sold") < F.col("min_turnover") * F.col("held")).select(
-        F.lit("inventory_turnover").alias("rule"), key, F.lit(None).cast("int").alias("period"),
-        (F.col("sold") / F.col("held")).alias("actual"), F.col("min_turnover").cast("double").alias("allowed"),
+    order, stock = F.col("order_qty"), F.col("inventory")
+    of_row = F.array(
+        broken("max_order", order > F.col("max_order"), order, F.col("max_order")),
+        broken("min_order", ordered & (order < F.col("min_order")), order, F.col("min_order")),
+        broken("max_inventory", stock > F.col("max_inventory"), stock, F.col("max_inventory")),
+        broken("safety_stock", stock < floor, stock, floor),
     )
-    spent = F.sum(
-        (F.col("ordering_cost") + F.col("shipping_cost")) * F.col("order_qty")
-        + F.when(ordered, F.col("fixed_order_cost")).otherwise(0.0)
+    single = rows.select(key, "period", F.inline(F.filter(of_row, lambda r: r.isNotNull())))
+    spent = F.sum((F.col("ordering_cost") + F.col("shipping_cost")) * order + F.when(ordered, F.col("fixed_order_cost")).otherwise(0.0))
+    sums = rows.groupingSets([[key], ["period"]], key, "period").agg(
+        F.grouping("period").alias("of_item"), F.sum("demand").alias("sold"), F.avg("inventory").alias("held"), F.max("min_turnover").alias("turnover"),
+        F.sum("order_qty").alias("shipped"), spent.alias("spent"),
     )
-    per_period = rows.groupBy("period").agg(F.sum("order_qty").alias("shipped"), spent.alias("spent"))
-    parts = [
-        cells("max_order", F.col("order_qty") > F.col("max_order"), "order_qty", "max_order"),
-        cells("min_order", ordered & (F.col("order_qty") < F.col("min_order")), "order_qty", "min_order"),
-        cells("max_inventory", F.col("inventory") > F.col("max_inventory"), "inventory", "max_inventory"),
-        cells("safety_stock", F.col("inventory") < floor, "inventory", floor),
-        slow,
-    ]
+    item, period = F.col("of_item") == 1, F.col("of_item") == 0
+    of_sum = [broken("inventory_turnover", item & (F.col("sold") < F.col("turnover") * F.col("held")), F.col("sold") / F.col("held"), F.col("turnover"))]
     for rule, column, allowed in (("shipping_capacity", "shipped", shipping_capacity), ("budget", "spent", budget)):
         if allowed is not None:
-            parts.append(
-                per_period.where(F.col(column) > allowed).select(
-                    F.lit(rule).alias("rule"), F.lit(None).cast("bigint").alias(key), "period",
-                    F.col(column).cast("double").alias("actual"), F.lit(float(allowed)).alias("allowed"),
-                )
-            )
-    return reduce(DataFrame.unionByName, parts)
+            of_sum.append(broken(rule, period & (F.col(column) > allowed), F.col(column), F.lit(float(allowed))))
+    summed = sums.select(key, "period", F.inline(F.filter(F.array(*of_sum), lambda r: r.isNotNull())))
+    columns = ["rule", key, "period", "actual", "allowed"]
+    return single.select(columns).unionByName(summed.select(columns))
 
 
 COSTS = ("ordering_cost", "holding_cost", "shortage_cost", "shipping_cost", "storage_cost", "transfer_cost")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import urllib.error
 import urllib.request
 from collections.abc import Callable, Iterator
 
@@ -69,33 +70,64 @@ def json_reader(spark: SparkSession, folder: str, endpoints: dict[str, str] | No
     return read
 
 
-class _Page(InputPartition):
-    def __init__(self, number: int):
-        self.number = number
+class _Stride(InputPartition):
+    """Every `step`-th page from `first` on, up to `last` if that is known."""
+
+    def __init__(self, first: int, step: int, last: int | None):
+        self.first, self.step, self.last = first, step, last
 
 
 class PagedEndpointReader(DataSourceReader):
     def __init__(self, schema: T.StructType, options: dict[str, str]):
         self.names = schema.names
         self.url, self.token = options["url"], options.get("token")
-        self.pages = int(options.get("pages", "1"))
+        number = lambda name: int(options[name]) if options.get(name) else None
+        self.pages, self.size, self.readers = number("pages"), number("page_size"), number("readers") or 4
+        if "{page}" not in self.url:
+            self.pages = 1
 
     def partitions(self) -> list[InputPartition]:
-        return [_Page(i) for i in range(1, self.pages + 1)]
+        strides = self.readers if self.pages is None else min(self.readers, max(self.pages, 1))
+        return [_Stride(i, strides, self.pages) for i in range(1, strides + 1)]
 
-    def read(self, partition: _Page) -> Iterator[tuple]:
-        request = urllib.request.Request(self.url.format(page=partition.number))
+    def _fetch(self, page: int) -> list[dict] | None:
+        """The records of a page; None where there is no such page."""
+        request = urllib.request.Request(self.url.replace("{page}", str(page)))
         if self.token:
             request.add_header("Authorization", f"Bearer {self.token}")
-        with urllib.request.urlopen(request, timeout=60) as response:
-            for record in json.load(response):
+        try:
+            with urllib.request.urlopen(request, timeout=60) as response:
+                return json.load(response)
+        except urllib.error.HTTPError as failed:
+            if failed.code != 404:
+                raise
+        except urllib.error.URLError as failed:
+            if not isinstance(failed.reason, FileNotFoundError):
+                raise
+        return None
+
+    def read(self, partition: _Stride) -> Iterator[tuple]:
+        page = partition.first
+        while partition.last is None or page <= partition.last:
+            records = self._fetch(page)
+            if records is None and partition.last is not None:
+                raise ValueError(f"page {page} of {partition.last} is missing")
+            for record in records or ():
                 yield tuple(record.get(n) for n in self.names)
+            if partition.last is None and (not records or (self.size is not None and len(records) < self.size)):
+                return  # past the end: the pages after a short one are empty
+            if page == partition.last and self.size is not None and len(records) >= self.size:
+                raise ValueError(f"page {page} is the last one listed but full, so there are more")
+            page += partition.step
 
 
 class PagedEndpoint(DataSource):
-    """A JSON endpoint whose URL contains `{page}`; every page is one partition, fetched inside its task.
+    """A JSON endpoint whose URL contains `{page}`, read by strides of pages, each in its own task.
 
-    Options: url, pages, token (sent as a bearer header). The schema must be given.
+    Options: url; pages (the number of them; without it, strides go on until a page is short, empty or missing); page_size
+    (records of a full page; without it only an empty or missing page ends a stride); readers (number of strides, 4); token
+    (sent as a bearer header). With pages and page_size, a full last page raises an error instead of leaving rows
+    out. The schema must be given.
     """
 
     @classmethod
@@ -110,14 +142,14 @@ class PagedEndpoint(DataSource):
 
 
 def endpoint_reader(
-    spark: SparkSession, base_url: str, endpoints: dict[str, str], pages: int = 1, token: str | None = None
+    spark: SparkSession, base_url: str, endpoints: dict[str, str], pages: int | None = None, token: str | None = None, page_size: int | None = None, readers: int = 4
 ) -> Reader:
     spark.dataSource.register(PagedEndpoint)
 
     def read(table: str) -> DataFrame:
-        options = {"url": f"{base_url}/{endpoints.get(table, table)}", "pages": str(pages)}
-        if token:
-            options["token"] = token
+        options = {"url": f"{base_url}/{endpoints.get(table, table)}", "readers": str(readers)}
+        given = {"pages": pages, "page_size": page_size, "token": token}
+        options |= {name: str(value) for name, value in given.items() if value is not None}
         return spark.read.format("paged_endpoint").schema(schemas.schema(table)).options(**options).load()
 
     return read

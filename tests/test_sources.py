@@ -38,6 +38,25 @@ def test_jdbc_options():
         R.jdbc_options("jdbc:x", "SELECT 1", "id")
 
 
+@pytest.mark.parametrize("pages", [1, 3, 4, 9, 10])
+def test_open_ended_paging(spark, folder, pages):
+    """Strides read on until a page is short or missing, however many there are."""
+    for page in range(1, pages + 1):
+        rows = 3 if page < pages else 1 + page % 3
+        with open(f"{folder}/loc-{page}.json", "w") as f:
+            json.dump([{"location_id": f"{page}-{i}", "capacity_limit": page, "region": None} for i in range(rows)], f)
+    want = 3 * (pages - 1) + 1 + pages % 3
+    for more in ({"page_size": 3}, {}, {"page_size": 3, "readers": 1}):
+        read = R.open_source(spark, "api", base_url=f"file://{folder}", endpoints={"locations": "loc-{page}.json"}, **more)
+        assert read("locations").count() == want
+    listed = lambda n: R.open_source(spark, "api", base_url=f"file://{folder}", endpoints={"locations": "loc-{page}.json"}, pages=n, page_size=3)("locations")
+    if pages > 1:
+        with pytest.raises(Exception, match="there are more"):
+            listed(pages - 1).collect()
+    with pytest.raises(Exception, match="is missing"):
+        listed(pages + 1).collect()
+
+
 def test_paged_endpoint_reads_every_page(spark, folder):
     for page, name in ((1, "a"), (2, "b")):
         with open(f"{folder}/loc-{page}.json", "w") as f:
