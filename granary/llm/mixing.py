@@ -4,7 +4,8 @@ Documents fall into cells of (source, language, topic). The tokens of each cell
 cells' probabilities until the expected tokens match the target share of every source, language and topic in turn. A
 probability can't exceed 1: cells that would are fixed there and the others raked again to the rest. A document is kept
 with its cell's probability, drawn by a hash of its id, so the choice does not depend on partitions. Cells stay in one
-table with their probability in the row: their number has no bound, a step is one grouped sum and one join, and a round writes the table once.
+table with their probability in the row: a step is one window sum over the cells of a category, a round is one job that
+writes the table once, and nothing is broadcast.
 
 A category with fewer tokens than its target asks for can't reach it. Then `repeat` takes documents more than once,
 `largest_keep` gives the share to keep at which all targets are met, and `marginals` shows the gap that is left otherwise.
@@ -21,7 +22,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from granary.session import discard, scratch_path
@@ -64,21 +65,6 @@ def _celled(docs: DataFrame) -> DataFrame:
     )
 
 
-def targets(cells: DataFrame, dimension: str, given: dict[str, float] | None, flatten: float = FLATTEN) -> DataFrame:
-    """(dimension, target): the given shares, the others as they are; without any, shares flattened by a power."""
-    shares = cells.groupBy(dimension).agg(F.sum("tokens").cast("double").alias("n"))
-    if given is None:
-        wanted = shares.select(dimension, F.pow("n", F.lit(flatten)).alias("want"))
-    else:
-        pairs = F.create_map(*[x for k, v in given.items() for x in (F.lit(k), F.lit(float(v)))]) if given else F.lit(None).cast("map<string,double>")
-        known = F.element_at(pairs, F.col(dimension))
-        whole = shares.agg(F.sum("n").alias("all"))
-        wanted = shares.withColumn("all", whole.scalar())
-        wanted = wanted.select(dimension, F.coalesce(known, F.col("n") / F.col("all")).alias("want"))
-    total = wanted.agg(F.sum("want").alias("t"))
-    return wanted.select(dimension, (F.col("want") / F.when(total.scalar() > 0, total.scalar())).alias("target"))
-
-
 class _Cells:
     """The cells as a table that is written anew after each change; the one before is removed."""
 
@@ -94,72 +80,105 @@ class _Cells:
         self.path, self.rows = path, self.spark.read.parquet(path)
 
 
-def _with_goals(cells: _Cells, total: float, keep: float) -> None:
-    """Give every cell the tokens that its categories still want from their free cells, `goal_<dimension>`.
+def _within(dimension: str) -> Window:
+    """The cells of a category: at most the product of the other two dimensions' categories, whatever the documents."""
+    return Window.partitionBy(dimension)
+
+
+def _once(column: str, dimension: str) -> Column:
+    """The sum over categories of what every cell of a category carries in `column`."""
+    return F.sum(F.col(column) / F.col(f"cells_{dimension}"))
+
+
+def targeted(cells: DataFrame, wanted: dict[str, dict[str, float]] | None = None, flatten: float = FLATTEN) -> DataFrame:
+    """`cells` with target_<dimension>, the share of tokens that the cell's category is to have, and cells_<dimension>.
+
+    `wanted` has shares by category; the others of a dimension keep the share they have. Without any, shares are flattened by a power.
+    """
+    spark = cells.sparkSession
+    rows = cells
+    for d in DIMENSIONS:
+        own = F.sum("tokens").over(_within(d)).cast("double")
+        given = None if wanted is None else wanted.get(d, {})
+        rows = rows.withColumns({f"cells_{d}": F.count(F.lit(1)).over(_within(d)).cast("double"), f"own_{d}": own})
+        if given is None:
+            want = F.pow(f"own_{d}", F.lit(flatten))
+        else:
+            pairs = F.create_map(*[x for k, v in given.items() for x in (F.lit(k), F.lit(float(v)))]) if given else F.lit(None).cast("map<string,double>")
+            want = F.element_at(pairs, F.col(d))
+        rows = rows.withColumn(f"want_{d}", want)
+    table = _Cells(spark, rows)
+    total = table.rows.agg(F.sum("tokens")).first()[0] or 0
+    for d in DIMENSIONS:
+        share = F.col(f"own_{d}") / (float(total) or 1.0)
+        table.rows = table.rows.withColumn(f"want_{d}", F.coalesce(f"want_{d}", share)).drop(f"own_{d}")
+    sums = table.rows.agg(*[_once(f"want_{d}", d).alias(d) for d in DIMENSIONS]).first()
+    scaled = {f"target_{d}": F.col(f"want_{d}") / (sums[d] or 1.0) for d in DIMENSIONS}
+    return table.rows.withColumns(scaled).drop(*[f"want_{d}" for d in DIMENSIONS])
+
+
+def _rests(table: _Cells, total: float, keep: float) -> dict[str, float]:
+    """Give every cell the tokens that its categories still want from their free cells, `rest_<dimension>`; scales for them.
 
     A category without free cells can't give more than it has. Its gap would make the other dimensions unreachable too, so
     all dimensions are scaled to the least total that the free cells of one can give.
     """
-    free = F.sum(F.when(~F.col("fixed"), F.col("tokens")).otherwise(0))
-    taken = F.sum(F.when(F.col("fixed"), F.col("tokens") * F.col("probability")).otherwise(0.0))
-    rests, sums = {}, []
+    rows = table.rows
     for d in DIMENSIONS:
-        rest = F.greatest(F.col("want") * total * keep - F.col("taken"), F.lit(0.0))
-        by = cells.rows.groupBy(d).agg(F.max(f"target_{d}").alias("want"), free.alias("free"), taken.alias("taken"))
-        rests[d] = by.select(d, F.when(F.col("free") > 0, rest).otherwise(0.0).alias(f"goal_{d}"))
-        sums.append(rests[d].agg(F.lit(d).alias("d"), F.sum(f"goal_{d}").alias("s")))
-    found = {r.d: r.s or 0.0 for r in reduce(DataFrame.union, sums).collect()}  # one row per dimension
-    least = min(found.values())
-    rows = cells.rows.drop(*[f"goal_{d}" for d in DIMENSIONS])
+        free = F.sum(F.when(~F.col("fixed"), F.col("tokens")).otherwise(0)).over(_within(d))
+        taken = F.sum(F.when(F.col("fixed"), F.col("tokens") * F.col("probability")).otherwise(0.0)).over(_within(d))
+        rest = F.greatest(F.col(f"target_{d}") * total * keep - taken, F.lit(0.0))
+        rows = rows.withColumn(f"rest_{d}", F.when(free > 0, rest).otherwise(0.0))
+    table.put(rows)
+    sums = table.rows.agg(*[_once(f"rest_{d}", d).alias(d) for d in DIMENSIONS]).first()
+    least = min(sums[d] or 0.0 for d in DIMENSIONS)
+    return {d: least / sums[d] if sums[d] else 0.0 for d in DIMENSIONS}
+
+
+def _round(table: _Cells, scales: dict[str, float]) -> tuple[float, int]:
+    """Scale the free cells to the rests of each dimension in turn: the largest move of a factor, and how many cells exceed 1."""
+    rows = table.rows.withColumn("gap", F.lit(0.0))
     for d in DIMENSIONS:
-        rows = rows.join(rests[d].withColumn(f"goal_{d}", F.col(f"goal_{d}") * (least / found[d] if found[d] else 0.0)), d)
-    cells.put(rows)
+        now = F.sum(F.when(~F.col("fixed"), F.col("probability") * F.col("tokens")).otherwise(0.0)).over(_within(d))
+        rows = rows.withColumn("now", now)
+        factor = F.when(~F.col("fixed") & (F.col("now") > 0), F.col(f"rest_{d}") * scales[d] / F.col("now")).otherwise(1.0)
+        moved = F.when(F.col(f"rest_{d}") * scales[d] > 0, F.abs(F.col("factor") - 1)).otherwise(0.0)
+        rows = rows.withColumn("factor", factor).withColumns({"probability": F.col("probability") * F.col("factor"), "gap": F.greatest("gap", moved)}).drop("now", "factor")
+    table.put(rows)
+    seen = table.rows.agg(F.max("gap").alias("gap"), F.count_if(_over()).alias("over")).first()
+    return seen.gap or 0.0, seen.over
 
 
-def _round(cells: _Cells) -> float:
-    """Scale the free cells to the goals of each dimension in turn; the largest change of a factor is returned."""
-    rows = cells.rows.withColumn("gap", F.lit(0.0))
-    for d in DIMENSIONS:
-        now = rows.where(~F.col("fixed")).groupBy(d).agg(F.sum(F.col("probability") * F.col("tokens")).alias("now"))
-        factor = F.when(~F.col("fixed") & (F.col("now") > 0), F.col(f"goal_{d}") / F.col("now")).otherwise(1.0)
-        rows = rows.join(now, d, "left").withColumn("factor", factor)
-        moved = F.when(F.col(f"goal_{d}") > 0, F.abs(F.col("factor") - 1)).otherwise(0.0)
-        rows = rows.withColumns({"probability": F.col("probability") * F.col("factor"), "gap": F.greatest("gap", moved)}).drop("now", "factor")
-    cells.put(rows)
-    return cells.rows.agg(F.max("gap")).first()[0] or 0.0
+def _over() -> Column:
+    return ~F.col("fixed") & (F.col("probability") > 1)
 
 
-def calibrate(cells: DataFrame, wanted: dict[str, DataFrame], keep: float = KEEP, tolerance: float = TOLERANCE, repeat: bool = False) -> DataFrame:
-    """`cells` (source, lang, topic, tokens) with the probability at which each is kept.
+def calibrate(cells: DataFrame, keep: float = KEEP, tolerance: float = TOLERANCE, repeat: bool = False) -> DataFrame:
+    """`cells` as `targeted` gives them, with the probability at which each is kept.
 
     Raking goes on until no factor moves by more than `tolerance`, or the moves no longer shrink because the targets contradict
     each other. Cells that then exceed 1 are fixed there and the others raked again to what is left, until none does.
     With `repeat`, cells may exceed 1: their documents are then taken more than once. `marginals` tells the gaps that are left.
     """
-    spark = cells.sparkSession
-    for d in DIMENSIONS:
-        cells = cells.join(wanted[d].select(d, F.col("target").alias(f"target_{d}")), d)
-    table = _Cells(spark, cells.withColumns({"probability": F.lit(float(keep)), "fixed": F.lit(False)}))
+    table = _Cells(cells.sparkSession, cells.withColumns({"probability": F.lit(float(keep)), "fixed": F.lit(False)}))
     total = float(table.rows.agg(F.sum("tokens")).first()[0] or 0)
     while True:
-        _with_goals(table, total, keep)
-        before, shrinking = _round(table), 0  # rounds in a row that hardly shrank it
-        while before > tolerance:
-            gap = _round(table)
-            shrinking = 0 if gap < 0.9 * before else shrinking + 1
+        scales = _rests(table, total, keep)
+        (before, over), idle = _round(table, scales), 0
+        while before > tolerance and idle < 3:  # three rounds in a row that hardly shrank the moves
+            gap, over = _round(table, scales)
+            idle = 0 if gap < 0.9 * before else idle + 1
             before = gap
-            if shrinking == 3:
-                break
-        over = ~F.col("fixed") & (F.col("probability") > 1)
-        if repeat or table.rows.where(over).isEmpty():
+        if repeat or not over:
             break
-        table.put(table.rows.withColumns({"fixed": F.col("fixed") | over, "probability": F.when(over, 1.0).otherwise(F.col("probability"))}))
+        fixed = {"fixed": F.col("fixed") | _over(), "probability": F.when(_over(), 1.0).otherwise(F.col("probability"))}
+        table.rows = table.rows.withColumns(fixed)  # written with the next rests
     return table.rows.select(*DIMENSIONS, "tokens", "probability", *[f"target_{d}" for d in DIMENSIONS])
 
 
-def largest_keep(cells: DataFrame, wanted: dict[str, DataFrame]) -> float:
+def largest_keep(cells: DataFrame) -> float:
     """The largest share of tokens that can be kept with every target met and no document repeated."""
-    most = calibrate(cells, wanted, 1.0, repeat=True).where("tokens > 0").agg(F.max("probability")).first()[0]
+    most = calibrate(cells, 1.0, repeat=True).where("tokens > 0").agg(F.max("probability")).first()[0]
     return min(1.0, 1.0 / most) if most else 1.0
 
 
@@ -182,18 +201,13 @@ def cell_table(docs: DataFrame) -> DataFrame:
     return docs.sparkSession.read.parquet(path)
 
 
-def goals(cells: DataFrame, wanted: dict[str, dict[str, float]] | None) -> dict[str, DataFrame]:
-    """`targets` of every dimension."""
-    return {d: targets(cells, d, None if wanted is None else wanted.get(d, {})) for d in DIMENSIONS}
-
-
 def mix(docs: DataFrame, wanted: dict[str, dict[str, float]] | None = None, keep: float = KEEP, tolerance: float = TOLERANCE, repeat: bool = False) -> DataFrame:
     """All documents with their cell's probability: row, source, lang, topic, tokens, weight, probability, sampled, copies.
 
     `keep` is the share of all tokens to keep. With `repeat`, `copies` may exceed 1.
     """
     cells = cell_table(docs)
-    raked = calibrate(cells, goals(cells, wanted), keep, tolerance, repeat).select(*DIMENSIONS, "probability")
+    raked = calibrate(targeted(cells, wanted), keep, tolerance, repeat).select(*DIMENSIONS, "probability")
     draw = F.pmod(F.xxhash64("_id_hash", F.when(F.col("row.doc_id").isNull(), F.col("row.text"))), F.lit(1 << 52)) / F.lit(float(1 << 52))
     whole = F.floor("probability")
     copies = (whole + F.when(draw < F.col("probability") - whole, 1).otherwise(0)).cast("int")

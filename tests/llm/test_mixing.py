@@ -64,12 +64,17 @@ def _brute(rows, targets, keep):
 
 
 def _targets(cells, wanted):
-    return [{r[d]: r["target"] for r in mixing.goals(cells, wanted)[d].collect()} for d in mixing.DIMENSIONS]
+    rows = mixing.targeted(cells, wanted).collect()
+    found = [{r[d]: r[f"target_{d}"] for r in rows} for d in mixing.DIMENSIONS]
+    assert all(sum(f.values()) == pytest.approx(1) for f in found)
+    for d, given in (wanted or {}).items():
+        assert all(found[mixing.DIMENSIONS.index(d)][k] == pytest.approx(v) for k, v in given.items())
+    return found
 
 
 @pytest.mark.parametrize("wanted", [None, {"lang": {"de": 0.6, "en": 0.3, "(none)": 0.1}}])
 def test_probabilities_equal_brute_force(cells, wanted):
-    got = {tuple(r[d] for d in mixing.DIMENSIONS): r.probability for r in mixing.calibrate(cells, mixing.goals(cells, wanted), 0.5, tolerance=1e-5).collect()}
+    got = {tuple(r[d] for d in mixing.DIMENSIONS): r.probability for r in mixing.calibrate(mixing.targeted(cells, wanted), 0.5, tolerance=1e-5).collect()}
     want = _brute(cells.collect(), _targets(cells, wanted), 0.5)
     assert set(got) == set(want) and max(got.values()) <= 1
     tokens = {tuple(r[d] for d in mixing.DIMENSIONS): r.tokens for r in cells.collect()}
@@ -78,12 +83,12 @@ def test_probabilities_equal_brute_force(cells, wanted):
 
 def test_marginals_reach_every_reachable_target(cells):
     wanted = {"lang": {"de": 0.6, "en": 0.3, "(none)": 0.1}}
-    goals = mixing.goals(cells, wanted)
-    keep = 0.9 * mixing.largest_keep(cells, goals)
+    goals = mixing.targeted(cells, wanted)
+    keep = 0.9 * mixing.largest_keep(goals)
     for keep, repeat in ((keep, False), (0.5, True)):
-        for r in mixing.marginals(mixing.calibrate(cells, goals, keep, repeat=repeat)).collect():
+        for r in mixing.marginals(mixing.calibrate(goals, keep, repeat=repeat)).collect():
             assert r.expected == pytest.approx(r.target, rel=0.01, abs=1e-6), r
-    capped = mixing.calibrate(cells, goals, 0.5)
+    capped = mixing.calibrate(goals, 0.5)
     assert capped.where("probability > 1").isEmpty() and not capped.where("probability = 1").isEmpty()
 
 
@@ -111,7 +116,7 @@ def test_samples_do_not_depend_on_partitions_and_keep_columns(docs):
 def test_whole_query_reaches_its_targets(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang", "source")
     cells = mixing.cell_table(docs)
-    goals = mixing.goals(cells, None)
-    keep = min(0.5, mixing.largest_keep(cells, goals))
-    for r in mixing.marginals(mixing.calibrate(cells, goals, keep)).collect():
+    goals = mixing.targeted(cells)
+    keep = min(0.5, mixing.largest_keep(goals))
+    for r in mixing.marginals(mixing.calibrate(goals, keep)).collect():
         assert r.expected == pytest.approx(r.target, rel=0.01, abs=1e-6)
