@@ -59,5 +59,17 @@ def discard(spark: SparkSession, path: str) -> None:
     """Remove an intermediate table that nothing reads any more; `path` is one that `scratch_path` gave."""
     if not path.startswith(checkpoint_root(spark)):
         raise ValueError(f"{path} is not below the checkpoint folder")
+    files, folder = _files(spark, path)
+    files.delete(folder, True)
+
+
+def _files(spark: SparkSession, path: str):
+    """The file system that Spark uses for `path`, and the path there."""
     folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+    return folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), folder
+
+
+def entries(spark: SparkSession, path: str) -> list[str]:
+    """The names of what stands in a folder, none if there is no such folder."""
+    files, folder = _files(spark, path)
+    return sorted(f.getPath().getName() for f in files.listStatus(folder)) if files.exists(folder) else []

@@ -2,75 +2,24 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from granary.session import cut_lineage, entries
 
-class VersionedTable:
-    """A table made of part folders and a small log of them.
 
-    Every change writes one new part folder completely and only then lists it in the log, so a failed job leaves
-    the table as it was. An append adds a part and touches no older one; a replacement starts a new list. Folder names
-    are unique, so writers that run at the same time keep each other's appends; of two replacements the one with the
-    higher version, then name, holds.
-    """
+GENERATION, BUCKET = "generation", "bucket"
 
-    def __init__(self, spark: SparkSession, folder: str):
-        self.spark, self.folder = spark, folder
 
-    def _log(self) -> list[tuple[int, str, bool]]:
-        """(version, part folder, starts a new list) per change; one entry per change ever made, not per row."""
-        try:
-            rows = self.spark.read.parquet(f"{self.folder}/log")
-        except AnalysisException as e:
-            if e.getCondition() == "PATH_NOT_FOUND":
-                return []
-            raise
-        return sorted((r.version, r.part, r.fresh) for r in rows.select("version", "part", "fresh").collect())
-
-    def version(self) -> int:
-        return max((version for version, _, _ in self._log()), default=0)
-
-    def read(self) -> DataFrame | None:
-        log = self._log()
-        if not log:
+def _found(spark: SparkSession, folder: str) -> DataFrame | None:
+    """The Parquet table in `folder`, None where there is none yet; any other failure is raised."""
+    try:
+        return spark.read.option("mergeSchema", True).parquet(folder)
+    except AnalysisException as e:
+        if e.getCondition() == "PATH_NOT_FOUND" or not entries(spark, folder):
             return None
-        first, start = max((version, part) for version, part, fresh in log if fresh)
-        parts = [start] + [part for version, part, fresh in log if version >= first and not fresh]
-        return self.spark.read.option("mergeSchema", len(parts) > 1).parquet(*[f"{self.folder}/{p}" for p in parts])
-
-    def newest(self) -> DataFrame:
-        """The rows of the last change only."""
-        return self.spark.read.parquet(f"{self.folder}/{self._log()[-1][1]}")
-
-    def _write(self, df: DataFrame, fresh: bool) -> int:
-        version = self.version() + 1
-        part = f"part-{version}-{uuid.uuid4().hex}"
-        df.write.parquet(f"{self.folder}/{part}")
-        entry = self.spark.range(1).select(
-            F.lit(version).alias("version"), F.lit(part).alias("part"), F.lit(fresh).alias("fresh"),
-            F.current_timestamp().alias("written_at"),
-        )
-        entry.write.mode("append").parquet(f"{self.folder}/log")
-        return version
-
-    def replace(self, df: DataFrame) -> int:
-        return self._write(df, fresh=True)
-
-    def append(self, df: DataFrame) -> int:
-        """Add rows by column name; a column one side lacks is null there."""
-        return self._write(df, fresh=not self._log())
-
-    def upsert(self, df: DataFrame, keys: list[str]) -> int:
-        """Rows of `df` replace rows of the same key."""
-        current = self.read()
-        if current is None:
-            return self.replace(df)
-        kept = current.join(df.select(*keys), keys, "left_anti")
-        return self.replace(kept.unionByName(df, allowMissingColumns=True))
+        raise
 
 
 LINEAGE_SCHEMA = "table string, operation string, source string, at timestamp, rows bigint, detail string"
@@ -82,8 +31,17 @@ class Warehouse:
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder
 
-    def _table(self, name: str) -> VersionedTable:
-        return VersionedTable(self.spark, f"{self.folder}/tables/{name}")
+    def _folder(self, table: str) -> str:
+        return f"{self.folder}/tables/{table}"
+
+    def _generations(self, table: str) -> list[int]:
+        """One folder per replacement, also those that are not complete."""
+        return sorted(int(n.split("=")[1]) for n in entries(self.spark, self._folder(table)) if n.startswith(f"{GENERATION}="))
+
+    def _newest(self, table: str) -> int:
+        """The last complete replacement, 0 before the first."""
+        whole = [n for n in self._generations(table) if "_SUCCESS" in entries(self.spark, f"{self._folder(table)}/{GENERATION}={n}")]
+        return max(whole, default=0)
 
     def record(self, table: str, operation: str, source: str, rows: int | None = None, detail: str | None = None) -> None:
         values = self.spark.createDataFrame(
@@ -92,17 +50,27 @@ class Warehouse:
         values.write.mode("append").parquet(f"{self.folder}/lineage")
 
     def load(self, table: str) -> DataFrame:
-        found = self._table(table).read()
-        if found is None:
+        number = self._newest(table)
+        if not number:
             raise KeyError(f"no table {table!r} in the warehouse")
-        return found
+        return self.spark.read.option("mergeSchema", True).parquet(f"{self._folder(table)}/{GENERATION}={number}")
 
     def update(self, table: str, df: DataFrame, how: str = "append", source: str = "user") -> None:
+        """Append to the table by column name, or replace it.
+
+        An append adds Parquet files to the current generation, a replacement writes a generation of its own, which
+        readers see when it is complete. Of two replacements at the same time the second fails.
+        """
         if how not in ("append", "replace"):
             raise ValueError(f"unknown update {how!r}; use append or replace")
-        store = self._table(table)
-        version = store.append(df) if how == "append" else store.replace(df)
-        self.record(table, f"update_{how}", source, store.newest().count(), f"version {version}")
+        rows = cut_lineage(df)  # counted and written once, also when it reads this very table
+        number = self._newest(table)
+        if how == "replace" or number == 0:
+            number = max(self._generations(table), default=0) + 1
+            rows.write.mode("errorifexists").parquet(f"{self._folder(table)}/{GENERATION}={number}")
+        else:
+            rows.write.mode("append").parquet(f"{self._folder(table)}/{GENERATION}={number}")
+        self.record(table, f"update_{how}", source, rows.count(), f"generation {number}")
 
     def refresh(self, table: str, reader, source: str) -> DataFrame:
         self.update(table, reader(table), "replace", source)
@@ -126,27 +94,50 @@ def lineage_log(rows: DataFrame, table: str | None = None, start: str | None = N
     return rows.groupBy("table").agg(F.sort_array(F.collect_list(entry)).alias("operations"))
 
 
+def _bucket(keys: list[str], buckets: int) -> Column:
+    return F.pmod(F.xxhash64(*[F.col(k).cast("string") for k in keys]), F.lit(buckets)).cast("int")
+
+
 class FeatureStore:
-    """Feature vectors and model tags per key."""
+    """Feature vectors and model tags per key, in folders by a hash of the key.
+
+    An update rewrites the folders of the keys it brings and no other.
+    """
 
-    def __init__(self, spark: SparkSession, folder: str, keys: tuple[str, ...] = ("item_id", "location_id")):
-        self.table, self.keys = VersionedTable(spark, folder), list(keys)
+    def __init__(self, spark: SparkSession, folder: str, keys: tuple[str, ...] = ("item_id", "location_id"), buckets: int = 64):
+        self.spark, self.folder, self.keys, self.buckets = spark, folder, list(keys), buckets
 
-    def update(self, features: DataFrame) -> int:
-        return self.table.upsert(features, self.keys)
+    def update(self, features: DataFrame) -> None:
+        """Rows of `features` replace rows of the same key; a column one side lacks is null there."""
+        fresh = cut_lineage(features.withColumn(BUCKET, _bucket(self.keys, self.buckets)))
+        stored = _found(self.spark, self.folder)
+        if stored is not None:
+            touched = [r[BUCKET] for r in fresh.select(BUCKET).distinct().collect()]  # at most as many as there are buckets
+            kept = stored.where(F.col(BUCKET).isin(touched)).join(fresh.select(*self.keys), self.keys, "left_anti")
+            fresh = cut_lineage(kept.unionByName(fresh, allowMissingColumns=True))
+        writer = fresh.repartition(BUCKET).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+        writer.partitionBy(BUCKET).parquet(self.folder)
 
     def all(self) -> DataFrame | None:
-        return self.table.read()
+        found = _found(self.spark, self.folder)
+        return None if found is None else found.drop(BUCKET)
 
     def get(self, **key: object) -> DataFrame | None:
-        rows = self.table.read()
+        """The rows with these values; a whole key reads its folder only."""
+        rows = _found(self.spark, self.folder)
+        if rows is None:
+            return None
+        if set(self.keys) <= set(key):
+            types = dict(rows.dtypes)
+            own = self.spark.range(1).select(*[F.lit(key[k]).cast(types[k]).alias(k) for k in self.keys]).select(_bucket(self.keys, self.buckets)).first()[0]
+            rows = rows.where(F.col(BUCKET) == own)
         for name, value in key.items():
-            rows = None if rows is None else rows.where(F.col(name) == value)
-        return rows
+            rows = rows.where(F.col(name) == value)
+        return rows.drop(BUCKET)
 
     def tags(self, wanted: DataFrame, default: str = "default") -> DataFrame:
         """The model tag of each wanted key, `default` for unknown keys."""
-        rows = self.table.read()
+        rows = self.all()
         if rows is None:
             return wanted.select(*self.keys).withColumn("model_tag", F.lit(default))
         joined = wanted.select(*self.keys).join(rows.select(*self.keys, "model_tag"), self.keys, "left")

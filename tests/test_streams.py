@@ -4,7 +4,7 @@ import pytest
 from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
-from granary.sources.stores import VersionedTable, Warehouse
+from granary.sources.stores import FeatureStore, Warehouse
 from granary.streaming import jobs as D
 
 
@@ -64,22 +64,46 @@ def test_running_metrics_equal_one_batch(spark, tmp_path):
     assert rows(f"{tmp_path}/out") == rows(f"{tmp_path}/whole") and len(rows(f"{tmp_path}/out")) == 2
 
 
-def test_a_failed_read_of_the_log_is_not_an_empty_table(spark, tmp_path):
-    table = VersionedTable(spark, f"{tmp_path}/t")
-    assert table.read() is None
-    table.append(spark.range(3))
-    spark.range(1).write.mode("overwrite").parquet(f"{tmp_path}/t/log")
-    with pytest.raises(AnalysisException):
-        table.append(spark.range(2))
+def test_an_incomplete_replacement_is_not_read(spark, tmp_path):
+    store = Warehouse(spark, f"{tmp_path}/w")
+    store.update("t", spark.range(3), "replace")
+    (tmp_path / "w/tables/t/generation=2/_temporary").mkdir(parents=True)  # what a job that died leaves
+    assert store.load("t").count() == 3
+    store.update("t", spark.range(4), "replace")
+    assert store.load("t").count() == 4 and sorted(p.name for p in (tmp_path / "w/tables/t").iterdir()) == [f"generation={n}" for n in (1, 2, 3)]
 
 
 def test_two_writers_keep_each_others_rows(spark, tmp_path):
-    one, two = (VersionedTable(spark, f"{tmp_path}/t") for _ in range(2))
-    one.replace(spark.range(3))
-    two.version = lambda: 1  # it looked before the other wrote
-    one.append(spark.range(10, 12))
-    two.append(spark.range(20, 21))
-    assert sorted(r.id for r in one.read().collect()) == [0, 1, 2, 10, 11, 20]
+    one, two = (Warehouse(spark, f"{tmp_path}/w") for _ in range(2))
+    one.update("t", spark.range(3), "replace")
+    two._newest, two._generations = lambda table: 1, lambda table: [1]  # it looked before the other wrote
+    one.update("t", spark.range(10, 12))
+    two.update("t", spark.range(20, 21))
+    assert sorted(r.id for r in one.load("t").collect()) == [0, 1, 2, 10, 11, 20]
+    one.update("t", spark.range(5), "replace")
+    with pytest.raises(AnalysisException):
+        two.update("t", spark.range(7), "replace")  # the generation is taken
+    assert one.load("t").count() == 5
+
+
+def test_a_table_may_be_replaced_by_what_is_read_from_it(spark, tmp_path):
+    store = Warehouse(spark, f"{tmp_path}/w")
+    store.update("t", spark.range(6), "replace")
+    store.update("t", store.load("t").where("id > 3"), "replace")
+    assert sorted(r.id for r in store.load("t").collect()) == [4, 5]
+    store.update("t", store.load("t").where("id > 9"), "replace")
+    assert store.load("t").count() == 0
+
+
+def test_feature_updates_rewrite_touched_buckets_only(spark, tmp_path):
+    store = FeatureStore(spark, f"{tmp_path}/f", ("k",), buckets=8)
+    store.update(spark.range(100).select(F.col("id").alias("k"), F.lit("old").alias("model_tag")))
+    files = lambda: {p for p in (tmp_path / "f").rglob("*.parquet")}
+    before = files()
+    store.update(spark.range(3, 4).select(F.col("id").alias("k"), F.lit("new").alias("model_tag"), F.lit(1).alias("extra")))
+    assert len(before - files()) == 1 and len(files() - before) == 1
+    assert {r.k: r.model_tag for r in store.all().collect()} == {k: "new" if k == 3 else "old" for k in range(100)}
+    assert store.get(k=3).first().extra == 1 and store.get(k=4).first().extra is None and store.get(k=500).count() == 0
 
 
 def test_lineage_counts_new_rows_only(spark, tmp_path):
