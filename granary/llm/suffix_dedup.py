@@ -1,11 +1,13 @@
-"""Exact substring deduplication by phrases as in prefix-free parsing, without its suffix arrays.
+"""Exact substring deduplication by prefix-free parsing.
 
-A rolling hash places triggers in every text (`repeats.phrases`) and cuts it into phrases. Equal phrases collapse to one
-entry of a dictionary, which settles the inside of every repeated passage; the parse of a text is its list of phrases.
-What remains, the phrases at the ends of passages, is searched for repeated windows by rolling hash, and each bucket sorts
-these windows of the match length, so equal neighbours are the repeated strings. There is no suffix array of the dictionary
-and none of the parse, and the two are not combined into corpus order. Sorting only
-suffixes whose trigger occurs in two documents keeps the work in proportion to repetition and not to the corpus.
+A rolling hash places triggers in every text (`repeats.phrases`) and cuts it into phrases, each of which holds all windows
+of one trigger. Equal phrases are one entry of the dictionary, known by its hash as in any prefix-free parsing; the parse
+says which entry stands at which place. Entries and places are dealt to buckets by trigger. An entry that stands alone
+at its trigger is settled by the parse: all its windows repeat with it or none does. For the other triggers the suffixes of
+the entries are put in order, to the depth of a window, and the runs whose longest common prefix reaches a window are the
+repeated strings; the parse, its places in the order of documents under each entry, turns a run of suffixes into the
+run of places in the corpus, whose first document keeps the string. The parse's own suffix array would order equal windows by what
+follows them, which no result needs, so places stay in document order. Work is in proportion to repetition, not to the corpus.
 
 Behaviour at the edges: a null text has no bytes; texts shorter than `length` keep all bytes; a null doc_id comes before
 all others; rows that share a doc_id count as one document, so they remove nothing from each other; an empty table gives
@@ -32,29 +34,60 @@ def _cut(length: int):
     return cut
 
 
+def suffix_runs(raw: np.ndarray, begins: np.ndarray, ends: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """The dictionary's suffixes of `length` bytes or more in order, as places in `raw`, and the run of each.
+
+    Suffixes are ordered by their first `length` bytes, eight at a time; only those still equal go on to the next eight. A
+    run holds suffixes whose longest common prefix reaches `length`; runs of one are left out.
+    """
+    room = np.maximum(ends - begins - length + 1, 0)
+    at = np.repeat(begins - (np.cumsum(room) - room), room) + np.arange(room.sum())
+    padded = np.append(raw, np.zeros(8, np.uint8))
+    words = np.lib.stride_tricks.sliding_window_view(padded, 8)
+    run = np.zeros(len(at), np.int64)
+    for depth in range(0, length, 8):
+        if not len(at):
+            break
+        key = words[at + depth].copy().view(">u8")[:, 0].astype(np.uint64)
+        if length - depth < 8:
+            key >>= np.uint64(8 * (8 - length + depth))
+        order = np.lexsort((key, run)) if depth else np.argsort(key, kind="stable")
+        at, run, key = at[order], run[order], key[order]
+        new = np.ones(len(at), bool)
+        new[1:] = (run[1:] != run[:-1]) | (key[1:] != key[:-1])
+        run = np.cumsum(new) - 1
+        again = np.bincount(run)[run] > 1
+        at, run = at[again], run[again]
+    return at, run
+
+
 def _suffix_order(length: int):
     def judge(pdf: pd.DataFrame) -> pd.DataFrame:
-        phrase, offset, _ = R.window_groups(pdf, R.as_bytes, length, b"")
-        raw = np.frombuffer(b"".join(pdf["content"]), np.uint8)
-        begins = np.concatenate([[0], np.cumsum(pdf["content"].str.len().to_numpy())])[:-1]
-        at = begins[phrase] + offset
-        doc = pdf["doc_key"].to_numpy()[phrase]
+        none = pd.DataFrame({"doc_key": [], "tag": [], "first": [], "windows": []})
+        if not len(pdf):
+            return none
+        # the parse: which phrase of the dictionary stands at each place, the places of a phrase in the order of documents
+        phrase, dictionary = pd.factorize(pdf["content"])
+        doc, first, tag = pdf["doc_key"].to_numpy(), pdf["first"].to_numpy(), pdf["tag"].to_numpy()
+        places = np.lexsort((tag, first, doc, phrase))
+        opens = np.searchsorted(phrase[places], np.arange(len(dictionary) + 1))
+        raw = np.frombuffer(b"".join(dictionary), np.uint8)
+        sizes = np.array([len(c) for c in dictionary], np.int64)
+        begins = np.cumsum(sizes) - sizes
+        at, run = suffix_runs(raw, begins, begins + sizes, length)
         if not len(at):
-            return pd.DataFrame({"doc_key": [], "tag": [], "first": [], "windows": []})
-        # suffixes cut at `length`, as numbers of 8 bytes in big-endian order, least significant key first
-        width = -(-length // 8) * 8
-        cut = np.zeros((len(at), width), np.uint8)
-        cut[:, :length] = np.lib.stride_tricks.sliding_window_view(raw, length)[at]
-        keys = cut.view(">u8").astype(np.uint64)
-        order = np.lexsort([doc, *keys.T[::-1]])
-        keys = keys[order]
-        new = np.ones(len(order), bool)
-        new[1:] = (keys[1:] != keys[:-1]).any(axis=1)
-        starts = np.flatnonzero(new)
-        least = R._spread(doc[order][starts], starts, len(order))
-        hit = order[doc[order] > least]
-        rows = pdf.iloc[phrase[hit]]
-        return pd.DataFrame({"doc_key": rows["doc_key"].to_numpy(), "tag": rows["tag"].to_numpy(), "first": (rows["first"].to_numpy() + offset[hit]).astype(np.int32), "windows": np.ones(len(hit), np.int32)})
+            return none
+        # combined: a run's places are those of its phrases, and the first document of each is at hand
+        holder = np.searchsorted(begins, at, "right") - 1
+        least = np.full(run[-1] + 1, np.iinfo(np.int64).max)
+        np.minimum.at(least, run, doc[places[opens[holder]]])
+        count = opens[holder + 1] - opens[holder]
+        each = np.repeat(np.arange(len(at)), count)
+        place = places[np.repeat(opens[holder] - (np.cumsum(count) - count), count) + np.arange(count.sum())]
+        hit = doc[place] > least[run[each]]
+        place, each = place[hit], each[hit]
+        begin = first[place] + (at - begins[holder])[each]
+        return pd.DataFrame({"doc_key": doc[place], "tag": tag[place], "first": begin.astype(np.int32), "windows": np.ones(len(place), np.int32)})
 
     return judge
 
