@@ -1,10 +1,11 @@
 """Removal of repeated word sequences by suffix automata of reference shards.
 
-The reference is every passage of the corpus that starts twice, found through `repeats` and cut into shards by trigger.
-A shard's suffix automaton is built in the task that holds the shard, and the phrases with the shard's triggers are
-streamed through it for matching statistics: at each word the length of the longest suffix that occurs in the reference.
-Words under a match of `length` or more are removed. A reference made of the whole corpus has no size bound, so shards
-are brought to their phrases by a shuffle and not broadcast to all documents.
+The reference is the corpus itself, cut into shards by trigger (`repeats`): a window of `length` words and all its copies have
+one trigger, so they lie in one shard. Phrases equal as a whole are settled when they are dealt to shards. For the
+rest a shard's phrases are streamed through the suffix automaton of its other phrases for matching statistics: at each
+word the length of the longest suffix that occurs in the reference. Words under a match of `length` or more are removed. A
+reference made of the whole corpus has no size bound, so shards are brought to their phrases by a shuffle and not
+broadcast to all documents.
 
 Behaviour at the edges: a null text has no words; texts with fewer than `length` words keep all; repetition inside one
 document counts; rows that share a doc_id and text repeat each other; a null doc_id is a document like any other; an
@@ -22,7 +23,6 @@ from pyspark.sql import types as T
 from granary.llm import repeats as R
 
 LENGTH, GRAM = 35, 12
-SHARD_WORDS = 100_000
 
 
 class SuffixAutomaton:
@@ -86,27 +86,31 @@ def _cut(length: int):
 
 def _shards(length: int):
     def judge(pdf: pd.DataFrame) -> pd.DataFrame:
-        phrase, offset, key = R.window_groups(pdf, R.as_words, length, b" ")
+        """The phrases of a trigger are the reference and the stream: each is matched against all others of the trigger.
+
+        Going through the distinct phrases, each is first matched against the automaton of those before it and then added; going
+        back, against those behind it. A window is repeated if a match of its length ends at its last word on either way.
+        Inside a phrase no window stands twice, since all of its windows hold the trigger at one place.
+        """
+        content, state, trigger = pdf["content"].to_numpy(), pdf["state"].to_numpy(), pdf["trigger"].to_numpy()
         out = []
-        content, state = pdf["content"].to_numpy(), pdf["state"].to_numpy()
-        if len(phrase):
-            trigger = pdf["trigger"].to_numpy()[phrase]
-            shown = np.append(True, key[1:] != key[:-1])  # one place of each repeated window makes the reference
-            order = np.lexsort((offset, phrase, trigger))
-            trigger, phrase, offset, shown = trigger[order], phrase[order], offset[order], shown[order]
-            at = 0
-            while at < len(phrase):  # whole triggers up to the shard's size
-                stop = np.searchsorted(trigger, trigger[min(at + SHARD_WORDS // length, len(phrase) - 1)], "right")
+        order = np.argsort(trigger, kind="stable")
+        for group in np.split(order, np.flatnonzero(np.diff(trigger[order])) + 1):
+            holders: dict[bytes, list[int]] = {}
+            for i in group:
+                holders.setdefault(content[i], []).append(i)
+            if len(holders) < 2:
+                continue
+            phrases = [(c.split(b" "), [i for i in held if state[i] == R.OPEN]) for c, held in holders.items()]
+            ends: list[set] = [set() for _ in phrases]
+            for way in (range(len(phrases)), range(len(phrases) - 1, -1, -1)):
                 automaton = SuffixAutomaton()
-                p, o = phrase[at:stop][shown[at:stop]], offset[at:stop][shown[at:stop]]
-                runs = np.flatnonzero(np.append(True, (p[1:] != p[:-1]) | (o[1:] != o[:-1] + 1)))
-                for a, b in zip(runs, np.append(runs[1:], len(p)), strict=True):
-                    automaton.add(content[p[a]].split(b" ")[o[a] : o[b - 1] + length])
-                for which in np.unique(phrase[at:stop]):
-                    if state[which] == R.OPEN:
-                        reach = automaton.matches(content[which].split(b" "))
-                        out += [(which, end - length + 1) for end, size in enumerate(reach) if size >= length]
-                at = stop
+                for k in way:
+                    words, wanted = phrases[k]
+                    if wanted and len(automaton.long) > 1:
+                        ends[k].update(end for end, size in enumerate(automaton.matches(words)) if size >= length)
+                    automaton.add(words)
+            out += [(i, end - length + 1) for k, (_, wanted) in enumerate(phrases) for i in wanted for end in ends[k]]
         which = np.array([x[0] for x in out], np.int64)
         rows = pdf.iloc[which]
         first = rows["first"].to_numpy() + np.array([x[1] for x in out], np.int64)
