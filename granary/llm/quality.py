@@ -2,10 +2,11 @@
 
 zstandard's ratio (bytes before over bytes after) is high where a text repeats itself and near 1 where it is random or
 already compressed. What is normal depends on the length, so each band of lengths has limits of its own for the whole
-text; every fixed chunk is held to one pair of limits. A text must also pass the base rule on words.
+text; every fixed chunk is held to one pair of limits, and what is left after the last whole chunk to those of its own
+length. So each byte of a text is in a part that is judged. A text must also pass the base rule on words.
 
-Behaviour at the edges: a null or empty text has no words and fails the base rule; a last chunk shorter than half a chunk
-is not judged; repeated rows get a row each; an empty table gives an empty result; other columns do not matter.
+Behaviour at the edges: a null or empty text has no words and fails the base rule; a very long text is compressed whole
+and chunk by chunk; repeated rows get a row each; an empty table gives an empty result; other columns do not matter.
 """
 
 from __future__ import annotations
@@ -33,6 +34,7 @@ class Bands:
 
     level: int = 3
     whole: tuple[tuple[float, float, float], ...] = (
+        (128, 0.0, 1.95),
         (256, 0.9, 1.95),
         (512, 1.15, 2.1),
         (1024, 1.25, 2.2),
@@ -50,23 +52,28 @@ class Bands:
 BANDS = Bands()
 
 
-def ratios(text: bytes, bands: Bands, tool: zstandard.ZstdCompressor) -> tuple[float, float, float]:
-    """Of the whole text, and the least and the most of its chunks; the whole text where it has no chunk to judge."""
+def ratios(text: bytes, bands: Bands, tool: zstandard.ZstdCompressor) -> tuple[float, float, float, float]:
+    """Of the whole text, the least and the most of its whole chunks, and of what is left after them; 1 where there is none."""
     if not text:
-        return 1.0, 1.0, 1.0
-    whole = len(text) / len(tool.compress(text))
-    parts = [text[i : i + bands.chunk] for i in range(0, len(text), bands.chunk)]
-    if len(parts) > 1 and 2 * len(parts[-1]) < bands.chunk:
-        parts.pop()
-    each = [whole] if len(parts) < 2 else [len(p) / len(tool.compress(p)) for p in parts]
-    return whole, min(each), max(each)
+        return 1.0, 1.0, 1.0, 1.0
+    ratio = lambda part: len(part) / len(tool.compress(part))
+    upto = len(text) - len(text) % bands.chunk
+    each = [ratio(text[i : i + bands.chunk]) for i in range(0, upto, bands.chunk)] or [1.0]
+    return ratio(text), min(each), max(each), ratio(text[upto:]) if upto < len(text) else 1.0
 
 
-def in_band(n_bytes: int, whole: float, least: float, most: float, bands: Bands) -> bool:
-    low, high = next((low, high) for upto, low, high in bands.whole if n_bytes <= upto)
+def limits(n_bytes: int, bands: Bands) -> tuple[float, float]:
+    return next((low, high) for upto, low, high in bands.whole if n_bytes <= upto)
+
+
+def in_band(n_bytes: int, whole: float, least: float, most: float, rest: float, bands: Bands) -> bool:
+    low, high = limits(n_bytes, bands)
     if not low <= whole <= high:
         return False
-    return n_bytes < 2 * bands.chunk or (bands.chunk_limits[0] <= least and most <= bands.chunk_limits[1])
+    if n_bytes >= bands.chunk and not (bands.chunk_limits[0] <= least and most <= bands.chunk_limits[1]):
+        return False
+    low, high = limits(n_bytes % bands.chunk, bands)
+    return n_bytes % bands.chunk == 0 or low <= rest <= high
 
 
 def repeated_words(words: list[bytes]) -> int:
@@ -83,7 +90,7 @@ def repeated_words(words: list[bytes]) -> int:
     return total
 
 
-NAMES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "ratio", "least_chunk_ratio", "most_chunk_ratio")
+NAMES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "ratio", "least_chunk_ratio", "most_chunk_ratio", "last_chunk_ratio")
 
 
 def judge(text: bytes, bands: Bands, tool: zstandard.ZstdCompressor) -> tuple:
@@ -92,9 +99,9 @@ def judge(text: bytes, bands: Bands, tool: zstandard.ZstdCompressor) -> tuple:
     lines = [x for x in text.split(b"\n") if x.strip()]
     n, repeated = len(words), repeated_words(words)
     failed = n < 50 or 100 * repeated > 50 * n
-    whole, least, most = ratios(text, bands, tool)
-    kept = not failed and in_band(len(text), whole, least, most, bands)
-    return n, chars, sum(map(text.count, SYMBOLS)), len(lines) - len(set(lines)), repeated, failed, kept, whole, least, most
+    whole, least, most, rest = ratios(text, bands, tool)
+    kept = not failed and in_band(len(text), whole, least, most, rest, bands)
+    return n, chars, sum(map(text.count, SYMBOLS)), len(lines) - len(set(lines)), repeated, failed, kept, whole, least, most, rest
 
 
 def score(docs: DataFrame, bands: Bands = BANDS) -> DataFrame:
@@ -108,5 +115,5 @@ def score(docs: DataFrame, bands: Bands = BANDS) -> DataFrame:
             columns = [pa.array(c) for c in zip(*found, strict=True)] if found else [pa.array([])] * len(NAMES)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], names=["doc_id", *NAMES])
 
-    kinds = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, ratio double, least_chunk_ratio double, most_chunk_ratio double"
+    kinds = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, ratio double, least_chunk_ratio double, most_chunk_ratio double, last_chunk_ratio double"
     return small_batches(docs).selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(rows, kinds)

@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import re
 import zlib
 from collections import Counter, defaultdict
 
@@ -10,6 +11,7 @@ import public_tokenizers
 import pyarrow as pa
 import pytest
 import xxhash
+import zstandard
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -177,18 +179,46 @@ def test_token_counts(docs, none):
     assert machine.tokens(raw, bounds).tolist() == [len(e.ids) for e in library.encode_batch(odd, add_special_tokens=False)]
 
 
-def test_compression_bands(docs, none):
-    for r in quality.score(docs).join(docs.dropDuplicates(["doc_id"]).select("doc_id", "text"), "doc_id").collect():
-        text = r.text or ""
-        words = text.split()
-        windows = [tuple(words[i : i + 3]) for i in range(len(words) - 2)]
-        seen = Counter(windows)
-        again = {i + k for i, w in enumerate(windows) if seen[w] > 1 for k in range(3)}
-        assert (r.n_words, r.word_chars, r.n_repeat_words) == (len(words), sum(map(len, words)), len(again))
-        assert r.base_failed == (len(words) < 50 or 100 * len(again) > 50 * len(words))
-        assert not (r.kept and r.base_failed)
+def _size(part):
+    return len(zstandard.ZstdCompressor(level=3).compress(part))
+
+
+def _band(n):
+    return next((low, high) for upto, low, high in quality.BANDS.whole if n <= upto)
+
+
+def _judged(text):
+    """The contract's counts and the rule on bands, in plain Python."""
+    words = re.findall(r"[^\x20\x09-\x0D]+", text)
+    windows = [tuple(words[i : i + 3]) for i in range(len(words) - 2)]
+    seen = Counter(windows)
+    again = {i + k for i, w in enumerate(windows) if seen[w] > 1 for k in range(3)}
+    lines = [x for x in text.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+    failed = len(words) < 50 or 100 * len(again) > 50 * len(words)
+    raw = text.encode()
+    parts = [raw[i : i + 2048] for i in range(0, len(raw), 2048)]
+    inside = lambda part, low, high: low <= len(part) / _size(part) <= high
+    good = bool(raw) and inside(raw, *_band(len(raw)))
+    good = good and all(inside(p, *(quality.BANDS.chunk_limits if len(p) == 2048 else _band(len(p)))) for p in parts)
+    counts = (len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", text)), len(lines) - len(set(lines)), len(again))
+    return (*counts, failed, not failed and good)
+
+
+def test_compression_bands(spark, docs, none):
+    rng = random.Random(12)
+    noise = "".join(chr(33 + rng.randrange(90)) + (" " if i % 9 == 8 else "") for i in range(5000))
+    prose = " ".join("".join(rng.choice("etaoinshr") for _ in range(rng.randint(2, 9))) for _ in range(900))
+    hidden = prose[:2300] + " pad" * 300 + prose[2300:]  # only a chunk shows it
+    tail = prose[:2048] + "".join(chr(33 + rng.randrange(90)) for _ in range(700))
+    more = [(5000 + i, t) for i, t in enumerate([noise, prose, hidden, tail, "# $ <a> % & | * \n" * 40, prose[:2048], prose[:2047], prose[:4096]])]
+    given = docs.select("doc_id", "text").unionByName(spark.createDataFrame(more, "doc_id long, text string"))
+    names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+    want = Counter((r.doc_id, *_judged(r.text or "")) for r in given.collect())
+    got = quality.score(given).collect()
+    assert Counter((r.doc_id, *(r[n] for n in names)) for r in got) == want
+    kept = {r.doc_id: r.kept for r in got}
+    assert kept[5001] and not kept[5000] and not kept[5002]
     assert quality.score(none).count() == 0
-    assert quality.score(docs).where("doc_id = 7").first().kept is False
 
 
 def _fingerprint(text, words):
