@@ -4,9 +4,9 @@ The tokenizer's file is compiled once. Its splitting rule becomes a deterministi
 classes (letters, numbers, other, the white space and apostrophe cases that look ahead), whose transitions say whether
 they emit a new piece. A chunk of text is cut into blocks; each block is reduced to its state map (exit state for every
 entry state), the maps are composed by a parallel prefix scan, and a second pass reads off the emissions from the entry
-states found. Each emitted piece adds its token count; counts of pieces come from merging all distinct pieces of a chunk
-at once, rank by rank, and are remembered for later chunks. A full machine over bytes with token counts on its
-transitions would need a state for every pending merge of 50,000, so the machine stops at pieces.
+states found. The bytes of a piece go through a second transducer (`Machine`), whose transitions carry the change of the
+number of tokens: no merge is replayed and nothing is looked up but transitions. It is compiled lazily, transition by transition; all
+distinct pieces of a chunk move through it together, and their counts are remembered for later chunks.
 
 Behaviour at the edges: a null text is empty and has no tokens; the added special token counts as one wherever it stands;
 texts of any length are counted whole; repeated rows get a row each; an empty table gives an empty result.
@@ -14,8 +14,9 @@ texts of any length are counted whole; repeated rows get a row each; an empty ta
 
 from __future__ import annotations
 
-import heapq
+import hashlib
 import json
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,8 +30,7 @@ from granary.llm import repeats as R
 L, N, O, A2, A3, SPACE, BREAK, BLANK = range(8)  # classes; A2, A3: an apostrophe that begins a contraction of 2 or 3
 FRESH, IN_L, IN_N, IN_O, PREFIX, IN_BLANK, LAST, TWO = range(8)  # states
 FIRST = 8  # added to the class of a text's first character, where every state is as FRESH
-BLOCK, LONG, CACHE, CHUNK = 64, 256, 1 << 20, 4 << 20
-NONE = np.uint32(0xFFFFFFFF)
+BLOCK, LONG, CACHE, CHUNK = 64, 128, 1 << 20, 4 << 20
 
 
 def transducer() -> tuple[np.ndarray, np.ndarray]:
@@ -65,110 +65,137 @@ def character_classes() -> np.ndarray:
     return out
 
 
-class Merges:
-    """Pairs of token ids with their rank and result, in an open hash table."""
+class Machine:
+    """The transducer of pieces: it reads bytes, and each transition carries by how much the number of tokens changes.
+
+    After any prefix of a piece one token is the last of its tokens. Only one token that ends there can follow the last
+    token of what is before it: one that no merge across the seam would have broken up (`follows`). So a state needs the
+    longest suffix that some token begins with, and for each place in it the last token and the number of tokens as seen
+    from here. That is a finite set for a vocabulary; states and transitions are compiled when a text first asks for them.
+    """
 
     def __init__(self, model: dict) -> None:
         printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
         shown = {b: chr(b) for b in printable} | {b: chr(256 + i) for i, b in enumerate(x for x in range(256) if x not in printable)}
         vocab = model["vocab"]
-        self.first = np.array([vocab[shown[b]] for b in range(256)], np.uint32)
-        pairs = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
-        keys = np.array([vocab[a] << 32 | vocab[b] for a, b in pairs], np.uint64)
-        self.made = np.array([vocab[a + b] for a, b in pairs], np.uint32)
-        self.bits = np.uint64(64 - max(4, (8 * len(pairs)).bit_length()))
-        size = 1 << (64 - int(self.bits))
-        self.keys, self.ranks = np.full(size, np.uint64(0xFFFFFFFFFFFFFFFF)), np.full(size, NONE)
-        for rank in range(len(pairs) - 1, -1, -1):  # of equal pairs the first rank stands
-            at = int(self._slot(keys[rank : rank + 1])[0])
-            while self.ranks[at] != NONE and self.keys[at] != keys[rank]:
-                at = (at + 1) % size
-            self.keys[at], self.ranks[at] = keys[rank], rank
-
-    def _slot(self, keys: np.ndarray) -> np.ndarray:
-        return ((keys * np.uint64(0x9E3779B97F4A7C15)) >> self.bits).astype(np.int64)
-
-    def rank(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        keys = a.astype(np.uint64) << np.uint64(32) | b.astype(np.uint64)
-        at, out, left = self._slot(keys), np.full(len(keys), NONE), np.arange(len(keys))
-        while len(left):
-            there, ranks = self.keys[at], self.ranks[at]
-            same = there == keys
-            out[left[same]] = ranks[same]
-            on = ~same & (ranks != NONE)
-            left, keys, at = left[on], keys[on], (at[on] + 1) % len(self.keys)
+        self.token: dict[bytes, int] = {bytes([b]): vocab[shown[b]] for b in range(256)}
+        self.born: dict[int, int] = {t: -1 for t in self.token.values()}
+        self.parts: dict[int, tuple[int, int]] = {}
+        self.ranks: dict[tuple[int, int], int] = {}
+        text = {t: b for b, t in self.token.items()}
+        for rank, m in enumerate(model["merges"]):
+            left, right = (vocab[x] for x in (m if isinstance(m, list) else m.split(" ")))
+            if left not in text or right not in text:
+                raise ValueError("a merge comes before the merges that make its parts")
+            if (left, right) in self.ranks:
+                continue
+            self.ranks[left, right] = rank
+            whole = text[left] + text[right]
+            made = vocab["".join(shown[b] for b in whole)]
+            if made not in text:  # a token's first way of being made is the one that happens
+                text[made], self.parts[made], self.born[made] = whole, (left, right), rank
+                self.token[whole] = made
+        self.begins = {b[:i] for b in self.token for i in range(len(b))}
+        self.fits: dict[tuple[int, int], bool] = {}
+        self.alone = {t: t not in self.parts or self.follows(*self.parts[t], self.born[t]) for t in text}
+        self.reset()
+
+    def reset(self) -> None:
+        self.fits.clear()
+        self.states: list[tuple[bytes, tuple, tuple]] = [(b"", (None,), (0,))]
+        self.numbers = {self.states[0]: 0}
+        self.moves: dict[int, tuple[int, int]] = {}
+        self.keys, self.after, self.change = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def _edge(self, token: int, side: int) -> list[tuple[int, int]]:
+        """(token, rank at which it goes into a larger one) along the left (0) or right (1) edge of a token."""
+        out, gone = [(token, 1 << 60)], 1 << 60
+        while token in self.parts:
+            gone = self.born[token]
+            token = self.parts[token][side]
+            out.append((token, gone))
         return out
 
-    def count_long(self, piece: np.ndarray) -> int:
-        """Tokens of one long piece: the least rank first, from a heap."""
-        ids = self.first[piece].astype(np.int64)
-        n = len(ids)
-        after, before, alive = np.arange(1, n + 1).tolist(), np.arange(-1, n - 1).tolist(), [True] * n
-        ranks = self.rank(ids[:-1], ids[1:])
-        ids = ids.tolist()
-        heap = [(int(r), i, ids[i], ids[i + 1]) for i, r in enumerate(ranks) if r != NONE]
-        heapq.heapify(heap)
-        while heap:
-            rank, i, a, b = heapq.heappop(heap)
-            if not alive[i] or ids[i] != a or after[i] >= len(ids) or ids[after[i]] != b:
-                continue
-            j = after[i]
-            ids[i], alive[j], after[i] = int(self.made[rank]), False, after[j]
-            n -= 1
-            if after[j] < len(ids):
-                before[after[j]] = i
-            for x, y in ((before[i], i), (i, after[i])):
-                if x >= 0 and y < len(ids):
-                    new = self.rank(np.array([ids[x]]), np.array([ids[y]]))[0]
-                    if new != NONE:
-                        heapq.heappush(heap, (int(new), x, ids[x], ids[y]))
-        return n
+    def follows(self, left: int, right: int, before: int = 1 << 60) -> bool:
+        """Whether the two tokens stay apart: no pair at the seam merges (before rank `before`) while both of it are there.
+
+        Of equal ranks the pair further left merges first.
+        """
+        if before == 1 << 60 and (left, right) in self.fits:
+            return self.fits[left, right]
+        edges, apart = self._edge(right, 0), True
+        for x, x_gone in self._edge(left, 1):
+            for y, y_gone in edges:
+                rank = self.ranks.get((x, y))
+                if rank is not None and rank < before and rank < x_gone and rank <= y_gone:
+                    apart = False
+        if before == 1 << 60:
+            self.fits[left, right] = apart
+        return apart
+
+    def move(self, state: int, byte: int) -> tuple[int, int]:
+        """(next state, change of the number of tokens)."""
+        key = state << 8 | byte
+        if key in self.moves:
+            return self.moves[key]
+        suffix, lasts, counts = self.states[state]
+        suffix += bytes([byte])
+        for begin in range(len(suffix)):
+            token = self.token.get(suffix[begin:])
+            if token is not None and self.alone[token] and (lasts[begin] is None or self.follows(lasts[begin], token)):
+                break
+        change = counts[begin] + 1
+        lasts, counts = (*lasts, token), (*counts, change)
+        drop = next(i for i in range(len(suffix) + 1) if suffix[i:] in self.begins)
+        new = suffix[drop:], lasts[drop:], tuple(c - change for c in counts[drop:])
+        number = self.numbers.setdefault(new, len(self.states))
+        if number == len(self.states):
+            self.states.append(new)
+        self.moves[key] = number, change
+        return number, change
+
+    def _find(self, keys: np.ndarray) -> np.ndarray:
+        """Where the transitions stand in the compiled arrays; those not there yet are compiled first."""
+        at = np.minimum(np.searchsorted(self.keys, keys), max(len(self.keys) - 1, 0))
+        new = np.unique(keys[self.keys[at] != keys]) if len(self.keys) else np.unique(keys)
+        if not len(new):
+            return at
+        made = np.array([self.move(k >> 8, k & 255) for k in new.tolist()], np.int64).reshape(-1, 2)
+        place = np.searchsorted(self.keys, new)
+        self.keys, self.after, self.change = (np.insert(old, place, add) for old, add in ((self.keys, new), (self.after, made[:, 0]), (self.change, made[:, 1])))
+        return np.searchsorted(self.keys, keys)
 
     def counts(self, raw: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """Tokens of each piece raw[begin:end]."""
-        sizes = ends - begins
-        out = sizes.copy()
-        for i in np.flatnonzero(sizes > LONG):
-            out[i] = self.count_long(raw[begins[i] : ends[i]])
-        live = np.flatnonzero((sizes > 1) & (sizes <= LONG))
-        sizes = sizes[live]
-        starts = np.cumsum(sizes) - sizes
-        ids = self.first[raw[np.repeat(begins[live] - starts, sizes) + np.arange(sizes.sum())]]
-        while len(live):
-            ranks = np.full(len(ids), NONE)
-            last = np.zeros(len(ids), bool)
-            last[starts + sizes - 1] = True
-            inner = np.flatnonzero(~last)
-            ranks[inner] = self.rank(ids[inner], ids[inner + 1])
-            least = np.minimum.reduceat(ranks, starts)
-            done = least == NONE
-            out[live[done]] = sizes[done]
-            hit = (ranks == np.repeat(least, sizes)) & (ranks != NONE)
-            at = np.flatnonzero(hit)  # of overlapping pairs every other one merges, from the left
-            run = np.flatnonzero(np.append(True, np.diff(at) != 1)) if len(at) else at
-            place = np.arange(len(at)) - np.repeat(run, np.diff(np.append(run, len(at))))
-            at = at[place % 2 == 0]
-            ids[at] = self.made[ranks[at]]
-            keep = np.repeat(~done, sizes)
-            keep[at + 1] = False
-            ids = ids[keep]
-            sizes = np.add.reduceat(keep.astype(np.int64), starts)[~done]
-            live = live[~done]
-            starts = np.cumsum(sizes) - sizes
+        """Tokens of each piece raw[begin:end]: all pieces move on together, byte by byte, long ones to their end one by one."""
+        if len(self.states) > CACHE:
+            self.reset()
+        out, state = np.zeros(len(begins), np.int64), np.zeros(len(begins), np.int64)
+        live = np.flatnonzero(ends > begins)
+        for k in range(LONG):
+            if not len(live):
+                return out
+            at = self._find(state[live] << 8 | raw[begins[live] + k].astype(np.int64))
+            state[live], out[live] = self.after[at], out[live] + self.change[at]
+            live = live[begins[live] + k + 1 < ends[live]]
+        for i in live.tolist():
+            here, total = int(state[i]), int(out[i])
+            for byte in raw[begins[i] + LONG : ends[i]].tolist():
+                here, change = self.move(here, byte)
+                total += change
+            out[i] = total
         return out
 
 
 class Compiled:
     """A tokenizer file as tables: classes, transducer, merges and the special strings."""
 
-    def __init__(self, path: str) -> None:
-        with open(path, encoding="utf-8") as f:
-            spec = json.load(f)
+    def __init__(self, file: bytes) -> None:
+        spec = json.loads(file)
         split = spec["pre_tokenizer"]
         if spec["model"]["type"] != "BPE" or split.get("type") != "ByteLevel" or split.get("add_prefix_space") or not split.get("use_regex", True) or spec["normalizer"]:
             raise ValueError("a byte-level BPE file without normalizer and prefix space is asked for")
         self.special = [t["content"].encode() for t in spec["added_tokens"]]
-        self.classes, self.merges = character_classes(), Merges(spec["model"])
+        self.classes, self.machine = character_classes(), Machine(spec["model"])
         self.step, self.emits = transducer()
         self.known: tuple[np.ndarray, np.ndarray] = (np.zeros(0, np.uint64), np.zeros(0, np.int64))
 
@@ -247,7 +274,7 @@ class Compiled:
         each = np.zeros(len(keys), np.int64)
         each[found] = counts[at[found]]
         new = np.flatnonzero(~found)
-        each[new] = self.merges.counts(raw, begins[first[new]], ends[first[new]])
+        each[new] = self.machine.counts(raw, begins[first[new]], ends[first[new]])
         if len(known) + len(new) > CACHE:
             self.known = (keys, each)
         else:
@@ -260,11 +287,15 @@ class Compiled:
 
 def count(docs: DataFrame, tokenizer: str, limit: int = 512) -> DataFrame:
     """One row per document: doc_id, n_bytes, n_tokens and over_limit. `tokenizer` is the path of the file, on the driver."""
-    tables = Compiled(tokenizer)  # a few MB, whatever the data; sent with the task function
-    name = ("tokenizer", tokenizer, len(tables.merges.made))
+    with open(tokenizer, "rb") as f:
+        file = zlib.compress(f.read())  # about 1 MB, sent with the task function; each process compiles it once
+    name = ("tokenizer", hashlib.sha256(file).hexdigest())
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        machine = R.process_cache().setdefault(name, tables)  # pieces counted by earlier tasks of this process stay counted
+        kept = R.process_cache()
+        if name not in kept:
+            kept[name] = Compiled(zlib.decompress(file))
+        machine = kept[name]  # transitions and pieces that earlier tasks of this process compiled are there
         for batch in batches:
             raw, bounds = R.texts_of(batch.column("text"))
             parts = [machine.tokens(raw[bounds[i] : bounds[j]], bounds[i : j + 1] - bounds[i]) for i, j in R.steps(bounds, CHUNK)]

@@ -172,13 +172,39 @@ def test_token_counts(docs, none):
     for r in tokens.count(docs, path).join(docs.dropDuplicates(["doc_id"]).select("doc_id", "text"), "doc_id").collect():
         assert (r.n_bytes, r.n_tokens) == (len((r.text or "").encode()), len(library.encode(r.text or "", add_special_tokens=False).ids))
     assert tokens.count(none, path).count() == 0
-    machine, rng = tokens.Compiled(path), random.Random(3)
+    with open(path, "rb") as f:
+        machine, rng = tokens.Compiled(f.read()), random.Random(3)
     bits = ["a", "'s", "'re", "'", "l", " ", "  ", "\n", "1", "²", "é", "!", "<|endoftext|>", "'v", "e", "　", "THE", "\r\n", "日本", "🙂", "'S"]
     odd = ["".join(rng.choice(bits) for _ in range(rng.randint(0, 14))) for _ in range(5000)] + ["ab" * 2000]
     raw, bounds = repeats.texts_of(pa.array(odd))
     assert machine.tokens(raw, bounds).tolist() == [len(e.ids) for e in library.encode_batch(odd, add_special_tokens=False)]
 
 
+def test_transitions_carry_token_counts(monkeypatch):
+    """Along any bytes, the changes on the transitions add up to the library's count of every prefix; states are reused."""
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    library = Tokenizer.from_file(path)
+    with open(path, "rb") as f:
+        machine = tokens.Compiled(f.read()).machine
+    rng = random.Random(11)
+    for piece in ["internationalisation", "aaaaaaaaaaaaaaaaaaaa", "abcabcabcabc", "".join(rng.choice("etaoins") for _ in range(60)), "zqxjzqxj"]:
+        state = total = 0
+        for i, byte in enumerate(piece.encode()):
+            state, change = machine.move(state, byte)
+            total += change
+            assert total == len(library.encode(piece[: i + 1], add_special_tokens=False).ids), piece[: i + 1]
+    before = len(machine.states)
+    state = 0
+    for byte in b"zqxj" * 500:
+        state, _ = machine.move(state, byte)
+    assert len(machine.states) < before + 60  # finite: a long piece comes back to known states
+    raw, bounds = repeats.texts_of(pa.array(["".join(rng.choice("abcdefg") for _ in range(n)) for n in (0, 1, 5, 127, 128, 129, 4000)]))
+    want = [len(e.ids) for e in library.encode_batch([raw[a:b].tobytes().decode() for a, b in zip(bounds, bounds[1:])], add_special_tokens=False)]
+    assert machine.counts(raw, bounds[:-1], bounds[1:]).tolist() == want
+    monkeypatch.setattr(tokens, "CACHE", 5)
+    assert machine.counts(raw, bounds[:-1], bounds[1:]).tolist() == want
+
+
 def _size(part):
     return len(zstandard.ZstdCompressor(level=3).compress(part))
 
