@@ -305,8 +305,10 @@ def _ml(name: str, model: str, **params) -> None:
         from granary.operators.windows import ordered_split
         from granary.session import cut_lineage
 
-        rows = cut_lineage(ordered_split(R.design(t.demand_monthly)))
-        fitted = R.train(rows.where("split = 'train'"), model, R.FEATURES, **params)
+        design = R.design(t.demand_monthly).withColumn("category", F.floor(F.col("item_id") / 10))
+        rows = cut_lineage(ordered_split(R.with_codes(design, ["item_id", "location_id", "category"])))
+        codes = ["item_id_code", "location_id_code", "category_code"]
+        fitted = R.train(rows.where("split = 'train'"), model, [*R.FEATURES, *codes], **params)
         scored = R.predict(fitted, rows.where("split != 'train'")).withColumn("model", F.lit(model))
         return S.measure_forecasts(scored, ["model", "split"], ["mae", "rmse", "mape"])
 

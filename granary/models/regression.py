@@ -40,6 +40,16 @@ def design(panel: DataFrame, keys: list[str] = SERIES) -> DataFrame:
     return lag_features(panel, ["demand_qty"], (1, 2, 3), keys).withColumns({c: parts[c] for c in ("month", "quarter")})
 
 
+def with_codes(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """`<column>_code` for key columns, so that a model of all series can tell items, places and categories apart.
+
+    Numbers stand for themselves; text becomes a number by its checksum, the same in every run and without a pass over the rows.
+    """
+    types = dict(rows.dtypes)
+    text = lambda c: F.pmod(F.crc32(F.col(c).cast("binary")), F.lit(10_007))
+    return rows.withColumns({f"{c}_code": F.coalesce((text(c) if types[c] == "string" else F.col(c)).cast("double"), F.lit(-1.0)) for c in columns})
+
+
 def train(rows: DataFrame, model: str, features: list[str], target: str = "demand_qty", **params) -> PipelineModel:
     kind, defaults = ESTIMATORS[model]
     estimator = kind(featuresCol="features", labelCol=target, predictionCol="yhat", **{**defaults, **params})

@@ -81,24 +81,50 @@ def arima_residuals(w: np.ndarray, phi: np.ndarray, theta: np.ndarray) -> np.nda
     return out
 
 
+def arima_gradient(w: np.ndarray, phi: float, theta: float) -> tuple[np.ndarray, np.ndarray]:
+    """Innovations of `w` and their derivatives by phi and theta, shape (len(w), 2)."""
+    e, slopes = [], []
+    last = before = by_phi = by_theta = 0.0
+    for value in w.tolist():
+        by_phi, by_theta = -last - theta * by_phi, -before - theta * by_theta
+        before = value - phi * last - theta * before
+        last = value
+        e.append(before)
+        slopes.append((by_phi, by_theta))
+    return np.array(e), np.array(slopes)
+
+
 def fit_arima(y: np.ndarray) -> tuple[float, float, np.ndarray]:
-    """(phi, theta, innovations) minimising the conditional sum of squares on a grid that shrinks around the best."""
+    """(phi, theta, innovations) minimising the conditional sum of squares.
+
+    A grid finds the basin, Gauss-Newton steps, halved until the sum falls, its bottom; both stay inside (-0.99, 0.99).
+    """
     w = np.diff(y)
     if len(w) < 3:
         raise ValueError("needs at least four observations")
     if not np.isfinite(w).all():
         raise ValueError("a value is missing or not finite")
-    centre, width = (0.0, 0.0), 0.95
-    for _ in range(4):
-        axis = np.linspace(-width, width, 9)
-        phi, theta = (g.ravel() for g in np.meshgrid(centre[0] + axis, centre[1] + axis))
-        keep = (np.abs(phi) < 0.99) & (np.abs(theta) < 0.99)
-        phi, theta = phi[keep], theta[keep]
-        sse = (arima_residuals(w, phi, theta) ** 2).sum(axis=0)
-        best = int(np.argmin(sse))
-        centre, width = (float(phi[best]), float(theta[best])), width / 4
-    e = arima_residuals(w, np.array([centre[0]]), np.array([centre[1]]))[:, 0]
-    return centre[0], centre[1], e
+    axis = np.linspace(-0.95, 0.95, 9)
+    phi, theta = (g.ravel() for g in np.meshgrid(axis, axis))
+    best = int(np.argmin((arima_residuals(w, phi, theta) ** 2).sum(axis=0)))
+    at = np.array([phi[best], theta[best]])
+    e, slopes = arima_gradient(w, *at)
+    sse = float(e @ e)
+    for _ in range(30):
+        step, share, moved = np.linalg.lstsq(slopes, -e, rcond=1e-10)[0], 1.0, False
+        while share > 1e-3 and not moved:
+            there = at + share * step
+            if np.abs(there).max() < 0.99:
+                tried = arima_gradient(w, *there)
+                moved = float(tried[0] @ tried[0]) < sse * (1 - 1e-12)
+            share /= 2
+        if not moved:
+            break
+        at, (e, slopes) = there, tried
+        fallen, sse = sse, float(e @ e)
+        if fallen - sse <= 1e-10 * fallen:
+            break
+    return float(at[0]), float(at[1]), e
 
 
 def arima_ahead(y: np.ndarray, phi: float, theta: float, e: np.ndarray, steps: int) -> np.ndarray:

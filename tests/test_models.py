@@ -189,3 +189,12 @@ def test_cross_validated_tuning(spark):
     df = spark.createDataFrame(rows, "x1 double, x2 double, demand_qty double")
     found = R.tune(df, "linear_regression", ["x1", "x2"], {"regParam": [0.0, 5.0]}, folds=3)
     assert found[0][0] == {"regParam": 0.0} and found[0][1] < found[1][1]
+
+
+def test_codes_tell_series_apart(spark):
+    rows = [(k, i, 100.0 * i + 10.0 * j) for i, k in enumerate(("x", "y", "z")) for j in range(30)]
+    df = R.with_codes(spark.createDataFrame([*rows, (None, 9, 1.0)], "k string, n int, demand_qty double"), ["k", "n"])
+    assert df.where("k is null").first().k_code == -1.0 and df.select("k_code").distinct().count() == 4
+    known = df.where("k is not null")
+    model = R.train(known, "random_forest", ["k_code"], numTrees=20)
+    assert len({round(r.yhat) for r in R.predict(model, known).collect()}) == 3

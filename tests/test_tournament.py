@@ -82,6 +82,20 @@ def test_holt_path_gives_the_grid_error(panel):
     assert sse == pytest.approx({r.item_id: r.sse for r in M.holt_fit(panel).collect()})
 
 
+def test_arima_ends_where_no_neighbour_is_better():
+    rng = np.random.default_rng(2)
+    for _ in range(25):
+        y = np.cumsum(rng.normal(0, 1, 60)) + rng.normal(0, rng.uniform(0, 3), 60)
+        phi, theta, e = M.fit_arima(y)
+        w, sse = np.diff(y), float(e @ e)
+        around = [(phi + a, theta + b) for a in (-1e-3, 0, 1e-3) for b in (-1e-3, 0, 1e-3) if max(abs(phi + a), abs(theta + b)) < 0.989]
+        near = M.arima_residuals(w, np.array([p for p, _ in around]), np.array([t for _, t in around]))
+        assert (near**2).sum(axis=0).min() >= sse * (1 - 1e-6)
+        grid = np.linspace(-0.98, 0.98, 40)
+        p, t = (g.ravel() for g in np.meshgrid(grid, grid))
+        assert sse <= (M.arima_residuals(w, p, t) ** 2).sum(axis=0).min() * 1.02
+
+
 # --- dispatch -------------------------------------------------------------------------------------------------------
 
 
