@@ -20,8 +20,8 @@ from granary.operators import aggregates as A
 LINE = "PARTITION BY item_id, location_id ORDER BY date"
 
 
-def intermittent_sql(method: str, steps: int = 3) -> str:
-    """The recurrence as a list fold over the non-zero demands of a series."""
+def intermittent_sql(method: str, steps: int = 3, source: str = "demand_panel", effects: str = "") -> str:
+    """The recurrence as a list fold over the non-zero demands of a series; `effects` are tables ending in `eff` (phase, effect)."""
     a = "greatest(0.05::DOUBLE, least(0.3::DOUBLE, 0.1::DOUBLE + 0.2::DOUBLE * dstd / (dmean + 1e-8::DOUBLE)))"
     b = "greatest(0.01::DOUBLE, least(0.2::DOUBLE, 0.1::DOUBLE * abs(CASE WHEN nd >= 3 THEN slope_all ELSE 0 END)))"
     g = a
@@ -38,26 +38,27 @@ def intermittent_sql(method: str, steps: int = 3) -> str:
                  "ELSE l[1].gap END")
     divisor = {"sba": "greatest(i - (2 - a) / (2 * (1 - a)), 0.5::DOUBLE)", "sba_m": "greatest(i - (1 - a) / 2, 0.5::DOUBLE)"}
     return f"""
-    WITH p AS (SELECT *, CAST(row_number() OVER ({LINE}) - 1 AS DOUBLE) AS pos FROM demand_panel),
+    WITH p AS (SELECT *, CAST(row_number() OVER ({LINE}) - 1 AS DOUBLE) AS pos FROM {source}),
     d AS (SELECT *, lead(pos) OVER w - pos AS gap, row_number() OVER w AS rk
           FROM p WHERE demand_qty > 0 WINDOW w AS ({LINE})),
     e AS (SELECT *, stddev_pop(gap) OVER ({LINE} ROWS UNBOUNDED PRECEDING) AS gs FROM d),
     w AS (SELECT item_id, location_id, count(*) AS nd, avg(demand_qty) AS dmean, stddev_pop(demand_qty) AS dstd,
                  avg(gap) AS gmean, stddev_pop(gap) AS gstd, regr_slope(demand_qty, pos) AS slope_all,
-                 regr_slope(demand_qty, pos) FILTER (rk <= 3) AS slope_first,
+                 regr_slope(demand_qty, pos) FILTER (rk <= 3) AS slope_first, max(pos) AS lp,
                  list({{'q': demand_qty, 'gap': gap, 'gs': gs}} ORDER BY pos) AS l FROM e GROUP BY ALL),
     p2 AS (SELECT *, {a} AS a, {b} AS b, {g} AS g, CASE WHEN nd >= 3 THEN slope_first ELSE 0 END AS t0 FROM w),
-    f AS (SELECT w.item_id, w.location_id, w.a,
+    f AS (SELECT w.item_id, w.location_id, w.a, w.lp,
                  list_reduce(w.l[2:], lambda acc, x: {{
                    'l': w.a * x.q + (1 - w.a) * (acc.l + acc.t),
                    'i': CASE WHEN x.gap IS NULL THEN acc.i ELSE {fresh} END,
                    't': w.b * (w.a * x.q + (1 - w.a) * (acc.l + acc.t) - acc.l) + (1 - w.b) * acc.t}},
                    {{'l': l[1].q, 'i': {start}, 't': t0}}) AS s
           FROM p2 w),
-    s AS (SELECT item_id, location_id, a, s.l AS lv, s.i AS i, s.t AS t FROM f)
-    SELECT item_id, location_id, CAST(h AS INTEGER) AS step,
-           round(greatest(0, lv / ({divisor.get(method, "i")} + 1e-8::DOUBLE) + t * (h - 1)), 5) AS yhat
-    FROM s, (SELECT unnest(range(1, {steps + 1})) AS h)"""
+    s AS (SELECT item_id, location_id, a, lp, s.l AS lv, s.i AS i, s.t AS t FROM f){effects}
+    SELECT s.item_id, s.location_id, CAST(h AS INTEGER) AS step,
+           round(greatest(0, lv / ({divisor.get(method, "i")} + 1e-8::DOUBLE) + t * (h - 1) + {"coalesce(effect, 0)" if effects else "0"}), 5) AS yhat
+    FROM s CROSS JOIN (SELECT unnest(range(1, {steps + 1})) AS h)
+    {"LEFT JOIN eff ON eff.item_id = s.item_id AND eff.location_id = s.location_id AND eff.phase = (lp + h) % 12" if effects else ""}"""
 
 
 def _intermittent(name: str, method: str) -> None:
@@ -73,11 +74,24 @@ for _name, _method in (
     _intermittent(_name, _method)
 
 
-@query("m1_croston_seasonal")
+_EFFECTS = f""",
+    sp AS (SELECT *, row_number() OVER w - 1 AS pos, CASE WHEN count(*) OVER f = 13 THEN
+             (sum(demand_qty) OVER f - (lag(demand_qty, 6) OVER w + lead(demand_qty, 6) OVER w) / 2) / 12 END AS trend
+           FROM demand_monthly WINDOW w AS ({LINE}), f AS ({LINE} ROWS BETWEEN 6 PRECEDING AND 6 FOLLOWING)),
+    sh AS (SELECT item_id, location_id, pos % 12 AS phase, avg(demand_qty - trend) AS m FROM sp GROUP BY ALL),
+    ur AS (SELECT item_id, location_id, count(*) AS n, count(d) AS k, regr_slope(d, x) AS slope, regr_sxx(d, x) AS sxx,
+                  regr_syy(d, x) AS syy, regr_sxy(d, x) AS sxy
+           FROM (SELECT *, lag(demand_qty) OVER ({LINE}) AS x, demand_qty - lag(demand_qty) OVER ({LINE}) AS d FROM demand_monthly) GROUP BY ALL),
+    eff AS (SELECT sh.item_id, sh.location_id, phase, m - avg(m) OVER (PARTITION BY sh.item_id, sh.location_id) AS effect
+            FROM sh JOIN ur ON ur.item_id = sh.item_id AND ur.location_id = sh.location_id
+            WHERE n >= 24 AND slope / sqrt((syy - slope * sxy) / (k - 2) / sxx) > -2.86)"""
+
+
+@query("m1_croston_seasonal", intermittent_sql("croston", 12, "demand_monthly", _EFFECTS), ("demand_monthly",))
 def m1_seasonal(t):
     effects = I.seasonal_effects(t.demand_monthly, 12)
     fitted = I.fit(t.demand_monthly)
-    return I.forecast(fitted, 12, seasonal=effects, period=12)
+    return rounded(I.forecast(fitted, 12, seasonal=effects, period=12), ["yhat"], 5)
 
 
 @query(
