@@ -195,6 +195,32 @@ SELECT conv_id, count(*)::BIGINT AS n_turns, sha256(string_agg(role || chr(10) |
   bool_and(CASE WHEN before IS NULL THEN role IN ('system', 'user') WHEN before IN ('system', 'assistant') THEN role = 'user'
     WHEN before = 'user' THEN role = 'assistant' ELSE false END) AND bool_or(back = 1 AND role IN ('assistant', 'user')) AS valid
 FROM r GROUP BY conv_id""",
+    "op6_substring_dedup": """
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS ws FROM documents),
+s AS (SELECT doc_id, i, md5(array_to_string(ws[i:i + 34], ' ')) AS h FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 33)) AS i FROM w WHERE len(ws) > 34)),
+r AS (SELECT doc_id, i FROM s QUALIFY count(*) OVER (PARTITION BY h) > 1),
+c AS (SELECT DISTINCT doc_id, i + unnest(range(35)) AS p FROM r),
+a AS (SELECT doc_id, ws, unnest(range(1, len(ws) + 1)) AS p FROM w WHERE doc_id IN (SELECT doc_id FROM r)),
+g AS (SELECT a.doc_id, count(c.p) AS n, string_agg(ws[a.p], ' ' ORDER BY a.p) FILTER (WHERE c.p IS NULL) AS kept
+  FROM a LEFT JOIN c ON c.doc_id = a.doc_id AND c.p = a.p GROUP BY a.doc_id)
+SELECT w.doc_id, len(ws)::BIGINT AS n_words, coalesce(g.n, 0)::BIGINT AS n_removed,
+  sha256(CASE WHEN g.n IS NULL THEN array_to_string(ws, ' ') ELSE coalesce(g.kept, '') END) AS kept_sha256
+FROM w LEFT JOIN g ON g.doc_id = w.doc_id""",
+    "op9_suffix_dedup": """
+WITH w AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS hx FROM documents),
+b AS (SELECT doc_id, k, substr(hx, k * 2000 + 1, 2098) AS part FROM (SELECT doc_id, hx, unnest(range(0, (len(hx) + 1999) // 2000)) AS k FROM w)),
+s AS (SELECT doc_id, k * 1000 + j + 1 AS i, md5(substr(part, 2 * j + 1, 100)) AS h
+  FROM (SELECT doc_id, k, part, unnest(range(0, least(1000, len(part) // 2 - 49))) AS j FROM b WHERE len(part) >= 100)),
+r AS (SELECT doc_id, i FROM s QUALIFY doc_id > min(doc_id) OVER (PARTITION BY h)),
+c AS (SELECT DISTINCT doc_id, i + unnest(range(50)) AS p FROM r),
+t AS (SELECT doc_id, count(*) AS n, count(*) FILTER (before IS NULL OR before < p - 1) AS spans
+  FROM (SELECT doc_id, p, lag(p) OVER (PARTITION BY doc_id ORDER BY p) AS before FROM c) GROUP BY doc_id),
+a AS (SELECT doc_id, k * 1000 + j + 1 AS p, substr(part, 2 * j + 1, 2) AS byte
+  FROM (SELECT doc_id, k, part, unnest(range(0, least(1000, len(part) // 2))) AS j FROM b WHERE doc_id IN (SELECT doc_id FROM t))),
+k AS (SELECT a.doc_id, string_agg(byte, '' ORDER BY a.p) AS kept FROM a ANTI JOIN c ON c.doc_id = a.doc_id AND c.p = a.p GROUP BY a.doc_id)
+SELECT w.doc_id, (len(hx) // 2)::BIGINT AS n_bytes, coalesce(t.n, 0)::BIGINT AS n_removed, coalesce(t.spans, 0)::BIGINT AS n_spans,
+  sha256(unhex(CASE WHEN t.n IS NULL THEN hx ELSE coalesce(k.kept, '') END)) AS kept_sha256
+FROM w LEFT JOIN t ON t.doc_id = w.doc_id LEFT JOIN k ON k.doc_id = w.doc_id""",
     "op10_decontaminate": """
 WITH w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS ws FROM documents),
 b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS ws FROM benchmark),
