@@ -400,10 +400,18 @@ def near_copies(docs: DataFrame, words: int = NEAR_WORDS, similarity: float = SI
 
 
 def keep_one(docs: DataFrame, words: int = NEAR_WORDS, similarity: float = SIMILARITY) -> DataFrame:
-    """`docs` with the first document (least doc_id) of each group of near copies."""
+    """`docs` with the first document (least doc_id) of each group of near copies.
+
+    Of rows with one id and text that differ in other columns, the one whose other columns come first as JSON stays.
+    """
     path = scratch_path(docs.sparkSession, "kept")
     groups_ = near_copies(docs, words, similarity)
     groups_.where("doc_key = group_key and tag = group_tag").select("doc_key", "tag").distinct().write.parquet(path)
     kept = docs.sparkSession.read.parquet(path)
-    rows = R.keyed(docs, whole=True).join(kept, ["doc_key", "tag"], "left_semi").dropDuplicates(["doc_key", "tag"])
+    rows = R.keyed(docs, whole=True).join(kept, ["doc_key", "tag"], "left_semi")
+    if "rest" in rows.columns:
+        rest = F.min_by("rest", F.to_json("rest")).alias("rest")
+        rows = rows.groupBy("doc_key", "tag").agg(F.first("doc_id").alias("doc_id"), F.first("text").alias("text"), rest)
+    else:
+        rows = rows.dropDuplicates(["doc_key", "tag"])
     return rows.select(*[F.col(c) if c in ("doc_id", "text") else F.col(f"rest.`{c}`").alias(c) for c in docs.columns])

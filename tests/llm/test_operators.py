@@ -303,6 +303,35 @@ def test_near_copies_keep_the_first_of_each_group(docs, none):
     assert simhash.keep_one(none).count() == 0
 
 
+def test_rows_of_one_id_and_text_have_a_defined_winner(spark):
+    rows = [(1, "one and the same text", lang, {"k": n}) for lang, n in (("en", 2), ("de", 3), (None, 1), ("de", 1))]
+    given = spark.createDataFrame(rows, "doc_id long, text string, lang string, more map<string,int>")
+    for df in (given.coalesce(1), given.repartition(4), given.orderBy("more.k")):
+        assert [(r.lang, r.more["k"]) for r in simhash.keep_one(df).collect()] == [("de", 1)]
+    assert simhash.keep_one(given.select("doc_id", "text")).count() == 1
+
+
+def test_descent_equals_another_solver():
+    """The dual solved by projected gradient steps on the whole Gram matrix gives the same weights and bias."""
+    rng = np.random.default_rng(1)
+    rows = [np.sort(rng.choice(30, rng.integers(3, 12), replace=False)) for _ in range(60)]
+    values, sign = rng.normal(size=30), np.where(rng.random(60) < 0.5, 1.0, -1.0)
+    x = np.zeros((60, 31))
+    for i, r in enumerate(rows):
+        x[i, r] = values[r] / np.sqrt((values[r] ** 2).sum())
+        x[i, 30] = 1.0  # the bias
+    gram = (x * sign[:, None]) @ (x * sign[:, None]).T
+    alpha, step = np.zeros(60), 1 / np.linalg.eigvalsh(gram).max()
+    for _ in range(60_000):
+        alpha = np.clip(alpha - step * (gram @ alpha - 1), 0, classifier.COST)
+    want = (alpha * sign) @ x
+    w, bias = classifier.dual_coordinate_descent(rows, values, sign, rounds=3000)
+    assert np.abs(np.append(w, bias) - want).max() < 1e-4
+    few, off = classifier.dual_coordinate_descent(rows, values, sign)
+    objective = lambda v: 0.5 * v @ v + classifier.COST * np.maximum(1 - sign * (x @ v), 0).sum()
+    assert objective(np.append(few, off)) < 1.02 * objective(want)
+
+
 def test_texts_with_null_ids_and_one_32_bit_hash_stay_apart(spark):
     made = spark.range(300_000).select(F.concat(F.lit("a\nb\nc\ntext"), "id").alias("text"))
     twins = made.groupBy(F.hash("text").alias("h")).agg(F.collect_list("text").alias("t")).where("size(t) > 1").first().t
