@@ -10,6 +10,7 @@ day (or month), so such a partition is bounded by the length of the calendar and
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -94,6 +95,75 @@ def value_counts(df: DataFrame, keys: list[str], columns: list[str]) -> DataFram
     )
 
 
+ACCURACY, MOST = 10_000, 200_000
+
+
+def _bracketed(df: DataFrame, columns: list[str], probabilities: dict[str, float]) -> DataFrame | None:
+    """Quantiles of a table in two passes without a shuffle of its values; None if a column holds NaN.
+
+    A sketch of known error gives each quantile a bracket of values that must hold it. The next pass counts the values below
+    the bracket and the equal ones inside, map-side, and only these counts are sorted. A bracket that may hold more than `MOST` different
+    values is narrowed by a sketch of what is inside it first; up to `MOST` rows the bracket is the whole column.
+    """
+    number = {c: F.col(c).cast("double") for c in columns}
+    sizes = [F.count(number[c]).alias(f"n_{c}") for c in columns] + [F.coalesce(F.count_if(F.isnan(number[c])), F.lit(0)).alias(f"nan_{c}") for c in columns]
+    places = {(c, name): (float("-inf"), float("inf")) for c in columns for name in probabilities}
+
+    def sketched(c: str, inside: tuple[float, float], shares: list[float]) -> Column:
+        held = F.when(number[c].between(F.lit(inside[0]), F.lit(inside[1])), number[c])
+        return F.percentile_approx(held, [min(max(q, 0.0), 1.0) for q in shares], ACCURACY)
+
+    margin = 3 / ACCURACY
+    around = lambda p: [p - margin, p + margin]
+    row = df.agg(*sizes, *[sketched(c, places[c, k], around(p)).alias(f"s_{c}_{k}") for c in columns for k, p in probabilities.items()]).first()
+    if any(row[f"nan_{c}"] for c in columns):
+        return None
+    n = {c: row[f"n_{c}"] for c in columns}
+    wide = {}
+    for (c, k) in places:
+        if n[c] > MOST:
+            places[c, k] = tuple(row[f"s_{c}_{k}"])
+            wide[c, k] = 4 * margin * n[c]  # values strictly inside, at most
+    while any(w > MOST for w in wide.values()):
+        todo = [key for key, w in wide.items() if w > MOST]
+        below = [F.count_if(number[c] < places[c, k][0]).alias(f"b_{c}_{k}") for c, k in todo]
+        held = [F.count_if(number[c].between(*map(F.lit, places[c, k]))).alias(f"h_{c}_{k}") for c, k in todo]
+        counted = df.agg(*below, *held).first()
+        few = [(c, k) for c, k in todo if counted[f"h_{c}_{k}"] <= MOST]
+        wide |= dict.fromkeys(few, 0)
+        todo = [key for key in todo if key not in few]
+        if not todo:
+            break
+        shares = {(c, k): (probabilities[k] * (n[c] - 1) - counted[f"b_{c}_{k}"]) / counted[f"h_{c}_{k}"] for c, k in todo}
+        row = df.agg(*[sketched(c, places[c, k], around(shares[c, k])).alias(f"s_{c}_{k}") for c, k in todo]).first()
+        for c, k in todo:
+            inside = tuple(row[f"s_{c}_{k}"])
+            done = inside == places[c, k]  # one value fills it
+            places[c, k], wide[c, k] = inside, 0 if done else 4 * margin * counted[f"h_{c}_{k}"]
+
+    def cell(c: str, k: str) -> Column:
+        low, high = map(F.lit, places[c, k])
+        value = F.when(number[c] < low, None).otherwise(number[c])
+        return F.when(number[c] <= high, F.struct(F.lit(f"{c}_{k}").alias("quantile"), value.alias("value")))
+
+    cells = F.filter(F.array(*[cell(c, k) for c, k in places]), lambda x: x.isNotNull())
+    counts = df.select(F.explode(cells).alias("_c")).groupBy("_c.quantile", "_c.value").agg(F.count(F.lit(1)).alias("m"))
+    upto = F.sum("m").over(Window.partitionBy("quantile").orderBy(F.col("value").asc_nulls_first()))  # at most the values of a bracket
+    ranked = counts.withColumn("upto", upto)
+
+    def at(name: str, rank: int) -> Column:
+        here = (F.col("quantile") == name) & F.col("value").isNotNull() & (F.col("upto") - F.col("m") <= rank) & (F.col("upto") > rank)
+        return F.max(F.when(here, F.col("value")))
+
+    measures, out = [], []
+    for c, k in places:
+        place = probabilities[k] * (n[c] - 1)
+        low, high, name = math.floor(place), math.ceil(place), f"{c}_{k}"
+        measures += [at(name, low).alias(f"lo_{name}"), at(name, high).alias(f"hi_{name}")]
+        out.append((F.col(f"lo_{name}") + (F.col(f"hi_{name}") - F.col(f"lo_{name}")) * F.lit(float(place - low))).alias(name))
+    return ranked.agg(*measures).select(*out)
+
+
 def exact_quantiles(
     df: DataFrame,
     keys: list[str],
@@ -102,8 +172,13 @@ def exact_quantiles(
 ) -> DataFrame:
     """Exact linear-interpolation quantiles as columns `<column>_<name>`, one row per group.
 
-    Equal values collapse before the shuffle and ranks come from `running_totals`, so no task holds a group.
+    Of a whole table, only the values around each quantile are sorted (`_bracketed`). Of groups, equal values collapse
+    before the shuffle and ranks come from `running_totals`. Either way no task holds a group.
     """
+    if not keys:
+        found = _bracketed(df, columns, probabilities)
+        if found is not None:
+            return found
     ranked = running_totals(value_counts(df, keys, columns), [*keys, "column"], [F.col("value")], {"upto": F.col("n")})
     n = F.col("upto_all")
     first = F.col("upto") - F.col("n")

@@ -86,3 +86,31 @@ def test_drift_distance(spark):
     assert got["x"].test_statistic == pytest.approx(np.abs(below(base) - below(current)).max(), abs=1e-4)
     assert got["x"].p_value < 0.001
     assert got["y"].reason == "insufficient sample" and got["y"].p_value == 1.0 and not got["y"].drift_detected
+
+
+@pytest.mark.parametrize("most, accuracy", [(200_000, 10_000), (2000, 100), (400, 20)])
+def test_quantiles_of_a_table_by_brackets(spark, monkeypatch, most, accuracy):
+    """Sketched brackets, narrowed where they hold too much, give the same as sorting everything."""
+    monkeypatch.setattr(scale, "MOST", most)
+    monkeypatch.setattr(scale, "ACCURACY", accuracy)
+    rng = np.random.default_rng(7)
+    n = 60_000
+    a, b, c = rng.normal(size=n), rng.integers(0, 9, n).astype(float), np.where(rng.random(n) < 0.4, 5.0, rng.exponential(3, n))
+    rows = [(float(x), None if i % 7 == 0 else float(y), float(z)) for i, (x, y, z) in enumerate(zip(a, b, c))]
+    df = spark.createDataFrame(rows, "a double, b double, c double").repartition(11)
+    wanted = {"low": 0.0, "q1": 0.25, "mid": 0.5, "odd": 0.9137, "top": 1.0}
+    got = scale.exact_quantiles(df, [], ["a", "b", "c"], wanted).first()
+    for name, values in (("a", a), ("b", np.array([r[1] for r in rows if r[1] is not None])), ("c", c)):
+        for q, p in wanted.items():
+            assert got[f"{name}_{q}"] == pytest.approx(np.quantile(values, p), rel=1e-12), (name, q)
+
+
+def test_quantiles_of_a_table_at_the_edges(spark):
+    kind = "v double, w int"
+    none = scale.exact_quantiles(spark.createDataFrame([], kind), [], ["v"], {"m": 0.5}).collect()
+    assert [r.v_m for r in none] == [None]
+    df = spark.createDataFrame([(None, 3), (2.0, None), (float("nan"), 1), (1.0, 2)], kind)
+    got = scale.exact_quantiles(df, [], ["v", "w"], {"m": 0.5, "low": 0.0}).first()
+    assert (got.v_m, got.v_low, got.w_m) == (2.0, 1.0, 2.0)
+    one = scale.exact_quantiles(df.where("w = 3"), [], ["v", "w"], {"m": 0.5}).first()
+    assert (one.v_m, one.w_m) == (None, 3.0)
