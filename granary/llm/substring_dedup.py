@@ -23,6 +23,7 @@ from pyspark.sql import types as T
 from granary.llm import repeats as R
 
 LENGTH, GRAM = 35, 12
+SHARD_WORDS = 40_000  # bounds an automaton's memory
 
 
 class SuffixAutomaton:
@@ -88,8 +89,9 @@ def _shards(length: int):
     def judge(pdf: pd.DataFrame) -> pd.DataFrame:
         """The phrases of a trigger are the reference and the stream: each is matched against all others of the trigger.
 
-        Going through the distinct phrases, each is first matched against the automaton of those before it and then added; going
-        back, against those behind it. A window is repeated if a match of its length ends at its last word on either way.
+        A shard holds distinct phrases of about `SHARD_WORDS` words. Going through it, each phrase is first matched against the
+        automaton of those before it and then added; going back, against those behind it; phrases of other shards are
+        matched against the whole of it. A window is repeated if a match of its length ends at its last word on any way.
         Inside a phrase no window stands twice, since all of its windows hold the trigger at one place.
         """
         content, state, trigger = pdf["content"].to_numpy(), pdf["state"].to_numpy(), pdf["trigger"].to_numpy()
@@ -103,13 +105,23 @@ def _shards(length: int):
                 continue
             phrases = [(c.split(b" "), [i for i in held if state[i] == R.OPEN]) for c, held in holders.items()]
             ends: list[set] = [set() for _ in phrases]
-            for way in (range(len(phrases)), range(len(phrases) - 1, -1, -1)):
-                automaton = SuffixAutomaton()
-                for k in way:
-                    words, wanted = phrases[k]
-                    if wanted and len(automaton.long) > 1:
-                        ends[k].update(end for end, size in enumerate(automaton.matches(words)) if size >= length)
-                    automaton.add(words)
+
+            def stream(k: int, automaton: SuffixAutomaton) -> None:
+                words, wanted = phrases[k]
+                if wanted and len(ends[k]) < len(words) - length + 1:
+                    ends[k].update(end for end, size in enumerate(automaton.matches(words)) if size >= length)
+
+            upto = np.cumsum([len(words) for words, _ in phrases]) // SHARD_WORDS
+            for shard in np.split(np.arange(len(phrases)), np.flatnonzero(np.diff(upto)) + 1):
+                for way in (shard, shard[::-1]):
+                    automaton = SuffixAutomaton()
+                    for k in way.tolist():
+                        stream(k, automaton)
+                        automaton.add(phrases[k][0])
+                inside = set(shard.tolist())
+                for k in range(len(phrases)) if len(inside) < len(phrases) else ():
+                    if k not in inside:
+                        stream(k, automaton)
             out += [(i, end - length + 1) for k, (_, wanted) in enumerate(phrases) for i in wanted for end in ends[k]]
         which = np.array([x[0] for x in out], np.int64)
         rows = pdf.iloc[which]

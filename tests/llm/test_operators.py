@@ -81,7 +81,9 @@ def test_suffix_dedup(docs, none):
     assert suffix_dedup.dedup(none).count() == 0
 
 
-def test_substring_dedup(docs, none):
+@pytest.mark.parametrize("shard", [substring_dedup.SHARD_WORDS, 300])
+def test_substring_dedup(docs, none, monkeypatch, shard):
+    monkeypatch.setattr(substring_dedup, "SHARD_WORDS", shard)
     rows = [(d, b.split()) for d, b in _plain(docs)]
     seen = Counter(tuple(w[i : i + 35]) for _, w in rows for i in range(len(w) - 34))
     want = Counter()
