@@ -7,6 +7,8 @@ from tests.compare import difference, open_tables
 
 QUERIES = driver.queries()
 ORACLES = driver.oracle_sql()
+#: Queries whose rows depend on a rare case that the smallest tables do not hold.
+MAY_BE_EMPTY: set[str] = set()
 
 
 @pytest.fixture(scope="module")
@@ -19,7 +21,7 @@ def test_query(name, spark, sf_dir, con):
     df = QUERIES[name](spark, sf_dir)
     if name in ORACLES:
         found = difference(df, con, ORACLES[name])
-        assert found in (None, "empty result"), found
+        assert found is None or (found == "empty result" and name in MAY_BE_EMPTY), found
     else:
         assert df.count() > 0
 
