@@ -30,7 +30,7 @@ from granary.llm import repeats as R
 L, N, O, A2, A3, SPACE, BREAK, BLANK = range(8)  # classes; A2, A3: an apostrophe that begins a contraction of 2 or 3
 FRESH, IN_L, IN_N, IN_O, PREFIX, IN_BLANK, LAST, TWO = range(8)  # states
 FIRST = 8  # added to the class of a text's first character, where every state is as FRESH
-BLOCK, LONG, CACHE, CHUNK = 64, 128, 1 << 20, 4 << 20
+BLOCK, LONG, STATES, CACHE, CHUNK = 64, 128, 1 << 18, 1 << 20, 4 << 20
 
 
 def transducer() -> tuple[np.ndarray, np.ndarray]:
@@ -167,7 +167,7 @@ class Machine:
 
     def counts(self, raw: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """Tokens of each piece raw[begin:end]: all pieces move on together, byte by byte, long ones to their end one by one."""
-        if len(self.states) > CACHE:
+        if len(self.states) > STATES:  # bounds memory; what is asked for again is compiled again
             self.reset()
         out, state = np.zeros(len(begins), np.int64), np.zeros(len(begins), np.int64)
         live = np.flatnonzero(ends > begins)

@@ -203,7 +203,7 @@ def test_transitions_carry_token_counts(monkeypatch):
     raw, bounds = repeats.texts_of(pa.array(["".join(rng.choice("abcdefg") for _ in range(n)) for n in (0, 1, 5, 127, 128, 129, 4000)]))
     want = [len(e.ids) for e in library.encode_batch([raw[a:b].tobytes().decode() for a, b in zip(bounds, bounds[1:])], add_special_tokens=False)]
     assert machine.counts(raw, bounds[:-1], bounds[1:]).tolist() == want
-    monkeypatch.setattr(tokens, "CACHE", 5)
+    monkeypatch.setattr(tokens, "STATES", 5)
     assert machine.counts(raw, bounds[:-1], bounds[1:]).tolist() == want
 
 
