@@ -143,24 +143,28 @@ def components(edges: DataFrame) -> DataFrame:
         mark = seen
 
 
+def with_roots(prints: DataFrame, bits: int = BITS) -> DataFrame:
+    """`prints` with `root`, the least fingerprint that each one's `fp` reaches over links."""
+    reached = components(links(prints.select("fp").distinct(), bits)).select(F.col("node").alias("_fp"), "root")
+    return prints.join(reached, F.col("fp") == F.col("_fp"), "left").select(*prints.columns, F.coalesce("root", "fp").alias("root"))
+
+
 def groups(docs: DataFrame, words: int = WORDS, bits: int = BITS) -> DataFrame:
     """One row per document: doc_id, fp and component_id, the least doc_id reachable over links."""
     spark = docs.sparkSession
     path = scratch_path(spark, "fingerprints")
     fingerprints(docs, words).write.parquet(path)
-    prints = spark.read.parquet(path)
-    linked = components(links(prints.select("fp").distinct(), bits))
-    rooted = prints.join(linked, prints.fp == linked.node, "left").select("doc_id", "fp", F.coalesce("root", "fp").alias("root"))
+    rooted = with_roots(spark.read.parquet(path), bits)
     names = rooted.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     return rooted.join(names, "root").select("doc_id", "fp", "component_id")
 
 
 # --- near copies by similarity --------------------------------------------------------------------------------------
 #
-# At a similarity of 0.8 the fingerprints of two texts differ in 5 to 20 of 64 bits and sometimes in more, and no chain of
-# segments is equal often enough to be a key. Pairs at `BITS` or fewer come from the ring as above; wider ones are proposed
-# by min-wise keys. The exact similarity decides on all of them, whatever their distance. Nodes, fingerprints and keys are
-# made of distinct shingles, as the similarity is.
+# The groups of fingerprints above are checked in full by an exact similarity: texts of one template can come within `BITS`
+# without being copies. At a similarity of 0.8 fingerprints mostly differ in 5 to 20 of 64 bits, and no chain of segments is
+# equal often enough to be a key there, so pairs outside the groups are proposed by min-wise keys as well. Nodes and
+# min-wise keys are made of distinct shingles, as the similarity is; fingerprints are those of `fingerprint_of`.
 
 NEAR_WORDS, SIMILARITY = 5, 0.8
 BANDS, ROWS, NEAR_CROWD, LEADERS, OUTSIDE, MAPS = 12, 4, 64, 8, 512, 8
@@ -200,18 +204,6 @@ def _distinct(h: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return h[new], np.concatenate([[0], np.cumsum(np.bincount(text[new], minlength=len(edges) - 1))])
 
 
-def _majorities(h: np.ndarray, edges: np.ndarray) -> np.ndarray:
-    """Bits set in over half of the hashes of each text, as for `fingerprint_of`."""
-    size = np.diff(edges)
-    text, counts = np.repeat(np.arange(len(size)), size), np.zeros((len(size), 64), np.int64)
-    for i in range(0, len(h), 1 << 16):
-        bits = np.unpackbits(h[i : i + (1 << 16)].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        some = text[i : i + (1 << 16)]
-        starts = R._group_starts(some)
-        counts[some[starts]] += np.add.reduceat(bits, starts, axis=0, dtype=np.int64)
-    return np.packbits(2 * counts > size[:, None], axis=1, bitorder="little").view("<u8").reshape(len(size))
-
-
 def _sketches(words: int):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         turns = np.random.default_rng(11).integers(1, 1 << 63, BANDS * ROWS, dtype=np.uint64) * R.U(2) + R.U(1)
@@ -221,7 +213,7 @@ def _sketches(words: int):
             node, keys = np.zeros(len(fps), np.int64), np.zeros((len(fps), BANDS), np.uint64)
             for i, j in R.steps(bounds):
                 h, edges = _distinct(*shingle_hashes(raw[bounds[i] : bounds[j]], bounds[i : j + 1] - bounds[i], words))
-                fps[i:j] = _majorities(h, edges)
+                fps[i:j] = [fingerprint_of(raw[a:b].tobytes()) for a, b in zip(bounds[i:j], bounds[i + 1 : j + 1], strict=True)]
                 node[i:j] = R.mix(_per_text(R.mix(h), edges, np.add, 0)).view(np.int64)
                 for band in range(BANDS):
                     key = np.full(j - i, band, np.uint64)
@@ -280,12 +272,14 @@ def near_copies(docs: DataFrame, words: int = NEAR_WORDS, similarity: float = SI
     """(doc_key, tag, node, group_key, group_tag) of `repeats.keyed` rows: the first document of each one's group.
 
     Groups are connected by pairs whose sets of `words`-word shingles (A-Z in lower case) have a Jaccard similarity of
-    `similarity` or more; equal sets are one node. Of a key that more than `NEAR_CROWD` nodes share, those with too many
+    `similarity` or more; equal sets are one node. A node's keys are the groups that `links` of its fingerprints form and its
+    min-wise keys. Of a key that more than `NEAR_CROWD` nodes share, those with too many
     shingles of their own to match any other leave; each of the rest is compared with `LEADERS` of them, after bounds from
     sizes and from bitmaps of their sets (two sets differ in as many shingles as their bitmaps in bits). Nodes that links
     have connected need not be compared again: if all but `OUTSIDE` of a crowd are in one component, those outside are
     compared with the rest; otherwise all meet again under exact keys, the rarest shingles of each (`prefixes`), and under
-    a crowded one of these every pair of components is compared in the end. So no pair that shares a min-wise key is lost.
+    a crowded one of these every pair of components is compared in the end. So no pair in a group of fingerprints or with a
+    common min-wise key is lost.
     """
     spark = docs.sparkSession
 
@@ -297,17 +291,12 @@ def near_copies(docs: DataFrame, words: int = NEAR_WORDS, similarity: float = SI
     rows = R.keyed(docs)
     kind = "doc_key long, tag long, node long, fp long, keys array<long>"
     sketches = stored(rows.select("doc_key", "tag", "text").mapInArrow(_sketches(words), kind), "sketches")
-    nodes = stored(sketches.groupBy("node").agg(F.min(F.struct("doc_key", "tag", "fp", "keys")).alias("first")).select("node", "first.*"), "nodes")
-    cells = nodes.select("node", F.posexplode("keys").alias("band", "key"))
+    nodes = stored(sketches.groupBy("node").agg(F.min(F.struct("doc_key", "tag", "keys")).alias("first")).select("node", "first.*"), "nodes")
+    grouped = with_roots(sketches.select("node", "fp").distinct(), bits).select("node", F.lit(BANDS).alias("band"), F.col("root").alias("key")).distinct()
+    cells = nodes.select("node", F.posexplode("keys").alias("band", "key")).unionByName(grouped)
     crowds = cells.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     shared = stored(cells.join(crowds, ["band", "key"]), "shared")
-    heads = nodes.groupBy("fp").agg(F.min("node").alias("head"))
-    ring = links(nodes.select("fp").distinct(), bits)
-    alike = nodes.join(heads, "fp").where("node <> head").select(F.col("node").alias("a"), F.col("head").alias("b"))
-    ends = heads.select(F.col("fp").alias("b"), F.col("head").alias("hb"))
-    ringed = ring.join(heads.select(F.col("fp").alias("a"), F.col("head").alias("ha")), "a").join(ends, "b").select(F.col("ha").alias("a"), F.col("hb").alias("b"))
-    ringed = stored(alike.unionByName(ringed), "ringed")
-    wanted = shared.select("node").union(ringed.select("a")).union(ringed.select("b")).distinct().join(nodes.select("node", "doc_key", "tag"), "node")
+    wanted = shared.select("node").distinct().join(nodes.select("node", "doc_key", "tag"), "node")
     texts = R.packed(rows).join(wanted, ["doc_key", "tag"]).dropDuplicates(["doc_key", "tag"]).select("node", "text")
     sets = stored(texts.mapInArrow(_sets(words), "node long, shingles binary"), "sets")
 
@@ -381,7 +370,7 @@ def near_copies(docs: DataFrame, words: int = NEAR_WORDS, similarity: float = SI
     many = many.join(many.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "key")
     few = met.where(F.col("n") <= NEAR_CROWD).withColumns({c: F.lit(None).cast("long") for c in facts.columns if c != "node"})
     met = stored(few.unionByName(many), "met")
-    rooted = components(verified(proposed(met).unionByName(ringed)))
+    rooted = components(verified(proposed(met)))
     rest = unsettled(met)
     if not rest.isEmpty():
         linked, hot = outside(rest.where(F.col("out") <= OUTSIDE)), rest.where(F.col("out") > OUTSIDE).select("node").distinct()

@@ -356,6 +356,25 @@ def test_near_copies_do_not_depend_on_repeats_inside_a_text(spark):
     assert simhash.near_copies(given).select("node").distinct().count() == 60  # equal sets are one node
 
 
+def test_near_copies_come_from_the_groups_of_fingerprints(spark):
+    """Similar texts that share no min-wise key but a group of `groups` are found, by the fingerprints that op8 returns."""
+    rng = random.Random(21)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    texts = []
+    for _ in range(2500):
+        text = " ".join([" ".join(word() for _ in range(5))] * 30 + [word() for _ in range(38)])
+        texts += [text, " ".join([text, *(word() for _ in range(10))])]  # 43 of 53 distinct shingles in both
+    given = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array([0] * len(texts)), pa.array(texts)], names=["doc_key", "tag", "text"])
+    keys = next(simhash._sketches(5)(iter([given]))).column("keys").to_pylist()
+    prints = lambda i: _fingerprint(texts[i].encode(), 3)
+    apart = [i for i in range(0, len(texts), 2) if not any(map(int.__eq__, keys[i], keys[i + 1]))]
+    some = [i for i in apart if (prints(i) ^ prints(i + 1)).bit_count() <= 2]
+    assert some
+    rows = spark.createDataFrame([(j, texts[j]) for i in some for j in (i, i + 1)], "doc_id long, text string")
+    assert {r.component_id for r in simhash.groups(rows).collect()} == set(some)
+    assert {r.doc_id for r in simhash.keep_one(rows).collect()} == set(some)
+
+
 @pytest.mark.parametrize("outside", [512, 2])
 def test_crowds_of_near_copies_are_grouped_as_by_brute_force(spark, monkeypatch, outside):
     for name, value in {"NEAR_CROWD": 4, "LEADERS": 1, "OUTSIDE": outside}.items():
