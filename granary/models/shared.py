@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from granary.functions.scalars import calendar_parts
 from granary.models import regression, series
 from granary.operators.joins import fill_along
-from granary.operators.scale import spread
+from granary.operators.scale import packed, spread
 from granary.session import cut_lineage
 
 SERIES = ["item_id", "location_id"]
@@ -179,7 +179,7 @@ def forecast_hybrid(
     """
     external = external or []
     stepped = next_date(panel, keys)
-    table = cut_lineage(_external(residual_table(panel, steps, keys), fill_along(panel, keys, external) if external else panel, external, keys))
+    table = packed(cut_lineage(_external(residual_table(panel, steps, keys), fill_along(panel, keys, external) if external else panel, external, keys)))
     fitted = residual_model(table, external)
     state = table.where("kind = 'state'").withColumnRenamed("date", "_last")
     if only is not None:

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from granary.functions.scalars import lookup
 from granary.models import paths, regression, selection, shared
+from granary.operators.scale import packed
 from granary.session import cut_lineage
 
 SERIES = ["item_id", "location_id"]
@@ -76,7 +77,7 @@ def _shared_path(folds: DataFrame, design: DataFrame, model: str, wanted: DataFr
 def _hybrid_path(folds: DataFrame, keys: list[str]) -> DataFrame:
     """ARIMA refitted before each held-out row, plus the residual model of the fold's training rows of all series."""
     per_fold = [*keys, "fold"]
-    table = cut_lineage(shared.residual_table(folds.select(*per_fold, "date", "demand_qty", "role"), 0, per_fold))
+    table = packed(cut_lineage(shared.residual_table(folds.select(*per_fold, "date", "demand_qty", "role"), 0, per_fold)))
 
     def one(fold: int) -> DataFrame:
         here = table.where(F.col("fold") == fold)

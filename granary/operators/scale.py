@@ -81,6 +81,12 @@ def spread(df: DataFrame, *keys: str, parts: int | None = None) -> DataFrame:
     return df.repartition(parts, *[F.col(k) for k in keys])
 
 
+
+def packed(df: DataFrame, rows: int = 20_000) -> DataFrame:
+    """A stored table in as many partitions as its rows need, for iterative fits, whose every step is a task per partition."""
+    return df.coalesce(max(1, -(-df.count() // rows)))
+
+
 def value_counts(df: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
     """Long form (keys, column, value, n) with one row per distinct non-null value."""
     cells = F.explode(

@@ -209,3 +209,17 @@ def test_every_class_and_tag_occurs_and_reorders(spark, panel, values):
             assert got[: len(front)] == front
             moved += got != listed
         assert moved, tag
+
+
+def test_fits_of_the_hybrid_take_as_few_tasks_as_their_rows_need(panel, monkeypatch):
+    seen, train = [], H.regression.train
+
+    def counted(rows, *args, **params):
+        seen.append(rows.rdd.getNumPartitions())
+        return train(rows, *args, **params)
+
+    monkeypatch.setattr(H.regression, "train", counted)
+    assert H.forecast_hybrid(panel, 2).count() == 6
+    allowed = panel.select("item_id", "location_id").distinct().withColumn("models", F.array(F.lit("hybrid_arima_xgb")))
+    assert T.backtests(panel, allowed, candidates=["hybrid_arima_xgb"]).count() > 0
+    assert seen == [1] * 4
