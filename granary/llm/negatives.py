@@ -13,7 +13,8 @@ so the result is exact.
 
 Work. Rows are packed into blocks dealt out evenly, whatever their labels or values. A stated set of anchors, packed too,
 meets every block; a pair of blocks gives each anchor its best few rows of that block, and ranks are taken over those few.
-No block, label or group is collected anywhere.
+Both are shuffled to the shares that blocks are dealt to. No block, anchor, label or group is collected or broadcast anywhere:
+the plan's estimate of packed rows knows nothing of their arrays, so a join left to it broadcasts every anchor once a block.
 
 Behaviour at the edges: rows with a null label or a null vector, or one with null or non-finite entries, take no part; a vector
 shorter than the longest counts as continued by zeros; entries beyond a long are cut to it; null ids come last in ties and
@@ -35,7 +36,7 @@ from granary.llm.whitening import _matrix, integers, usable
 from granary.session import scratch_path
 
 SCALE, LEVELS, PLANES, SEED = 256, 4, 8, 11
-BLOCK, ANCHORS = 8192, 256
+BLOCK, ANCHORS, SHARES = 8192, 256, 256
 NO_ID = (1 << 63) - 1
 
 
@@ -255,6 +256,7 @@ def mine(rows: DataFrame, anchor: Column, vec_id: str = "vec_id", label: str = "
     n, dims, anchors = size.n, size.dims or 0, size.anchors or 0
     turns = rotations(dims)
     parts, groups = max(-(-n // BLOCK), 1), max(-(-anchors // ANCHORS), 1)
+    shares = min(parts, SHARES)
     blocks = stored(_pack(plain, parts, dims, turns), "blocks")
 
     def taken(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -269,7 +271,8 @@ def mine(rows: DataFrame, anchor: Column, vec_id: str = "vec_id", label: str = "
 
     def met(queries: DataFrame, search: str) -> DataFrame:
         """Every anchor block with every block of rows: (anchor, anchor_id, score, id, row)."""
-        left = queries.select(*[F.col(c).alias(f"q_{c}") for c in queries.columns], F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"))
+        left = queries.select(*[F.col(c).alias(f"q_{c}") for c in queries.columns], F.explode(F.sequence(F.lit(0), F.lit(shares - 1))).alias("share"))
+        right = blocks.withColumn("share", F.col("part") % shares)
 
         def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -287,7 +290,8 @@ def mine(rows: DataFrame, anchor: Column, vec_id: str = "vec_id", label: str = "
                     columns = [pa.array([r[c] for r in out], k) for c, k in enumerate(kinds)]
                     yield pa.RecordBatch.from_arrays(columns, names=["anchor", "anchor_id", "score", "id", "row"])
 
-        return left.join(blocks, "part").mapInArrow(found, "anchor long, anchor_id long, score decimal(38,0), id long, row long")
+        both = left.repartitionById(shares, "share").hint("merge").join(right.repartitionById(shares, "share"), "share")
+        return both.mapInArrow(found, "anchor long, anchor_id long, score decimal(38,0), id long, row long")
 
     first = asked.withColumn("positives", F.array().cast("array<decimal(38,0)>"))
     near = Window.partitionBy("anchor").orderBy(F.desc("score"), "id", "row")

@@ -1,6 +1,7 @@
 """Whitening, hard negatives and sharding against brute force, with nulls, ties, repeated rows, empty tables and clashing names."""
 
 import math
+import re
 import zlib
 from collections import Counter, defaultdict
 
@@ -191,6 +192,18 @@ def test_intervals_hold_and_narrow():
     assert all(b < 0.75 * a for w in widths[:3] for a, b in zip(w, w[1:]))
 
 
+def test_anchors_are_shuffled_to_the_blocks_and_not_broadcast(vectors, monkeypatch):
+    """However small the plan believes packed anchors to be, the driver never holds them once a block."""
+    mined = lambda: negatives.mine(vectors.drop("row"), F.col("vec_id") % 100 == 0)
+    whole = Counter(map(tuple, mined().collect()))
+    for name, value in {"BLOCK": 100, "ANCHORS": 4, "SHARES": 3}.items():
+        monkeypatch.setattr(negatives, name, value, raising=False)
+    out = mined()
+    assert Counter(map(tuple, out.collect())) == whole
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "isFinalPlan=true" in plan and not re.search(r"Broadcast\w*Join \[(part|share)#", plan)
+
+
 # --- sharding -------------------------------------------------------------------------------------------------------
 
 DOCS = "doc_id long, text string, shard string, slot double, row_number int"
