@@ -163,8 +163,9 @@ def groups(docs: DataFrame, words: int = WORDS, bits: int = BITS) -> DataFrame:
 #
 # The groups of fingerprints above are checked in full by an exact similarity: texts of one template can come within `BITS`
 # without being copies. At a similarity of 0.8 fingerprints mostly differ in 5 to 20 of 64 bits, and no chain of segments is
-# equal often enough to be a key there, so pairs outside the groups are proposed by min-wise keys as well. Nodes and
-# min-wise keys are made of distinct shingles, as the similarity is; fingerprints are those of `fingerprint_of`.
+# equal often enough to be a key there, so pairs outside the groups are sought as well: min-wise keys connect most of them
+# cheaply, and prefixes of the ordered shingles, which no pair escapes, find the rest. Nodes and keys are made of distinct
+# shingles, as the similarity is; fingerprints are those of `fingerprint_of`.
 
 NEAR_WORDS, SIMILARITY = 5, 0.8
 BANDS, ROWS, NEAR_CROWD, LEADERS, OUTSIDE, MAPS = 12, 4, 64, 8, 512, 8
@@ -204,24 +205,31 @@ def _distinct(h: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return h[new], np.concatenate([[0], np.cumsum(np.bincount(text[new], minlength=len(edges) - 1))])
 
 
-def _sketches(words: int):
+def _sketches(words: int, similarity: float = SIMILARITY):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         turns = np.random.default_rng(11).integers(1, 1 << 63, BANDS * ROWS, dtype=np.uint64) * R.U(2) + R.U(1)
         for batch in batches:
             raw, bounds = R.texts_of(batch.column("text"))
             fps = np.zeros(len(bounds) - 1, np.uint64)
             node, keys = np.zeros(len(fps), np.int64), np.zeros((len(fps), BANDS), np.uint64)
+            size, prefix, firsts = np.zeros(len(fps), np.int64), np.zeros(len(fps), np.int64), [np.zeros(0, np.uint64)]
             for i, j in R.steps(bounds):
                 h, edges = _distinct(*shingle_hashes(raw[bounds[i] : bounds[j]], bounds[i : j + 1] - bounds[i], words))
                 fps[i:j] = [fingerprint_of(raw[a:b].tobytes()) for a, b in zip(bounds[i:j], bounds[i + 1 : j + 1], strict=True)]
                 node[i:j] = R.mix(_per_text(R.mix(h), edges, np.add, 0)).view(np.int64)
+                size[i:j] = np.diff(edges)
+                prefix[i:j] = np.where(size[i:j] > 0, size[i:j] - np.ceil(similarity * size[i:j] - 1e-6).astype(np.int64) + 1, 0)
+                firsts.append(h[np.arange(len(h)) - np.repeat(edges[:-1], size[i:j]) < np.repeat(prefix[i:j], size[i:j])])
                 for band in range(BANDS):
                     key = np.full(j - i, band, np.uint64)
                     for t in turns[band * ROWS : (band + 1) * ROWS]:
                         key = R.mix(key * R.U(31) + _per_text(h * t, edges, np.minimum, 0))
                     keys[i:j, band] = key
             lists = pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, BANDS), pa.int32()), pa.array(keys.reshape(-1).view(np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_key"), batch.column("tag"), pa.array(node), pa.array(fps.view(np.int64)), lists], names=["doc_key", "tag", "node", "fp", "keys"])
+            ends = pa.array(np.concatenate([[0], np.cumsum(prefix)]), pa.int32())
+            firsts = pa.ListArray.from_arrays(ends, pa.array(np.concatenate(firsts).view(np.int64)))
+            columns = [batch.column("doc_key"), batch.column("tag"), pa.array(node), pa.array(fps.view(np.int64)), lists, pa.array(size), firsts]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_key", "tag", "node", "fp", "keys", "size", "firsts"])
 
     return rows
 
@@ -271,15 +279,21 @@ def _bitmaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def near_copies(docs: DataFrame, words: int = NEAR_WORDS, similarity: float = SIMILARITY, bits: int = BITS) -> DataFrame:
     """(doc_key, tag, node, group_key, group_tag) of `repeats.keyed` rows: the first document of each one's group.
 
-    Groups are connected by pairs whose sets of `words`-word shingles (A-Z in lower case) have a Jaccard similarity of
-    `similarity` or more; equal sets are one node. A node's keys are the groups that `links` of its fingerprints form and its
-    min-wise keys. Of a key that more than `NEAR_CROWD` nodes share, those with too many
-    shingles of their own to match any other leave; each of the rest is compared with `LEADERS` of them, after bounds from
-    sizes and from bitmaps of their sets (two sets differ in as many shingles as their bitmaps in bits). Nodes that links
-    have connected need not be compared again: if all but `OUTSIDE` of a crowd are in one component, those outside are
-    compared with the rest; otherwise all meet again under exact keys, the rarest shingles of each (`prefixes`), and under
-    a crowded one of these every pair of components is compared in the end. So no pair in a group of fingerprints or with a
-    common min-wise key is lost.
+    Groups are connected by all pairs whose sets of `words`-word shingles (A-Z in lower case) have a Jaccard similarity of
+    `similarity` or more; equal sets are one node. Pairs are sought in three steps, each among nodes that are not connected yet.
+
+    First a node's keys are the groups that `links` of its fingerprints form and its min-wise keys, which connect most. Of a key
+    that more than `NEAR_CROWD` nodes share, those with too many shingles of their own to match any other leave; each of the rest
+    is compared with `LEADERS` of them, after bounds from sizes and from bitmaps of their sets (two sets differ in as many
+    shingles as their bitmaps in bits). If all but `OUTSIDE` of a crowd are in one component, those outside are compared with
+    the rest.
+
+    Then the shingles of each node that come first by hash are keys. Of sets with s and r shingles that similar ones share a
+    shingle among the first s - ceil(ts) + 1 and r - ceil(tr) + 1. What they share there and what follows in the one whose
+    prefix ends first is all they can share, so counts of common keys leave few pairs to compare.
+
+    The nodes of crowded keys meet under the rarest shingles of each instead (`prefixes`), and under a crowded one of these
+    every pair of components is compared in the end. So no pair is lost.
     """
     spark = docs.sparkSession
 
@@ -289,14 +303,14 @@ def near_copies(docs: DataFrame, words: int = NEAR_WORDS, similarity: float = SI
         return spark.read.parquet(path)
 
     rows = R.keyed(docs)
-    kind = "doc_key long, tag long, node long, fp long, keys array<long>"
-    sketches = stored(rows.select("doc_key", "tag", "text").mapInArrow(_sketches(words), kind), "sketches")
-    nodes = stored(sketches.groupBy("node").agg(F.min(F.struct("doc_key", "tag", "keys")).alias("first")).select("node", "first.*"), "nodes")
+    kind = "doc_key long, tag long, node long, fp long, keys array<long>, size long, firsts array<long>"
+    sketches = stored(rows.select("doc_key", "tag", "text").mapInArrow(_sketches(words, similarity), kind), "sketches")
+    nodes = stored(sketches.groupBy("node").agg(F.min(F.struct("doc_key", "tag", "keys", "size", "firsts")).alias("first")).select("node", "first.*"), "nodes")
     grouped = with_roots(sketches.select("node", "fp").distinct(), bits).select("node", F.lit(BANDS).alias("band"), F.col("root").alias("key")).distinct()
     cells = nodes.select("node", F.posexplode("keys").alias("band", "key")).unionByName(grouped)
     crowds = cells.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     shared = stored(cells.join(crowds, ["band", "key"]), "shared")
-    wanted = shared.select("node").distinct().join(nodes.select("node", "doc_key", "tag"), "node")
+    wanted = nodes.select("node", "doc_key", "tag")
     texts = R.packed(rows).join(wanted, ["doc_key", "tag"]).dropDuplicates(["doc_key", "tag"]).select("node", "text")
     sets = stored(texts.mapInArrow(_sets(words), "node long, shingles binary"), "sets")
 
@@ -340,7 +354,8 @@ def near_copies(docs: DataFrame, words: int = NEAR_WORDS, similarity: float = SI
         Similar sets x and y, y not the larger, share at least t |x| and 2 t / (1 + t) |y| shingles. The rarest they share
         is therefore among the first |x| - t |x| + 1 of x and the first |y| - 2 t / (1 + t) |y| + 1 of y (`short`).
         """
-        held = sets.join(crowd, "node").select("node", "shingles").mapInArrow(_single_shingles, "node long, shingle long")
+        facts = bounds(crowd)
+        held = sets.join(facts, "node").select("node", "shingles").mapInArrow(_single_shingles, "node long, shingle long")
         often = held.groupBy("shingle").agg(F.count(F.lit(1)).alias("often"))
         rank = F.row_number().over(Window.partitionBy("node").orderBy("often", "shingle"))
         first = lambda share: F.col("size") - F.ceil(F.col("size") * share - 1e-6) + 1
@@ -356,33 +371,56 @@ def near_copies(docs: DataFrame, words: int = NEAR_WORDS, similarity: float = SI
         tally = rest.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n")).groupBy("key").agg(F.max_by("root", "n").alias("main"), (F.sum("n") - F.max("n")).alias("out"))
         return stored(rest.join(tally.where("out > 0"), "key"), "open")
 
+    def bounds(crowd: DataFrame) -> DataFrame:
+        """(node, size, maps, common) of the nodes of `crowd` that share enough shingles with the others to be similar to one."""
+        held = sets.join(crowd, "node").select("node", "shingles")
+        single = held.mapInArrow(_single_shingles, "node long, shingle long").groupBy("shingle").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("node"))
+        alone = single.where("n = 1").groupBy("node").agg(F.count(F.lit(1)).alias("alone"))
+        drawn = held.mapInArrow(_bitmaps, ", ".join(["node long", "size long", *(f"`{m}` long" for m in maps)]))
+        facts = drawn.join(alone, "node", "left").withColumn("common", F.col("size") - F.coalesce("alone", F.lit(0))).drop("alone")
+        return stored(facts.where(F.col("common") >= similarity * F.col("size") - 1e-6), "facts")
+
+    def ordered() -> DataFrame:
+        """(key, node, size, root, n): the first shingles of each node as keys, where nodes of several components share one."""
+        keyed = nodes.select("node", "size", F.explode("firsts").alias("key"))
+        crowds = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+        keyed = keyed.join(crowds, "key").join(rooted, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        keyed = stored(keyed, "firsts")
+        apart = keyed.groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least < most").select("key")
+        return stored(keyed.join(apart, "key"), "ordered")
+
+    def counted(keyed: DataFrame) -> DataFrame:
+        """Pairs that share as many of their first shingles as similar sets do."""
+        named = lambda x: keyed.select("key", *[F.col(c).alias(c[0] + x) for c in ("node", "root", "size")])
+        pairs = named("a").join(named("b"), "key").where("na < nb and ra <> rb").where(F.least("sa", "sb") >= similarity * F.greatest("sa", "sb") - 1e-6)
+        pairs = pairs.groupBy("na", "nb", "sa", "sb").agg(F.count(F.lit(1)).alias("first"))
+        later = F.ceil(similarity * F.greatest("sa", "sb") - 1e-6) - 1
+        enough = (F.col("first") + later) * (1 + similarity) >= similarity * (F.col("sa") + F.col("sb")) - 1e-6
+        return pairs.where(enough).select("na", "nb").toDF("a", "b")
+
     def joined(linked: DataFrame) -> DataFrame:
-        return components(linked.unionByName(rooted.select(F.col("node").alias("a"), F.col("root").alias("b"))))
+        return rooted if linked.isEmpty() else components(linked.unionByName(rooted.select(F.col("node").alias("a"), F.col("root").alias("b"))))
 
     met = shared.select(F.xxhash64("band", "key").alias("key"), "node", F.col("node").alias("root"), "n")
-    crowd = sets.join(met.where(F.col("n") > NEAR_CROWD).select("node").distinct(), "node")
-    alone = crowd.select("node", "shingles").mapInArrow(_single_shingles, "node long, shingle long").groupBy("shingle").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("node"))
-    alone = alone.where("n = 1").groupBy("node").agg(F.count(F.lit(1)).alias("alone"))
-    drawn = crowd.select("node", "shingles").mapInArrow(_bitmaps, ", ".join(["node long", "size long", *(f"`{m}` long" for m in maps)]))
-    facts = drawn.join(alone, "node", "left").withColumn("common", F.col("size") - F.coalesce("alone", F.lit(0))).drop("alone")
-    facts = stored(facts.where(F.col("common") >= similarity * F.col("size") - 1e-6), "facts")
+    facts = bounds(met.where(F.col("n") > NEAR_CROWD).select("node").distinct())
     many = met.where(F.col("n") > NEAR_CROWD).drop("n").join(facts, "node")
     many = many.join(many.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "key")
     few = met.where(F.col("n") <= NEAR_CROWD).withColumns({c: F.lit(None).cast("long") for c in facts.columns if c != "node"})
     met = stored(few.unionByName(many), "met")
     rooted = components(verified(proposed(met)))
-    rest = unsettled(met)
+    rest = unsettled(met).where(F.col("out") <= OUTSIDE)
     if not rest.isEmpty():
-        linked, hot = outside(rest.where(F.col("out") <= OUTSIDE)), rest.where(F.col("out") > OUTSIDE).select("node").distinct()
-        if hot.isEmpty():
-            rooted = joined(verified(linked))
-        else:
-            exact = prefixes(hot)
-            rooted = joined(verified(linked.unionByName(proposed(exact))))
-            rest = unsettled(exact)
-            if not rest.isEmpty():
-                left = sides(rest.where("root <> main"), rest, "rb = mb or na < nb")
-                rooted = joined(verified(left.select("na", "nb").toDF("a", "b")))
+        rooted = joined(verified(outside(rest)))
+    met = ordered()
+    rooted = joined(verified(counted(met.where(F.col("n") <= NEAR_CROWD))))
+    hot = met.where(F.col("n") > NEAR_CROWD).select("node").distinct()
+    if not hot.isEmpty():
+        exact = prefixes(hot)
+        rooted = joined(verified(proposed(exact)))
+        rest = unsettled(exact)
+        if not rest.isEmpty():
+            left = sides(rest.where("root <> main"), rest, "rb = mb or na < nb")
+            rooted = joined(verified(left.select("na", "nb").toDF("a", "b")))
     rooted = sketches.join(rooted, "node", "left").select("doc_key", "tag", "node", F.coalesce("root", "node").alias("root"))
     firsts = rooted.groupBy("root").agg(F.min(F.struct("doc_key", "tag")).alias("first"))
     return rooted.join(firsts, "root").select("doc_key", "tag", "node", F.col("first.doc_key").alias("group_key"), F.col("first.tag").alias("group_tag"))

@@ -375,6 +375,24 @@ def test_near_copies_come_from_the_groups_of_fingerprints(spark):
     assert {r.doc_id for r in simhash.keep_one(rows).collect()} == set(some)
 
 
+@pytest.mark.parametrize("crowd", [64, 1])
+def test_similar_texts_without_a_common_min_wise_key_are_found(spark, monkeypatch, crowd):
+    monkeypatch.setattr(simhash, "NEAR_CROWD", crowd)
+    rng = random.Random(13)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(7))
+    lines = []
+    for _ in range(4000):
+        text = [word() for _ in range(64)]
+        lines += [" ".join(text), " ".join([*text, *(word() for _ in range(rng.choice([14, 15, 16, 30])))])]  # 60 of 74 to 90 shingles
+    given = pa.RecordBatch.from_arrays([pa.array(range(len(lines))), pa.array([0] * len(lines)), pa.array(lines)], names=["doc_key", "tag", "text"])
+    keys = next(simhash._sketches(5)(iter([given]))).column("keys").to_pylist()
+    apart = [i for i in range(0, len(lines), 2) if not any(map(int.__eq__, keys[i], keys[i + 1]))]
+    similar = [i for i in apart if len(lines[i + 1].split()) <= 79]
+    assert similar and len(apart) > len(similar)
+    rows = spark.createDataFrame([(j, lines[j]) for i in apart for j in (i, i + 1)], "doc_id long, text string")
+    assert {r.doc_id for r in simhash.keep_one(rows).collect()} == {*apart, *(i + 1 for i in apart)} - {i + 1 for i in similar}
+
+
 @pytest.mark.parametrize("outside", [512, 2])
 def test_crowds_of_near_copies_are_grouped_as_by_brute_force(spark, monkeypatch, outside):
     for name, value in {"NEAR_CROWD": 4, "LEADERS": 1, "OUTSIDE": outside}.items():
