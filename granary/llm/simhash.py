@@ -310,12 +310,16 @@ def near_copies(docs: DataFrame, words: int = NEAR_WORDS, similarity: float = SI
     cells = nodes.select("node", F.posexplode("keys").alias("band", "key")).unionByName(grouped)
     crowds = cells.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     shared = stored(cells.join(crowds, ["band", "key"]), "shared")
-    wanted = nodes.select("node", "doc_key", "tag")
-    texts = R.packed(rows).join(wanted, ["doc_key", "tag"]).dropDuplicates(["doc_key", "tag"]).select("node", "text")
-    sets = stored(texts.mapInArrow(_sets(words), "node long, shingles binary"), "sets")
+
+    def sets_of(some: DataFrame) -> DataFrame:
+        wanted = some.join(nodes.select("node", "doc_key", "tag"), "node")
+        texts = R.packed(rows).join(wanted, ["doc_key", "tag"]).dropDuplicates(["doc_key", "tag"]).select("node", "text")
+        return stored(texts.mapInArrow(_sets(words), "node long, shingles binary"), "sets")
+
+    sets = sets_of(shared.select("node").distinct())
 
     def verified(pairs: DataFrame) -> DataFrame:
-        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct()
+        pairs = stored(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct(), "pairs")
         of = lambda n, x: sets.select(F.col("node").alias(n), F.col("shingles").alias(x))
         long = F.octet_length("x"), F.octet_length("y")
         full = pairs.join(of("a", "x"), "a").join(of("b", "y"), "b").where(F.least(*long) >= similarity * F.greatest(*long) - 1e-6)
@@ -373,7 +377,7 @@ def near_copies(docs: DataFrame, words: int = NEAR_WORDS, similarity: float = SI
 
     def bounds(crowd: DataFrame) -> DataFrame:
         """(node, size, maps, common) of the nodes of `crowd` that share enough shingles with the others to be similar to one."""
-        held = sets.join(crowd, "node").select("node", "shingles")
+        held = sets.join(stored(crowd, "crowd"), "node").select("node", "shingles")
         single = held.mapInArrow(_single_shingles, "node long, shingle long").groupBy("shingle").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("node"))
         alone = single.where("n = 1").groupBy("node").agg(F.count(F.lit(1)).alias("alone"))
         drawn = held.mapInArrow(_bitmaps, ", ".join(["node long", "size long", *(f"`{m}` long" for m in maps)]))
@@ -412,8 +416,12 @@ def near_copies(docs: DataFrame, words: int = NEAR_WORDS, similarity: float = SI
     if not rest.isEmpty():
         rooted = joined(verified(outside(rest)))
     met = ordered()
-    rooted = joined(verified(counted(met.where(F.col("n") <= NEAR_CROWD))))
-    hot = met.where(F.col("n") > NEAR_CROWD).select("node").distinct()
+    pairs, hot = stored(counted(met.where(F.col("n") <= NEAR_CROWD)), "counted"), met.where(F.col("n") > NEAR_CROWD).select("node").distinct()
+    late = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).union(hot).distinct().join(sets, "node", "left_anti")
+    late = stored(late, "late")
+    if not late.isEmpty():
+        sets = sets.unionByName(sets_of(late))
+    rooted = joined(verified(pairs))
     if not hot.isEmpty():
         exact = prefixes(hot)
         rooted = joined(verified(proposed(exact)))
