@@ -237,7 +237,10 @@ def whiten(rows: DataFrame, vector: str = "embedding", components: int = COMPONE
     def projected(x: Matrix) -> Matrix:
         far = max(_most(x), max(map(abs, centre))) >= 1 << 61
         around = x.astype(np.float64) - np.array(centre, np.float64) if far else (x - np.array(centre, np.int64)).astype(np.float64)
-        return (around - off) @ turn
+        out = np.zeros((len(x), kept))
+        for i in range(dims):  # a matrix product may round a row by how many others are in its batch
+            out += (around[:, i] - off[i])[:, None] * turn[i]
+        return out
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, first = np.zeros((kept, kept)), np.zeros(kept)
